@@ -52,35 +52,42 @@ def row_count(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1)).alias("n")).first()["n"]
 
 
+#: Rows of narrow tables (a few longs each) that may be broadcast: some 10 MB.
+BROADCAST_ROWS = 200_000
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``big`` with a narrow table that is written and counted first.
+
+    Up to ``limit`` rows it is broadcast, so a key that holds a large part of
+    ``big`` needs no shuffle. Beyond, both sides are shuffled; as neither is the
+    result of an aggregation in the same stage, adaptive execution can split hot keys.
+    """
+    small = materialise(small, "side")
+    return big.join(F.broadcast(small) if row_count(small) <= limit else small, on, how)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(a, b)`` edges over long ids -> ``(node, label)``, the smallest id reachable.
 
-    Alternating large-star and small-star contraction. Each round is two
-    aggregations and two joins over the edge list; the list is written to the
-    shared folder after each round and the loop ends when a round changes
+    Alternating large-star and small-star contraction. The edge list is written
+    to the shared folder after each round and the loop ends when a round changes
     nothing. Nodes without edges do not appear.
     """
-    step = materialise(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    step = materialise(edges.distinct(), "edges")
     state = _fingerprint(step)
     for _ in range(max_rounds):
         # large star: each larger neighbour goes to the smallest of the closed neighbourhood
         both = step.select("u", "v").union(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = join_counted(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), "edges")
         # small star: smaller neighbours and the node itself go to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
-            .select(F.col("e.x").alias("u"), F.col("e.y").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        step = materialise(small, "edges")
+        small = join_counted(large, least, ["u"])
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        step = materialise(small.where("u <> v").distinct(), "edges")
         now = _fingerprint(step)
         if now == state:
             break

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tideline.llm import licenses, sharding
+from tideline.llm import licenses, quality, sharding, simhash
 
 QUERIES = {
+    "op2_simhash_dedup": simhash.op2_simhash_dedup,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op10_license_scan": licenses.op10_license_scan,
 }
