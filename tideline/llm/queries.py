@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tideline.llm import licenses, quality, sharding, simhash
+from tideline.llm import licenses, linededup, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_poisson_mixing": mixing.op4_poisson_mixing,
+    "op5_line_dedup": linededup.op5_line_dedup,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE_SQL = {
+    "op4_poisson_mixing": mixing.ORACLE,
+    "op5_line_dedup": linededup.ORACLE,
     "op8_rendezvous_sharding": sharding.ORACLE,
 }
