@@ -15,7 +15,7 @@ from tideline.llm.common import materialise, row_count
 #: A line goes when it is on more than this share of its site's pages ...
 MAX_SHARE = 0.02
 #: ... and on this many pages of the site at least.
-MIN_PAGES = 3
+MIN_PAGES = 5
 #: Boilerplate lines up to which they are broadcast: 50 bytes each, 10 MB.
 BROADCAST_LINES = 200_000
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tideline.llm import licenses, linededup, mixing, packing, quality, sharding, simhash
+from tideline.llm import licenses, linededup, mixing, packing, pii, quality, sharding, simhash, topk
 
 QUERIES = {
+    "op1_exact_topk": topk.op1_exact_topk,
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_poisson_mixing": mixing.op4_poisson_mixing,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
+    "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE_SQL = {
+    "op1_exact_topk": topk.ORACLE,
     "op4_poisson_mixing": mixing.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op8_rendezvous_sharding": sharding.ORACLE,
