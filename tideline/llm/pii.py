@@ -185,6 +185,7 @@ def secret(text: str, key: bytes) -> str | None:
 KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("secret", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|(?<![0-9a-fA-F])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![0-9a-fA-F])", secret),
+    ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?([A-Za-z0-9_+/.-]{6,})", secret),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", address),
     ("date", r"(?<![\d.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d]|[-.]\d)", calendar_date),
@@ -204,10 +205,11 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]
     taken: list[tuple[int, int, str, str]] = []
     for name, pattern, change in _COMPILED:
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _, _ in taken):
+            start, end = m.span(pattern.groups)  # the group if there is one, else the match
+            if any(a < end and start < b for a, b, _, _ in taken):
                 continue
-            if (new := change(m[0], key)) is not None:
-                taken.append((m.start(), m.end(), name, new))
+            if (new := change(text[start:end], key)) is not None:
+                taken.append((start, end, name, new))
     out, at = [], 0
     taken.sort()
     for a, b, _, new in taken:

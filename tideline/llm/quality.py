@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialise, utf8
+from tideline.llm.common import utf8
 
 #: Labelled rows used for learning, at most; rows of smallest hash are taken, so
 #: the sample does not depend on partitioning.
@@ -220,24 +220,21 @@ def rejected_by(rules: Sequence[Rule]) -> Column:
     return (F.lit(None) if out is None else out).cast("int")
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, key: str, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Features and labels of at most ``max_labelled`` rows, brought to the driver: 8 doubles each.
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Features and labels of at most ``max_labelled`` documents, brought to the driver: 8 doubles each.
 
-    Only rows that pass the base limits are of use. Null keys and null labels
-    are left out.
+    The labels of smallest hash are taken, so the sample is the same however the
+    tables are partitioned; being bounded, their keys are broadcast, and only those
+    documents' statistics are made. Null keys and null labels are left out, and so
+    are documents that fail the base limits, which no rule has to judge.
     """
-    names = list(FEATURES)
-    cols = features()
-    rows = (
-        stats.where(~base_failed())
-        .join(labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).select(key, "quality").distinct(), key)
-        .select(*[cols[n].alias(n) for n in names], (F.col("quality") == 0).alias("bad"), F.xxhash64(F.col(key)).alias("_h"), key)
-        .orderBy("_h", key, "bad")
-        .limit(max_labelled)
-        .drop("_h", key)
-        .toPandas()
-    )
-    return rows[names].to_numpy(float), rows["bad"].to_numpy(bool), names
+    names, cols = list(FEATURES), features()
+    chosen = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).select(F.col(key).alias("_key"), (F.col("quality") == 0).alias("_bad")).distinct()
+    chosen = chosen.withColumn("_h", F.xxhash64("_key")).orderBy("_h", "_key", "_bad").limit(max_labelled)
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    rows = with_stats(texts, ["_h", "_key", "_bad"], "_text").where(~base_failed())
+    rows = rows.orderBy("_h", "_key", "_bad", *_NAMES).limit(max_labelled).select(*[cols[n].alias(n) for n in names], "_bad").toPandas()
+    return rows[names].to_numpy(float), rows["_bad"].to_numpy(bool), names
 
 
 def judge(stats: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -245,19 +242,23 @@ def judge(stats: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return stats.withColumn("base_failed", base_failed()).withColumn("rule", rejected_by(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[Rule]]:
-    """Statistics and verdict for every row of ``docs``, and the rules that were learned.
+def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[Rule]]:
+    """The key, statistics and verdict of every row of ``docs``, and the rules that were learned.
 
-    The texts are read once for the statistics, which are written to the shared
-    folder; learning and judging read those. keep: columns to carry along (the
-    key alone by default). A null or empty text has no words and fails the base
-    limits; a null key is judged like any other but takes no part in learning;
-    repeated rows each get the same verdict; without labels only the base limits
-    hold; an empty table gives an empty result.
+    A null or empty text has no words and fails the base limits; a null key is
+    judged like any other but takes no part in learning; repeated rows each get
+    the same verdict; without labels only the base limits hold; an empty table
+    gives an empty result. Other columns are not read.
     """
-    stats = materialise(with_stats(docs, keep or [key], text), "stats")
-    rules = learn_rules(*labelled_sample(stats, labels, key, max_labelled))
-    return judge(stats, rules), rules
+    rules = learn_rules(*labelled_sample(docs, labels, key, text, max_labelled))
+    return judge(with_stats(docs, [key], text), rules), rules
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that quality_rules keeps, with all their columns as they are."""
+    rules = learn_rules(*labelled_sample(docs, labels, key, text, max_labelled))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return judge(with_stats(rows, ["_row"], f"_row.{text}"), rules).where("kept").select("_row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import licenses, linededup, mixing, packing, pii, quality, sharding, simhash, topk
+from tideline.llm import licenses, linededup, mixing, packing, pii, quality, sharding, simhash, substring, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_poisson_mixing": mixing.op4_poisson_mixing,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,

@@ -188,6 +188,20 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     return marked.join(by_fp, "fp").select(key, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = MAX_BITS) -> DataFrame:
+    """One row of each component of near_components, with all its columns: the one of the smallest key.
+
+    Where rows share that key, one of them stays. A component whose keys are all
+    null keeps one row.
+    """
+    chosen = near_components(docs, key, text, budget).where(F.col(key).eqNullSafe(F.col("component_id")))
+    chosen = materialise(chosen.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "chosen")
+    kept = docs.join(chosen.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    if chosen.where("_n > 1").limit(1).count():
+        kept = kept.dropDuplicates([key])
+    return kept
+
+
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
