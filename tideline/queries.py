@@ -100,8 +100,8 @@ on_events("rolling_lag", lambda: rolling.lag(EVENTS, V(), 4), "lag(v, 3) OVER o"
 on_events("rolling_strict_mean", lambda: rolling.strict(EVENTS, V(), N, 4, rolling.mean(EVENTS, V(), N)), "CASE WHEN count(v) OVER w >= 4 THEN avg(v) OVER w END")
 _COV = """(avg(CASE WHEN u IS NOT NULL THEN v * u END) OVER w - avg(u) OVER w * avg(CASE WHEN u IS NOT NULL THEN v END) OVER w
   - avg(v) OVER w * avg(CASE WHEN v IS NOT NULL THEN u END) OVER w + avg(v) OVER w * avg(u) OVER w)"""
-# over seven: values of two decimals would otherwise lie halfway between six places
-on_events("rolling_cov", lambda: rolling.cov(EVENTS, V(), U(), N) / 7, f"({_COV}) / 7")
+# scaled: values of two decimals would otherwise lie halfway between six places
+on_events("rolling_cov", lambda: rolling.cov(EVENTS, V(), U(), N) * 0.6180339887, f"({_COV}) * 0.6180339887")
 _CORR = f"{_COV} / nullif(stddev_pop(v) OVER w * stddev_pop(u) OVER w, 0)"
 
 
