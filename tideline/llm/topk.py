@@ -156,7 +156,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, shard_rows: int =
 
     queries and vectors: (id, v) as from integer_vectors, all of one length. A
     query's own id is no candidate; a query with fewer than k candidates has them
-    all, one with none has no row. Vectors with equal ids are each a candidate.
+    all, one with none has no row. Vectors with equal ids are each a candidate; a
+    query id that repeats is asked once, with its least vector. An empty table on
+    either side gives an empty result.
 
     Two passes: first every query searches one shard, which gives it a k-th score;
     then it visits the other shards with that score, where most of a tree is left
@@ -164,7 +166,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, shard_rows: int =
     A task holds one shard of about ``shard_rows`` vectors and one block of
     queries, whatever the number of either: every query against all rows, in blocks.
     """
-    vectors, queries = materialise(vectors, "vectors"), materialise(queries, "queries")
+    vectors, queries = materialise(vectors, "vectors"), materialise(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
     n = max(1, -(-row_count(vectors) // shard_rows))
     blocks = max(1, -(-row_count(queries) // QUERY_ROWS))
     all_blocks, all_shards = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(n - 1))
