@@ -1,11 +1,13 @@
-"""Near-duplicates by 64-bit SimHash: fingerprints, a trie self-join, components.
-
-The distinct fingerprints form a binary trie. Its top bits are cut off as
-subtries, one for each prefix; every pair of prefixes that differ in at most the
-error budget is one job, in which the two subtries are walked together, node
-pair by node pair, with the differing bits so far and a stop as soon as they
-exceed the budget. A job gives back only the edges of a spanning forest of the
-links it found, so a group of k near copies costs at most k edges.
+"""Near-duplicates by 64-bit SimHash: fingerprints, trie self-joins, components.
+
+Of budget + 1 blocks of bits, two fingerprints within the error budget agree in
+one. So there is one binary trie for each block, over fingerprints turned so that
+the block comes first, and each fingerprint goes to each trie once. A trie is cut
+into subtries by its top bits; a job walks the node pairs of one subtrie together,
+along equal nodes inside the leading block and with the differing bits so far below
+it, and stops as soon as they exceed the budget. A job gives back only the edges of
+a spanning forest of the links it found, so a group of k near copies costs at most
+k edges for each trie.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from tideline.llm.common import connected_components, join_counted, materialise,
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
-#: Fingerprints in a subtrie that one job should hold at most, about.
-SUBTRIE = 1 << 16
+#: Fingerprints in a subtrie, about.
+SUBTRIE = 1 << 14
 _A_TO_Z = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -59,16 +61,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, utf8(text).alias("_b")).mapInArrow(run, f"`{key}` {kind}, fp long")
 
 
-def close_prefixes(bits: int, budget: int = MAX_BITS) -> list[int]:
-    """The differences of at most ``budget`` bits between two prefixes of ``bits`` bits."""
-    return [x for x in range(1 << bits) if x.bit_count() <= budget]
-
-
-def walk_pairs(a: np.ndarray, b: np.ndarray, depth: int, budget: int, leaf: int = 24, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def walk_pairs(a: np.ndarray, b: np.ndarray, depth: int, budget: int, exact: int = 0, leaf: int = 24, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) with a[i], b[j] within ``budget`` bits, walking two sorted subtries together.
 
     a and b: ascending unsigned fingerprints, each of one subtrie of ``depth``
-    top bits. A frontier of node pairs is kept as index ranges with the bits that
+    top bits. Pairs that differ in the first ``exact`` bits may be left out. A frontier of node pairs is kept as index ranges with the bits that
     differ so far; a pair splits into its children's pairs one bit further down,
     and is dropped when its differences exceed the budget. Ranges of at most
     ``leaf`` fingerprints are compared outright. At most ``block`` node pairs are
@@ -93,7 +90,7 @@ def walk_pairs(a: np.ndarray, b: np.ndarray, depth: int, budget: int, leaf: int
         halves_a = ((pairs[:, 0], cut_a), (cut_a, pairs[:, 1]))
         halves_b = ((pairs[:, 2], cut_b), (cut_b, pairs[:, 3]))
         children = np.concatenate([np.stack([*halves_a[x], *halves_b[y], pairs[:, 4] + (x != y)], axis=1) for x in (0, 1) for y in (0, 1)])
-        children = children[(children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (children[:, 4] <= budget)]
+        children = children[(children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (children[:, 4] <= (budget if level >= exact else 0))]
         if len(children):
             stack.append((level + 1, children))
 
@@ -130,43 +127,40 @@ def spanning_forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> n
     return root
 
 
+def turned(fps: np.ndarray, by: int) -> np.ndarray:
+    """Unsigned 64-bit numbers rotated left."""
+    return (fps << np.uint64(by)) | (fps >> np.uint64(64 - by)) if by % 64 else fps
+
+
 def near_links(fps: DataFrame, budget: int = MAX_BITS, subtrie: int = SUBTRIE) -> DataFrame:
     """Edges (a, b) over distinct fingerprints ``fp``: with the same components as all links within ``budget`` bits."""
-    n = row_count(fps)
-    # depth of the cut: mean subtrie size; prefix pairs number 2^bits * C(bits, <= budget), whatever the data
-    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / subtrie)), 4, 16))
-    differences = close_prefixes(bits, budget)
-    prefix = F.shiftrightunsigned("fp", 64 - bits)
-    fps = fps.select("fp", prefix.alias("p"))
-    # Heavy prefixes are cut further: a job has one slice of either side. One row for each prefix, 2^16 at most.
-    slices = fps.groupBy("p").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (4 * subtrie))).cast("int").alias("k"))
-    own = fps.join(F.broadcast(slices), "p").withColumn("s", F.pmod(F.xxhash64("fp"), "k").cast("int"))
-    other = F.broadcast(slices.select(F.col("p").alias("q"), F.col("k").alias("qk")))
-    sides = own.withColumn("q", F.explode(F.transform(F.array([F.lit(x) for x in differences]), lambda d: d.bitwiseXOR(F.col("p"))))).join(other, "q")
-    sides = sides.withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("qk") - 1)))
-    mine = F.struct("p", "s")
-    theirs = F.struct(F.col("q").alias("p"), F.col("qs").alias("s"))
-    jobs = sides.where((F.col("q") != F.col("p")) | (F.col("s") != F.col("qs"))).select(
-        F.least(mine, theirs).alias("l"), F.greatest(mine, theirs).alias("r"), (mine < theirs).alias("left"), "fp"
-    ).union(own.select(mine.alias("l"), mine.alias("r"), F.lit(True).alias("left"), "fp"))
+    n, block = row_count(fps), 64 // (budget + 1)
+    # depth of the cut: mean subtrie size
+    bits = min(block, max(6, (max(n, 1) // subtrie).bit_length()))
+    turns = F.array([F.struct(F.lit(r).alias("r"), F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", 64 - r)).alias("v")) for r in range(0, block * (budget + 1), block)])
+    rows = fps.select(F.explode(turns).alias("x")).select("x.r", "x.v", F.shiftrightunsigned("x.v", 64 - bits).alias("p"))
+    # A subtrie of over four times the mean is dealt into slices by hash: a job has one slice or two.
+    # One row for each trie and prefix, (budget + 1) * 2^16 at most.
+    most = max(64, 4 * n >> bits)
+    slices = rows.groupBy("r", "p").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("k"))
+    own = rows.join(F.broadcast(slices), ["r", "p"]).withColumn("s", F.pmod(F.xxhash64("v"), "k").cast("int"))
+    jobs = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    jobs = jobs.select("r", "p", F.least("s", "o").alias("ls"), F.greatest("s", "o").alias("rs"), (F.col("s") <= F.col("o")).alias("left"), "v")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_left = pdf["left"].to_numpy(bool)
-        v = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        by, is_left = int(pdf["r"].iloc[0]), pdf["left"].to_numpy(bool)
+        v = pdf["v"].to_numpy(np.int64).view(np.uint64)
         a, b = np.sort(v[is_left]), np.sort(v[~is_left])
-        alone = not len(b) and pdf["lp"].iloc[0] == pdf["rp"].iloc[0] and pdf["ls"].iloc[0] == pdf["rs"].iloc[0]
-        if alone:
-            root = spanning_forest(len(a), walk_pairs(a, a, bits, budget))
-            nodes = a
+        if pdf["ls"].iloc[0] == pdf["rs"].iloc[0]:
+            root, nodes = spanning_forest(len(a), walk_pairs(a, a, bits, budget, block)), a
         else:
-            links = ((i, j + len(a)) for i, j in walk_pairs(a, b, bits, budget))
-            root = spanning_forest(len(a) + len(b), links)
-            nodes = np.concatenate([a, b])
+            links = ((i, j + len(a)) for i, j in walk_pairs(a, b, bits, budget, block))
+            root, nodes = spanning_forest(len(a) + len(b), links), np.concatenate([a, b])
+        nodes = turned(nodes, 64 - by)
         joined = np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({"a": nodes[root[joined]].view(np.int64), "b": nodes[joined].view(np.int64)})
 
-    flat = jobs.select(F.col("l.p").alias("lp"), F.col("l.s").alias("ls"), F.col("r.p").alias("rp"), F.col("r.s").alias("rs"), "left", "fp")
-    return flat.groupBy("lp", "ls", "rp", "rs").applyInPandas(walk, "a long, b long")
+    return jobs.groupBy("r", "p", "ls", "rs").applyInPandas(walk, "a long, b long")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = MAX_BITS) -> DataFrame:
