@@ -94,13 +94,15 @@ def _iban_number(text: str) -> int:
 
 
 def iban(text: str, key: bytes) -> str | None:
-    plain = text.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _iban_number(plain[4:] + plain[:4]) % 97 != 1:
-        return None
-    body = permute_classes(plain[4:], key, b"iban" + plain[:2].encode())
-    check = 98 - _iban_number(body + plain[:2] + "00") % 97
-    it = iter(f"{plain[:2]}{check:02d}{body}")
-    return "".join(c if c == " " else next(it) for c in text)
+    """Capitals that follow the number are not part of it: the longest valid stretch up to a blank counts."""
+    for stop in sorted((m.start() for m in re.finditer(" |$", text)), reverse=True):
+        plain = text[:stop].replace(" ", "")
+        if 15 <= len(plain) <= 34 and _iban_number(plain[4:] + plain[:4]) % 97 == 1:
+            body = permute_classes(plain[4:], key, b"iban" + plain[:2].encode())
+            check = 98 - _iban_number(body + plain[:2] + "00") % 97
+            it = iter(f"{plain[:2]}{check:02d}{body}")
+            return "".join(c if c == " " else next(it) for c in text[:stop]) + text[stop:]
+    return None
 
 
 def ssn(text: str, key: bytes) -> str | None:
@@ -199,17 +201,26 @@ _HINT = re.compile(r"[0-9@]")
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and (start, end, kind) of what was replaced, in code points of the input."""
+    """The text with pseudonyms, and (start, end, kind) of what was replaced, in code points of the input.
+
+    What one kind has taken is blanked out for those after it, with characters
+    that no pattern matches, so neighbouring values do not run into each other.
+    """
     if not _HINT.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []
+    left = text
     for name, pattern, change in _COMPILED:
-        for m in pattern.finditer(text):
+
+        def take(m: re.Match) -> str:
             start, end = m.span(pattern.groups)  # the group if there is one, else the match
-            if any(a < end and start < b for a, b, _, _ in taken):
-                continue
-            if (new := change(text[start:end], key)) is not None:
-                taken.append((start, end, name, new))
+            new = change(text[start:end], key)
+            if new is None:
+                return m[0]
+            taken.append((start, end, name, new))
+            return m[0][: start - m.start()] + "\0" * (end - start) + m[0][end - m.start() :]
+
+        left = pattern.sub(take, left)
     out, at = [], 0
     taken.sort()
     for a, b, _, new in taken:

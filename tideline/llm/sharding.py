@@ -25,12 +25,11 @@ def score(key: Column, shard: int, weight: float) -> Column:
     return -F.log((bits + 0.5) / F.lit(float(2**52))) / F.lit(float(weight))
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """Number of the winning shard; equal scores go to the smaller number."""
+def scores(key: Column, weights: Sequence[float]) -> Column:
+    """(score, number) of every shard. The least wins: equal scores go to the smaller number."""
     if not weights or any(not w > 0 for w in weights):
         raise ValueError("every shard needs a weight above zero")
-    scores = [F.struct(score(key, i, w).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)]
-    return F.array_min(F.array(*scores))["i"]
+    return F.array(*[F.struct(score(key, i, w).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)])
 
 
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], text: str = "text", grow_by: float | None = None) -> DataFrame:
@@ -50,15 +49,14 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], text: str =
         {
             "size": F.octet_length(body).cast("long") + 16,
             "text_crc32": F.crc32(body),
-            "_scores": F.array(*[F.struct(score(name, i, w).alias("s"), F.lit(i).alias("i")) for i, w in enumerate([*weights, *([grow_by] if grow_by else [])])]),
+            "_scores": scores(name, [*weights, *([] if grow_by is None else [grow_by])]),
             "_order": F.md5(name),
         }
     )
-    shards = shards.withColumn("_first", F.array_min(F.slice("_scores", 1, len(weights))))
-    shards = shards.withColumn("shard", F.col("_first.i"))
-    if grow_by:
+    shards = shards.withColumn("shard", F.array_min(F.slice("_scores", 1, len(weights)))["i"])
+    if grow_by is not None:
         shards = shards.withColumn("grown_shard", F.array_min("_scores")["i"])
-    return shards.drop("_scores", "_first")
+    return shards.drop("_scores")
 
 
 def number_slots(shards: DataFrame, key: str) -> DataFrame:
