@@ -102,6 +102,7 @@ _COV = """(avg(CASE WHEN u IS NOT NULL THEN v * u END) OVER w - avg(u) OVER w *
   - avg(v) OVER w * avg(CASE WHEN v IS NOT NULL THEN u END) OVER w + avg(v) OVER w * avg(u) OVER w)"""
 # scaled: values of two decimals would otherwise lie halfway between six places
 on_events("rolling_cov", lambda: rolling.cov(EVENTS, V(), U(), N) * 0.6180339887, f"({_COV}) * 0.6180339887")
+on_events("rolling_cov_given", lambda: rolling.cov(EVENTS, V(), U(), N, F.lit(100.0), F.lit(-50.0)) * 0.6180339887, "avg((v - 100) * (u + 50)) OVER w * 0.6180339887")
 _CORR = f"{_COV} / nullif(stddev_pop(v) OVER w * stddev_pop(u) OVER w, 0)"
 
 
@@ -543,15 +544,63 @@ def flagship_decomp(spark: SparkSession, sf: str) -> DataFrame:
 add("flagship_decomp", flagship_decomp)
 
 
-def stream_vol(spark: SparkSession, sf: str) -> DataFrame:
-    """ew_mean on a stream of the events' files, drained into a table."""
+def drained(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a stream over the events' files has written when all of them are read."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    stream = stream.select("user_id", "ts", "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
-    out = stateful.fold_stream(stream, EVENTS, [fold.mean_ew("mu", "v", span=4)])
-    stateful.run_available(out, lambda df, i: df.write.mode("append").parquet(f"{at}/out"), f"{at}/state")
-    return spark.read.parquet(f"{at}/out").select("user_id", "event_id", r6(F.col("mu")).alias("r"))
+    stream = stream.withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    how = "overwrite" if mode == "complete" else "append"
+    stateful.run_available(make(stream), lambda df, i: df.write.mode(how).parquet(f"{at}/out"), f"{at}/state", mode)
+    return spark.read.parquet(f"{at}/out")
 
 
-add("stream_ew_mean", stream_vol, ORACLE_SQL["ew_mean"])
+def stream_ew(spark: SparkSession, sf: str) -> DataFrame:
+    """ew_mean on a stream."""
+    out = drained(spark, sf, lambda d: stateful.fold_stream(d.select("user_id", "ts", "event_id", "v"), EVENTS, [fold.mean_ew("mu", "v", span=4)]))
+    return out.select("user_id", "event_id", r6(F.col("mu")).alias("r"))
+
+
+def stream_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    out = drained(spark, sf, lambda d: stateful.last_n_stream(d.select("user_id", "ts", "event_id", "v"), EVENTS, "v", 4))
+    return out.select("event_id", *[r6(F.get("last_n", F.lit(i))).alias(f"x{i}") for i in range(4)])
+
+
+def at_utc(df: DataFrame) -> DataFrame:
+    """Watermarks take instants: the events' local times are read as UTC, whatever the session's zone."""
+    return df.withColumn("ts", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("+00:00"))))
+
+
+def utc(c: str, pattern: str) -> Column:
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), pattern)
+
+
+def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily windows of every user."""
+    out = drained(spark, sf, lambda d: stateful.bars_stream(at_utc(d), ["user_id"], "ts", "value", "1 day", "1 day"), "complete")
+    return out.select("user_id", utc("start", "yyyy-MM-dd").alias("date"), r6(F.col("high")).alias("high"), r6(F.col("low")).alias("low"), r6(F.col("total")).alias("total"), "n")
+
+
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of every user's events without a pause of 12 hours."""
+    out = drained(spark, sf, lambda d: stateful.sessions_stream(at_utc(d), ["user_id"], "ts", "12 hours", "1 day"), "complete")
+    return out.select("user_id", utc("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def stream_barrier(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a click and an error of one user on one day, from two streams."""
+
+    def make(d: DataFrame) -> DataFrame:
+        d = d.withColumn("day", F.date_trunc("day", "ts"))
+        sides = [d.where(F.col("event_type") == kind).select("user_id", "day", F.col("event_id").alias(f"{kind}_id")) for kind in ("click", "error")]
+        return stateful.barrier_stream(*sides, ["user_id"], "day", "2 days")
+
+    return drained(spark, sf, make).select("user_id", "click_id", "error_id")
+
+
+add("stream_ew_mean", stream_ew, ORACLE_SQL["ew_mean"])
+add("stream_last_n", stream_last_n, f"WITH {EV} SELECT event_id, {', '.join(f'round(lag(v, {3 - i}) OVER o, 6) + 0.0 AS x{i}' for i in range(4))} FROM ev {WINDOWS}")
+add("stream_bars", stream_bars, "SELECT user_id, strftime(ts, '%Y-%m-%d') AS date, round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low, round(sum(value), 6) + 0.0 AS total, count(*) AS n FROM events GROUP BY 1, 2")
+add("stream_sessions", stream_sessions, f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW o AS ({_O})),
+i AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM i GROUP BY user_id, k""")
+add("stream_barrier", stream_barrier, "SELECT a.user_id, a.event_id AS click_id, b.event_id AS error_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts::DATE = b.ts::DATE WHERE a.event_type = 'click' AND b.event_type = 'error'")
