@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 from tideline.series import Series
 
 
+def side_by_side(left: DataFrame, right: DataFrame, s: Series, values: Sequence[str], prefix: str = "", skip_missing: bool = False) -> tuple[DataFrame, Series, Callable[[Series], dict[str, Column]]]:
+    """What as-of joins are made of: the rows of both frames (_side 0 right, 1 left), their order, and the columns to add."""
+    ties = [t for t in s.tie if t in right.columns]
+    l = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(_struct(right, values, s.time))})
+    r = right.select(*s.keys, s.time, *ties, F.lit(0).alias("_side"), F.struct(*[F.col(v) for v in values], F.col(s.time).alias("_at")).alias("_v"))
+
+    def found(by: Series) -> dict[str, Column]:
+        w, at = by.upto(), F.last("_v", ignorenulls=True)
+        pick = (lambda v: F.last(F.col(f"_v.{v}"), ignorenulls=True).over(w)) if skip_missing else (lambda v: at.over(w)[v])
+        return {**{f"{prefix}{v}": pick(v) for v in values}, f"{prefix}at": pick("_at")}
+
+    return l.unionByName(r, allowMissingColumns=True), Series(s.keys, s.time, ("_side", *ties)), found
+
+
 def asof(left: DataFrame, right: DataFrame, s: Series, values: Sequence[str], skip_missing: bool = False, prefix: str = "") -> DataFrame:
     """Every left row with the newest right row at or before its time.
 
@@ -19,20 +33,8 @@ def asof(left: DataFrame, right: DataFrame, s: Series, values: Sequence[str], sk
     Both frames share the key columns and the time column; a tiebreak orders the
     right rows of one time. One union, one shuffle and one sort: nothing is multiplied.
     """
-    names = [f"{prefix}{v}" for v in values]
-    ties = [t for t in s.tie if t in right.columns]
-    l = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(_struct(right, values, s.time))})
-    r = right.select(*s.keys, s.time, *ties, F.lit(0).alias("_side"), F.struct(*[F.col(v) for v in values], F.col(s.time).alias("_at")).alias("_v"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = Series(s.keys, s.time, ("_side", *ties)).upto()
-    if skip_missing:
-        found = {n: F.last(F.col(f"_v.{v}"), ignorenulls=True).over(w) for n, v in zip(names, values)}
-        at = F.last("_v._at", ignorenulls=True).over(w)
-    else:
-        newest = F.last("_v", ignorenulls=True).over(w)
-        found = {n: newest[v] for n, v in zip(names, values)}
-        at = newest["_at"]
-    return both.withColumns({**found, f"{prefix}at": at}).where("_side = 1").drop("_side", "_v").select(*left.columns, *names, f"{prefix}at")
+    both, by, found = side_by_side(left, right, s, values, prefix, skip_missing)
+    return both.withColumns(found(by)).where("_side = 1").select(*left.columns, *[f"{prefix}{v}" for v in values], f"{prefix}at")
 
 
 def _struct(df: DataFrame, values: Sequence[str], time: str) -> str:

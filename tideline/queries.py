@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tideline.folders import shared_dir
 from tideline.functions import dates, scalar, vectors
-from tideline.operators import factors, fold, rolling, signals, temporal, triggers
+from tideline.operators import blocks, factors, fold, rolling, signals, temporal, triggers
 from tideline.plans.pipeline import Pipeline, compile_rows, plot_frame
 from tideline.series import Series
 from tideline.sources import bars, gaps, generators, tables
@@ -96,6 +96,11 @@ ms AS (SELECT *, list_sum(list_transform(l, lambda x: (x - a) ** 2)) / n AS m2,
 on_events("rolling_skew", lambda: rolling.skew(EVENTS, V(), N), f"CASE WHEN n = {N} AND m2 > 0 THEN m3 / m2 ** 1.5 END", _MOMENTS, "ms")
 on_events("rolling_kurtosis", lambda: rolling.kurtosis(EVENTS, V(), N), f"CASE WHEN n = {N} AND m2 > 0 THEN m4 / (m2 * m2) - 3 END", _MOMENTS, "ms")
 on_events("rolling_quantile", lambda: rolling.quantile(EVENTS, V(), 0.3, N), "quantile_cont(v, 0.3) OVER w")
+add(
+    "rolling_std_blocks",
+    lambda spark, sf: blocks.over_blocks(events(spark, sf), EVENTS, N - 1, lambda d, s: d.withColumn("r", r6(rolling.std(s, V(), N))), 16).select("user_id", "event_id", "r"),
+    ORACLE_SQL["rolling_std"],
+)
 on_events("rolling_lag", lambda: rolling.lag(EVENTS, V(), 4), "lag(v, 3) OVER o")
 on_events("rolling_strict_mean", lambda: rolling.strict(EVENTS, V(), N, 4, rolling.mean(EVENTS, V(), N)), "CASE WHEN count(v) OVER w >= 4 THEN avg(v) OVER w END")
 _COV = """(avg(CASE WHEN u IS NOT NULL THEN v * u END) OVER w - avg(u) OVER w * avg(CASE WHEN u IS NOT NULL THEN v END) OVER w
@@ -233,6 +238,14 @@ add("asof_join", asof, f"WITH {SIDES} SELECT event_id, round(v, 6) + 0.0 AS r, e
 add("asof_not_missing", lambda spark, sf: asof(spark, sf, True).drop("error_id"), f"WITH {SIDES}, f AS (SELECT * FROM e WHERE v IS NOT NULL) SELECT event_id, round(v, 6) + 0.0 AS r FROM c ASOF LEFT JOIN f ON c.user_id = f.user_id AND c.ts >= f.ts")
 
 
+def asof_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    df = events(spark, sf)
+    return blocks.asof(clicks(df), errors(df), PLAIN, ["v", "error_id"], 16).select("event_id", r6(F.col("v")).alias("r"), "error_id")
+
+
+add("asof_join_blocks", asof_blocks, ORACLE_SQL["asof_join"])
+
+
 def asof_between(spark: SparkSession, sf: str) -> DataFrame:
     df = events(spark, sf)
     return temporal.asof_between(clicks(df), errors(df), PLAIN, ["v"], F.col("ts") - F.expr("interval 1 day")).select("event_id", r6(F.col("v")).alias("r"))
