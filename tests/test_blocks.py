@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import blocks, rolling, temporal
+from tideline.operators import blocks, fold, rolling, temporal
 from tideline.series import Series
 
 S = Series.of("key", "t")
@@ -48,6 +48,13 @@ def test_asof(hot):
     assert got.columns == want.columns and rows(got) == rows(want)
 
 
+def test_ew(hot):
+    recs = [fold.mean_ew("r", "v", span=3)]
+    got = blocks.over_blocks(hot, S, fold.memory(span=3), lambda d, s: fold.fold(d, s, recs), 12, F.col("v").isNotNull())
+    assert rows(got) == rows(fold.fold(hot, S, recs))
+    assert fold.memory(alpha=1.0) == 1 and (1 - 0.5) ** fold.memory(span=3) <= 1e-17
+
+
 def test_rows_are_even(hot):
     parts = blocks.over_blocks(hot, S, 2, lambda d, s: d.withColumn("n", F.count(F.lit(1)).over(s.last(1))).withColumn("p", F.col("_block")), 16)
     assert max(r["count"] for r in parts.groupBy("p").count().collect()) < 150

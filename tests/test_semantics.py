@@ -4,12 +4,13 @@ import datetime as dt
 import tempfile
 import zipfile
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import dates
-from tideline.operators import fold, rolling, temporal, triggers
+from tideline.operators import factors, fold, rolling, temporal, triggers
 from tideline.plans.pipeline import Pipeline, compile_rows, parse_cell, signatures
 from tideline.series import Series, canonical
 from tideline.sources import bars, gaps, generators, tables
@@ -181,3 +182,23 @@ def test_stream_bars(spark, tmp_path):
     out = []
     stateful.run_available(stateful.bars_stream(stream, ["key"], "ts", "v", "10 minutes", "0 minutes"), lambda b, i: out.extend(b.collect()), tempfile.mkdtemp(dir=tmp_path), "update")
     assert {(r.high, r.n) for r in out} == {(10.0 * k + 9, 10) for k in range(6)}
+
+
+def test_pca_with_gaps(spark):
+    """Frames of different lengths in one batch, gaps, missing vectors, and no vector at all."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(40, 3))
+    x[r.random((40, 3)) < 0.1] = np.nan
+    rows = [(0, i, None if i % 11 == 0 else [None if np.isnan(c) else float(c) for c in x[i]]) for i in range(40)] + [(1, 0, None)]
+    df = spark.createDataFrame(rows, "key long, t long, v array<double>").coalesce(1)
+    got = {r.t: r.p for r in df.withColumn("p", factors.pca(S, F.col("v"), 6, 2, centre=True)).where("key = 0").collect()}
+    for t in range(40):
+        own = np.array([x[i] for i in range(max(0, t - 5), t + 1) if i % 11 and not np.isnan(x[i]).any()]).reshape(-1, 3)
+        if len(own) < 3:
+            assert got[t] is None
+            continue
+        u, e, _ = np.linalg.svd((own - own.mean(axis=0)).T, full_matrices=False)
+        assert got[t].e == pytest.approx(e[:2])
+        assert np.abs(np.array(got[t].u)) == pytest.approx(np.abs(u[:, :2]), abs=1e-6) or e[1] < 1e-9
+        assert all(c >= 0 for c in got[t].u[-1])
+    assert df.where("key = 1").withColumn("p", factors.pca(S, F.col("v"), 6, 2)).first().p is None

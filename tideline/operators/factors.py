@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,42 +15,60 @@ from tideline.series import Series
 PCA = "struct<e:array<double>,u:array<array<double>>>"
 
 
-def svd_pca(x: np.ndarray, keep: int, centre: bool = False, mus: np.ndarray | None = None, anchor: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
-    """Singular values and loadings (features by factors) of observations by features.
+def svd_pca(x: np.ndarray, keep: int, centre: bool = False, mus: np.ndarray | None = None, anchor: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and loadings (features by factors) of stacked frames of observations by features, without gaps.
 
-    Rows with a gap are left out; fewer rows than features give None. anchor: the
-    last feature's loading on each factor is not negative.
+    anchor: the last feature's loading on each factor is not negative.
     """
-    x = x[~np.isnan(x).any(axis=1)]
-    if len(x) < x.shape[1]:
-        return None
     if mus is not None:
         x = x - mus
     elif centre:
-        x = x - x.mean(axis=0)
-    u, e, _ = np.linalg.svd(x.T, full_matrices=False)
-    u, e = u[:, :keep], e[:keep]
+        x = x - x.mean(axis=-2, keepdims=True)
+    u, e, _ = np.linalg.svd(np.swapaxes(x, -1, -2), full_matrices=False)
+    u, e = u[..., :keep], e[..., :keep]
     if anchor:
-        u = u * np.where(u[-1] < 0, -1.0, 1.0)
+        u = u * np.where(u[..., -1:, :] < 0, -1.0, 1.0)
     return e, u
 
 
+def _frames(frames: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Observations by features of all frames one after the other, and where each frame begins and the last ends."""
+    starts = frames.offsets.to_numpy()
+    vectors = frames.values[starts[0] : starts[-1]]
+    values = vectors.flatten().to_numpy(zero_copy_only=False)
+    width = len(vectors.value_lengths()) and vectors.value_lengths()[0].as_py()
+    return values.reshape(len(vectors), width or 0), starts - starts[0]
+
+
+def _lists(values: pa.Array, size: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), values)
+
+
 def pca(s: Series, vec: Column, n: int, factors: int, centre: bool = False, anchor: bool = True) -> Column:
-    """Struct (e, u) of the last n vectors: singular values and loadings by rows; NULL where there are too few."""
-
-    @F.pandas_udf(PCA)
-    def solve(frames: pd.Series) -> pd.DataFrame:
-        rows = []
-        for frame in frames:
-            parts = [r["v"] for r in frame if r["v"] is not None]
-            x = np.array([[np.nan if c is None else c for c in p] for p in parts], float)
-            got = svd_pca(x, factors, centre, anchor=anchor) if len(x) else None
-            rows.append((got[0].tolist(), got[1].tolist()) if got else (None, None))
-        return pd.DataFrame(rows, columns=["e", "u"])
-
-    frame = F.collect_list(F.struct(vec.alias("v"))).over(s.last(n))
-    out = solve(frame)
-    return F.when(out["e"].isNotNull(), out)
+    """Struct (e, u) of the last n vectors: singular values and loadings by rows.
+
+    Vectors with a gap are left out; NULL where fewer are left than a vector has
+    parts. Frames with as many vectors are decomposed together.
+    """
+
+    @F.arrow_udf(PCA)
+    def solve(frames: pa.Array) -> pa.Array:
+        x, starts = _frames(frames)
+        whole = ~np.isnan(x).any(axis=1)
+        at, before = np.flatnonzero(whole), np.r_[0, np.cumsum(whole)]
+        first, counts = before[starts[:-1]], np.diff(before[starts])
+        features, keep = x.shape[1], min(factors, x.shape[1])
+        e, u = np.zeros((len(frames), keep)), np.zeros((len(frames), features, keep))
+        solved = (counts >= features) & (counts > 0)
+        for c in np.unique(counts[solved]):
+            which = np.flatnonzero(counts == c)
+            e[which], u[which] = svd_pca(x[at[first[which, None] + np.arange(c)]], keep, centre, anchor=anchor)
+        if not keep:  # no vector in the batch
+            return pa.nulls(len(frames), pa.struct([("e", pa.list_(pa.float64())), ("u", pa.list_(pa.list_(pa.float64())))]))
+        parts = [_lists(pa.array(e.ravel()), keep), _lists(_lists(pa.array(u.ravel()), keep), features)]
+        return pa.StructArray.from_arrays(parts, ["e", "u"], mask=pa.array(~solved))
+
+    return solve(F.collect_list(vec).over(s.last(n)))
 
 
 def rbf(a: np.ndarray, b: np.ndarray, length: float, scale: float) -> np.ndarray:

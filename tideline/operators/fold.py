@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from math import sqrt
+from math import ceil, log, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,6 +78,17 @@ def alpha_of(span: float | None = None, alpha: float | None = None) -> float:
     return alpha if alpha is not None else 2.0 / (span + 1.0)
 
 
+def memory(span: float | None = None, alpha: float | None = None, weight: float = 1e-17) -> int:
+    """Values after which what was before weighs less than ``weight``, by default less than a double can tell.
+
+    An EW mean or rms over a hot series can be taken by blocks that look back so
+    far: over_blocks(df, s, memory(span), lambda d, b: fold(d, b, recurrences), n,
+    v.isNotNull()). Where recurrences feed on each other, their memories add up.
+    """
+    a = alpha_of(span, alpha)
+    return 1 if a >= 1 else ceil(log(weight) / log(1.0 - a))
+
+
 def mean_ew(name: str, v: str, span: float | None = None, alpha: float | None = None) -> Recurrence:
     """Starts at the first value; a missing value leaves it as it was."""
     a = alpha_of(span, alpha)

@@ -184,6 +184,16 @@ SELECT user_id, event_id, CASE WHEN v IS NOT NULL THEN round((q.f - q.s) / nulli
 )
 
 
+def ew_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """ew_mean without a task for each user: stretches that look back as far as weights can be told from zero."""
+    df = events(spark, sf).select("user_id", "ts", "event_id", "v")
+    out = blocks.over_blocks(df, EVENTS, fold.memory(span=4), lambda d, s: fold.fold(d, s, [fold.mean_ew("mu", "v", span=4)]), 16, V().isNotNull())
+    return out.select("user_id", "event_id", r6(F.col("mu")).alias("r"))
+
+
+add("ew_mean_blocks", ew_blocks, ORACLE_SQL["ew_mean"])
+
+
 def position(spark: SparkSession, sf: str) -> DataFrame:
     df = events(spark, sf).select("user_id", "ts", "event_id", V().alias("px"), ((V() - 50) / 25).alias("sig"), F.to_date("ts").alias("day"))
     out = fold.fold(df, EVENTS, [fold.pos_linear("p", "px", "day", "sig", upper=0.5, lower=-0.5, delta=0.3, freq="D15")])
