@@ -103,3 +103,18 @@ def test_partitioning_does_not_matter(spark, sorted_rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     a, b = (substring.drop_repeats(d).withColumn("kept", F.md5(F.col("kept").cast("binary"))) for d in (df.coalesce(1), df.repartition(9)))
     assert sorted_rows(a) == sorted_rows(b)
+
+
+def test_word_hashes():
+    """Equal words have equal hashes wherever they stand, others have not; words are counted for each text."""
+    r = random.Random(9)
+    words = {"".join(r.choices("abé♞", k=r.choice([1, 2, 7, 8, 9, 16, 17, 40, 63, 64, 65, 200]))) for _ in range(3000)}
+    words |= {"a" * k for k in range(1, 200)} | {"a\0", "a\0\0"}
+    texts = [" ".join(r.choices(sorted(words), k=r.randint(0, 200))) + r.choice(["", "\n", " \t"]) for _ in range(100)] + ["", None, "  ", "x"]
+    hashes, counts = substring.word_hashes([None if t is None else t.encode() for t in texts])
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert counts.tolist() == [len(s) for s in split]
+    flat = [w for s in split for w in s]
+    seen = dict(zip(flat, hashes.tolist()))
+    assert [seen[w] for w in flat] == hashes.tolist() and len(set(seen.values())) == len(seen)
+    assert substring.word_hashes([])[0].size == 0

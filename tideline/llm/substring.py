@@ -14,6 +14,7 @@ are laid over its words by their source coordinates.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,12 @@ KMER = 6
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 1 << 21
 
+#: Words longer than this are hashed one by one.
+LONG_WORD = 64
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -50,47 +57,50 @@ def gram_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _then(h4, h2[4:]), _then(h16, h4[16:])
 
 
-class WordHashes:
-    """XXH64 of words, remembered for the words seen last."""
-
-    def __init__(self, limit: int = 200_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(bodies: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, one after the other, and how many words each text has.
 
-
-def _chunks(bodies: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(index of the first, words of each) for stretches of about CHUNK_BYTES."""
-    first, size, out = 0, 0, []
-    for i, b in enumerate(bodies):
-        out.append((b or b"").split())
+    Words are read eight bytes at a time out of the joined texts.
+    """
+    from xxhash import xxh64_intdigest
+
+    bodies = [b or b"" for b in bodies]
+    data = b" ".join([b"", *bodies, b" " * 8])
+    blank = _SPACE[np.frombuffer(data, np.uint8)]
+    start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    size = end - start
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # at each place, the eight bytes from there on
+    words = _mix((eight[start] & _KEEP[np.minimum(size, 8)]) + size.astype(np.uint64) * _M1)
+    done, more = 8, np.flatnonzero(size > 8)
+    while len(more) and done < LONG_WORD:
+        words[more] = _mix(words[more] * _M1 + (eight[start[more] + done] & _KEEP[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    for i in more.tolist():
+        words[i] = xxh64_intdigest(data[start[i] : end[i]])
+    edges = np.cumsum([1, *(len(b) + 1 for b in bodies)])
+    return words, np.diff(np.searchsorted(start, edges))
+
+
+def _chunks(bodies: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(index of the first, texts) for stretches of about CHUNK_BYTES."""
+    first, size = 0, 0
+    for i, b in enumerate(bodies, 1):
         size += len(b or b"")
-        if size >= CHUNK_BYTES:
-            yield first, out
-            first, size, out = i + 1, 0, []
-    if out:
-        yield first, out
+        if size >= CHUNK_BYTES or i == len(bodies):
+            yield first, bodies[first:i]
+            first, size = i, 0
 
 
-def runs_of(docs: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, ...]:
-    """(kmer, label, document, start, windows) of every run in some documents."""
-    counts = np.array([len(d) for d in docs])
-    words = hashes([w for d in docs for w in d])
+def runs_of(bodies: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """(kmer, label, text, start, windows) of every run in some texts."""
+    words, counts = word_hashes(bodies)
     none = np.zeros(0, np.int64)
     if len(words) < WINDOW:
         return none, none, none, none, none
     kmers, windows = gram_hashes(words)
-    doc = np.repeat(np.arange(len(docs)), counts)
+    doc = np.repeat(np.arange(len(bodies)), counts)
     at = np.flatnonzero(doc[: len(windows)] == doc[WINDOW - 1 :])
     if not len(at):
         return none, none, none, none, none
@@ -107,11 +117,10 @@ def edges(docs: DataFrame) -> DataFrame:
     """(kmer, label, doc, place) of every run of (doc, t, body) rows; place packs start, t and windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             ids, tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for first, words in _chunks(b.column(2).to_pylist()):
-                kmer, label, which, start, size = runs_of(words, hashes)
+            for first, bodies in _chunks(b.column(2).to_pylist()):
+                kmer, label, which, start, size = runs_of(bodies)
                 which = which + first
                 place = (start << 32) | (tags[which] << 8) | size
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (kmer, label, ids[which], place)], ["kmer", "label", "doc", "place"])
@@ -119,25 +128,31 @@ def edges(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kmer long, label long, doc long, place long")
 
 
+def _listed(column: pa.ListArray, fields: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """The row that each struct of a column of lists is in, and some of its fields."""
+    sizes = np.array(column.value_lengths().fill_null(0))
+    structs = column.flatten()
+    return np.repeat(np.arange(len(column)), sizes), *(structs.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
 def _windows_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(kmer, label, doc, start, hash[]) for the runs in ``places``: window hashes, read from the texts."""
     listed = places.select("kmer", "label", "doc", "place", _tag("place").alias("t")).groupBy("doc", "t").agg(F.collect_list(F.struct("kmer", "label", "place")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            doc, bodies, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
-            for first, words in _chunks(bodies):
-                rows = []
-                for i, own in enumerate(words, first):
-                    _, windows = gram_hashes(hashes(own))
-                    windows = windows.view(np.int64)
-                    for r in lists[i].as_py():
-                        start, size = r["place"] >> 32, r["place"] & 255
-                        rows.append((r["kmer"], r["label"], doc[i], start, windows[start : start + size].tolist()))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kmer", "label", "doc", "start", "hash"])
+            doc = b.column(0).to_numpy(zero_copy_only=False)
+            which, kmer, label, place = _listed(b.column(2), ("kmer", "label", "place"))
+            for first, bodies in _chunks(b.column(1).to_pylist()):
+                words, counts = word_hashes(bodies)
+                _, windows = gram_hashes(words)
+                own = slice(*np.searchsorted(which, [first, first + len(bodies)]))
+                start, size = place[own] >> 32, place[own] & 255
+                before = (np.cumsum(counts) - counts)[which[own] - first] + start
+                ends = np.cumsum(size)
+                flat = windows[np.repeat(before - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].view(np.int64)
+                hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (kmer[own], label[own], doc[which[own]], start)), hashes], ["kmer", "label", "doc", "start", "hash"])
 
     joined = docs.join(listed.hint("merge"), ["doc", "t"]).select("doc", "body", "runs")
     return joined.mapInArrow(run, "kmer long, label long, doc long, start long, hash array<long>")
@@ -193,13 +208,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return found
 
 
-def _cover(n: int, runs: list[tuple[int, int]]) -> np.ndarray:
-    """Which of n words are in a window whose bit is set."""
-    edge = np.zeros(n + 1, np.int32)
-    starts = np.fromiter((s + j for s, m in runs for j in range(m.bit_length()) if m >> j & 1), np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + WINDOW, -1)
-    return np.cumsum(edge[:n]) > 0
+def _cover(counts: np.ndarray, which: np.ndarray, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which words of some texts, one after the other, are in a window whose bit is set in a run."""
+    edge = np.zeros(counts.sum() + 1, np.int32)
+    run, bit = np.nonzero(mask[:, None] >> np.arange(WINDOW - KMER + 1) & 1)
+    at = ((np.cumsum(counts) - counts)[which] + start)[run] + bit
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + WINDOW, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,17 +237,18 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text_bytes, runs in zip(b.column(1).to_pylist(), b.column(2)):
-                words = text_bytes.split()
-                runs = [(r["start"], r["mask"]) for r in runs.as_py() or ()]
-                if not runs:
+            texts = [t.split() for t in b.column(1).to_pylist()]
+            counts = np.array([len(t) for t in texts], np.int64)
+            gone, out, at = _cover(counts, *_listed(b.column(2), ("start", "mask"))), [], 0
+            for words in texts:
+                own = gone[at : at + len(words)]
+                at += len(words)
+                if not own.any():
                     out.append((len(words), 0, [], b" ".join(words)))
                     continue
-                gone = _cover(len(words), runs)
-                turn = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                spans = [{"start": int(a), "stop": int(z)} for a, z in zip(turn[::2], turn[1::2])]
-                out.append((len(words), int(gone.sum()), spans, b" ".join(w for w, g in zip(words, gone.tolist()) if not g)))
+                turn = np.flatnonzero(np.diff(np.r_[False, own, False])).tolist()
+                spans = [{"start": a, "stop": z} for a, z in zip(turn[::2], turn[1::2])]
+                out.append((len(words), int(own.sum()), spans, b" ".join(compress(words, (~own).tolist()))))
             cols = list(zip(*out, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [key, "n_words", "n_removed", "removed", "kept"])
