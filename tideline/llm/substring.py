@@ -218,6 +218,19 @@ def _cover(counts: np.ndarray, which: np.ndarray, start: np.ndarray, mask: np.nd
     return np.cumsum(edge[:-1]) > 0
 
 
+def _kept(texts: list[list[bytes]], gone: np.ndarray) -> Iterator[tuple[int, int, list[dict[str, int]], bytes]]:
+    """(words, words gone, their spans, the others joined) of each text."""
+    at = 0
+    for words in texts:
+        own = gone[at : at + len(words)]
+        at += len(words)
+        if not own.any():
+            yield len(words), 0, [], b" ".join(words)
+            continue
+        turn = np.flatnonzero(np.diff(np.r_[False, own, False])).tolist()
+        yield len(words), int(own.sum()), [{"start": a, "stop": z} for a, z in zip(turn[::2], turn[1::2])], b" ".join(compress(words, (~own).tolist()))
+
+
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed, removed (spans of word numbers) and kept (text) of every row.
 
@@ -237,18 +250,13 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.split() for t in b.column(1).to_pylist()]
-            counts = np.array([len(t) for t in texts], np.int64)
-            gone, out, at = _cover(counts, *_listed(b.column(2), ("start", "mask"))), [], 0
-            for words in texts:
-                own = gone[at : at + len(words)]
-                at += len(words)
-                if not own.any():
-                    out.append((len(words), 0, [], b" ".join(words)))
-                    continue
-                turn = np.flatnonzero(np.diff(np.r_[False, own, False])).tolist()
-                spans = [{"start": a, "stop": z} for a, z in zip(turn[::2], turn[1::2])]
-                out.append((len(words), int(own.sum()), spans, b" ".join(compress(words, (~own).tolist()))))
+            which, start, mask = _listed(b.column(2), ("start", "mask"))
+            out = []
+            for first, bodies in _chunks(b.column(1).to_pylist()):
+                texts = [t.split() for t in bodies]
+                own = slice(*np.searchsorted(which, [first, first + len(bodies)]))
+                gone = _cover(np.array([len(t) for t in texts]), which[own] - first, start[own], mask[own])
+                out += _kept(texts, gone)
             cols = list(zip(*out, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [key, "n_words", "n_removed", "removed", "kept"])
