@@ -1,4 +1,4 @@
-"""Recurrences, last-n and as-of over streams, with the state of each key kept by Spark.
+"""Recurrences, last-n, barriers, bars and sessions over streams, with the state of each key kept by Spark.
 
 Rows of a micro-batch are put in time order for each key; rows that are older
 than what their key has already seen are dropped, as they have no place in an
