@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import scalar, vectors
@@ -143,6 +143,11 @@ def signatures() -> list[dict[str, object]]:
     return [{"func": o.name, "kind": o.kind, "inputs": list(o.inputs), "params": list(o.params)} for _, o in sorted(REGISTRY.items())]
 
 
+def signatures_frame(spark: SparkSession) -> DataFrame:
+    """signatures() as a table."""
+    return spark.createDataFrame([tuple(x.values()) for x in signatures()], "func string, kind string, inputs array<string>, params array<string>")
+
+
 def _cell(k: str, v: object) -> str:
     return f"{k}:ref={','.join(v) if isinstance(v, tuple) else v}" if k in {i for o in REGISTRY.values() for i in o.inputs} else f"{k}:{type(v).__name__}={v}"
 

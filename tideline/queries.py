@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tideline.folders import shared_dir
 from tideline.functions import dates, scalar, vectors
 from tideline.operators import blocks, factors, fold, rolling, signals, temporal, triggers
-from tideline.plans.pipeline import Pipeline, compile_rows, plot_frame
+from tideline.plans.pipeline import Pipeline, compile_rows, plot_frame, signatures_frame
 from tideline.series import Series
 from tideline.sources import bars, gaps, generators, tables
 from tideline.streaming import stateful
@@ -491,6 +491,8 @@ VOL_SQL = f"""WITH {EV}, c AS (SELECT *, v / nullif({_PREV}, 0) - 1 AS c FROM ev
 SELECT user_id, event_id, round(c, 6) + 0.0 AS change, CASE WHEN c IS NOT NULL THEN round(sqrt(list_reduce(l, lambda a, x: {1 - _A16} * a + {_A16} * x)), 6) + 0.0 END AS vol FROM h"""
 add("flagship_vol", flagship_vol, VOL_SQL)
 
+add("operator_signatures", lambda spark, sf: signatures_frame(spark))
+
 TREND_ROWS = [
     {"label": "mu", "func": "mean_ew", "kw-0": "v", "kw-1": "span:float=8"},
     {"label": "hi", "func": "max_ew", "kw-0": "v", "kw-1": "mu:ref=mu", "kw-2": "span:float=8"},
