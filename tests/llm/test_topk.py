@@ -27,7 +27,7 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("shard_rows, leaf", [(10_000, 256), (100, 8), (900, 2)])
+@pytest.mark.parametrize("shard_rows, leaf", [(10_000, 256), (100, 8), (900, 2), (5, 4)])
 def test_against_all_products(spark, vectors, shard_rows, leaf, monkeypatch):
     monkeypatch.setattr(topk, "LEAF_ROWS", leaf)
     monkeypatch.setattr(topk, "QUERY_ROWS", 40)
@@ -37,6 +37,11 @@ def test_against_all_products(spark, vectors, shard_rows, leaf, monkeypatch):
     assert got == brute(vectors, queries, 5)
 
 
+def test_shards_grow_before_they_multiply():
+    counts = [topk.shard_count(n, 10) for n in (0, 1, 10, 11, 640, 641, 5120, 5121, 51_200)]
+    assert counts == [1, 1, 1, 2, 64, 64, 64, 65, 640]
+
+
 def test_few_candidates_and_repeats(spark):
     rows = [(1, [1, 2]), (2, [3, 4]), (2, [3, 4]), (3, [0, -1])]
     df = spark.createDataFrame(rows, "id long, v array<long>")

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import materialise, row_count
 
-#: Vectors in a tree, about, and in a leaf at most.
-SHARD_ROWS = 8_192
+#: Vectors in a tree, about, as long as there are no more than SHARDS trees; beyond, trees grow up to
+#: GROWTH times as large before there are more of them, as every query's vector is sent to every shard.
+SHARD_ROWS, SHARDS, GROWTH = 8_192, 64, 8
+#: Vectors in a leaf at most.
 LEAF_ROWS = 256
 #: Queries that one task holds, and that step through a tree together, at most.
-QUERY_ROWS = 8_192
+QUERY_ROWS = 65_536
 QUERY_BLOCK = 1024
 SCALE = 256
 K = 5
@@ -151,6 +153,10 @@ def _search_shards(blocks: DataFrame, shards: DataFrame, k: int) -> DataFrame:
     return blocks.groupBy("shard", "block").cogroup(shards.groupBy("shard", "block")).applyInPandas(run, "qid long, id long, score long")
 
 
+def shard_count(rows: int, shard_rows: int = SHARD_ROWS) -> int:
+    return max(1, -(-rows // (GROWTH * shard_rows)), min(-(-rows // shard_rows), SHARDS))
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller id.
 
@@ -163,11 +169,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, shard_rows: int =
     Two passes: first every query searches one shard, which gives it a k-th score;
     then it visits the other shards with that score, where most of a tree is left
     out. The k-th score only grows, so nothing that belongs to the result is lost.
-    A task holds one shard of about ``shard_rows`` vectors and one block of
-    queries, whatever the number of either: every query against all rows, in blocks.
+    A task holds one shard of ``shard_rows`` to GROWTH * ``shard_rows`` vectors and one
+    block of queries, whatever the number of either: every query against all rows, in blocks.
     """
     vectors, queries = materialise(vectors, "vectors"), materialise(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
-    n = max(1, -(-row_count(vectors) // shard_rows))
+    n = shard_count(row_count(vectors), shard_rows)
     blocks = max(1, -(-row_count(queries) // QUERY_ROWS))
     all_blocks, all_shards = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(n - 1))
     shards = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("block", F.explode(all_blocks))
