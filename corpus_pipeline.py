@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's docs.
 
-Quality rules, line dedup, SimHash near-dedup, mixing to target weights, packing.
+Quality rules, line dedup, near-dedup, mixing to target weights, packing.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import linededup, mixing, packing, quality, simhash
+from tideline.llm import jaccard, linededup, mixing, packing, quality
 from tideline.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of the smallest doc_id."""
-    return simhash.keep_one(docs.select(COLUMNS))
+    """One document of each component of 5-word Jaccard similarity 0.8 or more: the one of the smallest doc_id."""
+    return jaccard.keep_one(docs.select(COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned rules, SimHash and tokens are no SQL; tests hold run() against brute force.
+#: Learned rules, near copies and tokens are no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

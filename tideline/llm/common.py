@@ -96,3 +96,13 @@ def _are_stars(edges: DataFrame) -> bool:
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("hub")).union(edges.select("v", F.lit(0), F.lit(1)))
     nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("hub").alias("hub"))
     return nodes.where("out > 1 or (out = 1 and hub = 1)").limit(1).count() == 0
+
+
+def keep_least(docs: DataFrame, components: DataFrame, key: str) -> DataFrame:
+    """The row of ``docs`` with the smallest key of each of the ``components`` (key, component_id) of its rows."""
+    chosen = components.where(F.col(key).eqNullSafe(F.col("component_id")))
+    chosen = materialise(chosen.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "chosen")
+    kept = docs.join(chosen.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    if chosen.where("_n > 1").limit(1).count():
+        kept = kept.dropDuplicates([key])
+    return kept

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import connected_components, join_counted, materialise, row_count, utf8
+from tideline.llm.common import connected_components, join_counted, keep_least, materialise, row_count, utf8
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -188,12 +188,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: i
     Where rows share that key, one of them stays. A component whose keys are all
     null keeps one row.
     """
-    chosen = near_components(docs, key, text, budget).where(F.col(key).eqNullSafe(F.col("component_id")))
-    chosen = materialise(chosen.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "chosen")
-    kept = docs.join(chosen.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    if chosen.where("_n > 1").limit(1).count():
-        kept = kept.dropDuplicates([key])
-    return kept
+    return keep_least(docs, near_components(docs, key, text, budget), key)
 
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
