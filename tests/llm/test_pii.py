@@ -98,6 +98,13 @@ def test_kinds(text, kinds):
         assert new == text
 
 
+@pytest.mark.parametrize("text", ["password: correcthorse", "token=abcdefgh", "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "a" * 36, "sk-" + "a" * 20, "xoxb-" + "a" * 10])
+def test_secrets_without_digits(text):
+    new, spans = pii.pseudonymise(text, KEY)
+    assert [k for _, _, k in spans] == ["secret"] and new != text
+    assert pii.pseudonymise(f"{text} 7", KEY)[0] == f"{new} 7"
+
+
 def test_documents(spark, odd, odd_rows, clashing, none, sorted_rows):
     out = pii.pseudonymise_documents(odd, "k")
     assert out.count() == len(odd_rows)
