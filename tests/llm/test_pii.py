@@ -105,6 +105,24 @@ def test_secrets_without_digits(text):
     assert pii.pseudonymise(f"{text} 7", KEY)[0] == f"{new} 7"
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("12 4111-1111-1111-1111 123", ["4111-1111-1111-1111"]),
+        ("4465758382889437 4465758382889437", ["4465758382889437"] * 2),
+        ("4111 1111 1111 1111 4465758382889437 378282246310005", ["4111 1111 1111 1111", "4465758382889437", "378282246310005"]),
+        ("4111 1111 1111 1112 4465758382889437", ["4465758382889437"]),
+        ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]),
+        (" ".join(map(str, range(10, 60))), []),
+    ],
+)
+def test_cards_beside_other_digits(text, found):
+    new, spans = pii.pseudonymise(text, KEY)
+    assert [text[a:b] for a, b, k in spans if k == "card"] == found
+    assert [new[a:b] for a, b, k in spans if k == "card"] == [pii.card(x, KEY) for x in found]
+
+
 def test_documents(spark, odd, odd_rows, clashing, none, sorted_rows):
     out = pii.pseudonymise_documents(odd, "k")
     assert out.count() == len(odd_rows)

@@ -89,6 +89,43 @@ def card(text: str, key: bytes) -> str | None:
     return refill(text, body + str(luhn_digit(body)))
 
 
+#: Digits in the groups that cards are written in; a number in one piece is usual too.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
+
+
+def cards(text: str, key: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the valid numbers in a run of digits with single blanks or hyphens between them.
+
+    Numbers in one piece or in usual groups with equal separators come first, then
+    the longest stretch of groups from each start. Short numbers side by side would
+    nearly always hold some valid stretch, so unusual groups have three digits or
+    more, but for the last one, unless the stretch is the whole run.
+    """
+    groups = [m.span() for m in re.finditer(r"\d+", text)]
+    sizes = [b - a for a, b in groups]
+    free, found = [True] * len(groups), []
+    for usual in (True, False):
+        for i in range(len(groups)):
+            fits, total = [], 0
+            for j in range(i, len(groups)):
+                total += sizes[j]
+                if total > 19 or not free[j]:
+                    break
+                if usual:
+                    right = j == i or tuple(sizes[i : j + 1]) in CARD_GROUPS and len({text[b] for _, b in groups[i:j]}) == 1
+                else:
+                    right = min(sizes[i:j], default=3) >= 3 or i == 0 and j == len(groups) - 1
+                if total >= 13 and right:
+                    fits.append(j)
+            for j in reversed(fits):
+                new = card(text[groups[i][0] : groups[j][1]], key)
+                if new is not None:
+                    found.append((groups[i][0], groups[j][1], new))
+                    free[i : j + 1] = [False] * (j + 1 - i)
+                    break
+    return sorted(found)
+
+
 def _iban_number(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text))
 
@@ -183,8 +220,8 @@ def secret(text: str, key: bytes) -> str | None:
     return prefix + permute_classes(text[len(prefix) :], key, b"secret" + prefix.encode())
 
 
-#: name, pattern, pseudonym. Earlier kinds win where spans overlap.
-KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
+#: name, pattern, pseudonym (or several with their places in the match). Earlier kinds win where spans overlap.
+KINDS: list[tuple[str, str, Callable[[str, bytes], str | list[tuple[int, int, str]] | None]]] = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("secret", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|(?<![0-9a-fA-F])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![0-9a-fA-F])", secret),
     ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?([A-Za-z0-9_+/.-]{6,})", secret),
@@ -192,7 +229,7 @@ KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", address),
     ("date", r"(?<![\d.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d]|[-.]\d)", calendar_date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)", ssn),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d|[ -]\d)", card),
+    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,}+", cards),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d|[-.]\d)", phone),
 ]
 _COMPILED = [(name, re.compile(pattern), change) for name, pattern, change in KINDS]
@@ -217,8 +254,12 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]
             new = change(text[start:end], key)
             if new is None:
                 return m[0]
-            taken.append((start, end, name, new))
-            return m[0][: start - m.start()] + "\0" * (end - start) + m[0][end - m.start() :]
+            rest = m[0]
+            for a, b, x in [(0, end - start, new)] if isinstance(new, str) else new:
+                taken.append((start + a, start + b, name, x))
+                a, b = start + a - m.start(), start + b - m.start()
+                rest = rest[:a] + "\0" * (b - a) + rest[b:]
+            return rest
 
         left = pattern.sub(take, left)
     out, at = [], 0
