@@ -1,12 +1,11 @@
-"""Exact substring dedup over a sampled De Bruijn graph of token k-mers.
+"""Substring dedup by runs of minimizers, in place of De Bruijn compaction; words are told apart by 64-bit hashes.
 
 Every window of 20 words is stood for by the least-hashed of its 6-word k-mers,
 so equal windows choose equal k-mers at equal places. The windows of a document
-that choose the same k-mer form a run: an edge of the graph, labelled by its k-mer
-and by a hash of the run's words. Edges seen once are dropped. A k-mer with a
-single label does not branch: the whole run repeats as one, and chains of such
-runs are the compacted paths, which are settled run by run without looking at
-windows. Where a k-mer branches (a repeat begins, ends or was edited), the windows
+that choose the same k-mer form a run, labelled by its k-mer and by a hash of the
+run's words. Runs are not linked with those that follow. K-mers seen once are
+dropped. A k-mer with a single label does not branch: the whole run repeats as
+one, and is settled without looking at windows. Where a k-mer branches (a repeat begins, ends or was edited), the windows
 of its distinct labels are compared one by one. In the end each document's runs
 are laid over its words by their source coordinates.
 """
