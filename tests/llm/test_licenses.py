@@ -1,6 +1,7 @@
 """Licence scan against plain search; the expression parser against its grammar."""
 
 import re
+import time
 
 import pytest
 
@@ -73,6 +74,16 @@ def test_expressions(text, postfix, value):
     assert licenses.evaluate(got, licenses._permissive) is value
 
 
+def test_long_expressions():
+    """Time in proportion: half a million terms, and as many brackets."""
+    n = 500_000
+    began = time.perf_counter()
+    assert licenses.parse_expression("MIT" + " OR MIT" * n).count("OR") == n
+    assert len(licenses.parse_expression("(" * n + "MIT" + ")" * n)) == 1
+    assert len(licenses.parse_expression("(" * n + "MIT OR ISC" + ")" * (n - 1))) == 0
+    assert time.perf_counter() - began < 15
+
+
 def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     rows = licenses.op10_license_scan(spark, sf_dir).collect()

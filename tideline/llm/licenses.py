@@ -59,17 +59,20 @@ def parse_expression(text: str) -> list[str]:
     """
     out: list[str] = []
     ops: list[str] = []
-    good: list[str] = []
+    good, rest = 0, []  # how much of out is in the longest expression so far, and the operators after it
     operand = True  # whether an operand is due
+    opened = 0
     for m in _TOKEN.finditer(text):
         tok, up = m[0], m[0].upper()
         if tok == "(" and operand:
             ops.append("(")
+            opened += 1
             continue
-        if tok == ")" and not operand and "(" in ops:
+        if tok == ")" and not operand and opened:
             while ops[-1] != "(":
                 out.append(ops.pop())
             ops.pop()
+            opened -= 1
         elif up in _RANK and not operand:
             while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[up]:
                 out.append(ops.pop())
@@ -81,9 +84,9 @@ def parse_expression(text: str) -> list[str]:
             operand = False
         else:
             break
-        if "(" not in ops:
-            good = out + ops[::-1]
-    return good
+        if not opened:  # outside brackets there are three operators at most, one of each rank
+            good, rest = len(out), ops[::-1]
+    return out[:good] + rest
 
 
 def evaluate(postfix: list[str], allowed) -> bool | None:
@@ -164,7 +167,8 @@ def scan_licenses(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     the labels, 1 for a parsed expression; expression is its postfix form, and
     permitted tells whether it can be met by permissive licences alone (null:
     no expression). A null or empty text has no words and score 0. Repeated rows
-    give repeated results; a null id stays null; other columns are not read.
+    give repeated results; a null id stays null; other columns are not read. An
+    empty table gives an empty result.
     """
     kind = df.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, {FOUND}"
