@@ -14,9 +14,7 @@ from tideline.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def pieces(ids, size=2048):
@@ -46,7 +44,9 @@ def test_fast_encoder_is_exact(tokenizer):
     for _ in range(400):
         text = "".join(r.choices(alphabet, k=r.randint(0, 60)))
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
-    assert encode("<|endoftext|>") == tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids
+    for text in ("<|endoftext|>", "x <|endoftext|> y", "end<|endoftext|><|endoftext|>\n", "<|endoftext", "字 <|endoftext|>"):
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode("x <|endoftext|> y").count(50256) == 1
 
 
 @pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 4096, 4097, 10_000])

@@ -37,7 +37,6 @@ def test_run(spark, sf_dir):
         n[r[3] or ""] = n.get(r[3] or "", 0) + 1
     mass = sum(float(c) ** mixing.ALPHA for c in n.values())
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = []
     for r in rows:
         c = n[r[3] or ""]

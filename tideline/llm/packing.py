@@ -3,7 +3,8 @@
 Documents are tokenised once and cut into pieces. Pieces are dealt out over
 partitions, each packs its own by best fit decreasing; bins that are full, or
 that nothing small enough is left to fill, are done. The others go on as items of
-a round with fewer partitions, until a round no longer saves bins.
+a round with fewer partitions, until one task has packed all that is left or a
+round saves no more than a thousandth of its bins.
 """
 
 from __future__ import annotations
@@ -40,13 +41,14 @@ def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = Non
 
     vocabulary: a tokenizers JSON file. ranks and pattern: the same vocabulary as
     tiktoken ranks, with its splitting pattern; given these, plain texts are
-    encoded by tiktoken, which returns the same ids several times as fast.
-    Strings of special tokens in a text are ordinary text.
+    encoded by tiktoken, which returns the same ids several times as fast. A text
+    that holds the string of an added token has that token's id there, as
+    ``tokenizers`` gives it.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(vocabulary)
-    slow.encode_special_tokens = True
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
     if not ranks:
         return lambda text: slow.encode(text, add_special_tokens=False).ids
     import base64
@@ -56,7 +58,13 @@ def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = Non
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return lambda text: fast.encode_ordinary(text) if _PLAIN.match(text) else slow.encode(text, add_special_tokens=False).ids
+
+    def encode(text: str) -> list[int]:
+        if _PLAIN.match(text) and not any(t in text for t in added):
+            return fast.encode_ordinary(text)
+        return slow.encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def public_encoder():
@@ -176,7 +184,7 @@ def pack(sized: DataFrame, row: str = "row", length: str = "length", size: int =
         done.append(bins.where(~open_bin))
         items = bins.where(open_bin)
         n = row_count(items)
-        tasks = max(1, min(tasks // MERGE, -(-n // items_per_task)))
+        tasks = min(tasks, max(1, tasks // MERGE, -(-n // items_per_task)))
     else:
         done.append(items)
     out = done[0]
