@@ -29,6 +29,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
+    """Like materialise(), dealt into ``buckets`` by the column ``by``: joins on it leave the table where it is.
+
+    The table's entry in the catalogue goes at once; its files are dealt with by discard().
+    """
+    spark = df.sparkSession
+    tag = uuid.uuid4().hex
+    dealt = df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", f"{shared_dir(spark)}/{name}-{tag}")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        dealt.saveAsTable(f"tideline_{tag}", format="parquet")
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.table(f"tideline_{tag}")
+    spark.sql(f"DROP TABLE tideline_{tag}")
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote and that nothing reads any more."""
     for table in tables:

@@ -1,13 +1,21 @@
-"""Substring dedup by runs of minimizers, in place of De Bruijn compaction; words are told apart by 64-bit hashes.
-
-Every window of 20 words is stood for by the least-hashed of its 6-word k-mers,
-so equal windows choose equal k-mers at equal places. The windows of a document
-that choose the same k-mer form a run, labelled by its k-mer and by a hash of the
-run's words. Runs are not linked with those that follow. K-mers seen once are
-dropped. A k-mer with a single label does not branch: the whole run repeats as
-one, and is settled without looking at windows. Where a k-mer branches (a repeat begins, ends or was edited), the windows
-of its distinct labels are compared one by one. In the end each document's runs
-are laid over its words by their source coordinates.
+"""Substring dedup over a compacted De Bruijn graph of token k-mers, checked word by word.
+
+Sampled k-mers: every window of 20 words is stood for by the least-hashed of its
+6-word k-mers, so equal windows choose equal k-mers at equal places. The windows of
+a document that choose the same occurrence of a k-mer form a run, the edge of that
+k-mer, labelled by its windows' hashes; the run after it in the document is its
+successor. K-mers seen once have no repeated edge and are dropped.
+
+Graph: a k-mer with one label is one edge. A k-mer with several branches, and those
+of its labels that share windows are cut into single windows. So each repeated
+window belongs to one vertex, always the same. A link between neighbours does not
+branch if each occurrence of either vertex is next to the other, that is, if link
+and both vertices are counted equally often. Links are counted and joined to the
+vertices' occurrences, and chains of unbranched links are compacted into paths.
+
+Check: the words of each path are read at every source coordinate and grouped by
+what they are, byte by byte; the earliest place of each stays. Hashes only propose:
+where the words of one path differ, its windows are grouped by their words.
 """
 
 from __future__ import annotations
@@ -18,16 +26,19 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import discard, materialise, utf8
+from tideline.llm.common import bucketed, discard, materialise, utf8
 
 WINDOW = 20
 KMER = 6
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 1 << 21
 
+#: Bytes of text in a bucket of the texts, about, and the most buckets; there are as many as shuffle partitions at least.
+BUCKET_BYTES, MAX_BUCKETS = 128 << 20, 100_000
+
 #: Words longer than this are hashed one by one.
 LONG_WORD = 64
 
@@ -113,18 +124,41 @@ def runs_of(bodies: list[bytes | None]) -> tuple[np.ndarray, ...]:
 
 
 def edges(docs: DataFrame) -> DataFrame:
-    """(kmer, label, doc, place) of every run of (doc, t, body) rows; place packs start, t and windows."""
+    """(kmer, label, row, doc, place) of every run of (row, doc, body) rows; place packs start and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            rows, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, bodies in _chunks(b.column(2).to_pylist()):
                 kmer, label, which, start, size = runs_of(bodies)
                 which = which + first
-                place = (start << 32) | (tags[which] << 8) | size
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (kmer, label, ids[which], place)], ["kmer", "label", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (kmer, label, rows[which], keys[which], start << 8 | size)], ["kmer", "label", "row", "doc", "place"])
+
+    return docs.select("row", "doc", "body").mapInArrow(run, "kmer long, label long, row long, doc long, place long")
+
+
+class Texts:
+    """Documents (row, doc, body and the caller's key) with a number of their own, bucketed by it.
 
-    return docs.mapInArrow(run, "kmer long, label long, doc long, place long")
+    Three passes join what was found with the texts; over buckets only the found
+    places are shuffled, not the texts. Numbers come from a written table, so a
+    task that runs again cannot change them.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, text: str):
+        spark = docs.sparkSession
+        body = F.coalesce(utf8(text), F.lit(b""))
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), body.alias("body"))
+        plain = materialise(rows, "numbered")
+        size = plain.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
+        self.buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
+        self.docs = bucketed(plain, "row", self.buckets, "texts")
+        discard(plain)
+
+    def with_places(self, places: DataFrame, fields: list[str], how: str = "inner") -> DataFrame:
+        """The documents and ``at``, the list of their places: structs of ``fields``."""
+        listed = places.repartition(self.buckets, "row").groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("at"))
+        return self.docs.join(listed.hint("merge"), "row", how)
 
 
 def _listed(column: pa.ListArray, fields: tuple[str, ...]) -> tuple[np.ndarray, ...]:
@@ -134,86 +168,142 @@ def _listed(column: pa.ListArray, fields: tuple[str, ...]) -> tuple[np.ndarray,
     return np.repeat(np.arange(len(column)), sizes), *(structs.field(f).to_numpy(zero_copy_only=False) for f in fields)
 
 
-def _windows_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(kmer, label, doc, start, hash[]) for the runs in ``places``: window hashes, read from the texts."""
-    listed = places.select("kmer", "label", "doc", "place", _tag("place").alias("t")).groupBy("doc", "t").agg(F.collect_list(F.struct("kmer", "label", "place")).alias("runs"))
+def _windows_at(texts: Texts, places: DataFrame) -> DataFrame:
+    """(kmer, label, n, hash[]) for the runs in ``places``: their windows' hashes, read from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column(0).to_numpy(zero_copy_only=False)
-            which, kmer, label, place = _listed(b.column(2), ("kmer", "label", "place"))
-            for first, bodies in _chunks(b.column(1).to_pylist()):
+            which, kmer, label, n, place = _listed(b.column(1), ("kmer", "label", "n", "place"))
+            for first, bodies in _chunks(b.column(0).to_pylist()):
                 words, counts = word_hashes(bodies)
                 _, windows = gram_hashes(words)
                 own = slice(*np.searchsorted(which, [first, first + len(bodies)]))
-                start, size = place[own] >> 32, place[own] & 255
+                start, size = place[own] >> 8, place[own] & 255
                 before = (np.cumsum(counts) - counts)[which[own] - first] + start
                 ends = np.cumsum(size)
                 flat = windows[np.repeat(before - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].view(np.int64)
                 hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (kmer[own], label[own], doc[which[own]], start)), hashes], ["kmer", "label", "doc", "start", "hash"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (kmer[own], label[own], n[own])), hashes], ["kmer", "label", "n", "hash"])
 
-    joined = docs.join(listed.hint("merge"), ["doc", "t"]).select("doc", "body", "runs")
-    return joined.mapInArrow(run, "kmer long, label long, doc long, start long, hash array<long>")
+    joined = texts.with_places(places, ["kmer", "label", "n", "place"]).select("body", "at")
+    return joined.mapInArrow(run, "kmer long, label long, n long, hash array<long>")
 
 
-def _tag(place: str):
-    return F.shiftright(place, 8).bitwiseAND(F.lit((1 << 24) - 1))
+def vertices(texts: Texts) -> DataFrame:
+    """(row, doc, start, size, k, v, n): the occurrences of every repeated vertex (k, v), seen n times.
 
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc, t, start, mask) of runs: bit j is set if the window at start + j also starts earlier.
-
-    docs: (doc, t, body). Counts are partial sums before any shuffle, and joins on
-    k-mers and labels have written tables on both sides, so that adaptive
-    execution can split those that a frequent passage fills.
+    A vertex is a run that shares no window with another label of its k-mer, or one
+    window of those that do. Counts are partial sums before any shuffle, and joins
+    have written tables on both sides, so that adaptive execution can split k-mers
+    and labels that a frequent passage fills.
     """
-    every = materialise(edges(docs), "edges")
+    every = materialise(edges(texts.docs), "edges")
     seen_again = materialise(every.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kmer"), "kmers")
     some = materialise(every.join(seen_again.hint("merge"), "kmer", "left_semi"), "repeated")
     discard(every, seen_again)
 
-    # distinct labels with their first place; a k-mer with two or more branches
-    labels = materialise(some.groupBy("kmer", "label").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n")), "labels")
-    branching = materialise(labels.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kmer"), "branching")
-    branches = labels.join(branching.hint("merge"), "kmer", "left_semi").select("kmer", "label", F.col("first.doc").alias("doc"), F.col("first.place").alias("place"))
-    runs = materialise(_windows_at(docs, branches), "windows")
-    window = runs.select("kmer", "label", F.posexplode("hash").alias("j", "hash"), "doc", "start").withColumn("start", F.col("start") + F.col("j"))
-    shared = window.groupBy("kmer", "hash").agg(F.min(F.struct("doc", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = materialise(shared, "shared")
-    earlier = (
-        window.join(shared.hint("merge"), ["kmer", "hash"])
-        .where(F.col("least") < F.struct("doc", "start"))
+    # distinct labels, each with one of its places; a k-mer with two or more branches
+    labels = materialise(some.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("place").alias("place")), "labels")
+    branching = labels.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kmer")
+    branches = labels.join(materialise(branching, "branching").hint("merge"), "kmer", "left_semi")
+    windows = materialise(_windows_at(texts, branches), "windows")
+    window = windows.select("kmer", "label", "n", F.size("hash").alias("size"), F.posexplode("hash").alias("j", "hash"))
+    often = materialise(window.groupBy("kmer", "hash").agg(F.sum("n").alias("m")).where("m > 1"), "often")
+    shared = (
+        window.join(often.hint("merge"), ["kmer", "hash"])
         .groupBy("kmer", "label")
-        .agg(F.collect_list(F.struct("j", F.col("least.doc").alias("doc"), F.col("least.start").alias("start"))).alias("earlier"))
+        .agg(F.collect_list(F.struct("j", "hash", "m")).alias("shared"), F.bool_and(F.col("m") == F.col("n")).alias("alone"), F.first("size").alias("size"))
+        .select("kmer", "label", F.when(~F.col("alone") | (F.size("shared") < F.col("size")), F.col("shared")).alias("shared"), F.lit(True).alias("branch"))
     )
-    # what a label's occurrences can be later than: its own first place, or that of windows in other labels
-    known = labels.join(earlier.hint("merge"), ["kmer", "label"], "left").where("n > 1 or earlier is not null")
-    known = materialise(known.select("kmer", "label", "first", "earlier"), "known")
-    start, size = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(255)).cast("int")
-    own = F.struct("doc", "place")
-    some_bits = F.aggregate(
-        F.coalesce("earlier", F.array().cast("array<struct<j:int,doc:bigint,start:bigint>>")),
-        F.lit(0),
-        lambda m, x: F.when(
-            F.struct(x["doc"].alias("doc"), x["start"].alias("start")) < F.struct(F.col("doc").alias("doc"), (F.shiftright("place", 32) + x["j"]).alias("start")),
-            m.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["j"])),
-        ).otherwise(m),
-    )
-    mask = F.when(F.col("first") < own, F.call_function("shiftleft", F.lit(1), size) - 1).otherwise(some_bits)
-    found = some.join(known.hint("merge"), ["kmer", "label"]).select("doc", _tag("place").alias("t"), start.alias("start"), mask.alias("mask")).where("mask <> 0")
-    found = materialise(found, "found")
-    discard(some, labels, branching, runs, shared, known)
+    known = labels.select("kmer", "label", "n").join(shared.hint("merge"), ["kmer", "label"], "left").where("n > 1 or branch")
+    known = materialise(known.select("kmer", "label", "n", "shared"), "known")
+    whole = F.array(F.struct(F.lit(0).alias("j"), F.col("place").bitwiseAND(255).cast("int").alias("size"), F.col("label").bitwiseOR(1).alias("v"), "n"))
+    single = F.transform("shared", lambda x: F.struct(x["j"].alias("j"), F.lit(1).alias("size"), x["hash"].bitwiseAND(-2).alias("v"), x["m"].alias("n")))
+    part = F.explode(F.when(F.col("shared").isNull(), whole).otherwise(single)).alias("x")
+    found = some.join(known.hint("merge"), ["kmer", "label"]).select("row", "doc", "kmer", F.shiftright("place", 8).alias("start"), part)
+    found = materialise(found.select("row", "doc", (F.col("start") + F.col("x.j")).alias("start"), "x.size", F.col("kmer").alias("k"), "x.v", "x.n"), "vertices")
+    discard(some, labels, branching, windows, often, known)
     return found
 
 
-def _cover(counts: np.ndarray, which: np.ndarray, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Which words of some texts, one after the other, are in a window whose bit is set in a run."""
+def paths(found: DataFrame) -> DataFrame:
+    """(row, doc, start, size, k, v): each document's stretches of unbranched links, named by their first vertex."""
+    in_text = Window.partitionBy("row").orderBy("start")
+    before = F.lag(F.struct("start", "size", "k", "v", "n")).over(in_text)
+    linked = found.withColumn("b", before)
+    near = (F.col("b.start") + F.col("b.size") == F.col("start")) & (F.col("b.n") == F.col("n"))
+    linked = materialise(linked.select("row", "doc", "start", "size", "k", "v", "n", F.when(near, F.col("b.k")).alias("bk"), F.when(near, F.col("b.v")).alias("bv")), "linked")
+    ends = ["bk", "bv", "k", "v"]
+    unbranched = linked.where("bk is not null").groupBy(*ends).agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).where("m = n")
+    joined = linked.join(materialise(unbranched.select(*ends), "links").withColumn("goes_on", F.lit(True)).hint("merge"), ends, "left")
+    numbered = joined.withColumn("path", F.count(F.when(F.col("goes_on").isNull(), 1)).over(in_text))
+    stretch = numbered.groupBy("row", "path").agg(F.first("doc").alias("doc"), F.min(F.struct("start", "k", "v")).alias("a"), F.sum("size").alias("size"))
+    out = materialise(stretch.select("row", "doc", "a.start", "size", "a.k", "a.v"), "paths")
+    discard(linked, unbranched)
+    return out
+
+
+def _words_at(texts: Texts, places: DataFrame, single: bool) -> DataFrame:
+    """(row, doc, start, k, v, words) of every path in ``places``, or of each of its windows, read from the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, keys, bodies = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            which, start, size, k, v = _listed(b.column(3), ("start", "size", "k", "v"))
+            out, held, last, words = [], 0, -1, []
+            for i, a, n, *vertex in zip(which.tolist(), start.tolist(), size.tolist(), k.tolist(), v.tolist()):
+                if i != last:
+                    last, words = i, bodies[i].as_py().split()
+                for x, y in ((a + j, 1) for j in range(n)) if single else ((a, n),):
+                    span = b" ".join(words[x : x + y + WINDOW - 1])
+                    out.append((rows[i], keys[i], x, *vertex, span))
+                    held += len(span)
+                    if held > CHUNK_BYTES:
+                        yield _batch(out)
+                        out, held = [], 0
+            if out:
+                yield _batch(out)
+
+    names = ["row", "doc", "start", "k", "v", "words"]
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:5]), pa.array([x[5] for x in out], pa.binary())], names)
+
+    joined = texts.with_places(places, ["start", "size", "k", "v"]).select("row", "doc", "body", "at")
+    return joined.mapInArrow(run, "row long, doc long, start long, k long, v long, words binary")
+
+
+def _order() -> Column:
+    """(doc, start) as one number of the same order, which hash aggregation can take the least of."""
+    return (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(13,0)") + F.col("start").cast("decimal(13,0)")).cast("decimal(38,0)")
+
+
+def repeated_stretches(texts: Texts) -> DataFrame:
+    """(row, start, size): stretches of windows whose words also start at an earlier place, checked by their words."""
+    found = vertices(texts)
+    every = paths(found)
+    discard(found)
+    same = _words_at(texts, every, single=False).select("k", "v", "words", _order().alias("p")).groupBy("k", "v", "words").agg(F.min("p").alias("p"))
+    heads = materialise(same.groupBy("k", "v").agg(F.count(F.lit(1)).alias("texts"), F.min("p").alias("p")), "heads")
+    later = every.withColumn("at", _order()).join(heads.where("texts = 1").hint("merge"), ["k", "v"]).where("at > p").select("row", "start", "size")
+    out = materialise(later, "later")
+    # vertices that stand for different words, as hashes are equal by chance or by design: by the words of each window
+    unlike = materialise(every.join(heads.where("texts > 1").hint("merge"), ["k", "v"], "left_semi"), "unlike")
+    if unlike.limit(1).count():
+        window = materialise(_words_at(texts, unlike, single=True).withColumn("at", _order()), "unlike-words")
+        first = window.groupBy("k", "v", "words").agg(F.min("at").alias("p"))
+        again = window.join(materialise(first, "unlike-first").hint("merge"), ["k", "v", "words"]).where("at > p")
+        out = out.union(again.select("row", "start", F.lit(1).cast("long").alias("size")))
+    discard(every, heads, unlike)
+    return out
+
+
+def _cover(counts: np.ndarray, which: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which words of some texts, one after the other, are in a window of a stretch."""
     edge = np.zeros(counts.sum() + 1, np.int32)
-    run, bit = np.nonzero(mask[:, None] >> np.arange(WINDOW - KMER + 1) & 1)
-    at = ((np.cumsum(counts) - counts)[which] + start)[run] + bit
+    at = (np.cumsum(counts) - counts)[which] + start
     np.add.at(edge, at, 1)
-    np.add.at(edge, at + WINDOW, -1)
+    np.add.at(edge, at + size + WINDOW - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -234,33 +324,33 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """key, n_words, n_removed, removed (spans of word numbers) and kept (text) of every row.
 
     Each word goes that is covered by a 20-word window whose words also start at an
-    earlier place: in a row of smaller key, or earlier in the same row. Windows are
-    judged on the input. kept: the other words joined by one blank. Keys are
-    integers; a null key comes before all others; rows that share a key are told
-    apart by their texts, in the order of their places. Null, empty and short texts
-    lose nothing, repeated rows (key and text) give repeated results. An empty
-    table gives an empty result; other columns are not read.
+    earlier place: in a row of smaller key, or earlier in a row of the same key.
+    Windows are judged on the input. kept: the other words joined by one blank. Keys
+    are integers; a null key comes before all others. Rows that share a key, null
+    too, count as one document in this: of equal windows at equal starts in them
+    none is earlier, so repeated rows give repeated results, and a window of one
+    can repeat an earlier start in another. Null, empty and short texts lose
+    nothing. An empty table gives an empty result; other columns are not read, and
+    key may have any name.
     """
     kind = docs.schema[key].dataType.simpleString()
-    body = F.coalesce(utf8(text), F.lit(b""))
-    rows = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), F.crc32(body).bitwiseAND(F.lit((1 << 24) - 1)).alias("t"), body.alias("body"))
-    found = repeated_windows(rows.select("doc", "t", "body"))
-    by_doc = found.distinct().groupBy("doc", "t").agg(F.collect_list(F.struct("start", "mask")).alias("runs"))
+    texts = Texts(docs, key, text)
+    found = repeated_stretches(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            which, start, mask = _listed(b.column(2), ("start", "mask"))
+            which, start, size = _listed(b.column(2), ("start", "size"))
             out = []
             for first, bodies in _chunks(b.column(1).to_pylist()):
                 texts = [t.split() for t in bodies]
                 own = slice(*np.searchsorted(which, [first, first + len(bodies)]))
-                gone = _cover(np.array([len(t) for t in texts]), which[own] - first, start[own], mask[own])
+                gone = _cover(np.array([len(t) for t in texts]), which[own] - first, start[own], size[own])
                 out += _kept(texts, gone)
             cols = list(zip(*out, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [key, "n_words", "n_removed", "removed", "kept"])
 
-    joined = rows.join(by_doc.hint("merge"), ["doc", "t"], "left").select(key, "body", "runs")
+    joined = texts.with_places(found, ["start", "size"], "left").select("key", "body", "at")
     out = joined.mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, removed array<struct<start:bigint, stop:bigint>>, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
