@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tideline.llm import simhash
+from tideline.llm import jaccard, simhash
 
 
 def fingerprint(text):
@@ -88,15 +88,58 @@ def test_links_of_hot_prefix(spark):
     assert [label[x] for x in fps] == components(fps, fps, 3)
 
 
-def test_keep_one(spark, odd, odd_rows, none):
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    keys = [r.doc_id for r in kept.collect()]
-    comps = {r.component_id for r in simhash.near_components(odd).collect()}
-    assert sorted(keys, key=repr) == sorted(comps, key=repr)
+def test_keep_one(spark, odd, odd_rows, clashing, none):
+    for df in (odd, clashing):
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        keys = [r.doc_id for r in kept.collect()]
+        comps = {r.component_id for r in simhash.near_components(df).collect()}
+        assert sorted(keys, key=repr) == sorted(comps, key=repr)
     assert simhash.near_components(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, jaccard.keep_one])
+def test_keep_one_of_each_component(spark, keep, sorted_rows):
+    """Rows are chosen, not keys: a key may stand in several components, and twice in one."""
+    r = random.Random(4)
+    a, b, c = (" ".join(r.choices([f"v{i}" for i in range(500)], k=80)) for _ in range(3))
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "z"), (None, c, "x"), (None, c, "x"), (7, c, "x"), (None, None, None), (None, "", "x")]
+    df = spark.createDataFrame(rows, "_key long, text string, _n string").repartition(3)
+    kept = sorted_rows(keep(df, "_key"))
+    assert [r[:2] for r in kept] == sorted([(3, a), (5, b), (7, c), kept[-1][:2]], key=repr)
+    assert kept[-1][0] is None and not kept[-1][1]
+
+
+def test_links_are_real(spark):
+    """Without stars each edge is a link within the budget, and the components are the same."""
+    r = random.Random(2)
+    fps = set()
+    for _ in range(60):
+        x = r.getrandbits(64)
+        for _ in range(12):
+            fps.add(x)
+            x ^= 1 << r.randrange(64)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
+    edges = [(int(np.int64(a).astype(np.uint64)), int(np.int64(b).astype(np.uint64))) for a, b in simhash.near_links(df, 3, 16, stars=False).collect()]
+    assert all(1 <= (a ^ b).bit_count() <= 3 for a, b in edges) and len(edges) < 4 * len(fps)
+    label = {x: x for x in fps}
+    for _ in fps:
+        before = dict(label)
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    assert [label[x] for x in fps] == components(fps, fps, 3)
+
+
+@pytest.mark.parametrize("block, bits, deeper", [(16, 6, 0), (16, 6, 12), (16, 16, 5), (16, 10, 6)])
+def test_flips(block, bits, deeper):
+    got = simhash.flips(block, bits, deeper, 3)
+    want = [m for m in range(1 << deeper) if m.bit_count() <= 3 and not m >> max(0, bits + deeper - block)]
+    assert sorted(got) == want
+
+
 def test_query(spark, sf_dir):
     """The registered query on whole tables against all pairs of fingerprints."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.folders import shared_dir
@@ -26,7 +26,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
 
 
 def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
@@ -36,7 +38,8 @@ def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     tag = uuid.uuid4().hex
-    dealt = df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", f"{shared_dir(spark)}/{name}-{tag}")
+    path = f"{shared_dir(spark)}/{name}-{tag}"
+    dealt = df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -45,17 +48,21 @@ def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.table(f"tideline_{tag}")
     spark.sql(f"DROP TABLE tideline_{tag}")
+    out.written = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialise() wrote and that nothing reads any more."""
+    """Delete what materialise() or bucketed() wrote for these tables; nothing may read them any more."""
     for table in tables:
-        spark = table.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if "/tideline-" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators wrote in this application; for the end of a job, when results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(column: str | Column) -> Column:
@@ -72,22 +79,27 @@ BROADCAST_ROWS = 200_000
 
 
 def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``big`` with a narrow table that is written and counted first.
+    """Join ``big`` with a narrow table that is written and counted first."""
+    return join_written(big, materialise(small, "side"), on, how, limit)
+
+
+def join_written(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``big`` with a narrow, written table.
 
     Up to ``limit`` rows it is broadcast, so a key that holds a large part of
     ``big`` needs no shuffle. Beyond, both sides are shuffled; as neither is the
     result of an aggregation in the same stage, adaptive execution can split hot keys.
     """
-    small = materialise(small, "side")
-    return big.join(F.broadcast(small) if row_count(small) <= limit else small, on, how)
+    return big.join(F.broadcast(small) if row_count(small) <= limit else small.hint("merge"), on, how)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``(a, b)`` edges over long ids -> ``(node, label)``, the smallest id reachable.
+    """``(a, b)`` edges over long ids -> ``(node, label)``, the smallest id reachable; a written table.
 
     Alternating large-star and small-star contraction, in which edges always lead
-    to smaller ids. The edge list is written to the shared folder after each round
-    and the loop ends when it consists of stars. Nodes without edges do not appear.
+    to smaller ids. The edge list is written to the shared folder after each half
+    round, the one before is deleted, and the loop ends when it consists of stars.
+    Nodes without edges do not appear.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     step = materialise(edges.distinct(), "edges")
@@ -96,18 +108,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             break
         # large star: each larger neighbour goes to the smallest of the closed neighbourhood
         both = step.select("u", "v").union(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_counted(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "side")
+        large = join_written(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.distinct(), "edges")
+        discard(step, low)
         # small star: smaller neighbours and the node itself go to the smallest one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_counted(large, least, ["u"])
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "side")
+        small = join_written(large, least, ["u"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         step = materialise(small.where("u <> v").distinct(), "edges")
+        discard(large, least)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = step.select(F.col("v").alias("node")).distinct()
-    return step.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))
+    out = materialise(step.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label"))), "labels")
+    discard(step)
+    return out
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -117,11 +133,19 @@ def _are_stars(edges: DataFrame) -> bool:
     return nodes.where("out > 1 or (out = 1 and hub = 1)").limit(1).count() == 0
 
 
-def keep_least(docs: DataFrame, components: DataFrame, key: str) -> DataFrame:
-    """The row of ``docs`` with the smallest key of each of the ``components`` (key, component_id) of its rows."""
-    chosen = components.where(F.col(key).eqNullSafe(F.col("component_id")))
-    chosen = materialise(chosen.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "chosen")
-    kept = docs.join(chosen.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    if chosen.where("_n > 1").limit(1).count():
-        kept = kept.dropDuplicates([key])
-    return kept
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): a number of its own for every row, and the row's columns as a struct, whatever their names.
+
+    Written, so that a task that runs again cannot change the numbers.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), row.alias("doc")), "rows")
+
+
+def least_rows(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row of each part, as it was: the one of the smallest key, of these the one of the smallest number.
+
+    rows: as from numbered(). parts: (row, key, part). Null keys come last.
+    """
+    first = parts.groupBy("part").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("least"))
+    return join_counted(rows, first.select("least.row"), ["row"], "left_semi").select("doc.*")

@@ -1,11 +1,15 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: prefix filter, checked pairs, components.
-
-All shingles are put in one order, those that a sample finds frequent last. Two
-sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of
-each, so texts are grouped by these alone and no pair is missed, whatever the
-order. Each group's members are first compared with one of them, twice; what is
-linked then needs no more comparisons, so a group of k near copies costs about k.
-Every pair that is left and could be similar by its sizes and places is compared.
+"""Near-duplicates of a stated Jaccard similarity: SimHash tries, exact checks, and a prefix filter for the rest.
+
+SimHash over the same shingles comes first: the tries of simhash link fingerprints
+within a few bits, and the shingle sets of each link are compared. That settles
+copies and light edits at a few bits each. Sets of similarity 0.8 can lie further
+apart than any budget that a trie can prune by, so what is not linked yet goes
+through a prefix filter: all shingles are put in one order, those that a sample
+finds frequent last; two sets of similarity t or more share one of the first
+n - ceil(t n) + 1 shingles of each, so no pair is missed, whatever the order. Each
+group's members are first compared with one of them, twice; what is linked needs no
+more comparisons, so a group of k near copies costs about k. Every pair that is
+left and could be similar by its sizes and places is compared.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import connected_components, discard, join_counted, keep_least, materialise, row_count, utf8
+from tideline.llm.common import connected_components, discard, join_counted, join_written, least_rows, materialise, numbered, row_count, utf8
+from tideline.llm.simhash import MAX_BITS, majority, near_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -50,31 +55,34 @@ def shingles(body: bytes | None, width: int = SHINGLE_WORDS) -> tuple[int, np.nd
     return int(np.uint64(whole).astype(np.int64)), np.unique(hashes.view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Key, id (of the text's words), row (a number of its own) and s, the shingles, of every row."""
-    kind = docs.schema[key].dataType.simpleString()
+def marks(rows: DataFrame, width: int) -> DataFrame:
+    """row, key, id (of the text's words) and fp (SimHash of its distinct shingles) of (row, key, text) rows."""
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingles(x, width) for x in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(s) for _, s in got)])
-            flat = np.concatenate([s for _, s in got]) if got else np.array([], np.int64)
-            sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in got], pa.int64()), b.column(2), sets], [key, "id", "row", "s"])
+            got = [shingles(x, width) for x in b.column(2).to_pylist()]
+            fps = np.array([majority(s.view(np.uint64)) for _, s in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i for i, _ in got], pa.int64()), pa.array(fps, pa.int64())], ["row", "key", "id", "fp"])
 
-    rows = docs.select(key, utf8(text).alias("_b"), F.monotonically_increasing_id().alias("_r"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, id long, row long, s array<long>")
+    return rows.select("row", "key", utf8("text").alias("b")).mapInArrow(run, f"row long, key {kind}, id long, fp long")
 
 
-def frequent_shingles(sets: DataFrame, n: int) -> np.ndarray:
+def frequent_shingles(texts: DataFrame, n: int, width: int) -> np.ndarray:
     """Shingles of FREQUENT texts or more of a sample, rarest first. They only set the order."""
-    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0)
-    counts = sample.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= FREQUENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x, width)[1], pa.int64())], ["h"])
+
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("b").mapInArrow(run, "h long")
+    counts = sample.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= FREQUENT)
     top = counts.orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).collect()
     return np.array([r.h for r in reversed(top)], np.int64)
 
 
-def prefixes(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
+def prefixes(texts: DataFrame, frequent: np.ndarray, similarity: float, width: int) -> DataFrame:
     """h, id, n (shingles of the text) and at (place in the order) for the shingles that similar texts must share one of."""
     by_hash = np.argsort(frequent)
     in_order = frequent[by_hash]
@@ -82,8 +90,8 @@ def prefixes(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, ids, sizes, places = [], [], [], []
-            for i, s in zip(b.column(0).to_pylist(), b.column(1)):
-                s = s.values.to_numpy(zero_copy_only=False)
+            for i, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = shingles(body, width)[1]
                 if not len(s):
                     continue
                 first = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
@@ -98,54 +106,91 @@ def prefixes(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFr
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, ids, sizes, places)], ["h", "id", "n", "at"])
 
-    return sets.select("id", "s").mapInArrow(run, "h long, id long, n int, at int")
+    return texts.select("id", "b").mapInArrow(run, "h long, id long, n int, at int")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets have the similarity or more."""
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have the similarity or more."""
+    pairs = materialise(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    used = materialise(join_counted(sets, ids, ["id"], "left_semi"), "used")
-    right = pairs.join(used.select(F.col("id").alias("b"), F.col("s").alias("_t")), "b")
-    both = right.join(used.select(F.col("id").alias("a"), F.col("s").alias("_s")), "a")
-    common = F.size(F.array_intersect("_s", "_t"))
-    both = both.select("a", "b", common.alias("_i"), (F.size("_s") + F.size("_t")).alias("_n"))
-    links = materialise(both.where(F.col("_i") / (F.col("_n") - F.col("_i")) >= similarity).select("a", "b"), "links")
-    discard(used)
+    used = materialise(join_counted(texts, ids, ["id"], "left_semi"), "used")
+    right = pairs.join(used.select(F.col("id").alias("b"), F.col("b").alias("y")), "b")
+    both = right.join(used.select(F.col("id").alias("a"), F.col("b").alias("x")), "a").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, s = None, None
+        for batch in batches:
+            near = []
+            for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if a != last:
+                    last, s = a, shingles(x, width)[1]
+                t = shingles(y, width)[1]
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                near.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    links = materialise(both.mapInArrow(run, "a long, b long"), "links")
+    discard(used, pairs)
     return links
 
 
-def similar_links(sets: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Edges (a, b) over ids: with the same components as all pairs of the similarity or more."""
-    shared = prefixes(sets, frequent_shingles(sets, n), similarity).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    shared = materialise(shared.where("k > 1").drop("k"), "prefixes")
-    parts: list[DataFrame] = []
-    labels = None
+def close_fingerprints(classes: DataFrame, budget: int) -> DataFrame:
+    """(a, b): ids of equal fingerprints, and a spanning forest of those whose fingerprints are within the budget."""
+    by_fp = materialise(classes.groupBy("fp").agg(F.min("id").alias("rep")), "by-fp")
+    equal = join_counted(classes, by_fp, ["fp"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = near_links(by_fp.select("fp"), budget, stars=False).withColumnsRenamed({"a": "x", "b": "y"})
+    links = links.join(by_fp.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(by_fp.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y")
+    return equal.union(links.select("a", "b")).distinct()
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, similarity: float, width: int, budget: int) -> DataFrame:
+    """Edges (a, b) over ids: with the same components as all pairs of the similarity or more.
+
+    classes: (id, fp), texts: (id, b), one row for each text of its own words.
+    """
+    parts = [similar(close_fingerprints(classes, budget), texts, similarity, width)]
+    every = materialise(prefixes(texts, frequent_shingles(texts, row_count(classes), width), similarity, width), "prefixes")
+    often = materialise(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "often")
+    shared = materialise(every.join(often.hint("merge"), "h", "left_semi"), "prefixes")
+    discard(every, often)
     for r in range(STAR_ROUNDS + 1):
-        if labels is None:
-            open_ = shared.withColumn("label", F.col("id"))
-        else:
-            marked = shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            several = F.min("label").over(Window.partitionBy("h")) < F.max("label").over(Window.partitionBy("h"))
-            open_ = materialise(marked.withColumn("several", several).where("several").drop("several"), "prefixes")
-            shared = open_.drop("label")
+        labels = connected_components(reduce(DataFrame.union, parts))
+        marked = join_written(shared.drop("label"), labels.withColumnRenamed("node", "id"), ["id"], "left")
+        marked = materialise(marked.withColumn("label", F.coalesce("label", "id")), "prefixes")
+        several = materialise(marked.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h"), "several")
+        open_ = materialise(marked.join(several.hint("merge"), "h", "left_semi"), "prefixes")
+        discard(shared, marked, labels, several)
+        shared = open_
         if r < STAR_ROUNDS:
             other = open_.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)), "id", "n", "at", "label")).alias("c"))
-            other = other.select("h", *(F.col(f"c.{x}").alias(f"{x}2") for x in ("id", "n", "at", "label")))
+            other = materialise(other.select("h", *(F.col(f"c.{x}").alias(f"{x}2") for x in ("id", "n", "at", "label"))), "centres")
         else:
             other = open_.select("h", *(F.col(x).alias(f"{x}2") for x in ("id", "n", "at", "label")))
         # at the first shingle that two texts share, all that they have in common is still to come
         possible = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (1 + similarity) >= similarity * (F.col("n") + F.col("n2")) - 1e-6
-        pairs = open_.join(other, "h").where((F.col("label") != F.col("label2")) & possible)
+        pairs = open_.join(other.hint("merge"), "h").where((F.col("label") != F.col("label2")) & possible)
         if r == STAR_ROUNDS:
             pairs = pairs.where("id < id2")
-        pairs = materialise(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "pairs")
-        parts.append(similar(pairs, sets, similarity))
-        if r < STAR_ROUNDS:
-            labels = materialise(connected_components(reduce(DataFrame.union, parts)).withColumnRenamed("node", "id"), "labels")
+        parts.append(similar(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), texts, similarity, width))
+    discard(open_)
     return reduce(DataFrame.union, parts)
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE_WORDS) -> DataFrame:
+def similar_parts(rows: DataFrame, similarity: float, width: int, budget: int) -> DataFrame:
+    """(row, key, part) of (row, key, text) rows; rows is read twice."""
+    marked = materialise(marks(rows, width), "marked")
+    classes = materialise(marked.groupBy("id").agg(F.min("row").alias("row"), F.first("fp").alias("fp")), "classes")
+    texts = materialise(join_counted(rows.select("row", utf8("text").alias("b")), classes.select("row", "id"), ["row"]).select("id", "b"), "texts")
+    links = similar_links(classes.select("id", "fp"), texts, similarity, width, budget)
+    discard(texts)
+    labels = connected_components(links)
+    parts = join_written(classes, labels.withColumnRenamed("node", "id"), ["id"], "left")
+    parts = materialise(parts.select("id", F.coalesce("label", "id").alias("part")), "parts")
+    discard(classes, labels)
+    return marked.join(parts.hint("merge"), "id").select("row", "key", "part")
+
+
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, budget: int = MAX_BITS) -> DataFrame:
     """key and component_id, the smallest key reachable over links, for every row.
 
     Rows are linked whose sets of ``width``-word shingles (words between ASCII
@@ -155,25 +200,20 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     key gets a component; the id is null only where all keys in it are null.
     Repeated rows stay. An empty table gives an empty result.
     """
-    wide = materialise(shingle_sets(docs, key, text, width), "shingles")
-    marked = materialise(wide.select(key, "id", "row"), "marked")
-    classes = materialise(marked.groupBy("id").agg(F.min(key).alias("_least"), F.min("row").alias("row")), "classes")
-    sets = materialise(join_counted(wide, classes.select("row"), ["row"], "left_semi").select("id", "s"), "sets")
-    discard(wide)
-    links = similar_links(sets, row_count(classes), similarity)
-    discard(sets)
-    labels = connected_components(links).withColumnRenamed("node", "id")
-    classes = classes.join(labels, "id", "left").select("id", "_least", F.coalesce("label", "id").alias("_label"))
-    classes = materialise(classes, "classes")
-    ids = materialise(classes.groupBy("_label").agg(F.min("_least").alias("component_id")), "components")
-    by_id = materialise(classes.join(ids, "_label").select("id", "component_id"), "components")
-    return marked.select(key, "id").join(by_id, "id").select(key, "component_id")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of each component of similar_components, with all its columns: the one of the smallest key.
-
-    Where rows share that key, one of them stays. A component whose keys are all
-    null keeps one row.
+    rows = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    parts = materialise(similar_parts(rows.select("row", "doc.key", "doc.text"), similarity, width, budget), "parts")
+    discard(rows)
+    ids = materialise(parts.groupBy("part").agg(F.min("key").alias("component_id")), "components")
+    return parts.join(ids.hint("merge"), "part").select(F.col("key").alias(key), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, budget: int = MAX_BITS) -> DataFrame:
+    """One row of each component of similar_components, with all its columns, whatever their names.
+
+    It is the row of the smallest key; where rows of a component share that key,
+    one of them. A null key comes after all others. Components that do not hang
+    together each keep a row, of equal keys too.
     """
-    return keep_least(docs, similar_components(docs, key, text, similarity, width), key)
+    rows = numbered(docs)
+    texts = rows.select("row", F.col(f"doc.`{key}`").alias("key"), F.col(f"doc.`{text}`").alias("text"))
+    return least_rows(rows, similar_parts(texts, similarity, width, budget))

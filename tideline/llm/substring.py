@@ -204,8 +204,8 @@ def vertices(texts: Texts) -> DataFrame:
 
     # distinct labels, each with one of its places; a k-mer with two or more branches
     labels = materialise(some.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("place").alias("place")), "labels")
-    branching = labels.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kmer")
-    branches = labels.join(materialise(branching, "branching").hint("merge"), "kmer", "left_semi")
+    branching = materialise(labels.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kmer"), "branching")
+    branches = labels.join(branching.hint("merge"), "kmer", "left_semi")
     windows = materialise(_windows_at(texts, branches), "windows")
     window = windows.select("kmer", "label", "n", F.size("hash").alias("size"), F.posexplode("hash").alias("j", "hash"))
     often = materialise(window.groupBy("kmer", "hash").agg(F.sum("n").alias("m")).where("m > 1"), "often")
@@ -235,7 +235,8 @@ def paths(found: DataFrame) -> DataFrame:
     linked = materialise(linked.select("row", "doc", "start", "size", "k", "v", "n", F.when(near, F.col("b.k")).alias("bk"), F.when(near, F.col("b.v")).alias("bv")), "linked")
     ends = ["bk", "bv", "k", "v"]
     unbranched = linked.where("bk is not null").groupBy(*ends).agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).where("m = n")
-    joined = linked.join(materialise(unbranched.select(*ends), "links").withColumn("goes_on", F.lit(True)).hint("merge"), ends, "left")
+    unbranched = materialise(unbranched.select(*ends), "links")
+    joined = linked.join(unbranched.withColumn("goes_on", F.lit(True)).hint("merge"), ends, "left")
     numbered = joined.withColumn("path", F.count(F.when(F.col("goes_on").isNull(), 1)).over(in_text))
     stretch = numbered.groupBy("row", "path").agg(F.first("doc").alias("doc"), F.min(F.struct("start", "k", "v")).alias("a"), F.sum("size").alias("size"))
     out = materialise(stretch.select("row", "doc", "a.start", "size", "a.k", "a.v"), "paths")
@@ -290,10 +291,11 @@ def repeated_stretches(texts: Texts) -> DataFrame:
     # vertices that stand for different words, as hashes are equal by chance or by design: by the words of each window
     unlike = materialise(every.join(heads.where("texts > 1").hint("merge"), ["k", "v"], "left_semi"), "unlike")
     if unlike.limit(1).count():
-        window = materialise(_words_at(texts, unlike, single=True).withColumn("at", _order()), "unlike-words")
-        first = window.groupBy("k", "v", "words").agg(F.min("at").alias("p"))
-        again = window.join(materialise(first, "unlike-first").hint("merge"), ["k", "v", "words"]).where("at > p")
-        out = out.union(again.select("row", "start", F.lit(1).cast("long").alias("size")))
+        window = materialise(_words_at(texts, unlike, single=True).withColumn("at", _order()), "window-words")
+        first = materialise(window.groupBy("k", "v", "words").agg(F.min("at").alias("p")), "first-words")
+        again = window.join(first.hint("merge"), ["k", "v", "words"]).where("at > p")
+        checked, out = out, materialise(out.union(again.select("row", "start", F.lit(1).cast("long").alias("size"))), "later")
+        discard(window, first, checked)
     discard(every, heads, unlike)
     return out
 
