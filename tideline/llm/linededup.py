@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialise, row_count
+from tideline.llm.common import discard, join_written, materialise
 
 #: A line goes when it is on more than this share of its site's pages ...
 MAX_SHARE = 0.02
@@ -30,48 +30,67 @@ def digest(line: Column) -> Column:
     return F.when(F.trim(line, F.lit(" \t\r")) != "", F.unhex(F.md5(line.cast("binary"))))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(_site, _bad): digests of the boilerplate lines of each site that has any.
+def host(url: str | Column) -> Column:
+    """The host of an address, in small letters; null for what has none."""
+    return F.lower(F.try_parse_url(F.col(url) if isinstance(url, str) else url, F.lit("HOST")))
+
+
+def _site(site: str | Column) -> Column:
+    return F.coalesce((F.col(f"`{site}`") if isinstance(site, str) else site).cast("string"), F.lit(""))
+
+
+def boilerplate(docs: DataFrame, site: str | Column = "source", text: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(site, n, bad): the boilerplate lines of each site that has any, n in number, by digest in a table of n places.
 
     A page's repeats of a line count once: digests are made distinct inside the
     row, so counting is one aggregation with partial sums and nothing is grouped
-    by page. A site has at most (mean lines per page / max_share) such lines.
+    by page. A site has at most (mean lines per page / max_share) such lines. A
+    digest is in the list at its hash modulo n, so a look-up takes the same time
+    however many lines a site has. The table is written.
     """
-    seen = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("_site"), F.array_distinct(F.transform(lines(text), digest)).alias("_d"))
-    totals = seen.groupBy("_site").agg(F.count(F.lit(1)).alias("_pages"))
-    counts = seen.select("_site", F.explode("_d").alias("_line")).where("_line is not null").groupBy("_site", "_line").agg(F.count(F.lit(1)).alias("_n"))
-    counts = materialise(counts.where(F.col("_n") >= min_pages), "lines")
+    seen = docs.select(_site(site).alias("site"), F.array_distinct(F.transform(lines(f"`{text}`"), digest)).alias("d"))
+    totals = seen.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    counts = seen.select("site", F.explode("d").alias("line")).where("line is not null").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.where(F.col("n") >= min_pages), "lines")
     totals = materialise(totals, "sites")
-    small = row_count(totals) <= BROADCAST_LINES
-    frequent = counts.join(F.broadcast(totals) if small else totals, "_site").where(F.col("_n") > max_share * F.col("_pages"))
-    return frequent.groupBy("_site").agg(F.sort_array(F.collect_set("_line")).alias("_bad"))
+    frequent = materialise(join_written(counts, totals, ["site"]).where(F.col("n") > max_share * F.col("pages")).select("site", "line"), "frequent")
+    sizes = materialise(frequent.groupBy("site").agg(F.count(F.lit(1)).cast("int").alias("n")), "sizes")
+    lists = join_written(frequent, sizes, ["site"]).groupBy("site", _place(F.col("line"), F.col("n")).alias("place")).agg(F.collect_list("line").alias("lines"))
+    places = sizes.select("site", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("place")).join(lists, ["site", "place"], "left")
+    places = places.select("site", F.struct("place", F.coalesce("lines", F.array().cast("array<binary>")).alias("lines")).alias("x"))
+    out = materialise(places.groupBy("site").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list("x"))["lines"].alias("bad")), "boilerplate")
+    discard(counts, totals, frequent, sizes)
+    return out
+
+
+def _place(line: Column, n: Column) -> Column:
+    return F.pmod(F.xxhash64(line), n).cast("int")
 
 
-def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, site: str | Column = "source", text: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and n_lines and n_dropped added.
 
-    A line goes if, on its site, it stands on more than ``max_share`` of the
-    pages and on ``min_pages`` pages or more; lines are compared byte by byte,
-    blank lines always stay. The kept lines are joined by line feeds again. A null
-    text stays null with no lines; an empty one has one empty line; null sites
-    count as one site named by the empty string; every row is a page, repeated
-    rows too. All other columns stay, but columns of the added names are
-    replaced. An empty table gives an empty result.
+    site: a column, or an expression such as host("url"). A line goes if, on its
+    site, it stands on more than ``max_share`` of the pages and on ``min_pages``
+    pages or more; lines are compared byte by byte (by their 16-byte digests), blank
+    lines always stay. The kept lines are joined by line feeds again. A null text
+    stays null with no lines; an empty one has one empty line; null sites count as
+    one site named by the empty string; every row is a page, repeated rows too. All
+    other columns stay, whatever their names, but columns of the two added names
+    are replaced. An empty table gives an empty result.
     """
-    bad = materialise(boilerplate(docs, site, text, max_share, min_pages), "boilerplate")
-    n = bad.agg(F.coalesce(F.sum(F.size("_bad")), F.lit(0)).alias("n")).first()["n"]
-    docs = docs.withColumn("_site", F.coalesce(F.col(site).cast("string"), F.lit("")))
-    joined = docs.join(F.broadcast(bad) if n <= BROADCAST_LINES else bad, "_site", "left")
-    own = lines(text)
-    kept = F.filter(own, lambda x: ~F.coalesce(F.array_contains("_bad", digest(x)), F.lit(False)))
-    joined = joined.withColumn("_kept", F.when(F.col("_bad").isNull(), own).otherwise(kept))
-    return joined.withColumns(
-        {
-            "n_lines": F.size(own).cast("long"),
-            "n_dropped": (F.size(own) - F.size("_kept")).cast("long"),
-            text: F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n")),
-        }
-    ).drop("_site", "_bad", "_kept")
+    bad = boilerplate(docs, site, text, max_share, min_pages)
+    n = bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), _site(site).alias("site"), F.col(f"`{text}`").alias("text"))
+    joined = rows.join(F.broadcast(bad) if n <= BROADCAST_LINES else bad.hint("merge"), "site", "left")
+    own = lines("text")
+    marked = F.transform(own, lambda x: F.struct(x.alias("x"), digest(x).alias("d")))
+    good = F.filter(marked, lambda m: ~F.coalesce(F.array_contains(F.get("bad", _place(m["d"], F.col("n"))), m["d"]), F.lit(False)))["x"]
+    joined = joined.withColumn("kept", F.when(F.col("bad").isNull(), own).otherwise(good))
+    kept_text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
+    columns = [kept_text.alias(c) if c == text else F.col(f"doc.`{c}`") for c in names]
+    return joined.select(*columns, F.size(own).cast("long").alias("n_lines"), (F.size(own) - F.size("kept")).cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
