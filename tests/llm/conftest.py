@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or add to their results.
-CLASHING = ["fp", "row", "shard", "slot", "size", "_site", "_b", "id", "kept", "n_copies", "copy", "rule", "n_words", "piece", "sequence_id", "_source", "_row", "spans", "component_id", "body", "runs", "start", "t", "doc", "score", "labels"]
+CLASHING = ["fp", "row", "shard", "slot", "size", "_site", "_b", "id", "kept", "n_copies", "copy", "rule", "n_words", "piece", "sequence_id", "_source", "_row", "spans", "component_id", "body", "runs", "start", "t", "doc", "score", "labels", "_cdf", "_u", "_bad", "_kept", "_key", "_body", "_name", "_doc", "_start", "_range", "_k", "_scores", "_order", "_n", "key", "part", "at", "tie", "place", "from", "hash", "crc", "site", "bad", "n", "kept_text", "first", "d"]
 
 
 def make_texts(n=40, seed=1):

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import os
+import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -38,7 +40,7 @@ def poisson(rate, u):
     return k
 
 
-def test_mixing(odd, odd_rows, clashing, none):
+def test_mixing(odd, odd_rows, clashing, none, monkeypatch):
     for weights in (None, {"big": 1.0, "small": 3.0}, {"big": 0.0, "small": 0.0}):
         mixed = mixing.mix_sources(odd, weights=weights)
         n = Counter(r[3] or "" for r in odd_rows)
@@ -49,7 +51,11 @@ def test_mixing(odd, odd_rows, clashing, none):
             want[r[0], r[1]] += poisson(rate[r[3] or ""], uniform(f"{mixing.SEED}:{'' if r[0] is None else r[0]}")) if rate[r[3] or ""] else 0
         assert Counter((r.doc_id, r.text) for r in mixed.collect()) == +want
     assert mixing.mix_sources(none).count() == 0
-    assert set(odd.columns) <= set(mixing.mix_sources(clashing).columns)
+    other = mixing.mix_sources(clashing)
+    assert set(clashing.columns) <= set(other.columns) and other.where("_source = 'other' and _u = 'other'").count() == other.count() > 0
+    beyond = Counter(map(tuple, mixing.mix_sources(odd).select("doc_id", "copy", "shuffle_key").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_TERMS", 0)
+    assert Counter(map(tuple, mixing.mix_sources(odd).select("doc_id", "copy", "shuffle_key").collect())) == beyond
     with pytest.raises(ValueError):
         mixing.mix_sources(odd, weights={"big": -1.0})
 
@@ -62,10 +68,25 @@ def test_mix_meets_weights(spark):
 
 
 def test_large_rates(spark):
-    df = spark.createDataFrame([(0.0,), (0.3,), (50.0,), (2000.0,)], ["r"])
-    for r, cdf in ((x.r, x.c) for x in df.select("r", mixing.poisson_cdf(F.col("r")).alias("c")).collect()):
+    df = spark.createDataFrame([(str(r), r) for r in (0.0, 0.3, 50.0, 2000.0)], ["_source", "_rate"])
+    terms = defaultdict(list)
+    for x in mixing.poisson_terms(df).orderBy("k").collect():
+        terms[x._source].append(x.c)
+    for r, cdf in ((float(s), c) for s, c in terms.items()):
         assert cdf == sorted(cdf) and abs(cdf[-1] - 1) < 1e-9
         assert abs(sum(1 - c for c in cdf) - r) < 1e-6 * max(1, r)
+    us = [i / 97 for i in range(97)]
+    asked = spark.createDataFrame([(u,) for u in us], ["u"]).crossJoin(mixing.poisson_cdf(df)).select("_source", "u", mixing.draw(F.col("u")).alias("n")).collect()
+    assert all(x.n == sum(c <= x.u for c in terms[x._source]) for x in asked)
+
+
+def test_rate_of_100_000(spark):
+    """Few rows that are repeated very often: time grows with the rate, not with its square."""
+    docs = spark.createDataFrame([(i, "s") for i in range(3)], "doc_id long, source string")
+    began = time.perf_counter()
+    got = mixing.mix_sources(docs, total=300_000.0).groupBy("doc_id").count().collect()
+    assert time.perf_counter() - began < 60
+    assert all(abs(r["count"] - 100_000) < 6 * math.sqrt(100_000) for r in got) and len({r["count"] for r in got}) > 1
 
 
 def test_positions(odd):
@@ -96,7 +117,7 @@ def test_line_dedup(odd, odd_rows, clashing, none, sorted_rows, share, least):
     assert sorted_rows(got, "doc_id", "text", "n_lines", "n_dropped") == drop_lines(odd_rows, share, least)
     if share == 0.1:
         other = linededup.drop_boilerplate(clashing, max_share=share, min_pages=least)
-        assert set(clashing.columns) - {"_site"} <= set(other.columns)
+        assert set(clashing.columns) <= set(other.columns) and other.where("_site = 'other' and _bad = 'other' and kept = 'other'").count() == len(odd_rows)
         assert sorted_rows(other, "doc_id", "text", "n_lines", "n_dropped") == drop_lines(odd_rows, share, least)
         assert linededup.drop_boilerplate(none).count() == 0
 
@@ -108,6 +129,26 @@ def test_many_boilerplate_lines(odd, sorted_rows, monkeypatch):
     assert sorted_rows(linededup.drop_boilerplate(odd, max_share=0.0, min_pages=1), "doc_id", "text") == want
 
 
+def test_hosts(spark, sf_dir, sorted_rows):
+    """Pages by the hosts of their addresses; addresses without one are a site of their own."""
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html", "url").collect()]
+    pages += [(-1, "a\nb", "no address"), (-2, "a\nb", None), (-3, "a\nc", "HTTP://Example.ORG:80/x?y=http://other.org"), (-4, "a\nc", "https://example.org")]
+    df = spark.createDataFrame(pages, "page_id long, html string, url string")
+    host = lambda url: (m := re.match(r"[A-Za-z]+://([^/:?#]+)", url or "")) and m[1].lower()
+    got = sorted_rows(linededup.drop_boilerplate(df, linededup.host("url"), "html", 0.1, 2), "page_id", "html", "n_lines", "n_dropped")
+    assert got == drop_lines([(i, t, None, host(u)) for i, t, u in pages], 0.1, 2)
+    assert any(r[3] for r in got)
+
+
+def test_many_lines(spark):
+    """Look-ups do not take longer on a site of many boilerplate lines."""
+    text = "\n".join(f"line {i}" for i in range(4000))
+    df = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(text).alias("text"))
+    began = time.perf_counter()
+    assert {tuple(r) for r in linededup.drop_boilerplate(df).select("text", "n_lines", "n_dropped").collect()} == {("", 4000, 4000)}
+    assert time.perf_counter() - began < 60
+
+
 def winner(key, weights):
     return min((-math.log(uniform(f"{key}:{i}")) / w, i) for i, w in enumerate(weights))[1]
 
@@ -117,6 +158,7 @@ def test_sharding(odd, odd_rows, clashing, none):
     for df in (odd, clashing):
         rows = sharding.number_slots(sharding.assign_shards(df, "doc_id", weights, grow_by=1.0).drop("text"), "doc_id").collect()
         assert len(rows) == len(odd_rows)
+        assert df is odd or all(r._order == r._range == r._start == r._scores == "other" for r in rows)
         slots = defaultdict(list)
         for r in rows:
             key = "" if r.doc_id is None else r.doc_id

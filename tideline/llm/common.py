@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.folders import shared_dir
@@ -133,6 +133,23 @@ def _are_stars(edges: DataFrame) -> bool:
     return nodes.where("out > 1 or (out = 1 and hub = 1)").limit(1).count() == 0
 
 
+def in_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` and at, their place in the order, gapless from 0; rows equal in the order stand side by side.
+
+    Rows are dealt by ranges of the order and, where that is equal, by a row number,
+    so no key is one task's work. A written table fixes partitions and places in
+    them; one number for each partition shifts these.
+    """
+    marked = materialise(rows.withColumn("tie", F.monotonically_increasing_id()), name)
+    by = [*(F.col(c).asc_nulls_first() for c in order), F.col("tie")]
+    dealt = marked.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
+    dealt = materialise(dealt.drop("tie"), name).withColumn("part", F.shiftright("place", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    discard(marked)
+    return dealt.join(F.broadcast(starts), "part").withColumn("at", F.col("from") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "from", "place")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(row, doc): a number of its own for every row, and the row's columns as a struct, whatever their names.
 

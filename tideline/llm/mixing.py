@@ -13,15 +13,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialise, row_count
+from tideline.llm.common import in_order, materialise
 
 SEED = 20
 #: Weights that are not given: a source's share of the documents to this power.
 ALPHA = 0.5
-#: Sources up to which their rates are broadcast: about 1 kB each.
-BROADCAST_SOURCES = 10_000
-#: The mixed order is cut into ranges of the first hex digits of its sort key.
-RANGE_DIGITS = 3
+#: Terms of all sources' distributions up to which they are broadcast: 8 bytes each, and 100 terms for a source's name.
+BROADCAST_TERMS = 2_000_000
+#: Terms in a block.
+BLOCK = 256
 
 
 def uniform(name: Column, seed: int) -> Column:
@@ -30,22 +30,34 @@ def uniform(name: Column, seed: int) -> Column:
     return (bits + 0.5) / F.lit(float(2**52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... up to where less than the finest uniform number is left.
+def poisson_terms(rates: DataFrame) -> DataFrame:
+    """(_source, k, c): c = P(X <= k), k = 0, 1, ... up to where less than the finest uniform number is left.
 
-    Terms are summed from their logarithms, so a large rate does not underflow.
+    One row for each term, summed by a window of each source: time grows with the
+    rates themselves. Logarithms are summed first, so a large rate does not underflow.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    terms = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf")),
-        lambda a, k: F.struct(
-            (a["log"] + F.log(rate / k)).alias("log"),
-            (a["sum"] + F.exp(a["log"] + F.log(rate / k))).alias("sum"),
-            F.concat(a["cdf"], F.array(a["sum"] + F.exp(a["log"] + F.log(rate / k)))).alias("cdf"),
-        ),
-    )["cdf"]
-    return F.when(rate > 0, terms).otherwise(F.array(F.lit(1.0)))
+    last = F.ceil(F.col("_rate") + 12 * F.sqrt("_rate") + 40).cast("int")
+    terms = rates.select("_source", "_rate", F.explode(F.sequence(F.lit(0), F.when(F.col("_rate") > 0, last).otherwise(0))).alias("k"))
+    upto = Window.partitionBy("_source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log = F.sum(F.when(F.col("k") > 0, F.log(F.col("_rate") / F.col("k"))).otherwise(0.0)).over(upto)
+    p = F.when(F.col("_rate") > 0, F.exp(log - F.col("_rate"))).otherwise(1.0)
+    return terms.withColumn("p", p).select("_source", "k", F.sum("p").over(upto).alias("c"))
+
+
+def poisson_cdf(rates: DataFrame) -> DataFrame:
+    """(_source, _cdf): the terms of each source in blocks of BLOCK, each with the last term of the block.
+
+    A draw looks for its block, then inside of it, so it touches some square root of the terms.
+    """
+    blocks = poisson_terms(rates).groupBy("_source", F.floor(F.col("k") / BLOCK).alias("_i")).agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    blocks = blocks.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_i", "cs"))).alias("_b"))
+    return blocks.select("_source", F.col("_b.cs").alias("_cdf"), F.transform("_b.cs", lambda c: F.element_at(c, -1)).alias("_last"))
+
+
+def draw(u: Column) -> Column:
+    """The number of terms of _cdf that are u or less: the least k with P(X <= k) > u."""
+    full = F.size(F.filter("_last", lambda c: c <= u))
+    return (full * BLOCK + F.coalesce(F.size(F.filter(F.get("_cdf", full), lambda c: c <= u)), F.lit(0))).cast("int")
 
 
 def source_rates(docs: DataFrame, source: str = "source", weights: Mapping[str, float] | None = None, total: float | None = None, alpha: float = ALPHA) -> DataFrame:
@@ -78,40 +90,34 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", we
     partitions by shuffle_key and sorted by it inside each. A draw depends on
     seed and key alone: rows with equal keys get equal counts, null keys count as
     the empty string. A null source is the source named by the empty string.
-    Texts are carried whatever they hold, null too. Columns of the added names
-    are replaced. An empty table, or weights that are all zero, give an empty result.
+    Texts are carried whatever they hold, null too. All columns stay, but columns
+    of the three added names are replaced. Rows that share a key and copy share a
+    shuffle_key, but are dealt out by a hash of all their columns too, as far as
+    these can be hashed. An empty table, or weights that are all zero, give an
+    empty result.
     """
-    rates = materialise(source_rates(docs, source, weights, total, alpha).select("_source", poisson_cdf(F.col("_rate")).alias("_cdf")), "rates")
-    few = row_count(rates) <= BROADCAST_SOURCES
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    drawn = (
-        docs.withColumns({"_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_u": uniform(name, seed)})
-        .join(F.broadcast(rates) if few else rates, "_source")
-        .withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
-        .where("n_copies > 0")
-        .drop("_source", "_cdf", "_u")
+    rates = materialise(poisson_cdf(source_rates(docs, source, weights, total, alpha)), "rates")
+    terms = rates.agg(F.sum(F.aggregate("_cdf", F.lit(0), lambda n, c: n + F.size(c))).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    few = (terms["n"] or 0) + 100 * terms["rows"] <= BROADCAST_TERMS
+    kept = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"),
+        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_name"),
     )
+    drawn = rows.join(F.broadcast(rates) if few else rates.hint("merge"), "_source").select("_doc", "_name", draw(uniform(F.col("_name"), seed)).alias("n_copies")).where("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), name, F.col("copy").cast("string"))))
-    return copies.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), "_name", F.col("copy").cast("string"))))
+    hashed = [F.col(f"_doc.`{f.name}`") for f in docs.schema if f.name in kept and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    dealt = copies.repartition(F.col("shuffle_key"), F.xxhash64(*hashed)) if hashed else copies.repartition(F.col("shuffle_key"))
+    return dealt.sortWithinPartitions("shuffle_key").select("_doc.*", "n_copies", "copy", "shuffle_key")
 
 
 def positions(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds position, gapless from 0, in the order of shuffle_key; give it narrow rows.
-
-    Numbers are counted within 4096 ranges of the key and shifted by the rows in
-    the ranges before, one row for each range.
-    """
-    cut = materialise(mixed.withColumn("_range", F.substring("shuffle_key", 1, RANGE_DIGITS)), "mixed")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_range").orderBy("shuffle_key", F.col(key).asc_nulls_first(), "copy")
-    return (
-        cut.withColumn("_k", F.row_number().over(within))
-        .join(F.broadcast(starts), "_range")
-        .withColumn("position", (F.col("_start") + F.col("_k") - 1).cast("long"))
-        .drop("_range", "_k", "_start")
-    )
+    """Adds position, gapless from 0, in the order of shuffle_key, key and copy; give it narrow rows."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in mixed.columns if c != "position"])
+    rows = mixed.select(doc.alias("doc"), "shuffle_key", F.col(key).alias("key"), "copy")
+    return in_order(rows, ["shuffle_key", "key", "copy"], "mixed").select("doc.*", F.col("at").alias("position"))
 
 
 def op4_poisson_mixing(spark, sf_dir: str) -> DataFrame:

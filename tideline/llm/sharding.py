@@ -9,14 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialise, utf8
-
-#: Slot numbering orders a shard by the key's digest; its first two hex digits
-#: cut every shard into 256 ranges, so no task holds a whole shard.
-RANGE_DIGITS = 2
+from tideline.llm.common import in_order, utf8
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
@@ -33,48 +29,42 @@ def scores(key: Column, weights: Sequence[float]) -> Column:
 
 
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], text: str = "text", grow_by: float | None = None) -> DataFrame:
-    """Adds shard, slot, size and text_crc32, and grown_shard if ``grow_by`` is given.
+    """Adds size, text_crc32 and shard, and grown_shard if ``grow_by`` is given.
 
     weights: one per shard. grow_by: the weight of one more shard, for the plan
-    of a later enlargement. slot numbers a shard's rows gapless from 0 in the
-    order of md5(key), then key, crc and size; rows equal in all of these are
-    interchangeable. A null key is hashed as the empty string and gets a shard
-    like any other; a null text has size 16 and crc 0. All other columns stay,
-    but columns of the names added here are replaced. An empty table gives an
-    empty result.
+    of a later enlargement. A null key is hashed as the empty string and gets a
+    shard like any other, so all rows of one key go to one shard; a null text has
+    size 16 and crc 0. All other columns stay, whatever their names, but columns of
+    the names added here are replaced. An empty table gives an empty result.
     """
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    body = F.coalesce(utf8(text), F.lit(b""))
-    shards = df.withColumns(
-        {
-            "size": F.octet_length(body).cast("long") + 16,
-            "text_crc32": F.crc32(body),
-            "_scores": scores(name, [*weights, *([] if grow_by is None else [grow_by])]),
-            "_order": F.md5(name),
-        }
+    added = ["size", "text_crc32", "shard", *([] if grow_by is None else ["grown_shard"])]
+    body = F.coalesce(utf8(f"`{text}`"), F.lit(b""))
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in added]).alias("doc"),
+        (F.octet_length(body).cast("long") + 16).alias("size"),
+        F.crc32(body).alias("text_crc32"),
+        scores(_name(f"`{key}`"), [*weights, *([] if grow_by is None else [grow_by])]).alias("scores"),
     )
-    shards = shards.withColumn("shard", F.array_min(F.slice("_scores", 1, len(weights)))["i"])
-    if grow_by is not None:
-        shards = shards.withColumn("grown_shard", F.array_min("_scores")["i"])
-    return shards.drop("_scores")
+    rows = rows.withColumn("shard", F.array_min(F.slice("scores", 1, len(weights)))["i"]).withColumn("grown_shard", F.array_min("scores")["i"])
+    return rows.select("doc.*", *added)
+
+
+def _name(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
 
 
 def number_slots(shards: DataFrame, key: str) -> DataFrame:
-    """Adds slot to the result of assign_shards, then drops the ordering column.
+    """Adds slot to the result of assign_shards: gapless from 0 in each shard.
 
-    Give it the columns that are wanted, not the texts: rows are shuffled once.
+    The order is that of md5(key), then key, crc and size; rows equal in all of
+    these are interchangeable. Give it the columns that are wanted, not the texts:
+    rows are shuffled once.
     """
-    shards = materialise(shards.withColumn("_range", F.substring("_order", 1, RANGE_DIGITS)), "shards")
-    # one row for each shard and range: bounded by shards * 256
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n")).select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_range").orderBy("_order", F.col(key).asc_nulls_first(), "text_crc32", "size")
-    return (
-        shards.withColumn("_k", F.row_number().over(within))
-        .join(F.broadcast(starts), ["shard", "_range"])
-        .withColumn("slot", (F.col("_start") + F.col("_k") - 1).cast("long"))
-        .drop("_order", "_range", "_k", "_start")
-    )
+    doc = F.struct(*[F.col(f"`{c}`") for c in shards.columns if c != "slot"])
+    rows = shards.select(doc.alias("doc"), "shard", F.md5(_name(f"`{key}`")).alias("hash"), F.col(f"`{key}`").alias("key"), F.col("text_crc32").alias("crc"), "size")
+    placed = in_order(rows, ["shard", "hash", "key", "crc", "size"], "shards")
+    starts = placed.groupBy("shard").agg(F.min("at").alias("first"))  # one row for each shard
+    return placed.join(F.broadcast(starts), "shard").select("doc.*", (F.col("at") - F.col("first")).alias("slot"))
 
 
 SHARDS = 40
