@@ -98,7 +98,7 @@ def with_stats(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFr
             cols = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(c, pa.int64()) for c in cols], [*kept.names, *_NAMES])
 
-    return df.select(*keep, utf8(text).alias("_body")).mapInArrow(count, schema)
+    return df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), utf8(text).alias("body")).mapInArrow(count, schema)
 
 
 def features() -> dict[str, Column]:
@@ -258,7 +258,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     """The rows of ``docs`` that quality_rules keeps, with all their columns as they are."""
     rules = learn_rules(*labelled_sample(docs, labels, key, text, max_labelled))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return judge(with_stats(rows, ["_row"], f"_row.{text}"), rules).where("kept").select("_row.*")
+    return judge(with_stats(rows, ["_row"], f"_row.`{text}`"), rules).where("kept").select("_row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
