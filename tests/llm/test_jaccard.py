@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import test_pipeline
 from test_simhash import fingerprint
@@ -77,6 +78,17 @@ def test_components(spark, near_rows, monkeypatch, frequent):
     assert [got[k] for k, _ in near_rows] == components(near_rows)
 
 
+def test_parity_bounds():
+    """Never less than what two texts have in common, and far less than their sizes if that is little."""
+    r = np.random.default_rng(5)
+    for n, m, common in [(0, 0, 0), (1, 1, 1), (300, 280, 0), (300, 280, 250), (5000, 300, 200), (90_000, 100_000, 50), (70_000, 70_000, 69_000)]:
+        s = r.integers(-(2**63), 2**63 - 1, n + m - common)
+        a, b = np.sort(s[:n]), np.sort(s[n - common :])
+        bound = jaccard.most_common(jaccard.parity(a), jaccard.parity(b), n, m)
+        assert common <= bound <= common + 0.5 * (n + m - 2 * common) + 2
+        assert bound == jaccard.most_common(jaccard.parity(b), jaccard.parity(a), m, n)
+
+
 def test_odd_rows(spark, odd, odd_rows, clashing, none, sorted_rows):
     want = sorted(((r[0], c) for r, c in zip(odd_rows, components([r[:2] for r in odd_rows]))), key=repr)
     assert sorted_rows(jaccard.similar_components(odd)) == want

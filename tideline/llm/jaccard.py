@@ -7,9 +7,9 @@ apart than any budget that a trie can prune by, so what is not linked yet goes
 through a prefix filter: all shingles are put in one order, those that a sample
 finds frequent last; two sets of similarity t or more share one of the first
 n - ceil(t n) + 1 shingles of each, so no pair is missed, whatever the order. Each
-group's members are first compared with one of them, twice; what is linked needs no
+group's members are first compared with one of them; what is linked needs no
 more comparisons, so a group of k near copies costs about k. Every pair that is
-left and could be similar by its sizes and places is compared.
+left and could be similar by its sizes, its places and its parity bits is compared.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ from tideline.llm.simhash import MAX_BITS, majority, near_links
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Texts in the sample that frequent shingles are taken from, about, and the most of these.
-SAMPLE, FREQUENT, MOST_FREQUENT = 5_000, 10, 100_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 10, 100_000
 #: Rounds that compare a group's members with one of them.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Parity bits of a text: about two for each shingle, between these powers of two.
+LEAST_BITS, MOST_BITS = 9, 17
 _A_TO_Z = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -55,29 +57,45 @@ def shingles(body: bytes | None, width: int = SHINGLE_WORDS) -> tuple[int, np.nd
     return int(np.uint64(whole).astype(np.int64)), np.unique(hashes.view(np.int64))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """One bit for each place of a table: whether an odd number of the shingles is hashed to it."""
+    power = min(MOST_BITS, max(LEAST_BITS, len(s).bit_length() + 1))
+    return np.packbits(np.bincount(s.view(np.uint64) & np.uint64((1 << power) - 1), minlength=1 << power).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def most_common(x: bytes, y: bytes, n: int, m: int) -> int:
+    """How many shingles two texts of n and m can have in common: each odd bit of both together is one that they have not."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):  # of two places that become one, the parities add up
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return min(n, m, (n + m - int(np.bitwise_count(a ^ b).sum())) // 2)
+
+
 def marks(rows: DataFrame, width: int) -> DataFrame:
-    """row, key, id (of the text's words) and fp (SimHash of its distinct shingles) of (row, key, text) rows."""
+    """row, key, id (of the text's words), fp (SimHash of its distinct shingles), n (their number) and odd (their parity bits) of (row, key, text) rows."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [shingles(x, width) for x in b.column(2).to_pylist()]
             fps = np.array([majority(s.view(np.uint64)) for _, s in got], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i for i, _ in got], pa.int64()), pa.array(fps, pa.int64())], ["row", "key", "id", "fp"])
+            more = [pa.array([i for i, _ in got], pa.int64()), pa.array(fps, pa.int64()), pa.array([len(s) for _, s in got], pa.int32()), pa.array([parity(s) for _, s in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], ["row", "key", "id", "fp", "n", "odd"])
 
-    return rows.select("row", "key", utf8("text").alias("b")).mapInArrow(run, f"row long, key {kind}, id long, fp long")
+    return rows.select("row", "key", utf8("text").alias("b")).mapInArrow(run, f"row long, key {kind}, id long, fp long, n int, odd binary")
 
 
-def frequent_shingles(texts: DataFrame, n: int, width: int) -> np.ndarray:
-    """Shingles of FREQUENT texts or more of a sample, rarest first. They only set the order."""
+def frequent_shingles(sample: DataFrame, width: int) -> np.ndarray:
+    """Shingles of FREQUENT texts or more of a sample (id, b), rarest first. They only set the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(x, width)[1], pa.int64())], ["h"])
 
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("b").mapInArrow(run, "h long")
-    counts = sample.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= FREQUENT)
+    counts = sample.select("b").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= FREQUENT)
     top = counts.orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).collect()
     return np.array([r.h for r in reversed(top)], np.int64)
 
@@ -109,13 +127,30 @@ def prefixes(texts: DataFrame, frequent: np.ndarray, similarity: float, width: i
     return texts.select("id", "b").mapInArrow(run, "h long, id long, n int, at int")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have the similarity or more."""
-    pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    used = materialise(join_counted(texts, ids, ["id"], "left_semi"), "used")
-    right = pairs.join(used.select(F.col("id").alias("b"), F.col("b").alias("y")), "b")
-    both = right.join(used.select(F.col("id").alias("a"), F.col("b").alias("x")), "a").select("a", "b", "x", "y")
+class Texts:
+    """(row, b) of all rows, and (id, row, fp, n, odd) of one row for each text of its own words."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame):
+        self.rows, self.classes = rows, classes
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, b) for a written table of (id, row)."""
+        return join_written(self.rows, ids, ["row"]).select("id", "b")
+
+
+def similar(pairs: DataFrame, texts: Texts, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have the similarity or more.
+
+    Parity bits, which are a small part of the texts, leave out most pairs that have not.
+    """
+
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            could = []
+            for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                common = most_common(x, y, n, m)
+                could.append(common >= similarity * (n + m - common) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(could, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, s = None, None
@@ -129,8 +164,17 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -
                 near.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
+    pairs = materialise(pairs, "pairs")
+    side = lambda c: texts.classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}")).hint("merge")
+    marked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "odda", "nb", "oddb")
+    could = materialise(marked.mapInArrow(sifted, "a long, b long"), "pairs")
+    ids = could.select(F.col("a").alias("id")).union(could.select("b")).distinct()
+    ids = materialise(texts.classes.select("id", "row").join(ids.hint("merge"), "id"), "ids")
+    used = materialise(texts.of(ids), "used")
+    right = could.join(used.select(F.col("id").alias("b"), F.col("b").alias("y")).hint("merge"), "b")
+    both = right.join(used.select(F.col("id").alias("a"), F.col("b").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
     links = materialise(both.mapInArrow(run, "a long, b long"), "links")
-    discard(used, pairs)
+    discard(pairs, could, ids, used)
     return links
 
 
@@ -143,23 +187,25 @@ def close_fingerprints(classes: DataFrame, budget: int) -> DataFrame:
     return equal.union(links.select("a", "b")).distinct()
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, similarity: float, width: int, budget: int) -> DataFrame:
-    """Edges (a, b) over ids: with the same components as all pairs of the similarity or more.
-
-    classes: (id, fp), texts: (id, b), one row for each text of its own words.
-    """
-    parts = [similar(close_fingerprints(classes, budget), texts, similarity, width)]
-    every = materialise(prefixes(texts, frequent_shingles(texts, row_count(classes), width), similarity, width), "prefixes")
+def similar_links(texts: Texts, similarity: float, width: int, budget: int) -> DataFrame:
+    """(node, label) over ids: the components of all pairs of the similarity or more."""
+    links = similar(close_fingerprints(texts.classes.select("id", "fp"), budget), texts, similarity, width)
+    labels = connected_components(links)
+    discard(links)
+    ids = texts.classes.select("id", "row")
+    n = row_count(texts.classes)
+    sample = materialise(ids.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0), "sample")
+    frequent = frequent_shingles(texts.of(sample), width)
+    every = materialise(prefixes(texts.of(ids), frequent, similarity, width), "prefixes")
     often = materialise(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "often")
     shared = materialise(every.join(often.hint("merge"), "h", "left_semi"), "prefixes")
-    discard(every, often)
+    discard(sample, every, often)
     for r in range(STAR_ROUNDS + 1):
-        labels = connected_components(reduce(DataFrame.union, parts))
         marked = join_written(shared.drop("label"), labels.withColumnRenamed("node", "id"), ["id"], "left")
         marked = materialise(marked.withColumn("label", F.coalesce("label", "id")), "prefixes")
         several = materialise(marked.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h"), "several")
         open_ = materialise(marked.join(several.hint("merge"), "h", "left_semi"), "prefixes")
-        discard(shared, marked, labels, several)
+        discard(shared, marked, several)
         shared = open_
         if r < STAR_ROUNDS:
             other = open_.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)), "id", "n", "at", "label")).alias("c"))
@@ -171,23 +217,25 @@ def similar_links(classes: DataFrame, texts: DataFrame, similarity: float, width
         pairs = open_.join(other.hint("merge"), "h").where((F.col("label") != F.col("label2")) & possible)
         if r == STAR_ROUNDS:
             pairs = pairs.where("id < id2")
-        parts.append(similar(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), texts, similarity, width))
-    discard(open_)
-    return reduce(DataFrame.union, parts)
+        links = similar(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), texts, similarity, width)
+        before, labels = labels, connected_components(links.union(labels.select("label", "node")))
+        discard(before, links, *([other] if r < STAR_ROUNDS else []))
+    discard(shared)
+    return labels
 
 
 def similar_parts(rows: DataFrame, similarity: float, width: int, budget: int) -> DataFrame:
-    """(row, key, part) of (row, key, text) rows; rows is read twice."""
+    """(row, key, part) of (row, key, text) rows, which are read several times."""
     marked = materialise(marks(rows, width), "marked")
-    classes = materialise(marked.groupBy("id").agg(F.min("row").alias("row"), F.first("fp").alias("fp")), "classes")
-    texts = materialise(join_counted(rows.select("row", utf8("text").alias("b")), classes.select("row", "id"), ["row"]).select("id", "b"), "texts")
-    links = similar_links(classes.select("id", "fp"), texts, similarity, width, budget)
-    discard(texts)
-    labels = connected_components(links)
-    parts = join_written(classes, labels.withColumnRenamed("node", "id"), ["id"], "left")
+    classes = marked.groupBy("id").agg(F.min("row").alias("row"))
+    classes = materialise(join_counted(marked.drop("key"), classes, ["id", "row"], "left_semi"), "classes")
+    keys = materialise(marked.select("row", "key", "id"), "keys")
+    discard(marked)
+    labels = similar_links(Texts(rows.select("row", utf8("text").alias("b")), classes), similarity, width, budget)
+    parts = join_written(classes.select("id"), labels.withColumnRenamed("node", "id"), ["id"], "left")
     parts = materialise(parts.select("id", F.coalesce("label", "id").alias("part")), "parts")
     discard(classes, labels)
-    return marked.join(parts.hint("merge"), "id").select("row", "key", "part")
+    return keys.join(parts.hint("merge"), "id").select("row", "key", "part")
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, budget: int = MAX_BITS) -> DataFrame:
