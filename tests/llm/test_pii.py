@@ -1,6 +1,8 @@
 """Pseudonyms: permutations, formats that stay valid, equal values that stay linked."""
 
+import random
 import re
+import time
 from datetime import date
 
 import pytest
@@ -136,6 +138,95 @@ def test_documents(spark, odd, odd_rows, clashing, none, sorted_rows):
     assert name not in pii.pseudonymise_documents(df, "another").first().text
 
 
+def plain_emails(text):
+    """Addresses by looking at each @ and walking both ways."""
+    out, at = [], -1
+    local = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+    while (at := text.find("@", at + 1)) >= 0:
+        a, b = at, at + 1
+        while a and text[a - 1] in local:
+            a -= 1
+        while b < len(text) and (text[b] in local - set("_%+")):
+            b += 1
+        labels = text[at + 1 : b].split(".")
+        while labels and not (len(labels) > 1 and all(labels) and re.match("[A-Za-z]{2}", labels[-1])):
+            labels.pop()
+        if labels and 1 <= at - a <= 64 and (not out or a >= out[-1][1]):
+            labels[-1] = re.match("[A-Za-z]+", labels[-1])[0]
+            out.append((a, at + 1 + len(".".join(labels))))
+    return out
+
+
+def planted(r):
+    """A text of prose with values of known places, one kind beside the other."""
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    letters = lambda n: "".join(r.choices("abcdefghijkmnopqrstuvwxyz", k=n))
+    def card():
+        body = r.choice("45") + digits(14)
+        n = body + str(pii.luhn_digit(body))
+        return r.choice([n, " ".join(n[i : i + 4] for i in (0, 4, 8, 12)), "-".join(n[i : i + 4] for i in (0, 4, 8, 12))])
+    def iban():
+        body = digits(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+    def day():
+        d, m, y = r.randint(1, 28), r.randint(1, 12), r.randint(1900, 2099)
+        return r.choice([f"{y}-{m:02d}-{d:02d}", f"{d}/{m}/{y}", f"{d:02d}.{m:02d}.{y}", f"{m}/{r.randint(13, 28)}/{y}", f"{y}/{m}/{d}"])
+    make = {
+        "email": lambda: f"{letters(5)}.{letters(3)}+{digits(2)}@{letters(6)}.{r.choice(['com', 'co.uk', 'example.org'])}",
+        "secret": lambda: r.choice(["ghp_" + letters(36), "AKIA" + digits(16), "sk-" + letters(24), "xoxb-" + letters(12)]),
+        "iban": iban,
+        "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+        "date": day,
+        "ssn": lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}",
+        "card": card,
+        "phone": lambda: r.choice([f"({r.randint(200, 999)}) {r.randint(200, 999)}-{digits(4)}", f"+1 {r.randint(200, 999)}-555-{digits(4)}"]),
+    }
+    text, want = "", []
+    for _ in range(12):
+        text += " ".join(letters(r.randint(1, 9)) for _ in range(r.randint(1, 8))) + r.choice([" ", ": ", " (", "\n"])
+        kind = r.choice(list(make))
+        value = make[kind]()
+        want.append((len(text), len(text) + len(value), kind))
+        text += value + r.choice([" ", ", ", ") ", ".\n", "; "])
+    return text, want
+
+
+def test_recall():
+    """What is planted is found, all of it and nothing else, and keeps its length and its classes of characters."""
+    r = random.Random(12)
+    for _ in range(200):
+        text, want = planted(r)
+        new, spans = pii.pseudonymise(text, KEY)
+        assert spans == want, text
+        assert len(new) == len(text)
+        assert all(c == d or (c.isdigit() and d.isdigit()) or (c.islower() and d.islower()) or (c.isupper() and d.isupper()) for c, d in zip(text, new))
+        assert plain_emails(text) == [(a, b) for a, b, k in want if k == "email"]
+
+
+@pytest.mark.parametrize("text", ["a@b.co", "x" * 64 + "@y.org", "x" * 65 + "@y.org", "a@b@c.de", "a..b@c.d.e.ff1", "@x.com", "a@x", "a@x.c", "--a@x-y.com-", "a@b.com@c.org", "é@x.com e@x.comé"])
+def test_emails(text):
+    assert [(a, b) for a, b, k in pii.pseudonymise(text, KEY)[1] if k == "email"] == plain_emails(text)
+
+
+@pytest.mark.parametrize("unit", ["x", "x.", "1", "1 ", "1.", "1-", "a@", "@", "a1b2c3", "ab ", "password ", "=", "sk-", "AKIA", "DE12 ", "+1 ", "(1", "1/", "x@y.z."])
+def test_long_runs(unit):
+    """A megabyte of anything takes a second or so."""
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    new, _ = pii.pseudonymise(text + " a.b@example.org", KEY)
+    assert time.perf_counter() - began < 8 and len(new) == len(text) + 16
+
+
+def test_widths_of_dates():
+    for text in ("1/5/2020", "1/15/2020", "31/1/2020", "05/1/2020", "1/05/2020", "01/05/2020", "2020-1-5", "2020-12-5", "2020/1/25", "9.9.1999"):
+        new = pii.calendar_date(text, KEY)
+        assert [len(x) for x in re.split("[-/.]", new)] == [len(x) for x in re.split("[-/.]", text)] and new != text
+    for style in ("{0}/{1}/2020", "{0:02d}/{1}/2020", "2020-{1}-{0}"):
+        old = {style.format(d, m) for m in range(1, 13) for d in range(1, 29)}
+        assert len({pii.calendar_date(x, KEY) for x in old}) == len(old)
+    assert pii.pseudonymise("١٢٣-٤٥-٦٧٨٩ ４１１１１１１１１１１１１１１１", KEY) == ("١٢٣-٤٥-٦٧٨٩ ４１１１１１１１１１１１１１１１", [])
+
+
 def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     rows = pii.op9_pii_pseudonyms(spark, sf_dir).collect()
