@@ -29,7 +29,9 @@ from tideline.llm.simhash import MAX_BITS, majority, near_links
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Texts in the sample that frequent shingles are taken from, about, and the most of these.
-SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 10, 100_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 100_000
+#: Shingles that a task holds before it hands them on.
+BATCH = 1 << 18
 #: Rounds that compare a group's members with one of them.
 STAR_ROUNDS = 1
 #: Parity bits of a text: about two for each shingle, between these powers of two.
@@ -79,9 +81,12 @@ def marks(rows: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingles(x, width) for x in b.column(2).to_pylist()]
-            fps = np.array([majority(s.view(np.uint64)) for _, s in got], np.uint64).view(np.int64)
-            more = [pa.array([i for i, _ in got], pa.int64()), pa.array(fps, pa.int64()), pa.array([len(s) for _, s in got], pa.int32()), pa.array([parity(s) for _, s in got], pa.binary())]
+            got = []
+            for x in b.column(2):
+                i, s = shingles(x.as_py(), width)
+                got.append((i, int(np.uint64(majority(s.view(np.uint64))).astype(np.int64)), len(s), parity(s)))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            more = [pa.array(c, k) for c, k in zip(list(zip(*got)) or [()] * 4, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], ["row", "key", "id", "fp", "n", "odd"])
 
     return rows.select("row", "key", utf8("text").alias("b")).mapInArrow(run, f"row long, key {kind}, id long, fp long, n int, odd binary")
@@ -92,8 +97,8 @@ def frequent_shingles(sample: DataFrame, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(x, width)[1], pa.int64())], ["h"])
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), width)[1], pa.int64())], ["h"])
 
     counts = sample.select("b").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= FREQUENT)
     top = counts.orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).collect()
@@ -107,9 +112,9 @@ def prefixes(texts: DataFrame, frequent: np.ndarray, similarity: float, width: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, ids, sizes, places = [], [], [], []
-            for i, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(body, width)[1]
+            found, ids, sizes, places, held = [], [], [], [], 0
+            for i, body in zip(b.column(0).to_pylist(), b.column(1)):
+                s = shingles(body.as_py(), width)[1]
                 if not len(s):
                     continue
                 first = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
@@ -121,6 +126,10 @@ def prefixes(texts: DataFrame, frequent: np.ndarray, similarity: float, width: i
                 ids.append(np.full(first, i, np.int64))
                 sizes.append(np.full(first, len(s), np.int32))
                 places.append(np.arange(first, dtype=np.int32))
+                held += first
+                if held > BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, ids, sizes, places)], ["h", "id", "n", "at"])
+                    found, ids, sizes, places, held = [], [], [], [], 0
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, ids, sizes, places)], ["h", "id", "n", "at"])
 
@@ -156,10 +165,10 @@ def similar(pairs: DataFrame, texts: Texts, similarity: float, width: int) -> Da
         last, s = None, None
         for batch in batches:
             near = []
-            for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != last:
-                    last, s = a, shingles(x, width)[1]
-                t = shingles(y, width)[1]
+                    last, s = a, shingles(x.as_py(), width)[1]
+                t = shingles(y.as_py(), width)[1]
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 near.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
