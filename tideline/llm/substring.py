@@ -4,12 +4,14 @@ Sampled k-mers: every window of 20 words is stood for by the least-hashed of its
 6-word k-mers, so equal windows choose equal k-mers at equal places. The windows of
 a document that choose the same occurrence of a k-mer form a run, the edge of that
 k-mer, labelled by its windows' hashes; the run after it in the document is its
-successor. K-mers seen once have no repeated edge and are dropped.
-
-Graph: a k-mer with one label is one edge. A k-mer with several branches, and those
-of its labels that share windows are cut into single windows. So each repeated
-window belongs to one vertex, always the same. A link between neighbours does not
-branch if each occurrence of either vertex is next to the other, that is, if link
+successor. Windows that repeat an earlier one of their own document are settled on
+the spot, word by word, and take no further part, as their first place is enough for
+all others. K-mers seen once have no repeated edge and are dropped.
+
+Graph: a k-mer with one label is one edge. A k-mer with several labels branches, and
+these are cut into windows, of which those stay together that have one predecessor
+and one successor in all labels. So each repeated window belongs to one vertex, always
+the same. A link between neighbours does not branch if each occurrence of either vertex is next to the other, that is, if link
 and both vertices are counted equally often. Links are counted and joined to the
 vertices' occurrences, and chains of unbranched links are compacted into paths.
 
@@ -103,36 +105,78 @@ def _chunks(bodies: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None
             first, size = i, 0
 
 
-def runs_of(bodies: list[bytes | None]) -> tuple[np.ndarray, ...]:
-    """(kmer, label, text, start, windows) of every run in some texts."""
+def own_repeats(bodies: list[bytes | None], counts: np.ndarray, doc: np.ndarray, windows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and number of stretches of windows whose words also start earlier in their text, as places among all words."""
+    keys = _mix(windows[at] * _M1 + doc[at].astype(np.uint64))
+    order = np.argsort(keys, kind="stable")
+    fresh = np.r_[True, keys[order][1:] != keys[order][:-1]]
+    later, first = at[order[~fresh]], at[order[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))][~fresh]]
+    turn = np.argsort(later)
+    later, first = later[turn], first[turn]
+    edge = np.flatnonzero(np.r_[True, (np.diff(later) != 1) | (np.diff(first) != 1) | (np.diff(doc[later]) != 0)] if len(later) else np.zeros(0, bool))
+    before, split, out = np.cumsum(counts) - counts, (-1, []), []
+    for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(later)]):
+        d = int(doc[later[a]])
+        if doc[first[a]] != d:
+            continue
+        if split[0] != d:
+            split = (d, bodies[d].split())
+        x, y, words = int(later[a] - before[d]), int(first[a] - before[d]), split[1]
+        n = z - a
+        if words[x : x + n + WINDOW - 1] == words[y : y + n + WINDOW - 1]:
+            out.append((int(later[a]), n))
+        else:
+            out += [(int(later[a]) + i, 1) for i in range(n) if words[x + i : x + i + WINDOW] == words[y + i : y + i + WINDOW]]
+    start, size = np.array(out, np.int64).reshape(-1, 2).T
+    fresh = np.flatnonzero(np.r_[True, start[1:] != start[:-1] + size[:-1]] if len(out) else np.zeros(0, bool))
+    return start[fresh], np.add.reduceat(size, fresh) if len(out) else size
+
+
+def runs_of(bodies: list[bytes | None]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(kmer, label, text, start, windows) of every run in some texts, and (text, start, windows) of their own repeats."""
     words, counts = word_hashes(bodies)
     none = np.zeros(0, np.int64)
+    nothing = (none,) * 5, (none,) * 3
     if len(words) < WINDOW:
-        return none, none, none, none, none
+        return nothing
     kmers, windows = gram_hashes(words)
     doc = np.repeat(np.arange(len(bodies)), counts)
     at = np.flatnonzero(doc[: len(windows)] == doc[WINDOW - 1 :])
     if not len(at):
-        return none, none, none, none, none
+        return nothing
+    before = np.cumsum(counts) - counts
+    again, again_size = own_repeats(bodies, counts, doc, windows, at)
+    if len(again):
+        gone = np.zeros(len(words) + 1, np.int64)
+        np.add.at(gone, again, 1)
+        np.add.at(gone, again + again_size, -1)
+        at = at[np.cumsum(gone)[at] == 0]
     least = np.lib.stride_tricks.sliding_window_view(kmers, WINDOW - KMER + 1).argmin(axis=1)[at] + at
     start = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)])
     size = np.diff(np.r_[start, len(at)])
     label = _mix(np.add.reduceat(_mix(windows[at]), start) + size.astype(np.uint64))
     first = at[start]
     which = doc[first]
-    return kmers[least[start]].view(np.int64), label.view(np.int64), which, first - (np.cumsum(counts) - counts)[which], size
+    own = doc[again]
+    return (kmers[least[start]].view(np.int64), label.view(np.int64), which, first - before[which], size), (own, again - before[own], again_size)
 
 
 def edges(docs: DataFrame) -> DataFrame:
-    """(kmer, label, row, doc, place) of every run of (row, doc, body) rows; place packs start and number of windows."""
+    """(kmer, label, row, doc, place) of every run of (row, doc, body) rows; place packs start and number of windows.
+
+    Of a document's own repeats kmer is null, place the start and label the number of windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kmer", "label", "row", "doc", "place"]
         for b in batches:
             rows, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, bodies in _chunks(b.column(2).to_pylist()):
-                kmer, label, which, start, size = runs_of(bodies)
-                which = which + first
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (kmer, label, rows[which], keys[which], start << 8 | size)], ["kmer", "label", "row", "doc", "place"])
+                (kmer, label, which, start, size), (own, own_start, own_size) = runs_of(bodies)
+                which, own = which + first, own + first
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (kmer, label, rows[which], keys[which], start << 8 | size)], names)
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), *(pa.array(x, pa.int64()) for x in (own_size, rows[own], keys[own], own_start))], names)
 
     return docs.select("row", "doc", "body").mapInArrow(run, "kmer long, label long, row long, doc long, place long")
 
@@ -189,37 +233,44 @@ def _windows_at(texts: Texts, places: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "kmer long, label long, n long, hash array<long>")
 
 
-def vertices(texts: Texts) -> DataFrame:
-    """(row, doc, start, size, k, v, n): the occurrences of every repeated vertex (k, v), seen n times.
+def vertices(texts: Texts, every: DataFrame) -> DataFrame:
+    """(row, doc, start, size, k, v, n): the occurrences of every repeated vertex (k, v), seen n times, of written edges.
 
-    A vertex is a run that shares no window with another label of its k-mer, or one
-    window of those that do. Counts are partial sums before any shuffle, and joins
+    A vertex is a run of a k-mer with one label, or some windows of a run that always
+    stand together. Counts are partial sums before any shuffle, and joins
     have written tables on both sides, so that adaptive execution can split k-mers
     and labels that a frequent passage fills.
     """
-    every = materialise(edges(texts.docs), "edges")
+    every = every.where("kmer is not null")
     seen_again = materialise(every.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kmer"), "kmers")
     some = materialise(every.join(seen_again.hint("merge"), "kmer", "left_semi"), "repeated")
-    discard(every, seen_again)
+    discard(seen_again)
 
     # distinct labels, each with one of its places; a k-mer with two or more branches
     labels = materialise(some.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("place").alias("place")), "labels")
     branching = materialise(labels.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kmer"), "branching")
     branches = labels.join(branching.hint("merge"), "kmer", "left_semi")
     windows = materialise(_windows_at(texts, branches), "windows")
-    window = windows.select("kmer", "label", "n", F.size("hash").alias("size"), F.posexplode("hash").alias("j", "hash"))
-    often = materialise(window.groupBy("kmer", "hash").agg(F.sum("n").alias("m")).where("m > 1"), "often")
-    shared = (
-        window.join(often.hint("merge"), ["kmer", "hash"])
-        .groupBy("kmer", "label")
-        .agg(F.collect_list(F.struct("j", "hash", "m")).alias("shared"), F.bool_and(F.col("m") == F.col("n")).alias("alone"), F.first("size").alias("size"))
-        .select("kmer", "label", F.when(~F.col("alone") | (F.size("shared") < F.col("size")), F.col("shared")).alias("shared"), F.lit(True).alias("branch"))
+    # degrees inside a run; the ends of a run count as one more neighbour
+    side = lambda i: F.coalesce(F.try_element_at("hash", i).bitwiseAND((1 << 32) - 1), F.lit(-1))
+    neighbours = F.transform("hash", lambda h, j: F.struct(j.alias("j"), h.alias("hash"), side(j + 2).alias("next"), F.when(j > 0, side(j)).otherwise(-1).alias("prev")))
+    window = windows.select("kmer", "label", "n", F.explode(neighbours).alias("w")).select("kmer", "label", "n", "w.*")
+    ends = [f(c).alias(f"{c}_{k}") for c in ("next", "prev") for k, f in (("lo", F.min), ("hi", F.max))]
+    often = window.groupBy("kmer", "hash").agg(F.sum("n").alias("m"), *ends).where("m > 1")
+    often = materialise(often.select("kmer", "hash", "m", F.expr("next_lo = next_hi and next_lo >= 0").alias("one_out"), F.expr("prev_lo = prev_hi and prev_lo >= 0").alias("one_in")), "often")
+    shared = window.join(often.hint("merge"), ["kmer", "hash"]).groupBy("kmer", "label").agg(F.sort_array(F.collect_list(F.struct("j", "hash", "m", "one_out", "one_in"))).alias("w"))
+    stretch = "struct<j:int,size:int,v:bigint,n:bigint,open:boolean>"
+    joined = lambda a, x: F.element_at(a, -1)["open"] & x["one_in"] & (F.element_at(a, -1)["j"] + F.element_at(a, -1)["size"] == x["j"])
+    longer = lambda a, x: F.concat(
+        F.slice(a, 1, F.size(a) - 1),
+        F.array(F.struct(F.element_at(a, -1)["j"].alias("j"), (F.element_at(a, -1)["size"] + 1).alias("size"), F.element_at(a, -1)["v"].alias("v"), F.element_at(a, -1)["n"].alias("n"), x["one_out"].alias("open"))),
     )
-    known = labels.select("kmer", "label", "n").join(shared.hint("merge"), ["kmer", "label"], "left").where("n > 1 or branch")
-    known = materialise(known.select("kmer", "label", "n", "shared"), "known")
-    whole = F.array(F.struct(F.lit(0).alias("j"), F.col("place").bitwiseAND(255).cast("int").alias("size"), F.col("label").bitwiseOR(1).alias("v"), "n"))
-    single = F.transform("shared", lambda x: F.struct(x["j"].alias("j"), F.lit(1).alias("size"), x["hash"].bitwiseAND(-2).alias("v"), x["m"].alias("n")))
-    part = F.explode(F.when(F.col("shared").isNull(), whole).otherwise(single)).alias("x")
+    fresh = lambda x: F.array(F.struct(x["j"].alias("j"), F.lit(1).alias("size"), x["hash"].bitwiseAND(-2).alias("v"), x["m"].alias("n"), x["one_out"].alias("open")))
+    cut = F.aggregate("w", F.array().cast(f"array<{stretch}>"), lambda a, x: F.when((F.size(a) > 0) & joined(a, x), longer(a, x)).otherwise(F.concat(a, fresh(x))))
+    known = labels.select("kmer", "label", "n").join(shared.select("kmer", "label", cut.alias("parts")).hint("merge"), ["kmer", "label"], "left").where("n > 1 or parts is not null")
+    known = materialise(known, "known")
+    whole = F.array(F.struct(F.lit(0).alias("j"), F.col("place").bitwiseAND(255).cast("int").alias("size"), F.col("label").bitwiseOR(1).alias("v"), "n", F.lit(False).alias("open")))
+    part = F.explode(F.coalesce("parts", whole)).alias("x")
     found = some.join(known.hint("merge"), ["kmer", "label"]).select("row", "doc", "kmer", F.shiftright("place", 8).alias("start"), part)
     found = materialise(found.select("row", "doc", (F.col("start") + F.col("x.j")).alias("start"), "x.size", F.col("kmer").alias("k"), "x.v", "x.n"), "vertices")
     discard(some, labels, branching, windows, often, known)
@@ -281,7 +332,10 @@ def _order() -> Column:
 
 def repeated_stretches(texts: Texts) -> DataFrame:
     """(row, start, size): stretches of windows whose words also start at an earlier place, checked by their words."""
-    found = vertices(texts)
+    runs = materialise(edges(texts.docs), "edges")
+    found = vertices(texts, runs)
+    own = materialise(runs.where("kmer is null").select("row", F.col("place").alias("start"), F.col("label").alias("size")), "own")
+    discard(runs)
     every = paths(found)
     discard(found)
     same = _words_at(texts, every, single=False).select("k", "v", "words", _order().alias("p")).groupBy("k", "v", "words").agg(F.min("p").alias("p"))
@@ -297,7 +351,7 @@ def repeated_stretches(texts: Texts) -> DataFrame:
         checked, out = out, materialise(out.union(again.select("row", "start", F.lit(1).cast("long").alias("size"))), "later")
         discard(window, first, checked)
     discard(every, heads, unlike)
-    return out
+    return out.union(own)
 
 
 def _cover(counts: np.ndarray, which: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
