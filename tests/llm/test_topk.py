@@ -59,6 +59,42 @@ def test_integer_vectors(spark):
     assert got == {1: [128, -1], 7: [math.floor(256 * 0.10000000149011612), 768]}
 
 
+def test_unequal_lengths(spark):
+    """A query is compared with vectors of its length; those of no components have a product of zero."""
+    rows = [(i, [i, -i, 3]) for i in range(20)] + [(i, [i - 25, 2]) for i in range(20, 40)] + [(40, []), (41, []), (42, [7])]
+    df = spark.createDataFrame(rows, "id long, v array<long>").repartition(3)
+    want = [x for d in range(4) for x in brute([r for r in rows if len(r[1]) == d], [r for r in rows if len(r[1]) == d], 3)]
+    assert sorted(map(tuple, topk.top_k(df, df, 3, 5).collect())) == sorted(want)
+
+
+def test_far_shards_are_left_out(spark, monkeypatch):
+    """On vectors in clusters a query goes to few of the shards, and the result is that of all products."""
+    r = random.Random(5)
+    rows = []
+    for c in range(16):
+        centre = [r.choice([-900, 900]) for _ in range(6)]
+        rows += [(c * 100 + i, [x + r.randint(-20, 20) for x in centre]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, v array<long>").repartition(5)
+    sent = []
+    search = topk._search_shards
+    monkeypatch.setattr(topk, "_search_shards", lambda asked, shards, k, first: (sent.append((first, asked.count(), shards.select("shard").distinct().count())), search(asked, shards, k, first))[1])
+    queries = [x for x in rows if x[0] % 7 == 0]
+    assert sorted(map(tuple, topk.top_k(df.where("id % 7 = 0"), df, 5, 50).collect())) == brute(rows, queries, 5)
+    (_, home, shards), (_, more, _) = sent
+    assert home == len(queries) and shards >= 16 and more < 0.25 * len(queries) * shards
+
+
+def test_hot_cell_is_dealt_out(spark, monkeypatch):
+    """Half of all vectors are one: their cell becomes several shards."""
+    rows = [(i, [i % 50, 3]) for i in range(500)] + [(i, [9, 9]) for i in range(500, 1000)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    seen = []
+    search = topk._search_shards
+    monkeypatch.setattr(topk, "_search_shards", lambda asked, shards, k, first: (seen.append(shards.groupBy("shard").count().agg({"count": "max"}).first()[0]), search(asked, shards, k, first))[1])
+    assert sorted(map(tuple, topk.top_k(df.where("id < 40"), df, 5, 100).collect())) == brute(rows, rows[:40], 5)
+    assert seen[0] <= 250
+
+
 def test_bounds_are_tight():
     """Best-first traversal leaves out most of a tree whose vectors lie apart."""
     import numpy as np
