@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import jaccard, linededup, mixing, packing, quality
-from tideline.llm.common import materialise
+from tideline.llm.common import discard, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,7 +26,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of 5-word Jaccard similarity 0.8 or more: the one of the smallest doc_id."""
+    """One document of each component of 5-word Jaccard similarity 0.8 or more: the one of the smallest doc_id.
+
+    SimHash tries over the same shingles, each link checked; a prefix filter finds what lies beyond their bits.
+    """
     return jaccard.keep_one(docs.select(COLUMNS))
 
 
@@ -53,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences' pieces. A stage's table is deleted when the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,16 +44,22 @@ def _lists(values: pa.Array, size: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), values)
 
 
-def pca(s: Series, vec: Column, n: int, factors: int, centre: bool = False, anchor: bool = True) -> Column:
+def pca(s: Series, vec: Column, n: int, factors: int, centre: bool = False, anchor: bool = True, weights: Sequence[float] | None = None, gate: Column | None = None) -> Column:
     """Struct (e, u) of the last n vectors: singular values and loadings by rows.
 
     Vectors with a gap are left out; NULL where fewer are left than a vector has
-    parts. Frames with as many vectors are decomposed together.
+    parts. Frames with as many vectors are decomposed together. weights: one for
+    each place of the frame, oldest first; a missing vector fills no place. gate: factors are taken only where it
+    holds, and stay until it holds again.
     """
+    roots = None if weights is None else np.sqrt(np.array(weights, float))
 
     @F.arrow_udf(PCA)
     def solve(frames: pa.Array) -> pa.Array:
         x, starts = _frames(frames)
+        if roots is not None:
+            place = np.arange(len(x)) - np.repeat(starts[1:], np.diff(starts)) + n
+            x = x * roots[place][:, None]
         whole = ~np.isnan(x).any(axis=1)
         at, before = np.flatnonzero(whole), np.r_[0, np.cumsum(whole)]
         first, counts = before[starts[:-1]], np.diff(before[starts])
@@ -68,11 +74,23 @@ def pca(s: Series, vec: Column, n: int, factors: int, centre: bool = False, anch
         parts = [_lists(pa.array(e.ravel()), keep), _lists(_lists(pa.array(u.ravel()), keep), features)]
         return pa.StructArray.from_arrays(parts, ["e", "u"], mask=pa.array(~solved))
 
-    return solve(F.collect_list(vec).over(s.last(n)))
+    frame = F.collect_list(vec).over(s.last(n))
+    if gate is None:
+        return solve(frame)
+    return F.last(solve(F.when(gate, frame)), ignorenulls=True).over(s.upto())
+
+
+def unit_norm_beta(s: Series, vec: Column, n: int, weights: Sequence[float] | None = None) -> Column:
+    """The vector of length one along which the last n vectors have the largest (weighted) mean square.
+
+    It is the first factor of frames that are not centred; its last part is not negative.
+    """
+    return F.transform(pca(s, vec, n, 1, weights=weights)["u"], lambda row: F.get(row, F.lit(0)))
 
 
 def rbf(a: np.ndarray, b: np.ndarray, length: float, scale: float) -> np.ndarray:
-    return scale**2 * np.exp(-0.5 * (a[:, None] - b[None, :]) ** 2 / length**2)
+    """Of points that are broadcast against each other."""
+    return scale**2 * np.exp(-0.5 * (a - b) ** 2 / length**2)
 
 
 def gp_regression(df: DataFrame, s: Series, x: str, y: str, n: int, length: float = 1.0, scale: float = 1.0, noise: float = 0.1) -> DataFrame:
@@ -82,16 +100,18 @@ def gp_regression(df: DataFrame, s: Series, x: str, y: str, n: int, length: floa
     @F.pandas_udf("struct<gp_mean:double,gp_var:double>")
     def solve(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for past, at in frames:
-            rows = []
-            for f, x0 in zip(past, at):
-                pts = np.array([(p["x"], p["y"]) for p in f if p["x"] is not None and p["y"] is not None], float).reshape(-1, 2)
-                if x0 is None or np.isnan(x0):
-                    rows.append((None, None))
-                    continue
-                k = rbf(pts[:, 0], pts[:, 0], length, scale) + noise**2 * np.eye(len(pts))
-                ks = rbf(np.array([x0]), pts[:, 0], length, scale)
-                got = np.linalg.solve(k, np.c_[pts[:, 1], ks[0]]) if len(pts) else np.zeros((0, 2))
-                rows.append((float(ks[0] @ got[:, 0]), float(scale**2 - ks[0] @ got[:, 1])))
-            yield pd.DataFrame(rows, columns=["gp_mean", "gp_var"])
+            points = [np.array([(p["x"], p["y"]) for p in f if p["x"] is not None and p["y"] is not None], float).reshape(-1, 2) for f in past]
+            at, counts = at.to_numpy(float), np.array([len(p) for p in points])
+            mean, var = np.zeros(len(at)), np.full(len(at), scale**2)
+            for c in np.unique(counts[counts > 0]):  # frames with as many points are solved together
+                which = np.flatnonzero(counts == c)
+                pts = np.stack([points[i] for i in which])
+                k = rbf(pts[:, :, None, 0], pts[:, None, :, 0], length, scale) + noise**2 * np.eye(c)
+                ks = rbf(at[which, None], pts[:, :, 0], length, scale)
+                got = np.linalg.solve(k, np.stack([pts[:, :, 1], ks], axis=-1))
+                mean[which] = (ks * got[..., 0]).sum(axis=1)
+                var[which] -= (ks * got[..., 1]).sum(axis=1)
+            none = np.isnan(at)
+            yield pd.DataFrame({"gp_mean": np.where(none, np.nan, mean), "gp_var": np.where(none, np.nan, var)}).astype(object).where(lambda d: d.notna(), None)
 
     return df.withColumn("_g", solve(frame, F.col(x).cast("double"))).select(*df.columns, "_g.gp_mean", "_g.gp_var")

@@ -192,40 +192,41 @@ def xo_mean_ew_rms_ew(name: str, v: str, span_f: float, span_s: float, span_v: f
 def pos_linear(name: str, scale: str, date: str | None = None, signal: str | None = None, upper: float | None = None, lower: float | None = None, delta: float | None = None, freq: str | None = None, const: float | None = None) -> Recurrence:
     """Struct (pos, sig, scl): a position of signal over scale.
 
-    The first event has none. The signal is cut to [-3, 3]. freq sets when a new
-    scale is taken: always, "M" on a new month, "D15" on the 15th. With lower, upper
-    or freq a new signal is taken only if it is more than ``delta`` away, or crosses
-    upper from below or lower from above. Where signal or scale is missing the
-    former triple stays.
+    The first event has none. The signal is cut to [-3, 3]. Where signal or scale is
+    missing, its former value goes on; until all three parts have been there once,
+    the triple is what the event gives. freq sets when a new scale is taken: always,
+    "M" on a new month, "D15" on the 15th; it is the newest that was not missing.
+    With lower, upper or freq a new signal is taken only if it is more than ``delta``
+    away, or crosses upper from below or lower from above; a signal that was at the
+    bound has not come from beyond it.
     """
     if freq not in (None, "M", "D15"):
         raise ValueError("freq is M or D15")
     simple = lower is None and upper is None and freq is None
 
     def triple(sig, scl):
-        return {"pos": sig / scl if sig is not None and scl else None, "sig": sig, "scl": scl}
-
-    empty = {"pos": None, "sig": None, "scl": None}
+        return sig / scl if sig is not None and scl else None, sig, scl
 
     def step(state, scl, *more):
         more = list(more)
         sig = more.pop(0) if signal else float(const or 1.0)
         day = more.pop(0) if date else None
+        former, seen, last_day = state or ((None,) * 3, None, None)
+        seen = seen if scl is None else scl
+        sig = None if sig is None else min(3.0, max(-3.0, sig))
         if state is None:
-            return (empty, day), empty
-        old, last_day = state
-        if sig is None or scl is None:
-            return (old, day), old
-        sig = min(3.0, max(-3.0, sig))
-        if simple or old["pos"] is None:
+            out = (None,) * 3
+        elif None in former:
             out = triple(sig, scl)
-            return (out, day), out
-        take = freq is None or (freq == "M" and last_day is not None and day.month != last_day.month) or (freq == "D15" and day.day == 15)
-        scl = scl if take else old["scl"]
-        was = old["sig"]
-        moves = delta is not None and abs(sig - was) > delta
-        crosses = (upper is not None and was <= upper < sig) or (lower is not None and was >= lower > sig)
-        out = triple(sig if moves or crosses else was, scl)
-        return (out, day), out
+        else:
+            _, was, out_scl = former
+            sig = was if sig is None else sig
+            if freq is None or (day is not None and (day.day == 15 if freq == "D15" else last_day is not None and day.month != last_day.month)):
+                out_scl = seen
+            moves = delta is not None and abs(sig - was) > delta
+            crosses = (upper is not None and was < upper < sig) or (lower is not None and was > lower > sig)
+            out = triple(sig if simple or moves or crosses else was, out_scl)
+        former = tuple(b if b is not None else a for a, b in zip(former, out))
+        return (former, seen, day), dict(zip(("pos", "sig", "scl"), out))
 
     return Recurrence(name, (scale, *([signal] if signal else []), *([date] if date else [])), step, "struct<pos:double,sig:double,scl:double>")

@@ -62,13 +62,17 @@ def quantile(s: Series, v: Column, q: float, n: int) -> Column:
 
 
 def cov(s: Series, v1: Column, v2: Column, n: int, mu_1: Column | None = None, mu_2: Column | None = None) -> Column:
-    """Mean of (v1 - mu_1)(v2 - mu_2) over pairs with both; a mean left out is the series' own over the frame."""
+    """Mean of (v1 - mu_1)(v2 - mu_2) over pairs with both; a mean left out is the series' own over the frame.
+
+    Taken about the pairs' own means and shifted by their distance from the given
+    ones, so that nothing is lost where values are large and vary little.
+    """
     w = s.last(n)
     m1 = mu_1 if mu_1 is not None else F.avg(v1).over(w)
     m2 = mu_2 if mu_2 is not None else F.avg(v2).over(w)
     both = v1.isNotNull() & v2.isNotNull()
     a, b = F.when(both, v1), F.when(both, v2)
-    return F.avg(a * b).over(w) - m2 * F.avg(a).over(w) - m1 * F.avg(b).over(w) + m1 * m2
+    return F.covar_pop(a, b).over(w) + (F.avg(a).over(w) - m1) * (F.avg(b).over(w) - m2)
 
 
 def lag(s: Series, v: Column, n: int) -> Column:

@@ -225,19 +225,39 @@ def compile_rows(rows: Sequence[Mapping[str, object]], series: Series) -> Pipeli
     return out
 
 
-def plot_frame(df: DataFrame, series: Series, spec: Sequence[Mapping[str, object]], start: object = None, end: object = None) -> DataFrame:
-    """The columns that plot rows (label, expr) ask for, between two times.
+def plot_frame(df: DataFrame, series: Series, spec: Sequence[Mapping[str, object]], start: object = None, end: object = None, frames: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The columns that plot rows (label, name, expr, slot, align, x, y2) ask for, between two times.
 
     expr: ``identity`` or ``cumsum``, each with ``:trim=k`` to leave out the first k.
+    align: the name of one of ``frames`` that the label is a column of; it is put on
+    the rows of ``df`` as temporal.align does: the newest value since the row before.
+    A row with x names the column that others are drawn over; it is taken as it is.
     """
+    plot_axes(spec)
     cols = {}
-    for row in spec:
+    for i, row in enumerate(spec):
+        label = str(row["label"])
+        if row.get("align"):
+            df = temporal.align(df, (frames or {})[str(row["align"])], series, label, f"_aligned_{i}")
+            label = f"_aligned_{i}"
         kind, _, trim = str(row.get("expr") or "identity").partition(":trim=")
-        v = F.col(str(row["label"]))
+        v = F.col(label)
         v = v[int(row["slot"])] if row.get("slot") is not None else v
         out = rolling.cum_sum(series, v) if kind == "cumsum" else v
-        cols[str(row.get("name") or row["label"])] = rolling.trimmed(series, v, out, int(trim or 0))
+        cols[_name_of(row)] = v if row.get("x") else rolling.trimmed(series, v, out, int(trim or 0))
     df = df.select(*series.keys, *series.order, *[c.alias(n) for n, c in cols.items()])
     if start is not None:
         df = df.where(F.col(series.time) >= F.lit(start))
     return df if end is None else df.where(F.col(series.time) <= F.lit(end))
+
+
+def _name_of(row: Mapping[str, object]) -> str:
+    return str(row.get("name") or row["label"])
+
+
+def plot_axes(spec: Sequence[Mapping[str, object]]) -> dict[str, object]:
+    """Which of plot_frame()'s columns is x (None: the rows' order), and which are drawn on the left (y) and on the right (y2)."""
+    xs = [_name_of(r) for r in spec if r.get("x")]
+    if len(xs) > 1:
+        raise ValueError(f"more than one x: {xs}")
+    return {"x": xs[0] if xs else None, "y": [_name_of(r) for r in spec if not r.get("x") and not r.get("y2")], "y2": [_name_of(r) for r in spec if r.get("y2")]}

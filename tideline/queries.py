@@ -54,7 +54,6 @@ def U() -> Column:
     return F.col("u")
 
 
-
 def add(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     QUERIES[name] = fn
     if sql:
@@ -103,20 +102,32 @@ add(
 )
 on_events("rolling_lag", lambda: rolling.lag(EVENTS, V(), 4), "lag(v, 3) OVER o")
 on_events("rolling_strict_mean", lambda: rolling.strict(EVENTS, V(), N, 4, rolling.mean(EVENTS, V(), N)), "CASE WHEN count(v) OVER w >= 4 THEN avg(v) OVER w END")
-_COV = """(avg(CASE WHEN u IS NOT NULL THEN v * u END) OVER w - avg(u) OVER w * avg(CASE WHEN u IS NOT NULL THEN v END) OVER w
-  - avg(v) OVER w * avg(CASE WHEN v IS NOT NULL THEN u END) OVER w + avg(v) OVER w * avg(u) OVER w)"""
+#: frames as lists, products of the distances from each series' own mean over the frame
+_COVS = f""", cf AS (SELECT *, list({{'v': v, 'u': u}}) OVER w AS l, avg(v) OVER w AS mv, avg(u) OVER w AS mw, stddev_pop(v) OVER w AS sv, stddev_pop(u) OVER w AS su FROM ev {WINDOWS}),
+cc AS (SELECT *, list_avg(list_transform(l, lambda e: (e.v - mv) * (e.u - mw))) AS cov FROM cf)"""
 # scaled: values of two decimals would otherwise lie halfway between six places
-on_events("rolling_cov", lambda: rolling.cov(EVENTS, V(), U(), N) * 0.6180339887, f"({_COV}) * 0.6180339887")
+on_events("rolling_cov", lambda: rolling.cov(EVENTS, V(), U(), N) * 0.6180339887, "cov * 0.6180339887", _COVS, "cc")
 on_events("rolling_cov_given", lambda: rolling.cov(EVENTS, V(), U(), N, F.lit(100.0), F.lit(-50.0)) * 0.6180339887, "avg((v - 100) * (u + 50)) OVER w * 0.6180339887")
-_CORR = f"{_COV} / nullif(stddev_pop(v) OVER w * stddev_pop(u) OVER w, 0)"
+
+
+def cov_offset(spark: SparkSession, sf: str) -> DataFrame:
+    """Values near a milliard: what varies is a small part of them."""
+    far = lambda c: (c / 100 + 1e9)
+    return events(spark, sf).select("user_id", "event_id", (F.round(rolling.cov(EVENTS, far(V()), far(U()), N) * 0.6180339887, 3) + 0.0).alias("r"))
+
+
+add("rolling_cov_offset", cov_offset, f"""WITH {EV}, o AS (SELECT user_id, ts, event_id, v / 100 + 1e9 AS v, u / 100 + 1e9 AS u FROM ev),
+cf AS (SELECT *, list({{'v': v, 'u': u}}) OVER w AS l, avg(v - 1e9) OVER w + 1e9 AS mv, avg(u - 1e9) OVER w + 1e9 AS mw FROM o {WINDOWS})
+SELECT user_id, event_id, round(list_avg(list_transform(l, lambda e: (e.v - mv) * (e.u - mw))) * 0.6180339887, 3) + 0.0 AS r FROM cf""")
+_CORR = "cov / nullif(sv * su, 0)"
 
 
 def _corr() -> Column:
     return scalar.corr(rolling.cov(EVENTS, V(), U(), N), rolling.std(EVENTS, V(), N), rolling.std(EVENTS, U(), N))
 
 
-on_events("rolling_corr", _corr, _CORR)
-on_events("rolling_beta", lambda: scalar.beta(_corr(), rolling.std(EVENTS, V(), N), rolling.std(EVENTS, U(), N)), f"({_CORR}) * stddev_pop(v) OVER w / nullif(stddev_pop(u) OVER w, 0)")
+on_events("rolling_corr", _corr, _CORR, _COVS, "cc")
+on_events("rolling_beta", lambda: scalar.beta(_corr(), rolling.std(EVENTS, V(), N), rolling.std(EVENTS, U(), N)), f"({_CORR}) * sv / nullif(su, 0)", _COVS, "cc")
 _PREV = "last_value(v IGNORE NULLS) OVER pv"
 on_events("abs_change", lambda: rolling.abs_change(EVENTS, V()), f"v - {_PREV}")
 on_events("pct_change", lambda: rolling.pct_change(EVENTS, V()), f"v / nullif({_PREV}, 0) - 1")
@@ -194,24 +205,45 @@ def ew_blocks(spark: SparkSession, sf: str) -> DataFrame:
 add("ew_mean_blocks", ew_blocks, ORACLE_SQL["ew_mean"])
 
 
-def position(spark: SparkSession, sf: str) -> DataFrame:
-    df = events(spark, sf).select("user_id", "ts", "event_id", V().alias("px"), ((V() - 50) / 25).alias("sig"), F.to_date("ts").alias("day"))
-    out = fold.fold(df, EVENTS, [fold.pos_linear("p", "px", "day", "sig", upper=0.5, lower=-0.5, delta=0.3, freq="D15")])
+def position(spark: SparkSession, sf: str, signal: Column, delta: float | None, freq: str | None) -> DataFrame:
+    df = events(spark, sf).select("user_id", "ts", "event_id", V().alias("px"), signal.alias("sig"), F.to_date("ts").alias("day"))
+    out = fold.fold(df, EVENTS, [fold.pos_linear("p", "px", "day", "sig", upper=0.5, lower=-0.5, delta=delta, freq=freq)])
     return out.select("user_id", "event_id", r6(F.col("p.pos")).alias("pos"), r6(F.col("p.sig")).alias("sig"), r6(F.col("p.scl")).alias("scl"))
 
 
-add("pos_linear", position, f"""WITH RECURSIVE {EV}, s AS (
-  SELECT user_id, event_id, row_number() OVER o AS rn, v AS scl, least(3.0, greatest(-3.0, CASE WHEN v IS NOT NULL THEN (v - 50) / 25 END)) AS sig, day(ts) AS d FROM ev {WINDOWS}
-), st AS (
-  SELECT user_id, event_id, rn, NULL::DOUBLE AS pos, NULL::DOUBLE AS sig, NULL::DOUBLE AS scl FROM s WHERE rn = 1
+def positions_sql(source: str, delta: float | None, take: str) -> str:
+    """CTEs up to st (user_id, event_id, pos, sig, scl), by the rules of the blueprint's 2.11 over ``source``.
+
+    source: (user_id, event_id, ts, rn, scl, sig, day, day_before), rn from 1 in order; take: when a new scale is taken.
+    lp, ls and lc are the parts' last values that were not missing.
+    """
+    moves = f"abs(s2 - ls) > {delta} OR" if delta is not None else ""
+    return f"""cut AS (SELECT *, CASE WHEN sig IS NOT NULL THEN least(3.0, greatest(-3.0, sig)) END AS c, last_value(scl IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM {source}),
+st AS (
+  SELECT user_id, event_id, rn, NULL::DOUBLE AS pos, NULL::DOUBLE AS sig, NULL::DOUBLE AS scl, NULL::DOUBLE AS lp, NULL::DOUBLE AS ls, NULL::DOUBLE AS lc FROM cut WHERE rn = 1
   UNION ALL
-  SELECT user_id, event_id, rn, CASE WHEN hold THEN opos ELSE nsig / nullif(nscl, 0) END, CASE WHEN hold THEN osig ELSE nsig END, CASE WHEN hold THEN oscl ELSE nscl END FROM (
-    SELECT s.user_id, s.event_id, s.rn, s.scl IS NULL AS hold, st.pos AS opos, st.sig AS osig, st.scl AS oscl,
-      CASE WHEN st.pos IS NULL OR abs(s.sig - st.sig) > 0.3 OR (st.sig <= 0.5 AND s.sig > 0.5) OR (st.sig >= -0.5 AND s.sig < -0.5) THEN s.sig ELSE st.sig END AS nsig,
-      CASE WHEN st.pos IS NULL OR s.d = 15 THEN s.scl ELSE st.scl END AS nscl
-    FROM st JOIN s ON s.user_id = st.user_id AND s.rn = st.rn + 1)
-)
-SELECT user_id, event_id, round(pos, 6) + 0.0 AS pos, round(sig, 6) + 0.0 AS sig, round(scl, 6) + 0.0 AS scl FROM st""")
+  SELECT user_id, event_id, rn, nsig / nullif(nscl, 0), nsig, nscl, coalesce(nsig / nullif(nscl, 0), lp), coalesce(nsig, ls), coalesce(nscl, lc) FROM (
+    SELECT user_id, event_id, rn, lp, ls, lc,
+      CASE WHEN NOT ready THEN c WHEN {moves} (s2 > 0.5 AND ls < 0.5) OR (s2 < -0.5 AND ls > -0.5) THEN s2 ELSE ls END AS nsig,
+      CASE WHEN NOT ready THEN cur WHEN {take} THEN seen ELSE lc END AS nscl
+    FROM (SELECT x.user_id, x.event_id, x.rn, x.c, x.scl AS cur, x.seen, x.day, x.day_before, st.lp, st.ls, st.lc, coalesce(x.c, st.ls) AS s2,
+        st.lp IS NOT NULL AND st.ls IS NOT NULL AND st.lc IS NOT NULL AS ready
+      FROM st JOIN cut x ON x.user_id = st.user_id AND x.rn = st.rn + 1)))"""
+
+
+for _name, _signal, _sql, _delta, _freq in [
+    ("pos_linear", lambda: (V() - 50) / 25, "(v - 50) / 25", 0.3, "D15"),
+    ("pos_linear_missing", lambda: U() / 100, "u / 100", 0.3, "M"),  # signal and scale are missing in different rows
+    ("pos_linear_at_bound", lambda: F.round(V() / 50) / 2 - 0.5, "round(v / 50) / 2 - 0.5", None, None),  # on a grid that has both bounds
+]:
+    _take = {"D15": "day(day) = 15", "M": "month(day) <> month(day_before)", None: "true"}[_freq]
+    add(
+        _name,
+        lambda spark, sf, signal=_signal, delta=_delta, freq=_freq: position(spark, sf, signal(), delta, freq),
+        f"""WITH RECURSIVE {EV}, s AS (SELECT user_id, event_id, ts, row_number() OVER o AS rn, v AS scl, {_sql} AS sig, ts::DATE AS day, lag(ts::DATE) OVER o AS day_before FROM ev {WINDOWS}),
+{positions_sql("s", _delta, _take)}
+SELECT user_id, event_id, round(pos, 6) + 0.0 AS pos, round(sig, 6) + 0.0 AS sig, round(scl, 6) + 0.0 AS scl FROM st""",
+    )
 _POS = "last_value(CASE WHEN row_number > 1 THEN 1.0 / nullif(v, 0) END IGNORE NULLS) OVER up"
 on_events("pos_simple", lambda: signals.pos_simple(EVENTS, V()), _POS, ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_number FROM ev)", "n")
 
@@ -331,31 +363,65 @@ add("calendar_reindex", lambda spark, sf: bars.on_calendar(as_bars(spark, sf), "
 SELECT s.symbol, strftime(s.date, '%Y-%m-%d') AS date, close FROM s LEFT JOIN d ON s.symbol = d.symbol AND s.date = d.date""")
 
 
-def bar_days(spark: SparkSession, sf: str) -> DataFrame:
+def bar_days(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every symbol on every day from the first to the last that any has, and the bars."""
     b = as_bars(spark, sf)
-    days = temporal.spine(b.select("symbol").distinct(), F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"), "date", 2)
-    return days, b
+    low, high = b.agg(F.min("date"), F.max("date")).first()
+    return temporal.spine(b.select("symbol").distinct(), F.lit(low), F.lit(high), "date", 1), b
 
 
-add("daily_bar_vector", lambda spark, sf: bars.daily_bars(*bar_days(spark, sf)).select("symbol", day(), *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(("open", "high", "low", "close"))]), f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, high, low, close FROM d WHERE day(date) % 2 = 1")
+add("daily_bar_vector", lambda spark, sf: bars.daily_bars(*bar_days(spark, sf)).select("symbol", day(), *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(("open", "high", "low", "close"))]), f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, high, low, close FROM d")
 for _f in ("open", "high", "low", "close", "volume"):
-    add(f"daily_{_f}", lambda spark, sf, f=_f: bars.daily_field(*bar_days(spark, sf), f).select("symbol", day(), "v"), f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, {'n::DOUBLE' if _f == 'volume' else _f} AS v FROM d WHERE day(date) % 2 = 1")
-add("daily_open_interest", lambda spark, sf: bars.daily_field(*bar_days(spark, sf), "open_interest").select("symbol", day(), "v"), f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, NULL::DOUBLE AS v FROM d WHERE day(date) % 2 = 1")
+    add(f"daily_{_f}", lambda spark, sf, f=_f: bars.daily_field(*bar_days(spark, sf), f).select("symbol", day(), "v"), f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, {'n::DOUBLE' if _f == 'volume' else _f} AS v FROM d")
+add("daily_open_interest", lambda spark, sf: bars.daily_field(*bar_days(spark, sf), "open_interest").select("symbol", day(), "v"), f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, NULL::DOUBLE AS v FROM d")
 
 
 def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """All symbols but for the first and the last three days."""
+    path = f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
+    b = as_bars(spark, sf)
+    low, high = b.agg(F.date_add(F.min("date"), 3), F.date_sub(F.max("date"), 3)).first()
+    bars.write_bars(b, path)
+    return bars.read_bars(spark, path, None, str(low), str(high)).select("symbol", day(), "open", "close")
+
+
+add("bars_store_range", stored_bars, f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, close FROM d WHERE date BETWEEN (SELECT min(date) + 3 FROM d) AND (SELECT max(date) - 3 FROM d)")
+
+
+def identified_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """One contract under two adjustments in one store; the adjusted one is read back."""
     path = f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
-    bars.write_bars(as_bars(spark, sf), path)
-    return bars.read_bars(spark, path, ["1", "2", "3"], "2024-01-10", "2024-01-20").select("symbol", day(), "open", "close")
+    raw = as_bars(spark, sf)
+    half = raw.withColumns({c: F.col(c) / 2 for c in ("open", "high", "low", "close")})
+    both = bars.identify(raw, product="future", fx="EUR").unionByName(bars.identify(half, product="future", fx="EUR", adjust="back"))
+    bars.write_bars(both, path, ("product", "adjust", "symbol"))
+    return bars.read_bars(spark, path, by=("product", "adjust", "symbol"), where={"adjust": "back"}).select("symbol", "adjust", "fx", day(), r6(F.col("close")).alias("close"))
 
 
-add("bars_store_range", stored_bars, f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, close FROM d WHERE symbol IN ('1', '2', '3') AND date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'")
+add("bars_identified", identified_bars, f"WITH {BARS} SELECT symbol, 'back' AS adjust, 'EUR' AS fx, strftime(date, '%Y-%m-%d') AS date, round(close / 2, 6) + 0.0 AS close FROM d")
 add("calendar_source", lambda spark, sf: generators.const(generators.calendar(spark, "2024-01-01", "2024-12-31", 3), 1.5).select(day(), "v"), "SELECT strftime(d, '%Y-%m-%d') AS date, 1.5::DOUBLE AS v FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 3 DAY)) AS d)")
 add("const_source", lambda spark, sf: generators.const(generators.times(spark, 4, 50, 0.5), 2.0).select("key", "i", "t", "v"), "SELECT k.key, i::INTEGER AS i, i * 0.5::DOUBLE AS t, 2.0::DOUBLE AS v FROM range(4) k(key), range(50) n(i)")
-add("gaussian_noise", lambda spark, sf: generators.times(spark, 20, 500).withColumn("v", generators.gaussian(7)))
-add("gaussian_walk", lambda spark, sf: generators.walk(generators.times(spark, 20, 500), "key", "i", generators.gaussian(7)))
-add("gaussian_vec_mat", lambda spark, sf: generators.times(spark, 20, 100).withColumns({"vec": generators.gaussian_vec(7, 3), "mat": generators.gaussian_mat(11, 2, 3)}))
-add("loop_rand", lambda spark, sf: generators.random_times(spark, 20, 500, 5))
+
+
+def normal_sql(seed: int, part: int = 0) -> str:
+    """Box and Muller's normal number of (key, i)."""
+    u = [f"(('0x' || substr(md5(concat('{seed}:{part}:{k}:', key, ':', i)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0" for k in "ra"]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * ({u[1]}))"
+
+
+def times_sql(keys: int, n: int) -> str:
+    return f"t AS (SELECT k.key, i::INTEGER AS i, i::DOUBLE AS t FROM range({keys}) k(key), range({n}) n(i))"
+
+
+_PATH = "sum({}) OVER (PARTITION BY key ORDER BY i)"
+add("gaussian_noise", lambda spark, sf: generators.times(spark, 20, 500).select("key", "i", r6(generators.gaussian(7, "key", "i")).alias("v")), f"WITH {times_sql(20, 500)} SELECT key, i, round({normal_sql(7)}, 6) + 0.0 AS v FROM t")
+add("gaussian_walk", lambda spark, sf: generators.walk(generators.times(spark, 20, 500), "key", "i", generators.gaussian(7, "key", "i")).select("key", "i", r6(F.col("v")).alias("v")), f"WITH {times_sql(20, 500)} SELECT key, i, round({_PATH.format(normal_sql(7))}, 6) + 0.0 AS v FROM t")
+add(
+    "gaussian_vec_mat",
+    lambda spark, sf: generators.times(spark, 20, 100).withColumns({"vec": generators.gaussian_vec(7, 3, "key", "i"), "mat": generators.gaussian_mat(11, 2, 3, "key", "i")}).select("key", "i", *[r6(F.get("vec", F.lit(k))).alias(f"v{k}") for k in range(3)], *[r6(F.get(F.get("mat", F.lit(k // 3)), F.lit(k % 3))).alias(f"m{k}") for k in range(6)]),
+    f"WITH {times_sql(20, 100)} SELECT key, i, {', '.join([*(f'round({normal_sql(7, k)}, 6) + 0.0 AS v{k}' for k in range(3)), *(f'round({normal_sql(11, k)}, 6) + 0.0 AS m{k}' for k in range(6))])} FROM t",
+)
+add("loop_rand", lambda spark, sf: generators.random_times(spark, 20, 500, 5).select("key", "i", r6(F.col("t")).alias("t")), f"WITH {times_sql(20, 500)} SELECT key, i, round({_PATH.format(f'1.0 + 0.1 * ({normal_sql(5)})')}, 6) + 0.0 AS t FROM t")
 
 # -- gates and batches --------------------------------------------------------------
 
@@ -379,29 +445,29 @@ add("first_steps", lambda spark, sf: triggers.first_steps(events(spark, sf), EVE
 
 def vecs(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 6)
-    return e.select("vec_id", v.alias("v"), F.sort_array(v).alias("sorted"), F.array(F.slice(v, 1, 3), F.slice(v, 4, 3)).alias("m"))
+    v, half = F.col("embedding").cast("array<double>"), (F.size("embedding") / 2).cast("int")
+    return e.select("vec_id", v.alias("v"), F.sort_array(v).alias("sorted"), F.array(F.slice(v, F.lit(1), half), F.slice(v, half + 1, half)).alias("m"))
 
 
-VE = "ve AS (SELECT vec_id, v, list_sort(v) AS s FROM (SELECT vec_id, embedding[1:6]::DOUBLE[] AS v FROM embeddings))"
+VE = "ve AS (SELECT vec_id, v, list_sort(v) AS s, len(v) // 2 AS h FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))"
 for _name, _fn, _sql in [
-    ("vec_mean", lambda: vectors.mean_vec(F.col("v"), 1.0, 2.0), "list_sum(v) / 6 * 2 + 1"),
+    ("vec_mean", lambda: vectors.mean_vec(F.col("v"), 1.0, 2.0), "list_sum(v) / len(v) * 2 + 1"),
     ("vec_sum", lambda: vectors.sum_vec(F.col("v"), 1.0, 2.0), "list_sum(v) * 2 + 1"),
-    ("vec_sum_mat_row", lambda: vectors.sum_mat(F.col("m"), 1), "v[4] + v[5] + v[6]"),
-    ("vec_sum_mat_col", lambda: vectors.sum_mat(F.col("m"), 1, True), "v[2] + v[5]"),
-    ("vec_mat_entry", lambda: vectors.mat_entry(F.col("m"), 1, 2), "v[6]"),
+    ("vec_sum_mat_row", lambda: vectors.sum_mat(F.col("m"), 1), "list_sum(v[h + 1:])"),
+    ("vec_sum_mat_col", lambda: vectors.sum_mat(F.col("m"), 1, True), "v[2] + v[h + 2]"),
+    ("vec_mat_entry", lambda: vectors.mat_entry(F.col("m"), 1, 2), "v[h + 3]"),
     ("vec_subtract_i", lambda: vectors.subtract_vec_i(F.col("v"), F.col("sorted"), 0, 5, 1.0, 2.0), "1 + (v[1] - s[6]) * 2"),
     ("vec_dot", lambda: vectors.dot(F.col("v"), F.col("sorted")), "list_sum(list_transform(v, lambda x, i: x * s[i]))"),
     ("vec_scale_i", lambda: vectors.v_x_vec_i(F.lit(3.0), F.col("v"), 2), "3 * v[3]"),
-    ("vec_x_mat_i", lambda: vectors.vec_x_mat_i(F.slice("v", 1, 2), F.col("m"), 2), "v[1] * v[3] + v[2] * v[6]"),
+    ("vec_x_mat_i", lambda: vectors.vec_x_mat_i(F.slice("v", 1, 2), F.col("m"), 2), "v[1] * v[3] + v[2] * v[h + 3]"),
 ]:
     add(_name, lambda spark, sf, f=_fn: vecs(spark, sf).select("vec_id", r6(f()).alias("r")), f"WITH {VE} SELECT vec_id, round({_sql}, 6) + 0.0 AS r FROM ve")
 for _name, _fn, _sql in [
-    ("vec_norm_mid", vectors.norm_mid_vec, "x - (s[3] + s[4]) / 2"),
-    ("vec_norm_mid_pct", vectors.norm_mid_pct_vec, "(x - (s[3] + s[4]) / 2) / nullif((s[3] + s[4]) / 2, 0)"),
-    ("vec_norm_mid_inner", vectors.norm_mid_inner_vec, "(x - (s[3] + s[4]) / 2) / nullif(s[3] - s[4], 0)"),
+    ("vec_norm_mid", vectors.norm_mid_vec, "x - (s[h] + s[h + 1]) / 2"),
+    ("vec_norm_mid_pct", vectors.norm_mid_pct_vec, "(x - (s[h] + s[h + 1]) / 2) / nullif((s[h] + s[h + 1]) / 2, 0)"),
+    ("vec_norm_mid_inner", vectors.norm_mid_inner_vec, "(x - (s[h] + s[h + 1]) / 2) / nullif(s[h] - s[h + 1], 0)"),
 ]:
-    add(_name, lambda spark, sf, f=_fn: vecs(spark, sf).select("vec_id", F.posexplode(f(F.col("sorted"))).alias("i", "x")).select("vec_id", "i", F.round("x", 4).alias("r")), f"WITH {VE} SELECT vec_id, (i - 1)::INTEGER AS i, round({_sql}, 4) AS r FROM (SELECT vec_id, s, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM ve)")
+    add(_name, lambda spark, sf, f=_fn: vecs(spark, sf).select("vec_id", F.posexplode(f(F.col("sorted"))).alias("i", "x")).select("vec_id", "i", F.round("x", 4).alias("r")), f"WITH {VE} SELECT vec_id, (i - 1)::INTEGER AS i, round({_sql}, 4) AS r FROM (SELECT vec_id, s, h, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM ve)")
 on_events("vec_exp_weights", lambda: vectors.dot(vectors.exp_weights(4, 3.0), F.array(*[F.coalesce(rolling.lag(EVENTS, V(), 4 - i), F.lit(0.0)) for i in range(4)])), "(" + " + ".join(f"{0.5 ** (3 - i) / (0.9375 / 0.5)} * coalesce(lag(v, {3 - i}) OVER o, 0)" for i in range(4)) + ")")
 
 
@@ -434,6 +500,41 @@ def gp(spark: SparkSession, sf: str) -> DataFrame:
 
 add("gp_regression", gp)
 
+
+def gp_one(spark: SparkSession, sf: str) -> DataFrame:
+    """From the row before alone, which has a closed form."""
+    df = events(spark, sf).withColumn("x", F.row_number().over(EVENTS.ordered()).cast("double"))
+    return factors.gp_regression(df, EVENTS, "x", "v", 1).select("user_id", "event_id", r6(F.col("gp_mean")).alias("gp_mean"), r6(F.col("gp_var")).alias("gp_var"))
+
+
+add("gp_regression_one", gp_one, f"WITH {EV} SELECT user_id, event_id, round(coalesce(exp(-0.5) / 1.01 * lag(v) OVER o, 0), 6) + 0.0 AS gp_mean, round(CASE WHEN lag(v) OVER o IS NULL THEN 1.0 ELSE 1.0 - exp(-1.0) / 1.01 END, 6) + 0.0 AS gp_var FROM ev {WINDOWS}")
+
+
+def month_end_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Factors that are taken at the ends of months and held between."""
+    df = events(spark, sf).select("user_id", "ts", "event_id", F.array(V(), U()).alias("x"))
+    df = df.withColumn("p", factors.pca(EVENTS, F.col("x"), 4, 1, gate=dates.is_month_end(F.to_date("ts"))))
+    return df.select("user_id", "event_id", r6(F.get("p.e", F.lit(0))).alias("e0"))
+
+
+_MOMENTS_2 = f"""f AS (SELECT user_id, ts, event_id, list({{'v': v, 'u': u}}) OVER ({_O} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM ev),
+g AS (SELECT user_id, ts, event_id, list_filter(l, lambda e: e.v IS NOT NULL AND e.u IS NOT NULL) AS l FROM f),
+m AS (SELECT user_id, ts, event_id, len(l) AS n, list_sum(list_transform(l, lambda e: e.v * e.v)) AS a, list_sum(list_transform(l, lambda e: e.u * e.u)) AS d, list_sum(list_transform(l, lambda e: e.v * e.u)) AS b FROM g)"""
+add("pca_month_end", month_end_factors, f"""WITH {EV}, {_MOMENTS_2}, k AS (SELECT *, CASE WHEN n >= 2 AND ts::DATE = last_day(ts::DATE) THEN sqrt((a + d + sqrt((a - d) ** 2 + 4 * b * b)) / 2) END AS e FROM m)
+SELECT user_id, event_id, round(last_value(e IGNORE NULLS) OVER up, 6) + 0.0 AS e0 FROM k {WINDOWS}""")
+
+
+def beta(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean square along the unit vector that makes it largest, which is the frame's largest moment."""
+    df = events(spark, sf).select("user_id", "ts", "event_id", F.array(V(), U()).alias("x"))
+    df = df.withColumns({"b": factors.unit_norm_beta(EVENTS, F.col("x"), 4), "l": F.collect_list("x").over(EVENTS.last(4))})
+    whole = F.filter("l", lambda x: F.get(x, F.lit(0)).isNotNull() & F.get(x, F.lit(1)).isNotNull())
+    along = F.transform(whole, lambda x: F.pow(vectors.dot(x, F.col("b")), 2))
+    return df.select("user_id", "event_id", *[F.when(F.col("b").isNotNull(), r6(c)).alias(n) for n, c in (("r", F.aggregate(along, F.lit(0.0), lambda a, x: a + x)), ("norm", vectors.dot(F.col("b"), F.col("b"))))])
+
+
+add("unit_norm_beta", beta, f"WITH {EV}, {_MOMENTS_2} SELECT user_id, event_id, CASE WHEN n >= 2 THEN round((a + d + sqrt((a - d) ** 2 + 4 * b * b)) / 2, 6) + 0.0 END AS r, CASE WHEN n >= 2 THEN 1.0::DOUBLE END AS norm FROM m")
+
 # -- tables, dates, gaps ----------------------------------------------------------------
 
 
@@ -446,11 +547,11 @@ add(
     lambda spark, sf: tables.select(_tables(spark, sf), ["orders.o_orderkey", "customer.c_name", "nation.n_name"], [("orders.o_custkey", "customer.c_custkey"), ("customer.c_nationkey", "nation.n_nationkey")], ["orders.o_totalprice > 200000"], [("orders.o_orderkey", "desc")]),
     "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 200000",
 )
-_old, _new = (lambda spark, sf: orders(spark, sf).where("o_orderkey % 3 <> 0").select("o_orderkey", "o_totalprice")), (lambda spark, sf: orders(spark, sf).where("o_orderkey % 2 = 0").select("o_orderkey", (-F.col("o_totalprice")).alias("o_totalprice")))
-add("table_insert_ignore", lambda spark, sf: tables.insert_ignore(_old(spark, sf), _new(spark, sf), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice ELSE -o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
-add("table_insert_replace", lambda spark, sf: tables.insert_replace(_old(spark, sf), _new(spark, sf), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+_old, _new = (lambda spark, sf: orders(spark, sf).where("o_orderkey % 3 <> 0").select("o_orderkey", "o_totalprice")), (lambda spark, sf: orders(spark, sf).where("o_orderkey % 2 = 0 or o_orderkey % 3 = 0").select("o_orderkey", (-F.col("o_totalprice")).alias("o_totalprice")))
+add("table_insert_ignore", lambda spark, sf: tables.insert_ignore(_old(spark, sf), _new(spark, sf), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice ELSE -o_totalprice END AS o_totalprice FROM orders")
+add("table_insert_replace", lambda spark, sf: tables.insert_replace(_old(spark, sf), _new(spark, sf), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders")
 add("table_delete", lambda spark, sf: tables.delete(orders(spark, sf), "o_orderstatus = 'F'").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_orderstatus IS NULL")
-add("table_with_id", lambda spark, sf: tables.with_id(orders(spark, sf).select("o_orderkey"), ["o_orderkey"]).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.countDistinct("id").alias("n")), "SELECT 1::BIGINT AS low, count(*) AS high, count(*) AS n FROM orders")
+add("table_with_id", lambda spark, sf: tables.with_id(orders(spark, sf).select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "id"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS id FROM orders")
 add("date_ordinal", lambda spark, sf: orders(spark, sf).select("o_orderkey", dates.to_ordinal(F.col("day")).cast("long").alias("n"), F.date_format(dates.from_ordinal(dates.to_ordinal(F.col("day"))), "yyyy-MM-dd").alias("d")), "SELECT o_orderkey, date_diff('day', DATE '0001-01-01', o_orderdate::DATE) + 1 AS n, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
 add("date_parse", lambda spark, sf: orders(spark, sf).select("o_orderkey", F.date_format(dates.parse_date(F.element_at(F.array(*[F.date_format("day", p) for p in ("yyyy", "yyyyMMdd", "yyyy-MM", "yyyy-MM-dd", "dd/MM")]), (F.col("o_orderkey") % 5 + 1).cast("int"))), "yyyy-MM-dd").alias("d")), "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-01-01') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders")
 
@@ -516,20 +617,27 @@ add("flagship_trend", flagship_trend, f"""WITH RECURSIVE {EV}, mu AS (SELECT *,
 h AS (SELECT *, list({{'s': v, 'x': v, 'm': mu}}) FILTER (v IS NOT NULL) OVER up AS l FROM mu {WINDOWS}),
 b AS (SELECT *, CASE WHEN v IS NOT NULL THEN list_reduce(l, lambda a, e: {{'s': CASE WHEN e.x > a.s THEN e.x ELSE {1 - _A8} * a.s + {_A8} * e.m END, 'x': e.x, 'm': e.m}}).s END AS hi,
   CASE WHEN v IS NOT NULL THEN list_reduce(l, lambda a, e: {{'s': CASE WHEN e.x < a.s THEN e.x ELSE {1 - _A8} * a.s + {_A8} * e.m END, 'x': e.x, 'm': e.m}}).s END AS lo FROM h),
-s AS (SELECT *, ((v - lo) / nullif(hi - lo, 0) - 0.5) * 2.0 AS raw, least(3.0, greatest(-3.0, CASE WHEN lo <> hi THEN ((v - lo) / (hi - lo) - 0.5) * 2.0 END)) AS sig, day(ts) AS d FROM b),
-st AS (
-  SELECT user_id, event_id, rn, NULL::DOUBLE AS pos, NULL::DOUBLE AS sig, NULL::DOUBLE AS scl FROM s WHERE rn = 1
-  UNION ALL
-  SELECT user_id, event_id, rn, CASE WHEN hold THEN opos ELSE nsig / nullif(nscl, 0) END, CASE WHEN hold THEN osig ELSE nsig END, CASE WHEN hold THEN oscl ELSE nscl END FROM (
-    SELECT s.user_id, s.event_id, s.rn, s.v IS NULL OR s.raw IS NULL AS hold, st.pos AS opos, st.sig AS osig, st.scl AS oscl,
-      CASE WHEN st.pos IS NULL OR (st.sig <= 0.5 AND s.sig > 0.5) OR (st.sig >= -0.5 AND s.sig < -0.5) THEN s.sig ELSE st.sig END AS nsig,
-      CASE WHEN st.pos IS NULL OR s.d = 15 THEN s.v ELSE st.scl END AS nscl
-    FROM st JOIN s ON s.user_id = st.user_id AND s.rn = st.rn + 1)
-), j AS (SELECT s.user_id, s.event_id, s.ts, s.v, s.raw, st.pos FROM s JOIN st ON s.event_id = st.event_id),
+s AS (SELECT *, ((v - lo) / nullif(hi - lo, 0) - 0.5) * 2.0 AS raw, v AS scl, CASE WHEN lo <> hi THEN ((v - lo) / (hi - lo) - 0.5) * 2.0 END AS sig, ts::DATE AS day, NULL::DATE AS day_before FROM b),
+{positions_sql("s", None, "day(day) = 15")},
+j AS (SELECT s.user_id, s.event_id, s.ts, s.v, s.raw, st.pos FROM s JOIN st ON s.event_id = st.event_id),
 p AS (SELECT *, (v - {_PREV}) * last_value(pos IGNORE NULLS) OVER pv AS pnl FROM j {WINDOWS})
 SELECT user_id, event_id, round(raw, 6) + 0.0 AS sig, round(pos, 6) + 0.0 AS p, CASE WHEN pnl IS NOT NULL THEN round(sum(pnl) OVER up, 6) + 0.0 END AS total FROM p {WINDOWS}""")
 
 
+def plot_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """A plot over clicks: their values, and those of errors as far as one came since the click before."""
+    df = events(spark, sf)
+    slow = df.where("event_type = 'error'").select("user_id", "ts", "v")
+    rows = [{"label": "day", "x": True}, {"label": "value", "expr": "cumsum", "name": "total"}, {"label": "v", "align": "errors", "name": "error", "y2": True}]
+    out = plot_frame(clicks(df).withColumn("day", F.to_date("ts")), EVENTS, rows, frames={"errors": slow})
+    return out.select("user_id", "event_id", day("day"), r6(F.col("total")).alias("total"), r6(F.col("error")).alias("error"))
+
+
+add("plot_aligned", plot_aligned, f"""WITH {SIDES}, j AS (SELECT c.user_id, event_id, c.ts, c.value, e.ts AS found, v FROM c ASOF LEFT JOIN e ON c.user_id = e.user_id AND c.ts >= e.ts),
+b AS (SELECT *, lag(ts) OVER o AS before, sum(value) OVER up AS total FROM j {WINDOWS})
+SELECT user_id, event_id, strftime(ts, '%Y-%m-%d') AS day, round(total, 6) + 0.0 AS total, round(CASE WHEN before IS NULL OR found > before THEN v END, 6) + 0.0 AS error FROM b""")
+
+
 def flagship_spreads(spark: SparkSession, sf: str) -> DataFrame:
     """A stack of EW means, their neighbours' distances over the rms change, and their mean."""
     spans = (2, 4, 8)
@@ -575,9 +683,10 @@ def drained(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame]
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     stream = stream.withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value")))
-    how = "overwrite" if mode == "complete" else "append"
-    stateful.run_available(make(stream), lambda df, i: df.write.mode(how).parquet(f"{at}/out"), f"{at}/state", mode)
-    return spark.read.parquet(f"{at}/out")
+    # a batch that is written again replaces itself
+    place = (lambda i: f"{at}/out") if mode == "complete" else (lambda i: f"{at}/out/batch={i}")
+    stateful.run_available(make(stream), lambda df, i: df.write.mode("overwrite").parquet(place(i)), f"{at}/state", mode)
+    return spark.read.parquet(f"{at}/out").drop("batch")
 
 
 def stream_ew(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import os
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,40 +32,66 @@ def read_csv(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") ->
     return df.select(name.alias("symbol"), *df.columns)
 
 
-def read_zips(spark: SparkSession, path: str, pattern: str = "") -> DataFrame:
-    """The same rows from delimited members of zip archives whose name holds ``pattern``."""
+def read_zips(spark: SparkSession, path: str, pattern: str = "", one: bool = False) -> DataFrame:
+    """The same rows from delimited members of zip archives whose name holds ``pattern``.
+
+    one: each archive must have exactly one such member.
+    """
     schema = f"symbol string, {SCHEMA}"
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for body in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(body)) as z:
-                    for member in z.namelist():
-                        if pattern in member and not member.endswith("/"):
-                            rows = pd.read_csv(z.open(member), header=None)
-                            rows = rows.reindex(columns=range(7)).set_axis(["date", *FIELDS], axis=1)
-                            rows["date"] = pd.to_datetime(rows["date"]).dt.date
-                            rows.insert(0, "symbol", os.path.splitext(os.path.basename(member))[0])
-                            yield rows.astype({f: "float64" for f in FIELDS})
+                    members = [m for m in z.namelist() if pattern in m and not m.endswith("/")]
+                    if one and len(members) != 1:
+                        raise ValueError(f"{len(members)} members hold {pattern!r}, not one")
+                    for member in members:
+                        rows = pd.read_csv(z.open(member), header=None)
+                        rows = rows.reindex(columns=range(7)).set_axis(["date", *FIELDS], axis=1)
+                        rows["date"] = pd.to_datetime(rows["date"]).dt.date
+                        rows.insert(0, "symbol", os.path.splitext(os.path.basename(member))[0])
+                        yield rows.astype({f: "float64" for f in FIELDS})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, schema)
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Parquet by symbol, so that reading a symbol opens its folder alone."""
-    bars.repartition("symbol").write.mode("overwrite").partitionBy("symbol").parquet(path)
+#: What tells a table of bars apart, besides its days.
+IDENTIFIER = ("product", "symbol", "adjust", "expiry", "fx", "source")
+
+
+def identify(bars: DataFrame, **given: str | None) -> DataFrame:
+    """``bars`` with all columns of the identifier: given, there already, or NULL."""
+    if unknown := set(given) - set(IDENTIFIER):
+        raise TypeError(f"no part of an identifier: {sorted(unknown)}")
+    return bars.withColumns({c: F.lit(given.get(c)).cast("string") for c in IDENTIFIER if c in given or c not in bars.columns})
+
+
+def write_bars(bars: DataFrame, path: str, by: Sequence[str] = ("symbol",)) -> None:
+    """Parquet by symbol, or by other parts of the identifier, so that reading one opens its folder alone."""
+    bars.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+
 
+def read_bars(
+    spark: SparkSession, path: str, symbols: Sequence[str] | None = None, start: str | None = None, end: str | None = None, by: Sequence[str] = ("symbol",), where: Mapping[str, str | None] | None = None
+) -> DataFrame:
+    """Bars of some symbols and days; all conditions reach the files.
 
-def read_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Bars of some symbols and days; both conditions reach the files."""
-    df = spark.read.schema(f"{SCHEMA}, symbol string").parquet(path)
+    by: as written. where: values of parts of the identifier, None for a missing one.
+    With either, the result has the whole identifier.
+    """
+    whole = tuple(by) != ("symbol",) or where is not None
+    kept = [c for c in IDENTIFIER if whole or c == "symbol"]
+    df = spark.read.schema(", ".join([SCHEMA, *(f"{c} string" for c in kept)])).parquet(path)
     if symbols is not None:
         df = df.where(F.col("symbol").isin(*symbols))
+    for c, v in (where or {}).items():
+        df = df.where(F.col(c).eqNullSafe(F.lit(v)))
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         df = df.where(F.col("date") <= F.lit(end).cast("date"))
-    return df.select("symbol", "date", *FIELDS)
+    return df.select(*kept, "date", *FIELDS)
 
 
 def modified_since(spark: SparkSession, path: str, since: str) -> DataFrame:

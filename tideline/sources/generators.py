@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +22,24 @@ def calendar(spark: SparkSession, start: str, end: str, days: int = 1) -> DataFr
     return spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.make_interval(days=F.lit(days)))).alias("date"))
 
 
-def gaussian(seed: int, mean: float = 0.0, std: float = 1.0) -> Column:
-    return F.randn(seed) * F.lit(float(std)) + F.lit(float(mean))
+def uniform(seed: int | str, *by: str) -> Column:
+    """In (0, 1), from 52 bits of md5(seed:by:by...): a row's number depends on its key alone, wherever it is made."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def gaussian(seed: int, *by: str, mean: float = 0.0, std: float = 1.0, part: int = 0) -> Column:
+    """Normal, by two uniform numbers of the row that ``by`` names; ``part`` tells the numbers of one row apart."""
+    u, v = uniform(f"{seed}:{part}:r", *by), uniform(f"{seed}:{part}:a", *by)
+    return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * v) * F.lit(float(std)) + F.lit(float(mean))
 
 
-def gaussian_vec(seed: int, n: int, mean: float = 0.0, std: float = 1.0) -> Column:
-    return F.array(*[gaussian(seed + i, mean, std) for i in range(n)])
+def gaussian_vec(seed: int, n: int, *by: str, mean: float = 0.0, std: float = 1.0, part: int = 0) -> Column:
+    return F.array(*[gaussian(seed, *by, mean=mean, std=std, part=part + i) for i in range(n)])
 
 
-def gaussian_mat(seed: int, rows: int, cols: int, mean: float = 0.0, std: float = 1.0) -> Column:
-    return F.array(*[gaussian_vec(seed + i * cols, cols, mean, std) for i in range(rows)])
+def gaussian_mat(seed: int, rows: int, cols: int, *by: str, mean: float = 0.0, std: float = 1.0) -> Column:
+    return F.array(*[gaussian_vec(seed, cols, *by, mean=mean, std=std, part=i * cols) for i in range(rows)])
 
 
 def walk(df: DataFrame, key: str, order: str, noise: Column, name: str = "v") -> DataFrame:
@@ -40,4 +50,4 @@ def walk(df: DataFrame, key: str, order: str, noise: Column, name: str = "v") ->
 
 def random_times(spark: SparkSession, keys: int, n: int, seed: int, mean: float = 1.0, std: float = 0.1) -> DataFrame:
     """Events whose distances are normal."""
-    return walk(times(spark, keys, n).drop("t"), "key", "i", gaussian(seed, mean, std), "t")
+    return walk(times(spark, keys, n).drop("t"), "key", "i", gaussian(seed, "key", "i", mean=mean, std=std), "t")

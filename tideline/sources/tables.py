@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.folders import shared_dir
+
 
 def with_id(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
-    """Adds a number from 1 in the given order, within each of 256 hash ranges and shifted by those before."""
-    part = F.pmod(F.xxhash64(*order), F.lit(256)).cast("int")
-    cut = df.withColumn("_p", part)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    k = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return cut.withColumn("_k", k).join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_k")).drop("_p", "_k", "_s")
+    """Adds a number from 1, gapless, in the given order; rows equal in it stand side by side.
+
+    Rows are dealt by ranges of the order and written, which fixes partitions and
+    places in them; one row for each partition shifts these.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]).alias("row"))
+    by = [F.col(f"row.`{c}`") for c in order]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+    dealt = spark.read.parquet(path).withColumn("part", F.shiftright("place", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1) + 1
+    return dealt.join(F.broadcast(starts), "part").select("row.*", number.alias(name))
 
 
 def merge_columns(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -24,8 +35,10 @@ def merge_columns(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` only where the key is not there yet."""
-    return old.unionByName(new.dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti"))
+    """Rows of ``new`` only where the key is not there yet; of several with one key, the least."""
+    rest = [c for c in new.columns if c not in key]
+    once = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_rest")).select(*key, "_rest.*") if rest else new.distinct()
+    return old.unionByName(once.join(old.select(*key), list(key), "left_anti"))
 
 
 def insert_replace(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

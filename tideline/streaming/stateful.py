@@ -19,18 +19,43 @@ from tideline.operators.fold import Recurrence
 from tideline.series import Series
 
 
-def fold_stream(stream: DataFrame, s: Series, recurrences: Sequence[Recurrence]) -> DataFrame:
-    """``stream`` with one column for each recurrence; equal to fold() on the same rows in order."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema), *(f"`{r.name}` {r.type}" for r in recurrences)])
+def _by_key(stream: DataFrame, s: Series, added: str, idle_ms: int | None, work: Callable[[pd.DataFrame, object], object]) -> DataFrame:
+    """``stream`` with what ``work(frame, held)`` adds to each key's new rows in order; it returns what to hold.
+
+    A frame has one key's rows of a micro-batch, which the source's limits on files
+    or bytes for each trigger bound. Rows that are not later than what the key has
+    seen are dropped. idle_ms: a key without rows for so long is forgotten, and
+    starts anew with its next row; without it, keys are held for ever. It is for
+    streams that stay up: one that is to stop when drained would wait for its keys.
+    """
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema), added])
     order = list(s.order)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         df = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
-        seen, states = pickle.loads(state.get[0]) if state.exists else (None, [None] * len(recurrences))
+        seen, held = pickle.loads(state.get[0]) if state.exists else (None, None)
         if seen is not None:
             df = df[[tuple(r) > seen for r in df[order].itertuples(index=False)]].reset_index(drop=True)
-        if not len(df):
-            return
+        if len(df):
+            held = work(df, held)
+            state.update((pickle.dumps((tuple(df[order].iloc[-1]), held)),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        if len(df):
+            yield df
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*s.keys).applyInPandasWithState(run, schema, "state binary", "append", timeout)
+
+
+def fold_stream(stream: DataFrame, s: Series, recurrences: Sequence[Recurrence], idle_ms: int | None = None) -> DataFrame:
+    """``stream`` with one column for each recurrence; equal to fold() on the same rows in order."""
+
+    def work(df: pd.DataFrame, states: object) -> object:
+        states = states or [None] * len(recurrences)
         for i, r in enumerate(recurrences):
             got, st = [], states[i]
             for xs in zip(*(df[c].astype(object).where(df[c].notna(), None) for c in r.inputs)):
@@ -38,28 +63,23 @@ def fold_stream(stream: DataFrame, s: Series, recurrences: Sequence[Recurrence])
                 got.append(x)
             states[i] = st
             df[r.name] = pd.Series(got, dtype="float64" if r.type == "double" else "object")
-        state.update((pickle.dumps((tuple(df[order].iloc[-1]), states)),))
-        yield df
+        return states
 
-    return stream.groupBy(*s.keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return _by_key(stream, s, ", ".join(f"`{r.name}` {r.type}" for r in recurrences), idle_ms, work)
 
 
-def last_n_stream(stream: DataFrame, s: Series, v: str, n: int) -> DataFrame:
+def last_n_stream(stream: DataFrame, s: Series, v: str, n: int, idle_ms: int | None = None) -> DataFrame:
     """``stream`` with last_n, the newest n values oldest first."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema), "last_n array<double>"])
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(frames), ignore_index=True).sort_values(list(s.order), kind="stable", ignore_index=True)
-        held = list(state.get[0]) if state.exists else []
-        rows = []
+    def work(df: pd.DataFrame, held: object) -> object:
+        held, rows = held or [], []
         for x in df[v]:
             held = [*held, None if pd.isna(x) else float(x)][-n:]
             rows.append([None] * (n - len(held)) + held)
         df["last_n"] = rows
-        state.update((held,))
-        yield df
+        return held
 
-    return stream.groupBy(*s.keys).applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _by_key(stream, s, "last_n array<double>", idle_ms, work)
 
 
 def barrier_stream(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
