@@ -65,6 +65,23 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of whole texts that go to a Python worker at a time, at most.
+TEXT_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends batches of TEXT_ROWS rows at most to Python workers.
+
+    Spark's own number of rows suits numbers; of texts it holds several copies of
+    tens of megabytes in a task, which a worker that is used again does not give back.
+    """
+    now = int(df.sparkSession.conf.get(_BATCH))
+    if not 0 < now <= TEXT_ROWS:
+        df.sparkSession.conf.set(_BATCH, str(TEXT_ROWS))
+    return df
+
+
 def utf8(column: str | Column) -> Column:
     """The UTF-8 bytes of a text column; null stays null."""
     return (F.col(column) if isinstance(column, str) else column).cast("binary")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import connected_components, discard, join_counted, join_written, least_rows, materialise, numbered, row_count, utf8
+from tideline.llm.common import connected_components, discard, join_counted, join_written, least_rows, materialise, numbered, row_count, small_batches, utf8
 from tideline.llm.simhash import MAX_BITS, majority, near_links
 
 SHINGLE_WORDS = 5
@@ -77,7 +77,7 @@ def most_common(x: bytes, y: bytes, n: int, m: int) -> int:
 
 def marks(rows: DataFrame, width: int) -> DataFrame:
     """row, key, id (of the text's words), fp (SimHash of its distinct shingles), n (their number) and odd (their parity bits) of (row, key, text) rows."""
-    kind = rows.schema["key"].dataType.simpleString()
+    kind = small_batches(rows).schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

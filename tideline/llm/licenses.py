@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import utf8
+from tideline.llm.common import small_batches, utf8
 
 # The phrases and labels that every scan carries.
 BASE_PHRASES = {
@@ -170,7 +170,7 @@ def scan_licenses(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     give repeated results; a null id stays null; other columns are not read. An
     empty table gives an empty result.
     """
-    kind = df.schema[id_column].dataType.simpleString()
+    kind = small_batches(df).schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, {FOUND}"
     notices = dict(notices)
     fields = [id_column, *(x.split()[0] for x in FOUND.split(", "))]

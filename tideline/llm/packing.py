@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialise, row_count
+from tideline.llm.common import materialise, row_count, small_batches
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -89,7 +89,7 @@ def cut(ids: list[int], size: int = SEQUENCE_TOKENS) -> list[tuple[int, int, int
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SEQUENCE_TOKENS, make_encoder=public_encoder) -> DataFrame:
     """Key, piece, start, length and ids_crc32 of every piece of every row. Null text: empty."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = small_batches(docs).schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()

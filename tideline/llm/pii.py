@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import small_batches
+
 ROUNDS = 8
 
 
@@ -299,7 +301,7 @@ def pseudonymise_documents(docs: DataFrame, key: str, id_column: str = "doc_id",
     grows with their length; ids may be null or repeat; other columns are not read.
     An empty table gives an empty result.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind = small_batches(docs).schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, `{text}` string, n_found long, spans array<struct<start:int, stop:int, kind:string>>"
     spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
     secret_key = key.encode()

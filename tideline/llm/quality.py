@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import utf8
+from tideline.llm.common import small_batches, utf8
 
 #: Labelled rows used for learning, at most; rows of smallest hash are taken, so
 #: the sample does not depend on partitioning.
@@ -89,7 +89,7 @@ def text_stats(body: bytes | None) -> tuple[int, ...]:
 
 def with_stats(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
     """``keep`` columns of every row and the statistics of its whole text."""
-    kept = df.select(*keep).schema
+    kept = small_batches(df).select(*keep).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), STATS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

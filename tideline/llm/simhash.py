@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import connected_components, discard, join_counted, least_rows, materialise, numbered, row_count, utf8
+from tideline.llm.common import connected_components, discard, join_counted, least_rows, materialise, numbered, row_count, small_batches, utf8
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -60,7 +60,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str, width: int = SHINGLE_WORDS) -> DataFrame:
     """The columns to ``keep`` of every row, and fp, its text's fingerprint as a signed long."""
-    kept = docs.select(*keep).schema
+    kept = small_batches(docs).select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import bucketed, discard, materialise, utf8
+from tideline.llm.common import bucketed, discard, materialise, small_batches, utf8
 
 WINDOW = 20
 KMER = 6
@@ -190,7 +190,7 @@ class Texts:
     """
 
     def __init__(self, docs: DataFrame, key: str, text: str):
-        spark = docs.sparkSession
+        spark = small_batches(docs).sparkSession
         body = F.coalesce(utf8(text), F.lit(b""))
         rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), body.alias("body"))
         plain = materialise(rows, "numbered")
