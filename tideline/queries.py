@@ -493,21 +493,20 @@ SELECT user_id, event_id, CASE WHEN n >= 2 THEN round(sqrt((a + d + sqrt((a - d)
   CASE WHEN n >= 2 THEN round(sqrt(greatest(a * d - b * b, 0)) / sqrt((a + d + sqrt((a - d) ** 2 + 4 * b * b)) / 2), 6) + 0.0 END AS e1 FROM m""")
 
 
-def gp(spark: SparkSession, sf: str) -> DataFrame:
+def gp(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """What a Gaussian process on the n rows before expects; one or two rows have a closed form."""
     df = events(spark, sf).withColumn("x", F.row_number().over(EVENTS.ordered()).cast("double"))
-    return factors.gp_regression(df, EVENTS, "x", "v", 6).select("user_id", "event_id", r6(F.col("gp_mean")).alias("gp_mean"), r6(F.col("gp_var")).alias("gp_var"))
+    return factors.gp_regression(df, EVENTS, "x", "v", n).select("user_id", "event_id", r6(F.col("gp_mean")).alias("gp_mean"), r6(F.col("gp_var")).alias("gp_var"))
 
 
-add("gp_regression", gp)
-
-
-def gp_one(spark: SparkSession, sf: str) -> DataFrame:
-    """From the row before alone, which has a closed form."""
-    df = events(spark, sf).withColumn("x", F.row_number().over(EVENTS.ordered()).cast("double"))
-    return factors.gp_regression(df, EVENTS, "x", "v", 1).select("user_id", "event_id", r6(F.col("gp_mean")).alias("gp_mean"), r6(F.col("gp_var")).alias("gp_var"))
-
-
-add("gp_regression_one", gp_one, f"WITH {EV} SELECT user_id, event_id, round(coalesce(exp(-0.5) / 1.01 * lag(v) OVER o, 0), 6) + 0.0 AS gp_mean, round(CASE WHEN lag(v) OVER o IS NULL THEN 1.0 ELSE 1.0 - exp(-1.0) / 1.01 END, 6) + 0.0 AS gp_var FROM ev {WINDOWS}")
+#: covariances of points at a distance of one and two, and of a point with itself, noise included
+_NEAR, _FAR, _SELF = "exp(-0.5::DOUBLE)", "exp(-2.0::DOUBLE)", "1.01::DOUBLE"
+add("gp_regression_one", lambda spark, sf: gp(spark, sf, 1), f"WITH {EV} SELECT user_id, event_id, round(coalesce({_NEAR} / {_SELF} * lag(v) OVER o, 0), 6) + 0.0 AS gp_mean, round(CASE WHEN lag(v) OVER o IS NULL THEN 1.0 ELSE 1.0 - {_NEAR} * {_NEAR} / {_SELF} END, 6) + 0.0 AS gp_var FROM ev {WINDOWS}")
+_DET = f"({_SELF} * {_SELF} - {_NEAR} * {_NEAR})"
+add("gp_regression", lambda spark, sf: gp(spark, sf, 2), f"""WITH {EV}, p AS (SELECT user_id, event_id, lag(v) OVER o AS a, lag(v, 2) OVER o AS b FROM ev {WINDOWS})
+SELECT user_id, event_id,
+  round(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN ({_NEAR} * ({_SELF} * a - {_NEAR} * b) + {_FAR} * ({_SELF} * b - {_NEAR} * a)) / {_DET} WHEN a IS NOT NULL THEN {_NEAR} / {_SELF} * a WHEN b IS NOT NULL THEN {_FAR} / {_SELF} * b ELSE 0 END, 6) + 0.0 AS gp_mean,
+  round(1.0 - CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN ({_NEAR} * ({_SELF} * {_NEAR} - {_NEAR} * {_FAR}) + {_FAR} * ({_SELF} * {_FAR} - {_NEAR} * {_NEAR})) / {_DET} WHEN a IS NOT NULL THEN {_NEAR} * {_NEAR} / {_SELF} WHEN b IS NOT NULL THEN {_FAR} * {_FAR} / {_SELF} ELSE 0 END, 6) + 0.0 AS gp_var FROM p""")
 
 
 def month_end_factors(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,12 @@ def required_ranges(wanted: DataFrame, done: DataFrame, key: str, batch_days: in
     """(key, start, end): the days of each wanted [start, end] that no done range covers, in stretches of ``batch_days`` at most.
 
     Gaps and islands: a gap opens where a range begins after all before it have ended.
+    Done ranges that touch are first made one, so a wanted range meets each stretch once.
     """
+    of_key = Window.partitionBy(key).orderBy("start", "end")
+    fresh = F.col("start") > F.date_add(F.max("end").over(of_key.rowsBetween(Window.unboundedPreceding, -1)), 1)
+    islands = done.select(key, "start", "end").withColumn("_f", fresh.cast("int")).withColumn("_i", F.sum("_f").over(of_key.rowsBetween(Window.unboundedPreceding, 0)))
+    done = islands.groupBy(key, F.coalesce("_i", F.lit(0)).alias("_i")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
     clipped = (
         wanted.select(key, F.col("start").alias("_a"), F.col("end").alias("_z"))
         .join(done.select(key, "start", "end"), key, "left")
