@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pytest
-import test_pipeline
 from test_simhash import fingerprint
 
 import corpus_pipeline
@@ -109,10 +108,3 @@ def test_stage_finds_edited_copies(spark):
     rows = [(1, " ".join(words), "en", "s", 1), (2, copy, "en", "s", 1), (3, edited(words, 12, r), "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
-
-
-def test_run(spark, sf_dir, monkeypatch):
-    """The whole pipeline against brute force whose near-dedup compares all pairs of shingle sets."""
-    monkeypatch.setattr(test_pipeline, "fingerprint", lambda text: text)
-    monkeypatch.setattr(test_pipeline, "components", lambda keys, texts, _: components(list(zip(keys, texts))))
-    test_pipeline.test_run(spark, sf_dir)

@@ -2,10 +2,10 @@
 
 import numpy as np
 import public_tokenizers
+from test_jaccard import components
 from test_native import drop_lines, poisson, uniform
 from test_packing import check, pieces
 from test_quality import stats
-from test_simhash import components, fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -30,7 +30,7 @@ def test_run(spark, sf_dir):
     rows = [tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect()]
     rows = judged(docs, rows, labels)
     texts = {k: t for k, t, *_ in drop_lines(rows, linededup.MAX_SHARE, linededup.MIN_PAGES)}
-    comps = dict(zip((r[0] for r in rows), components([r[0] for r in rows], [fingerprint(texts[r[0]]) for r in rows], 3)))
+    comps = dict(zip((r[0] for r in rows), components([(r[0], texts[r[0]]) for r in rows])))
     rows = [r for r in rows if comps[r[0]] == r[0]]
     n = {}
     for r in rows:
@@ -47,6 +47,14 @@ def test_run(spark, sf_dir):
     assert check(got) <= 1.05 * sum(r.length for r in got) / 2048 + 2
 
 
+def test_near_dedup_of_equal_keys(spark, sorted_rows):
+    """A doc_id that stands for two texts keeps both, one that repeats a text keeps it once."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted_rows(corpus_pipeline.near_dedup(spark, docs, ""), "doc_id", "text") == [(3, a), (5, b)]
+
+
 def test_stages_on_odd_rows(spark, odd, none, sf_dir, tmp_path):
     """Each stage on nulls, repeats and empty texts, and on no rows; all but the last keep the columns."""
     for name, docs in (("odd", odd), ("none", none)):
