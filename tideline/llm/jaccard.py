@@ -7,8 +7,8 @@ apart than any budget that a trie can prune by, so what is not linked yet goes
 through a prefix filter: all shingles are put in one order, those that a sample
 finds frequent last; two sets of similarity t or more share one of the first
 n - ceil(t n) + 1 shingles of each, so no pair is missed, whatever the order. Each
-group's members are first compared with one of them; what is linked needs no
-more comparisons, so a group of k near copies costs about k. Every pair that is
+group's members are first compared with one of them, in a few rounds with others; what
+is linked needs no more comparisons, so a group of k near copies costs about k a round. Every pair that is
 left and could be similar by its sizes, its places and its parity bits is compared.
 """
 
@@ -33,7 +33,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 100_000
 #: Shingles that a task holds before it hands them on.
 BATCH = 1 << 18
 #: Rounds that compare a group's members with one of them.
-STAR_ROUNDS = 1
+STAR_ROUNDS = 2
 #: Parity bits of a text: about two for each shingle, between these powers of two.
 LEAST_BITS, MOST_BITS = 9, 17
 _A_TO_Z = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -207,8 +207,10 @@ def similar_links(texts: Texts, similarity: float, width: int, budget: int) -> D
     frequent = frequent_shingles(texts.of(sample), width)
     every = materialise(prefixes(texts.of(ids), frequent, similarity, width), "prefixes")
     often = materialise(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "often")
-    shared = materialise(every.join(often.hint("merge"), "h", "left_semi"), "prefixes")
-    discard(sample, every, often)
+    some = materialise(every.join(often.hint("merge"), "h", "left_semi"), "prefixes")
+    many = materialise(some.groupBy("id").agg(F.count(F.lit(1)).alias("many")), "many")
+    shared = materialise(join_written(some, many, ["id"]), "prefixes")
+    discard(sample, every, often, some, many)
     for r in range(STAR_ROUNDS + 1):
         marked = join_written(shared.drop("label"), labels.withColumnRenamed("node", "id"), ["id"], "left")
         marked = materialise(marked.withColumn("label", F.coalesce("label", "id")), "prefixes")
@@ -217,14 +219,18 @@ def similar_links(texts: Texts, similarity: float, width: int, budget: int) -> D
         discard(shared, marked, several)
         shared = open_
         if r < STAR_ROUNDS:
-            other = open_.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)), "id", "n", "at", "label")).alias("c"))
-            other = materialise(other.select("h", *(F.col(f"c.{x}").alias(f"{x}2") for x in ("id", "n", "at", "label"))), "centres")
+            # a text that has most of its first shingles in common with others is the likeliest to be what they were made from
+            rank = [-F.col("many")] if r % 2 == 0 else []
+            other = open_.groupBy("h").agg(F.min(F.struct(*rank, F.xxhash64("id", F.lit(r)), "id", "n", "at", "label")).alias("c"))
+            other = materialise(other.select("h", F.col("c").alias("rank2"), *(F.col(f"c.{x}").alias(f"{x}2") for x in ("id", "n", "at", "label"))), "centres")
         else:
             other = open_.select("h", *(F.col(x).alias(f"{x}2") for x in ("id", "n", "at", "label")))
         # at the first shingle that two texts share, all that they have in common is still to come
         possible = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (1 + similarity) >= similarity * (F.col("n") + F.col("n2")) - 1e-6
         pairs = open_.join(other.hint("merge"), "h").where((F.col("label") != F.col("label2")) & possible)
-        if r == STAR_ROUNDS:
+        if r < STAR_ROUNDS:  # the first of the centres that a text meets, so that a round has a pair for each text at most
+            pairs = pairs.groupBy("id").agg(F.min("rank2").alias("c")).select("id", F.col("c.id").alias("id2"))
+        else:
             pairs = pairs.where("id < id2")
         links = similar(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), texts, similarity, width)
         before, labels = labels, connected_components(links.union(labels.select("label", "node")))
