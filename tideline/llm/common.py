@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +84,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most: what a task makes of texts it holds for so many at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def utf8(column: str | Column) -> Column:
     """The UTF-8 bytes of a text column; null stays null."""
     return (F.col(column) if isinstance(column, str) else column).cast("binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import licenses, linededup, mixing, packing, pii, quality, sharding, simhash, substring, topk
+from tideline.llm import licenses, linededup, mixing, packing, pieces, pii, quality, sharding, simhash, substring, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
 }
 ORACLE_SQL = {
     "op1_exact_topk": topk.ORACLE,
