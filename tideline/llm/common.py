@@ -169,11 +169,14 @@ def in_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     marked = materialise(rows.withColumn("tie", F.monotonically_increasing_id()), name)
     by = [*(F.col(c).asc_nulls_first() for c in order), F.col("tie")]
     dealt = marked.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
-    dealt = materialise(dealt.drop("tie"), name).withColumn("part", F.shiftright("place", 33))
+    table = materialise(dealt.drop("tie"), name)
+    dealt = table.withColumn("part", F.shiftright("place", 33))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
     discard(marked)
-    return dealt.join(F.broadcast(starts), "part").withColumn("at", F.col("from") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "from", "place")
+    out = dealt.join(F.broadcast(starts), "part").withColumn("at", F.col("from") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "from", "place")
+    out.written = table.written  # for discard()
+    return out
 
 
 def numbered(docs: DataFrame) -> DataFrame:

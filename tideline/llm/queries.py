@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import licenses, linededup, mixing, packing, pieces, pii, quality, sharding, simhash, substring, topk
+from tideline.llm import licenses, linededup, merkle, mixing, packing, pieces, pii, quality, sharding, simhash, substring, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 ORACLE_SQL = {
     "op1_exact_topk": topk.ORACLE,
     "op4_poisson_mixing": mixing.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op8_rendezvous_sharding": sharding.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
