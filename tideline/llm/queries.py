@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import licenses, linededup, merkle, mixing, packing, pieces, pii, quality, sharding, simhash, substring, topk
+from tideline.llm import licenses, linededup, merkle, mixing, packing, pieces, pii, quality, sharding, simhash, substring, topk, variants
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
     "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 ORACLE_SQL = {
     "op1_exact_topk": topk.ORACLE,
