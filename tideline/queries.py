@@ -18,7 +18,7 @@ from tideline.operators import blocks, factors, fold, rolling, signals, temporal
 from tideline.plans.pipeline import Pipeline, compile_rows, plot_frame, signatures_frame
 from tideline.series import Series
 from tideline.sources import bars, gaps, generators, tables
-from tideline.streaming import stateful
+from tideline.streaming import ordered, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -688,20 +688,46 @@ def drained(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame]
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
+def at_utc(df: DataFrame) -> DataFrame:
+    """Watermarks take instants: the events' local times are read as UTC, whatever the session's zone."""
+    return df.withColumn("ts", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("+00:00"))))
+
+
+def arriving(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream has written that gets all events in three micro-batches, each event up to three hours late, and a heartbeat."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    df = at_utc(spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", "event_type", "value"))
+    df = df.withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    first, last = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    third = (last - first + ordered.micros("3 hours")) // 3 + 1
+    comes = F.floor((F.unix_micros("ts") - first + F.col("event_id") % 4 * ordered.micros("1 hour")) / third)
+    after = df.limit(1).select(*[F.timestamp_micros(F.lit(last + ordered.micros("1 day"))).alias(c) if c == "ts" else F.lit("error").alias(c) if c == "event_type" else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
+    for part in [*(df.where(comes == i) for i in range(3)), after]:
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = make(spark.readStream.schema(df.schema).parquet(f"{at}/in"))
+        # a batch that is written again replaces itself
+        stateful.run_available(stream, lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/batch={i}"), f"{at}/state")
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+LATE = "3 hours"
+
+
 def stream_ew(spark: SparkSession, sf: str) -> DataFrame:
-    """ew_mean on a stream."""
-    out = drained(spark, sf, lambda d: stateful.fold_stream(d.select("user_id", "ts", "event_id", "v"), EVENTS, [fold.mean_ew("mu", "v", span=4)]))
+    """ew_mean on a stream whose rows come late and in no order."""
+    out = arriving(spark, sf, lambda d: ordered.fold_in_order(d.select("user_id", "ts", "event_id", "v"), EVENTS, [fold.mean_ew("mu", "v", span=4)], LATE))
     return out.select("user_id", "event_id", r6(F.col("mu")).alias("r"))
 
 
 def stream_last_n(spark: SparkSession, sf: str) -> DataFrame:
-    out = drained(spark, sf, lambda d: stateful.last_n_stream(d.select("user_id", "ts", "event_id", "v"), EVENTS, "v", 4))
+    out = arriving(spark, sf, lambda d: ordered.last_n_in_order(d.select("user_id", "ts", "event_id", "v"), EVENTS, "v", 4, LATE))
     return out.select("event_id", *[r6(F.get("last_n", F.lit(i))).alias(f"x{i}") for i in range(4)])
 
 
-def at_utc(df: DataFrame) -> DataFrame:
-    """Watermarks take instants: the events' local times are read as UTC, whatever the session's zone."""
-    return df.withColumn("ts", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("+00:00"))))
+def stream_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """asof_join of two live streams: a click waits until no error before it can come any more."""
+    out = arriving(spark, sf, lambda d: ordered.asof_in_order(clicks(d), errors(d), PLAIN, ["v", "error_id"], LATE))
+    return out.select("event_id", r6(F.col("v")).alias("r"), "error_id")
 
 
 def utc(c: str, pattern: str) -> Column:
@@ -732,6 +758,7 @@ def stream_barrier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("stream_ew_mean", stream_ew, ORACLE_SQL["ew_mean"])
+add("stream_asof", stream_asof, ORACLE_SQL["asof_join"])
 add("stream_last_n", stream_last_n, f"WITH {EV} SELECT event_id, {', '.join(f'round(lag(v, {3 - i}) OVER o, 6) + 0.0 AS x{i}' for i in range(4))} FROM ev {WINDOWS}")
 add("stream_bars", stream_bars, "SELECT user_id, strftime(ts, '%Y-%m-%d') AS date, round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low, round(sum(value), 6) + 0.0 AS total, count(*) AS n FROM events GROUP BY 1, 2")
 add("stream_sessions", stream_sessions, f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW o AS ({_O})),

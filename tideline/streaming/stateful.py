@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tideline.operators.fold import Recurrence
 from tideline.series import Series
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 def _by_key(stream: DataFrame, s: Series, added: str, idle_ms: int | None, work: Callable[[pd.DataFrame, object], object]) -> DataFrame:
     """``stream`` with what ``work(frame, held)`` adds to each key's new rows in order; it returns what to hold.
@@ -108,5 +109,15 @@ def sessions_stream(stream: DataFrame, keys: Sequence[str], time: str, gap: str,
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Drain what is there, batch by batch, into ``sink(batch, id)``, then stop."""
-    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Drain what is there, batch by batch, into ``sink(batch, id)``, then stop.
+
+    State is kept by RocksDB, on local disk and in the checkpoint, so it need not fit in memory.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKSDB)  # a query takes the settings of its start along
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
+    query.awaitTermination()
