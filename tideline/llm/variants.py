@@ -24,6 +24,8 @@ from tideline.llm.common import BROADCAST_ROWS, discard, materialise, row_count,
 
 #: Words of one shard, about; bytes of tries that are broadcast at a time; bytes of links that may be.
 SHARD_WORDS, ROUND_BYTES, LINK_BYTES = 200_000, 32 << 20, 16 << 20
+#: Words that a task takes through the tries of a round.
+TASK_WORDS = 20_000
 #: Counts that a task gathers before it hands them on.
 HELD = 300_000
 _RUN = re.compile("[a-zÀ-ÿ]+")
@@ -178,6 +180,7 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     spark = words.sparkSession
     shards = trie_shards(words)
+    looked_up = words.select("word").repartition(row_count(words) // TASK_WORDS + 1)
     rounds: list[list[int]] = [[]]
     held = 0
     for shard, size in sorted((r["shard"], r["size"]) for r in shards.select("shard", "size").collect()):  # one for each SHARD_WORDS words
@@ -204,7 +207,7 @@ def near_words(words: DataFrame) -> DataFrame:
                 cols = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64()))], ["word", "n_near", "best", "best_n"])
 
-        parts.append(materialise(words.select("word").mapInArrow(search, "word string, n_near long, best string, best_n long"), "near"))
+        parts.append(materialise(looked_up.mapInArrow(search, "word string, n_near long, best string, best_n long"), "near"))
         sent.destroy()
     discard(shards)
     rows = parts[0]
