@@ -264,8 +264,12 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     seen = []
     stateful.run_available(stateful.fold_stream(stream, S, recs), lambda b, i: seen.extend(map(tuple, b.collect())), str(tmp_path / "state"))
-    want = sorted(map(tuple, fold.fold(df, S, recs).collect()), key=str)
-    assert sorted(seen, key=str) == want
+    # a batch's maps are composed, a stream's rows are stepped through: the last bits can differ
+    want = {(r[0], r[1]): r for r in fold.fold(df, S, recs).collect()}
+    assert len(seen) == len(want)
+    for r in seen:
+        *same, last = want[r[0], r[1]]
+        assert list(r[:-1]) == same and (last is None) == (r[-1] is None) and (last is None or abs(last - r[-1]) <= 1e-12 * abs(last))
 
 
 def test_late_rows_are_dropped(spark, tmp_path):

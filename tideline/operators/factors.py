@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.fold import Recurrence
 from tideline.series import Series
 
 PCA = "struct<e:array<double>,u:array<array<double>>>"
@@ -115,3 +116,42 @@ def gp_regression(df: DataFrame, s: Series, x: str, y: str, n: int, length: floa
             yield pd.DataFrame({"gp_mean": np.where(none, np.nan, mean), "gp_var": np.where(none, np.nan, var)}).astype(object).where(lambda d: d.notna(), None)
 
     return df.withColumn("_g", solve(frame, F.col(x).cast("double"))).select(*df.columns, "_g.gp_mean", "_g.gp_var")
+
+
+def gp_incremental(name: str, x: str, y: str, n: int, length: float = 1.0, scale: float = 1.0, noise: float = 0.1) -> Recurrence:
+    """gp_regression() as a recurrence: struct (gp_mean, gp_var), each row in n^2 steps.
+
+    The state is the inverse covariance of the points among the n rows before: a new
+    point borders it by a row, the oldest is taken out by what it leaves (both
+    without a solve), and after every n points it is made anew, so rounding does not
+    add up. noise is above zero. A row with x or y missing is no point, but counts
+    among the n rows.
+    """
+    own = scale**2 + noise**2
+
+    def step(state, at, value):
+        rows, inverse, since = state or ([], np.zeros((0, 0)), 0)
+        points = np.array([r for r in rows if r is not None], float).reshape(-1, 2)
+        out = {"gp_mean": None, "gp_var": None}
+        if at is not None:
+            near = rbf(points[:, 0], at, length, scale)
+            weights = inverse @ near
+            out = {"gp_mean": float(weights @ points[:, 1]), "gp_var": float(scale**2 - weights @ near)}
+        rows = [*rows, (at, value) if at is not None and value is not None else None]
+        if rows[-1] is not None:
+            left = own - weights @ near  # what the new point has of its own
+            column = np.append(-weights, 1.0) / left
+            grown = np.zeros((len(points) + 1,) * 2)
+            grown[:-1, :-1] = inverse
+            inverse = grown + np.outer(column, column) * left
+            since += 1
+        if len(rows) > n:
+            if rows[0] is not None:
+                inverse = inverse[1:, 1:] - np.outer(inverse[1:, 0], inverse[0, 1:]) / inverse[0, 0]
+            rows = rows[1:]
+        if since >= n:
+            xs = np.array([r[0] for r in rows if r is not None], float)
+            inverse, since = np.linalg.inv(rbf(xs[:, None], xs[None, :], length, scale) + noise**2 * np.eye(len(xs))), 0
+        return (rows, inverse, since), out
+
+    return Recurrence(name, (x, y), step, "struct<gp_mean:double,gp_var:double>")

@@ -7,10 +7,12 @@ a series' length and several recurrences take one pass.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import ceil, log, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,50 +25,192 @@ Step = Callable[..., tuple[object, object]]
 class Recurrence:
     """A named output: step(state, *inputs) -> (state, output), state None at a series' start.
 
-    inputs: columns, or outputs of recurrences that stand before it.
+    inputs: columns, or outputs of recurrences. Of one that stands before it a
+    recurrence reads the same row, of itself or one that stands after it the row
+    before (missing at a series' start), so several can feed on each other.
+    scan(new, state, *inputs) -> (state, outputs) does the same for a batch of rows
+    at once, where there is a way: new tells where a series starts, missing values
+    are NaN, and states are those of step.
     """
 
     name: str
     inputs: tuple[str, ...]
     step: Step
     type: str = "double"
+    scan: Callable[..., tuple[object, object]] | None = None
+
+
+def passes(recurrences: Sequence[Recurrence], columns: Sequence[str]) -> list[list[int]]:
+    """Which recurrences must go row by row together, as they feed on each other; the others stand alone."""
+    place = {r.name: i for i, r in enumerate(recurrences)}
+    out: list[list[int]] = []
+    for i, r in enumerate(recurrences):
+        for c in r.inputs:
+            if c not in place and c not in columns:
+                raise ValueError(f"{r.name} reads {c}, which is neither a column nor a recurrence of the same pass")
+        out.append([i])
+        reach = max((place[c] for c in r.inputs if c in place), default=-1)
+        if reach >= i:  # all up to the one it reads belong to its loop
+            out[-1] = [i, *range(i + 1, reach + 1)]
+    merged: list[list[int]] = []
+    for group in out:
+        if merged and group[0] <= merged[-1][-1]:
+            merged[-1] = list(range(merged[-1][0], max(merged[-1][-1], group[-1]) + 1))
+        else:
+            merged.append(group)
+    return merged
 
 
 def fold(df: DataFrame, s: Series, recurrences: Sequence[Recurrence]) -> DataFrame:
     """``df`` with one column for each recurrence."""
     names = list(df.columns)
-    kinds = {"double": pa.float64(), "struct": None}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{r.name}` {r.type}" for r in recurrences)])
     keys = list(s.keys)
+    groups = passes(recurrences, names)
+    looped = {i for g in groups for i in g if len(g) > 1 or recurrences[i].name in recurrences[i].inputs}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, states = None, [None] * len(recurrences)
+        befores: list[dict[str, object]] = [{} for _ in groups]  # what loops gave in the row before
         for batch in batches:
-            rows = list(zip(*(batch.column(names.index(k)).to_pylist() for k in keys)))
-            fresh = []
-            for k in rows:
-                fresh.append(k != key)
-                key = k
-            values = {c: batch.column(names.index(c)).to_pylist() for r in recurrences for c in r.inputs if c in names}
-            out = []
-            for i, r in enumerate(recurrences):
-                state, step, got = states[i], r.step, []
-                for new, *xs in zip(fresh, *(values[c] for c in r.inputs)):
-                    if new:
-                        state = None
-                    state, x = step(state, *xs)
-                    got.append(x)
-                states[i], values[r.name] = state, got
-                out.append(pa.array(got, kinds.get(r.type) or _arrow(r.type)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*names, *(r.name for r in recurrences)])
+            if not batch.num_rows:
+                continue
+            new = _starts(batch, [names.index(k) for k in keys])
+            first = [batch.column(names.index(k))[0].as_py() for k in keys]
+            new[0] = first != key
+            key = [batch.column(names.index(k))[-1].as_py() for k in keys]
+            lists: dict[str, list] = {}
+            made: dict[str, np.ndarray] = {}
+
+            def rows_of(c: str) -> list:
+                if c not in lists:
+                    lists[c] = _array(made[c], "double").to_pylist() if c in made else batch.column(names.index(c)).to_pylist()
+                return lists[c]
+
+            def numbers_of(c: str) -> np.ndarray:
+                if c not in made:
+                    source = pa.array(lists[c], pa.float64()) if c in lists else batch.column(names.index(c)).cast(pa.float64())
+                    made[c] = source.to_numpy(zero_copy_only=False)
+                return made[c]
+
+            out: dict[str, pa.Array] = {}
+            for group, before in zip(groups, befores):
+                if group[0] not in looped:
+                    r = recurrences[group[0]]
+                    if r.scan:
+                        states[group[0]], got = r.scan(new, states[group[0]], *(numbers_of(c) for c in r.inputs))
+                        out[r.name] = _array(got, r.type)
+                        if r.type == "double":
+                            made[r.name] = got
+                        else:
+                            lists[r.name] = out[r.name].to_pylist() if any(r.name in x.inputs for x in recurrences) else []
+                        continue
+                    state, step, got = states[group[0]], r.step, []
+                    for start, *xs in zip(new.tolist(), *(rows_of(c) for c in r.inputs)):
+                        if start:
+                            state = None
+                        state, x = step(state, *xs)
+                        got.append(x)
+                    states[group[0]] = state
+                    lists[r.name] = got
+                    out[r.name] = _array(got, r.type)
+                    continue
+                mine = {recurrences[i].name for i in group}
+                outside = {c: rows_of(c) for i in group for c in recurrences[i].inputs if c not in mine}
+                got = {n: [] for n in mine}
+                for at, start in enumerate(new.tolist()):
+                    if start:
+                        before.update(dict.fromkeys(mine))
+                        for i in group:
+                            states[i] = None
+                    for i in group:
+                        r = recurrences[i]
+                        states[i], before[r.name] = r.step(states[i], *(outside[c][at] if c in outside else before[c] for c in r.inputs))
+                        got[r.name].append(before[r.name])
+                for i in group:
+                    lists[recurrences[i].name] = got[recurrences[i].name]
+                    out[recurrences[i].name] = _array(got[recurrences[i].name], recurrences[i].type)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(out[r.name] for r in recurrences)], [*names, *(r.name for r in recurrences)])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *s.order).mapInArrow(run, schema)
 
 
+def _starts(batch: pa.RecordBatch, keys: Sequence[int]) -> np.ndarray:
+    """Which rows have another key than the row before."""
+    new = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        codes = batch.column(k).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
+def _array(got: object, kind: str) -> pa.Array:
+    """Outputs, or arrays of them by field, as an Arrow array of a column's type; NaN in arrays is missing."""
+    if isinstance(got, dict):
+        return pa.StructArray.from_arrays([pa.array(x, from_pandas=True) for x in got.values()], list(got))
+    return pa.array(got, from_pandas=True) if isinstance(got, np.ndarray) else pa.array(got, _arrow(kind))
+
+
 def _arrow(kind: str) -> pa.DataType:
-    """struct<a:double,b:double> as an Arrow type."""
-    fields = [x.split(":")[0].strip() for x in kind.removeprefix("struct<").removesuffix(">").split(",")]
-    return pa.struct([(f, pa.float64()) for f in fields])
+    """A column type as an Arrow type: simple ones, arrays of them, and structs of either."""
+    kind = kind.strip()
+    if kind.startswith("array<"):
+        return pa.list_(_arrow(kind.removeprefix("array<").removesuffix(">")))
+    if kind.startswith("struct<"):
+        fields = [x.split(":", 1) for x in re.split(r",(?![^<]*>)", kind.removeprefix("struct<").removesuffix(">"))]
+        return pa.struct([(f.strip(), _arrow(t)) for f, t in fields])
+    return {"double": pa.float64(), "float": pa.float32(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "date": pa.date32()}[kind]
+
+
+def running(new: np.ndarray, ok: np.ndarray, keep: float, add: np.ndarray, first: np.ndarray, p0: float | None) -> np.ndarray:
+    """p = keep * p + add at every row where ok holds, p = first at a series' first such row; other rows carry p.
+
+    p0: p of the series that goes on from the batch before. The rows' affine maps are
+    composed by doubling, so no row waits for the one before it. NaN until a series
+    has a p.
+    """
+    n = len(new)
+    series = np.cumsum(new)
+    at = np.flatnonzero(ok)
+    mine = series[at]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = mine[1:] != mine[:-1]
+    a, b = np.where(fresh, 0.0, keep), np.where(fresh, first[at], add[at])
+    if len(at) and mine[0] == 0 and p0 is not None:
+        b[0] = keep * p0 + add[at[0]]
+    longest = int(np.bincount(mine).max()) if len(at) else 0
+    d = 1
+    while d < longest:
+        b[d:] = b[d:] + a[d:] * b[:-d]
+        a[d:] = a[d:] * a[:-d]
+        d *= 2
+    out = np.full(n, np.nan if p0 is None else p0)
+    out[series > 0] = np.nan
+    newest = np.maximum.accumulate(np.where(ok, np.arange(n), -1)) if n else np.zeros(0, int)
+    starts = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else newest
+    there = (newest >= 0) & (newest >= starts)
+    full = np.empty(n)
+    full[at] = b
+    out[there] = full[newest[there]]
+    return out
+
+
+def first_ok(new: np.ndarray, ok: np.ndarray, held: bool) -> np.ndarray:
+    """A series' first row where ok holds; held: the series that goes on from the batch before has had one."""
+    series = np.cumsum(new)
+    out = np.zeros(len(new), bool)
+    at = np.flatnonzero(ok)
+    mine = series[at]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = mine[1:] != mine[:-1]
+    if len(at) and mine[0] == 0 and held:
+        fresh[0] = False
+    out[at] = fresh
+    return out
+
+
+def _end(x: float) -> float | None:
+    return None if np.isnan(x) else float(x)
 
 
 def alpha_of(span: float | None = None, alpha: float | None = None) -> float:
@@ -89,6 +233,19 @@ def memory(span: float | None = None, alpha: float | None = None, weight: float
     return 1 if a >= 1 else ceil(log(weight) / log(1.0 - a))
 
 
+def mapped(name: str, inputs: Sequence[str], fn: Callable, type: str = "double") -> Recurrence:
+    """A row's own function of its inputs, to take part in a loop."""
+    return Recurrence(name, tuple(inputs), lambda _, *xs: (None, fn(*xs)), type)
+
+
+def feedback(name: str, v: str, back: str, a: float = 0.0, b: float = 1.0, c: float = 1.0) -> Recurrence:
+    """a + b * v + c * back; ``back`` may come later, or be this output itself: then it is of the row before.
+
+    Missing where v is; a missing ``back`` counts as zero.
+    """
+    return mapped(name, (v, back), lambda x, y: None if x is None else a + b * x + c * (y or 0.0))
+
+
 def mean_ew(name: str, v: str, span: float | None = None, alpha: float | None = None) -> Recurrence:
     """Starts at the first value; a missing value leaves it as it was."""
     a = alpha_of(span, alpha)
@@ -97,7 +254,11 @@ def mean_ew(name: str, v: str, span: float | None = None, alpha: float | None =
         p = x if p is None else p if x is None else (1.0 - a) * p + a * x
         return p, p
 
-    return Recurrence(name, (v,), step)
+    def scan(new, p, x):
+        out = running(new, ~np.isnan(x), 1.0 - a, a * x, x, p)
+        return _end(out[-1]), out
+
+    return Recurrence(name, (v,), step, scan=scan)
 
 
 def std_ew(name: str, v: str, mu: str, span: float | None = None, alpha: float | None = None) -> Recurrence:
@@ -111,7 +272,18 @@ def std_ew(name: str, v: str, mu: str, span: float | None = None, alpha: float |
         out = x - m if first else x if p is None else sqrt((1.0 - a) * p * p + a * (x - m) * (x - m))
         return (out,), out
 
-    return Recurrence(name, (v, mu), step)
+    def scan(new, state, x, m):
+        ok, p = ~(np.isnan(x) | np.isnan(m)), None if state is None else state[0]
+        starts = new.copy()
+        starts[0] |= state is None
+        first = np.where(starts, x - m, x)
+        q = running(new, ok, 1.0 - a, a * (x - m) ** 2, first * first, None if p is None else p * p)
+        out = np.where(ok, np.where(first_ok(new, ok, p is not None), first, np.sqrt(q)), np.nan)
+        tail = out[np.flatnonzero(new)[-1] if new.any() else 0 :]
+        tail = tail[~np.isnan(tail)]
+        return (float(tail[-1]) if len(tail) else None if new.any() else p,), out
+
+    return Recurrence(name, (v, mu), step, scan=scan)
 
 
 def rms_ew(name: str, v: str, span: float | None = None, alpha: float | None = None, b: float = 1.0) -> Recurrence:
@@ -124,7 +296,12 @@ def rms_ew(name: str, v: str, span: float | None = None, alpha: float | None = N
         p = x * x if p is None else (1.0 - a) * p + a * x * x
         return p, b * sqrt(p)
 
-    return Recurrence(name, (v,), step)
+    def scan(new, p, x):
+        ok = ~np.isnan(x)
+        q = running(new, ok, 1.0 - a, a * x * x, x * x, p)
+        return _end(q[-1]), np.where(ok, b * np.sqrt(q), np.nan)
+
+    return Recurrence(name, (v,), step, scan=scan)
 
 
 def _extreme_ew(name: str, v: str, mu: str | None, a: float, beyond: Callable[[float, float], bool]) -> Recurrence:
@@ -186,7 +363,19 @@ def xo_mean_ew_rms_ew(name: str, v: str, span_f: float, span_s: float, span_v: f
             vol = sqrt((1.0 - av) * vol * vol + av * change * change)
         return (x, f, sl, vol), {"xo": (f - sl) / vol if vol else None, "fast": f, "slow": sl, "vol": vol}
 
-    return Recurrence(name, (v,), step, "struct<xo:double,fast:double,slow:double,vol:double>")
+    def scan(new, state, x):
+        ok, (x0, f0, s0, v0) = ~np.isnan(x), state or (None,) * 4
+        fresh = first_ok(new, ok, x0 is not None)
+        fast, slow = running(new, ok, 1.0 - af, af * x, x, f0), running(new, ok, 1.0 - as_, as_ * x, x, s0)
+        held = running(new, ok, 0.0, x, x, x0)  # the newest value
+        p = np.concatenate([[np.nan if x0 is None else x0], held[:-1]])
+        change = x - p if rx == "abs" else np.divide(x, p, out=np.full(len(x), np.nan), where=p != 0) - 1.0
+        vol = np.sqrt(running(new, fresh | (ok & ~np.isnan(change)), 1.0 - av, av * change * change, x * x, None if v0 is None else v0 * v0))
+        xo = np.where(fresh, 0.0, np.divide(fast - slow, vol, out=np.full(len(x), np.nan), where=vol != 0))
+        end = tuple(_end(y[-1]) for y in (held, fast, slow, vol))
+        return None if end[0] is None else end, {"xo": np.where(ok, xo, np.nan), "fast": fast, "slow": slow, "vol": vol}
+
+    return Recurrence(name, (v,), step, "struct<xo:double,fast:double,slow:double,vol:double>", scan)
 
 
 def pos_linear(name: str, scale: str, date: str | None = None, signal: str | None = None, upper: float | None = None, lower: float | None = None, delta: float | None = None, freq: str | None = None, const: float | None = None) -> Recurrence:

@@ -60,10 +60,42 @@ def align(driver: DataFrame, source: DataFrame, s: Series, value: str, name: str
     return out.withColumn(name, F.when(fresh, F.col(f"_a_{value}"))).drop(f"_a_{value}", "_a_at")
 
 
-def last_n(s: Series, v: Column, n: int) -> Column:
-    """The last n values, oldest first, filled up with NULL on the left."""
-    got = F.transform(F.collect_list(F.struct(v.alias("v"))).over(s.last(n)), lambda e: e["v"])
-    return F.concat(F.array_repeat(F.lit(None).cast("double"), F.lit(n) - F.size(got)), got)
+def missing(shape: Sequence[int] = ()) -> Column:
+    """The missing value of a shape: NULL, a vector of NULLs, or a matrix of them."""
+    out = F.lit(None).cast("double")
+    for n in reversed(shape):
+        out = F.array_repeat(out, n)
+    return out
+
+
+def whole(v: Column, shape: Sequence[int] = ()) -> Column:
+    """NULL in place of a vector or matrix that has a missing element (NULL or NaN) or another shape."""
+    if not shape:
+        return F.when(~F.isnan(v), v)
+    if len(shape) == 1:
+        return F.when((F.size(v) == shape[0]) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)), v)
+    rows = F.transform(v, lambda r: whole(r, shape[1:]))
+    return F.when((F.size(v) == shape[0]) & F.forall(rows, lambda r: r.isNotNull()), v)
+
+
+def asof_shaped(left: DataFrame, right: DataFrame, s: Series, value: str, shape: Sequence[int], skip_missing: bool = False, after: Column | None = None, prefix: str = "") -> DataFrame:
+    """asof() for a vector or matrix: the missing value of its shape where there is none, or only one older than ``after``.
+
+    skip_missing: the newest of which no element is missing.
+    """
+    if skip_missing:
+        right = right.where(whole(F.col(value), shape).isNotNull())
+    out = asof(left, right, s, [value], prefix=prefix)
+    found = F.col(f"{prefix}{value}")
+    if after is not None:
+        found = F.when(F.col(f"{prefix}at") >= after, found)
+    return out.withColumn(f"{prefix}{value}", F.coalesce(found, missing(shape)))
+
+
+def last_n(s: Series, v: Column, n: int, shape: Sequence[int] = ()) -> Column:
+    """The last n values, oldest first, filled up on the left with missing ones. shape: of a vector's or matrix's value."""
+    got = F.transform(F.collect_list(F.struct(v.alias("v"))).over(s.last(n)), lambda e: F.coalesce(e["v"], missing(shape)) if shape else e["v"])
+    return F.concat(F.array_repeat(missing(shape), F.lit(n) - F.size(got)), got)
 
 
 def n_seen(s: Series, n: int) -> Column:
@@ -72,7 +104,7 @@ def n_seen(s: Series, n: int) -> Column:
 
 
 def last_n_between(s: Series, v: Column, n: int, after: Column) -> Column:
-    """Those of the last n values whose time is not before ``after``."""
+    """Those of the last n values, of any type, whose time is not before ``after``."""
     got = F.collect_list(F.struct(F.col(s.time).alias("t"), v.alias("v"))).over(s.last(n))
     return F.transform(F.filter(got, lambda e: e["t"] >= after), lambda e: e["v"])
 

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import scalar, vectors
-from tideline.operators import factors, fold, rolling, signals, temporal, triggers
+from tideline.operators import aggregates, factors, fold, rolling, signals, temporal, triggers
 from tideline.series import Series
 
 
 @dataclass(frozen=True)
 class Operator:
-    """kind: column (pure), window (needs the series), fold (a recurrence) or gate (drops rows)."""
+    """kind: column (pure), window (needs the series), fold (a recurrence), aggregate (numpy arrays of the newest n rows) or gate (drops rows)."""
 
     name: str
     fn: Callable
@@ -37,6 +37,7 @@ REGISTRY: dict[str, Operator] = {}
 def register(name: str, fn: Callable, kind: str, inputs: Sequence[str]) -> Callable:
     """Makes an operator known by name; its other arguments are parameters."""
     rest = [p for p in inspect.signature(fn).parameters if p not in inputs and p not in ("s", "df", "name")]
+    rest = ["n", *(p for p in rest if p != "n")] if kind == "aggregate" else rest
     REGISTRY[name] = Operator(name, fn, kind, tuple(inputs), tuple(rest))
     return fn
 
@@ -70,6 +71,9 @@ for _name, _inputs in {
     "pos_linear": ("scale", "date", "signal"),
 }.items():
     register(_name, getattr(fold, _name), "fold", _inputs)
+register("gp_incremental", factors.gp_incremental, "fold", ("x", "y"))
+register("feedback", fold.feedback, "fold", ("v", "back"))
+register("trimmed_mean", aggregates.trimmed_mean, "aggregate", ("v",))
 for _name in ("on", "not_missing", "sign_change"):
     register(_name, getattr(triggers, _name), "gate", ("v", "date"))
 
@@ -129,7 +133,10 @@ class Pipeline:
                 args = {k: v for k, v in step.inputs.items() if k in inspect.signature(spec.fn).parameters}
                 df = spec.fn(df, **({"s": self.series} if "s" in inspect.signature(spec.fn).parameters else {}), **args, **step.params)
                 continue
-            if step.op == "to_vec":
+            if spec.kind == "aggregate":
+                rest = {k: v for k, v in step.params.items() if k != "n"}
+                value = aggregates.over_last(self.series, spec.fn, int(step.params["n"]), *[F.col(step.inputs[i]) for i in spec.inputs if step.inputs.get(i)], **rest)
+            elif step.op == "to_vec":
                 value = spec.fn(*[F.col(c) for c in step.inputs["vs"]])
             else:
                 cols = {k: F.col(v) for k, v in step.inputs.items() if v}
@@ -191,6 +198,8 @@ def compile_rows(rows: Sequence[Mapping[str, object]], series: Series) -> Pipeli
     """A pipeline of rows (label, func, kw-0, kw-1, ...), in an order in which inputs come first.
 
     Rows without a label or function are left out; a cell "." ends a row.
+    Recurrences may feed on each other: they stay in the order of the rows, and read
+    of those that come later the value of the row before.
     """
     parsed = []
     for row in rows:
@@ -217,14 +226,26 @@ def compile_rows(rows: Sequence[Mapping[str, object]], series: Series) -> Pipeli
     out, done = Pipeline(series), set()
     while parsed:
         ready = next((p for p in parsed if not (p[4] & labels) - done), None)
-        if ready is None:
-            raise ValueError(f"inputs form a cycle: {sorted(p[0] for p in parsed)}")
-        parsed.remove(ready)
-        out = out.add(ready[0], ready[1], *ready[2], **ready[3])
-        done.add(ready[0])
+        for p in [ready] if ready else _loop(parsed, labels - done):
+            parsed.remove(p)
+            out = out.add(p[0], p[1], *p[2], **p[3])
+            done.add(p[0])
     return out
 
 
+def _loop(parsed: Sequence[tuple], open_: set[str]) -> list[tuple]:
+    """Rows that wait for each other and for nothing else, in their order; they must all be recurrences."""
+    needs = {p[0]: p[4] & open_ for p in parsed}
+    reach = {k: set(v) for k, v in needs.items()}
+    for _ in parsed:
+        reach = {k: v.union(*(reach[x] for x in v)) for k, v in reach.items()}
+    loop = min((reach[k] for k in reach if k in reach[k]), key=len)
+    rows = [p for p in parsed if p[0] in loop]
+    if any(REGISTRY[p[1]].kind != "fold" for p in rows):
+        raise ValueError(f"inputs form a cycle: {sorted(p[0] for p in rows)}")
+    return rows
+
+
 def plot_frame(df: DataFrame, series: Series, spec: Sequence[Mapping[str, object]], start: object = None, end: object = None, frames: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """The columns that plot rows (label, name, expr, slot, align, x, y2) ask for, between two times.
 

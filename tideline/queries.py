@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tideline.folders import shared_dir
 from tideline.functions import dates, scalar, vectors
 from tideline.operators import blocks, factors, fold, rolling, signals, temporal, triggers
-from tideline.plans.pipeline import Pipeline, compile_rows, plot_frame, signatures_frame
+from tideline.plans.pipeline import Pipeline, compile_rows, plot_frame, signatures, signatures_frame
 from tideline.series import Series
 from tideline.sources import bars, gaps, generators, tables
 from tideline.streaming import ordered, stateful
@@ -338,6 +338,65 @@ add(
     lambda spark, sf: events(spark, sf).withColumn("l", temporal.last_n_between(EVENTS, F.col("value"), 4, F.col("ts") - F.expr("interval 12 hours"))).select("event_id", F.size("l").cast("long").alias("n"), r6(F.aggregate("l", F.lit(0.0), lambda a, x: a + x)).alias("r")),
     f"WITH {EV}, f AS (SELECT event_id, ts, list({{'t': ts, 'x': value}}) OVER ({_O} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM ev), g AS (SELECT event_id, list_filter(l, lambda e: e.t >= ts - INTERVAL 12 HOUR) AS l FROM f) SELECT event_id, len(l)::BIGINT AS n, round(list_sum(list_transform(l, lambda e: e.x)), 6) + 0.0 AS r FROM g",
 )
+
+
+def pairs(df: DataFrame) -> DataFrame:
+    """Events with a vector and a matrix, both with holes."""
+    return df.withColumns({"vec": F.array("v", "u"), "mat": F.array(F.array("v", "u"), F.array("u", "value"))})
+
+
+def asof_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest whole vector of an error."""
+    df = pairs(events(spark, sf))
+    right = df.where("event_type = 'error'").select("user_id", "ts", "vec")
+    return temporal.asof_shaped(clicks(df), right, PLAIN, "vec", (2,), skip_missing=True).select("event_id", *numbers("vec", 2))
+
+
+def asof_between_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest matrix of an error, if it is at most a day old."""
+    df = pairs(events(spark, sf))
+    right = df.where("event_type = 'error'").select("user_id", "ts", "mat")
+    return temporal.asof_shaped(clicks(df), right, PLAIN, "mat", (2, 2), after=F.col("ts") - F.expr("interval 1 day")).select("event_id", *numbers(mat="mat", rows=2, cols=2))
+
+
+def last_n_shaped(spark: SparkSession, sf: str) -> DataFrame:
+    """The last two vectors and matrices, with missing ones where there are fewer."""
+    df = pairs(events(spark, sf)).withColumns({"x": temporal.last_n(EVENTS, F.col("vec"), 2, (2,)), "y": temporal.last_n(EVENTS, F.col("mat"), 2, (2, 2))})
+    return df.select("event_id", *[r6(F.col("x")[i][j]).alias(f"x{i}{j}") for i in range(2) for j in range(2)], *[r6(F.col("y")[i][j][k]).alias(f"y{i}{j}{k}") for i in range(2) for j in range(2) for k in range(2)])
+
+
+def last_n_between_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the last four vectors are of the last 12 hours, how many of these are whole, and the sum of their first elements."""
+    df = pairs(events(spark, sf)).withColumn("l", temporal.last_n_between(EVENTS, F.col("vec"), 4, F.col("ts") - F.expr("interval 12 hours")))
+    there = F.filter("l", lambda x: temporal.whole(x, (2,)).isNotNull())
+    return df.select("event_id", F.size("l").alias("n"), F.size(there).alias("n_whole"), r6(F.aggregate(there, F.lit(0.0), lambda a, x: a + x[0])).alias("total"))
+
+
+_MAT = ["v", "u", "u", "value"]
+add("asof_vector", asof_vector, f"WITH {SIDES}, f AS (SELECT user_id, ts, v, u FROM ev WHERE event_type = 'error' AND v IS NOT NULL AND u IS NOT NULL) SELECT event_id, round(f.v, 6) + 0.0 AS v0, round(f.u, 6) + 0.0 AS v1 FROM c ASOF LEFT JOIN f ON c.user_id = f.user_id AND c.ts >= f.ts")
+add("asof_between_matrix", asof_between_matrix, f"WITH {SIDES}, f AS (SELECT user_id, ts, v, u, value FROM ev WHERE event_type = 'error') SELECT event_id, {', '.join(f'round(CASE WHEN f.ts >= c.ts - INTERVAL 1 DAY THEN f.{x} END, 6) + 0.0 AS m{i}' for i, x in enumerate(_MAT))} FROM c ASOF LEFT JOIN f ON c.user_id = f.user_id AND c.ts >= f.ts")
+add("last_n_shaped", last_n_shaped, f"WITH {EV} SELECT event_id, {', '.join([*(f'round(lag({x}, {1 - i}) OVER o, 6) + 0.0 AS x{i}{j}' for i in range(2) for j, x in enumerate('vu')), *(f'round(lag({x}, {1 - i}) OVER o, 6) + 0.0 AS y{i}{k // 2}{k % 2}' for i in range(2) for k, x in enumerate(_MAT))])} FROM ev {WINDOWS}")
+add("last_n_between_vectors", last_n_between_vectors, f"""WITH {EV}, f AS (SELECT event_id, ts, list({{'t': ts, 'v': v, 'u': u}}) OVER ({_O} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM ev), g AS (SELECT event_id, list_filter(l, lambda e: e.t >= ts - INTERVAL 12 HOUR) AS l FROM f),
+h AS (SELECT event_id, len(l) AS n, list_filter(l, lambda e: e.v IS NOT NULL AND e.u IS NOT NULL) AS w FROM g) SELECT event_id, n::INTEGER AS n, len(w)::INTEGER AS n_whole, round(coalesce(list_sum(list_transform(w, lambda e: e.v)), 0), 6) + 0.0 AS total FROM h""")
+
+
+def own_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    """A registered aggregate of one's own over the last five values."""
+    return Pipeline(EVENTS).add("r", "trimmed_mean", "v", n=N, cut=1).apply(events(spark, sf)).select("event_id", r6(F.col("r")).alias("r"))
+
+
+def feedback_loop(spark: SparkSession, sf: str) -> DataFrame:
+    """Two nodes that feed on each other: p takes half of what q was from the value, q is the EW mean of p."""
+    rows = [{"label": "p", "func": "feedback", "kw-0": "v", "kw-1": "back:ref=q", "kw-2": "c:float=-0.5"}, {"label": "q", "func": "mean_ew", "kw-0": "v:ref=p", "kw-1": "span:float=4"}]
+    return compile_rows(rows, EVENTS).apply(events(spark, sf)).select("event_id", r6(F.col("p")).alias("p"), r6(F.col("q")).alias("q"))
+
+
+add("own_aggregate", own_aggregate, f"WITH {EV}, f AS (SELECT event_id, list_sort(list_filter(list(v) OVER w, lambda x: x IS NOT NULL)) AS l FROM ev {WINDOWS}) SELECT event_id, round(list_avg(l[2:len(l) - 1]), 6) + 0.0 AS r FROM f")
+add("feedback_loop", feedback_loop, f"""WITH RECURSIVE {EV}, n AS (SELECT user_id, event_id, v, row_number() OVER o AS k FROM ev {WINDOWS}), r AS (
+  SELECT user_id, k, event_id, v AS p, v AS q FROM n WHERE k = 1
+  UNION ALL SELECT user_id, k, event_id, p, CASE WHEN was IS NULL THEN p WHEN p IS NULL THEN was ELSE 0.6 * was + 0.4 * p END FROM (
+    SELECT n.user_id, n.k, n.event_id, n.v - 0.5 * coalesce(r.q, 0) AS p, r.q AS was FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1))
+SELECT event_id, round(p, 6) + 0.0 AS p, round(q, 6) + 0.0 AS q FROM r""")
 add("newest_n", lambda spark, sf: temporal.newest(events(spark, sf), EVENTS, 3).select("user_id", "event_id"), f"WITH {EV} SELECT user_id, event_id FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
 add("last_time", lambda spark, sf: temporal.last_time(events(spark, sf), EVENTS).select("user_id", F.date_format("last_t", "yyyy-MM-dd HH:mm:ss").alias("t")), "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS t FROM events GROUP BY user_id")
 
@@ -399,29 +458,51 @@ def identified_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("bars_identified", identified_bars, f"WITH {BARS} SELECT symbol, 'back' AS adjust, 'EUR' AS fx, strftime(date, '%Y-%m-%d') AS date, round(close / 2, 6) + 0.0 AS close FROM d")
-add("calendar_source", lambda spark, sf: generators.const(generators.calendar(spark, "2024-01-01", "2024-12-31", 3), 1.5).select(day(), "v"), "SELECT strftime(d, '%Y-%m-%d') AS date, 1.5::DOUBLE AS v FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 3 DAY)) AS d)")
-add("const_source", lambda spark, sf: generators.const(generators.times(spark, 4, 50, 0.5), 2.0).select("key", "i", "t", "v"), "SELECT k.key, i::INTEGER AS i, i * 0.5::DOUBLE AS t, 2.0::DOUBLE AS v FROM range(4) k(key), range(50) n(i)")
+add(
+    "calendar_source",
+    lambda spark, sf: generators.const(generators.calendar_of(orders(spark, sf), "o_orderdate", 3), 1.5).select(day(), "v"),
+    "SELECT strftime(d, '%Y-%m-%d') AS date, 1.5::DOUBLE AS v FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 3 DAY)) AS d FROM orders)",
+)
+add(
+    "const_source",
+    lambda spark, sf: generators.const(generators.every(spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct(), 50, 0.5), 2.0).select("user_id", "i", "t", "v"),
+    "SELECT user_id, i::INTEGER AS i, i * 0.5::DOUBLE AS t, 2.0::DOUBLE AS v FROM (SELECT DISTINCT user_id FROM events), range(50) n(i)",
+)
 
 
 def normal_sql(seed: int, part: int = 0) -> str:
-    """Box and Muller's normal number of (key, i)."""
-    u = [f"(('0x' || substr(md5(concat('{seed}:{part}:{k}:', key, ':', i)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0" for k in "ra"]
+    """Box and Muller's normal number of an event."""
+    u = [f"(('0x' || substr(md5(concat('{seed}:{part}:{k}:', event_id)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0" for k in "ra"]
     return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * ({u[1]}))"
 
 
-def times_sql(keys: int, n: int) -> str:
-    return f"t AS (SELECT k.key, i::INTEGER AS i, i::DOUBLE AS t FROM range({keys}) k(key), range({n}) n(i))"
+_PATH = f"sum({{}}) OVER ({_O})"
+_USER, _ORDER = "user_id", ["ts", "event_id"]
+
+
+def numbers(vec: str | None = None, n: int = 0, mat: str | None = None, rows: int = 0, cols: int = 0) -> list[Column]:
+    """A vector's and a matrix's elements as columns."""
+    out = [r6(F.get(vec, F.lit(k))).alias(f"v{k}") for k in range(n)]
+    return [*out, *[r6(F.get(F.get(mat, F.lit(k // cols)), F.lit(k % cols))).alias(f"m{k}") for k in range(rows * cols)]]
+
 
+def gaussian_walks(spark: SparkSession, sf: str) -> DataFrame:
+    """Walks of vectors and matrices along each user's events."""
+    df = generators.gaussian_walk_vec(events(spark, sf), _USER, _ORDER, 7, 3, "event_id", name="vec")
+    return generators.gaussian_walk_mat(df, _USER, _ORDER, 11, 2, 2, "event_id", mean=0.5, name="mat").select("event_id", *numbers("vec", 3, "mat", 2, 2))
 
-_PATH = "sum({}) OVER (PARTITION BY key ORDER BY i)"
-add("gaussian_noise", lambda spark, sf: generators.times(spark, 20, 500).select("key", "i", r6(generators.gaussian(7, "key", "i")).alias("v")), f"WITH {times_sql(20, 500)} SELECT key, i, round({normal_sql(7)}, 6) + 0.0 AS v FROM t")
-add("gaussian_walk", lambda spark, sf: generators.walk(generators.times(spark, 20, 500), "key", "i", generators.gaussian(7, "key", "i")).select("key", "i", r6(F.col("v")).alias("v")), f"WITH {times_sql(20, 500)} SELECT key, i, round({_PATH.format(normal_sql(7))}, 6) + 0.0 AS v FROM t")
+
+add("gaussian_noise", lambda spark, sf: events(spark, sf).select("event_id", r6(generators.gaussian(7, "event_id")).alias("v")), f"SELECT event_id, round({normal_sql(7)}, 6) + 0.0 AS v FROM events")
+add("gaussian_walk", lambda spark, sf: generators.walk(events(spark, sf).drop("v"), _USER, _ORDER, generators.gaussian(7, "event_id")).select("event_id", r6(V()).alias("v")), f"SELECT event_id, round({_PATH.format(normal_sql(7))}, 6) + 0.0 AS v FROM events")
 add(
     "gaussian_vec_mat",
-    lambda spark, sf: generators.times(spark, 20, 100).withColumns({"vec": generators.gaussian_vec(7, 3, "key", "i"), "mat": generators.gaussian_mat(11, 2, 3, "key", "i")}).select("key", "i", *[r6(F.get("vec", F.lit(k))).alias(f"v{k}") for k in range(3)], *[r6(F.get(F.get("mat", F.lit(k // 3)), F.lit(k % 3))).alias(f"m{k}") for k in range(6)]),
-    f"WITH {times_sql(20, 100)} SELECT key, i, {', '.join([*(f'round({normal_sql(7, k)}, 6) + 0.0 AS v{k}' for k in range(3)), *(f'round({normal_sql(11, k)}, 6) + 0.0 AS m{k}' for k in range(6))])} FROM t",
+    lambda spark, sf: events(spark, sf).withColumns({"vec": generators.gaussian_vec(7, 3, "event_id"), "mat": generators.gaussian_mat(11, 2, 3, "event_id")}).select("event_id", *numbers("vec", 3, "mat", 2, 3)),
+    f"SELECT event_id, {', '.join([*(f'round({normal_sql(7, k)}, 6) + 0.0 AS v{k}' for k in range(3)), *(f'round({normal_sql(11, k)}, 6) + 0.0 AS m{k}' for k in range(6))])} FROM events",
 )
-add("loop_rand", lambda spark, sf: generators.random_times(spark, 20, 500, 5).select("key", "i", r6(F.col("t")).alias("t")), f"WITH {times_sql(20, 500)} SELECT key, i, round({_PATH.format(f'1.0 + 0.1 * ({normal_sql(5)})')}, 6) + 0.0 AS t FROM t")
+_HALF = [_PATH.format(f"0.5 + {normal_sql(11, k)}") for k in range(4)]
+add("gaussian_walks", gaussian_walks, f"SELECT event_id, {', '.join([*(f'round({_PATH.format(normal_sql(7, k))}, 6) + 0.0 AS v{k}' for k in range(3)), *(f'round({x}, 6) + 0.0 AS m{k}' for k, x in enumerate(_HALF))])} FROM events")
+_STEP = _PATH.format(f"1.0 + 0.1 * ({normal_sql(5)})")
+add("loop_rand", lambda spark, sf: generators.walk(events(spark, sf), _USER, _ORDER, generators.gaussian(5, "event_id", mean=1.0, std=0.1), "t").select("event_id", r6(F.col("t")).alias("t")), f"SELECT event_id, round({_STEP}, 6) + 0.0 AS t FROM events")
 
 # -- gates and batches --------------------------------------------------------------
 
@@ -493,10 +574,11 @@ SELECT user_id, event_id, CASE WHEN n >= 2 THEN round(sqrt((a + d + sqrt((a - d)
   CASE WHEN n >= 2 THEN round(sqrt(greatest(a * d - b * b, 0)) / sqrt((a + d + sqrt((a - d) ** 2 + 4 * b * b)) / 2), 6) + 0.0 END AS e1 FROM m""")
 
 
-def gp(spark: SparkSession, sf: str, n: int) -> DataFrame:
+def gp(spark: SparkSession, sf: str, n: int, incremental: bool = False) -> DataFrame:
     """What a Gaussian process on the n rows before expects; one or two rows have a closed form."""
     df = events(spark, sf).withColumn("x", F.row_number().over(EVENTS.ordered()).cast("double"))
-    return factors.gp_regression(df, EVENTS, "x", "v", n).select("user_id", "event_id", r6(F.col("gp_mean")).alias("gp_mean"), r6(F.col("gp_var")).alias("gp_var"))
+    df = fold.fold(df, EVENTS, [factors.gp_incremental("g", "x", "v", n)]).select("*", "g.*") if incremental else factors.gp_regression(df, EVENTS, "x", "v", n)
+    return df.select("user_id", "event_id", r6(F.col("gp_mean")).alias("gp_mean"), r6(F.col("gp_var")).alias("gp_var"))
 
 
 #: covariances of points at a distance of one and two, and of a point with itself, noise included
@@ -507,6 +589,7 @@ add("gp_regression", lambda spark, sf: gp(spark, sf, 2), f"""WITH {EV}, p AS (SE
 SELECT user_id, event_id,
   round(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN ({_NEAR} * ({_SELF} * a - {_NEAR} * b) + {_FAR} * ({_SELF} * b - {_NEAR} * a)) / {_DET} WHEN a IS NOT NULL THEN {_NEAR} / {_SELF} * a WHEN b IS NOT NULL THEN {_FAR} / {_SELF} * b ELSE 0 END, 6) + 0.0 AS gp_mean,
   round(1.0 - CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN ({_NEAR} * ({_SELF} * {_NEAR} - {_NEAR} * {_FAR}) + {_FAR} * ({_SELF} * {_FAR} - {_NEAR} * {_NEAR})) / {_DET} WHEN a IS NOT NULL THEN {_NEAR} * {_NEAR} / {_SELF} WHEN b IS NOT NULL THEN {_FAR} * {_FAR} / {_SELF} ELSE 0 END, 6) + 0.0 AS gp_var FROM p""")
+add("gp_incremental", lambda spark, sf: gp(spark, sf, 2, True), ORACLE_SQL["gp_regression"])
 
 
 def month_end_factors(spark: SparkSession, sf: str) -> DataFrame:
@@ -591,7 +674,19 @@ VOL_SQL = f"""WITH {EV}, c AS (SELECT *, v / nullif({_PREV}, 0) - 1 AS c FROM ev
 SELECT user_id, event_id, round(c, 6) + 0.0 AS change, CASE WHEN c IS NOT NULL THEN round(sqrt(list_reduce(l, lambda a, x: {1 - _A16} * a + {_A16} * x)), 6) + 0.0 END AS vol FROM h"""
 add("flagship_vol", flagship_vol, VOL_SQL)
 
-add("operator_signatures", lambda spark, sf: signatures_frame(spark))
+def operator_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """What operators there are, and of those over one column how many of the events' rows they give a value for."""
+    usual = {"n": 5, "w": 3, "q": 0.5, "a": 1.0, "weights": [0.5, 0.3, 0.2]}
+    p, tried = Pipeline(EVENTS), []
+    for x in signatures():
+        if x["kind"] in ("window", "aggregate") and x["inputs"] == ["v"]:
+            p = p.add(f"_{x['func']}", x["func"], "v", **{k: usual[k] for k in x["params"] if k in usual})
+            tried.append(x["func"])
+    got = p.apply(events(spark, sf)).agg(*[F.count(f"_{f}").alias(f) for f in tried])
+    return signatures_frame(spark).join(got.unpivot([], tried, "func", "n_values"), "func", "left")
+
+
+add("operator_signatures", operator_signatures)
 
 TREND_ROWS = [
     {"label": "mu", "func": "mean_ew", "kw-0": "v", "kw-1": "span:float=8"},

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,12 +43,36 @@ def gaussian_mat(seed: int, rows: int, cols: int, *by: str, mean: float = 0.0, s
     return F.array(*[gaussian_vec(seed, cols, *by, mean=mean, std=std, part=i * cols) for i in range(rows)])
 
 
-def walk(df: DataFrame, key: str, order: str, noise: Column, name: str = "v") -> DataFrame:
-    """The running sum of noise along each key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_e", noise).withColumn(name, F.sum("_e").over(w)).drop("_e")
+def walk(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], noise: Column, name: str = "v", shape: Sequence[int] = ()) -> DataFrame:
+    """The running sum of noise along each key, element by element for a vector's or matrix's shape."""
+    names = lambda x: [x] if isinstance(x, str) else list(x)
+    w = Window.partitionBy(*names(key)).orderBy(*names(order)).rowsBetween(Window.unboundedPreceding, 0)
+
+    def summed(e: Column, shape: Sequence[int]) -> Column:
+        return F.array(*[summed(F.get(e, F.lit(i)), shape[1:]) for i in range(shape[0])]) if shape else F.sum(e).over(w)
+
+    return df.withColumn("_e", noise).withColumn(name, summed(F.col("_e"), shape)).drop("_e")
+
+
+def gaussian_walk_vec(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], seed: int, n: int, *by: str, mean: float = 0.0, std: float = 1.0, name: str = "v") -> DataFrame:
+    return walk(df, key, order, gaussian_vec(seed, n, *by, mean=mean, std=std), name, (n,))
+
+
+def gaussian_walk_mat(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], seed: int, rows: int, cols: int, *by: str, mean: float = 0.0, std: float = 1.0, name: str = "v") -> DataFrame:
+    return walk(df, key, order, gaussian_mat(seed, rows, cols, *by, mean=mean, std=std), name, (rows, cols))
 
 
 def random_times(spark: SparkSession, keys: int, n: int, seed: int, mean: float = 1.0, std: float = 0.1) -> DataFrame:
     """Events whose distances are normal."""
     return walk(times(spark, keys, n).drop("t"), "key", "i", gaussian(seed, "key", "i", mean=mean, std=std), "t")
+
+
+def every(keys: DataFrame, n: int, step: float = 1.0, start: float = 0.0) -> DataFrame:
+    """``keys`` with i and t: n events for each row, ``step`` apart."""
+    return keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", F.lit(start) + F.col("i") * F.lit(step))
+
+
+def calendar_of(df: DataFrame, date: str, days: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """Dates from a table's first to its last, every ``days``; of each key its own."""
+    ends = df.groupBy(*keys).agg(F.min(F.col(date).cast("date")).alias("_a"), F.max(F.col(date).cast("date")).alias("_b")).where("_a is not null")
+    return ends.select(*keys, F.explode(F.sequence("_a", "_b", F.make_interval(days=F.lit(days)))).alias("date"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tideline.operators.fold import Recurrence
+from tideline.operators.fold import Recurrence, passes
 from tideline.series import Series
 
 #: Rows of one part of a key's buffer.
@@ -146,12 +146,13 @@ class InOrder(StatefulProcessor):
 
 
 class _Fold(InOrder):
-    """One state variable for each recurrence."""
+    """One state variable for each recurrence, and one for the row before where they feed on each other."""
 
     recurrences: Sequence[Recurrence]
+    loops: bool
 
     def open(self) -> None:
-        self.held = [self.handle.getValueState(f"state{i}", "held binary") for i in range(len(self.recurrences))]
+        self.held = [self.handle.getValueState(f"state{i}", "held binary") for i in range(len(self.recurrences) + self.loops)]
         self.inputs = [[self.columns.index(c) if c in self.columns else c for c in r.inputs] for r in self.recurrences]
 
     def load(self) -> None:
@@ -159,7 +160,7 @@ class _Fold(InOrder):
         self.old = list(self.states)
 
     def fresh(self) -> None:
-        self.states = [None] * len(self.recurrences)
+        self.states = [None] * len(self.held)
 
     def save(self) -> None:
         for h, now, old in zip(self.held, self.states, self.old):
@@ -171,9 +172,11 @@ class _Fold(InOrder):
             h.clear()
 
     def take(self, row: tuple) -> tuple:
-        made: dict[str, object] = {}
+        made: dict[str, object] = dict(self.states[-1] or {}) if self.loops else {}  # at first the row before
         for i, r in enumerate(self.recurrences):
-            self.states[i], made[r.name] = r.step(self.states[i], *[row[c] if isinstance(c, int) else made[c] for c in self.inputs[i]])
+            self.states[i], made[r.name] = r.step(self.states[i], *[row[c] if isinstance(c, int) else made.get(c) for c in self.inputs[i]])
+        if self.loops:
+            self.states[-1] = made
         return tuple(Row(**x) if isinstance(x, dict) else x for x in made.values())
 
 
@@ -239,7 +242,9 @@ def fold_in_order(stream: DataFrame, s: Series, recurrences: Sequence[Recurrence
     timed = _timed(stream, s, delay)
     kept = [c for c in stream.columns if c != s.time]
     p = _Fold(timed.columns, [_TIME, *s.tie], [*kept, _TIME, *(r.name for r in recurrences)], _width(delay, stretch), forget and micros(forget))
-    p.recurrences = list(recurrences)
+    p.recurrences, place = list(recurrences), {r.name: i for i, r in enumerate(recurrences)}
+    passes(recurrences, stream.columns)
+    p.loops = any(place.get(c, -1) >= i for i, r in enumerate(recurrences) for c in r.inputs)
     out = _run(timed, s, p, ", ".join([*_fields(stream, kept), f"{_TIME} long", *(f"`{r.name}` {r.type}" for r in recurrences)]))
     return out.select(*[F.timestamp_micros(_TIME).alias(c) if c == s.time else F.col(f"`{c}`") for c in stream.columns], *[r.name for r in recurrences])
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tideline.operators.fold import Recurrence
+from tideline.operators.fold import Recurrence, passes
 from tideline.series import Series
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,7 +53,12 @@ def _by_key(stream: DataFrame, s: Series, added: str, idle_ms: int | None, work:
 
 
 def fold_stream(stream: DataFrame, s: Series, recurrences: Sequence[Recurrence], idle_ms: int | None = None) -> DataFrame:
-    """``stream`` with one column for each recurrence; equal to fold() on the same rows in order."""
+    """``stream`` with one column for each recurrence; equal to fold() on the same rows in order.
+
+    For times that are no timestamps; recurrences that feed on each other are ordered.fold_in_order's.
+    """
+    if any(len(g) > 1 or recurrences[g[0]].name in recurrences[g[0]].inputs for g in passes(recurrences, stream.columns)):
+        raise ValueError("recurrences feed on each other")
 
     def work(df: pd.DataFrame, states: object) -> object:
         states = states or [None] * len(recurrences)
