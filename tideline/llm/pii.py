@@ -14,6 +14,7 @@ import re
 from calendar import monthrange
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
@@ -38,33 +39,41 @@ def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
         left, right = divmod(value, half)
         for r in range(ROUNDS):
             mac = hmac.digest(key, b"%s|%d|%d|%d" % (tweak, size, r, right), "sha256")
-            left, right = right, (left + int.from_bytes(mac[:16], "big")) % half
+            # wider than the half, so that all of it moves; a wide half takes the whole digest and more
+            wide = mac[:16] if half < 1 << 96 else mac + hmac.digest(key, mac, "sha256")
+            left, right = right, (left + int.from_bytes(wide, "big")) % half
         value = left * half + right
         if value < size:
             return value
 
 
+@lru_cache(4096)
+def _class(c: str) -> str:
+    """The characters that may stand in place of one: ASCII digits, small letters or capitals; of other letters and digits those of their kind in their block of 128."""
+    if c < "\x80":
+        return "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else c
+    kind = lambda x: (x.isdecimal(), x.islower(), x.isupper(), x.isalpha())
+    first = ord(c) // 128 * 128
+    return "".join(x for x in map(chr, range(first, first + 128)) if kind(x) == kind(c)) if any(kind(c)) else c
+
+
 def permute_classes(text: str, key: bytes, tweak: bytes) -> str:
-    """Digits, small letters and capitals are permuted within their classes; other characters stay.
+    """Digits, small letters, capitals and other letters are permuted within their classes; other characters stay.
 
     Beyond 64 characters, each block of so many is permuted for itself.
     """
     if len(text) > 64:
         return "".join(permute_classes(text[i : i + 64], key, b"%s|%d" % (tweak, i)) for i in range(0, len(text), 64))
-    sizes = [10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 1 for c in text]
-    shape = "".join("9" if s == 10 else ("a" if c >= "a" else "A") if s == 26 else c for c, s in zip(text, sizes))
+    classes = [_class(c) for c in text]
+    shape = "".join({"0": "9"}.get(k[0], k[0]) if len(k) > 1 else c for c, k in zip(text, classes))
     value, total = 0, 1
-    for c, s in zip(text, sizes):
-        if s > 1:
-            value = value * s + (ord(c) - ord("0") if s == 10 else ord(c.lower()) - ord("a"))
-            total *= s
+    for c, k in zip(text, classes):
+        value, total = value * len(k) + k.index(c), total * len(k)
     value = permute(value, total, key, tweak + b"|" + shape.encode())
     out = []
-    for c, s in zip(reversed(text), reversed(sizes)):
-        if s > 1:
-            value, d = divmod(value, s)
-            c = chr(d + (ord("0") if s == 10 else ord("a") if c >= "a" else ord("A")))
-        out.append(c)
+    for k in reversed(classes):
+        value, d = divmod(value, len(k))
+        out.append(k[d])
     return "".join(reversed(out))
 
 
@@ -239,11 +248,11 @@ def secret(text: str, key: bytes) -> str | None:
     return prefix + permute_classes(text[len(prefix) :], key, b"secret" + prefix.encode())
 
 
-#: Patterns take time in proportion: each starts at the edge of a run of its characters or is bounded in length (an
-#: address has 64 characters before the @ at most, labels of 63). Digits are 0 to 9 alone.
+#: Patterns take time in proportion: each starts at the edge of a run of its characters or is bounded in length
+#: (labels have 63 characters at most). Digits are 0 to 9 alone, but for addresses.
 #: name, pattern, pseudonym (or several with their places in the match). Earlier kinds win where spans overlap.
 KINDS: list[tuple[str, str, Callable[[str, bytes], str | list[tuple[int, int, str]] | None]]] = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}", email),
+    ("email", r"(?<![\w.%+-])[\w.%+-]++@(?:[\w-]{1,63}\.){1,126}[^\W\d_]{2,63}", email),
     ("secret", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|(?<![0-9a-fA-F])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![0-9a-fA-F])", secret),
     ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?([A-Za-z0-9_+/.-]{6,})", secret),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
@@ -275,12 +284,12 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]
             new = change(text[start:end], key)
             if new is None:
                 return m[0]
-            rest = m[0]
+            rest, at = [], m.start()
             for a, b, x in [(0, end - start, new)] if isinstance(new, str) else new:
                 taken.append((start + a, start + b, name, x))
-                a, b = start + a - m.start(), start + b - m.start()
-                rest = rest[:a] + "\0" * (b - a) + rest[b:]
-            return rest
+                rest += [left[at : start + a], "\0" * (b - a)]
+                at = start + b
+            return "".join([*rest, left[at : m.end()]])
 
         left = pattern.sub(take, left)
     out, at = [], 0
@@ -294,8 +303,12 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]
 def pseudonymise_documents(docs: DataFrame, key: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Id, text with pseudonyms, n_found and spans (start, stop, kind) of every row.
 
-    key: the secret; under one key equal values have equal pseudonyms everywhere.
-    Values that fail validation stay as they are, and every text keeps its length:
+    key: the secret; under one key equal values have equal pseudonyms everywhere. A
+    day is linked to itself in one notation alone: 2020-01-25, 2020/01/25 and
+    25/01/2020 stay days of one style and are linked where order and widths are the
+    same, 1/5/2020 is not linked to 2020-01-05. Numbers are found in the digits 0 to
+    9; those of other scripts stay, but for addresses, whose local parts may have
+    letters and digits of any script. Values that fail validation stay as they are, and every text keeps its length:
     digits stay digits, letters keep their case. A null text stays null with nothing
     found, an empty one stays empty; very long texts are read whole, in time that
     grows with their length; ids may be null or repeat; other columns are not read.
