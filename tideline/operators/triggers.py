@@ -45,9 +45,16 @@ def first_steps(df: DataFrame, s: Series, n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(s.ordered())).where(F.col("_n") <= n).drop("_n")
 
 
-def split_ids(s: Series, stop: Column) -> Column:
-    """Number of the batch that ends with a row where ``stop`` holds, from 0."""
-    return F.coalesce(F.sum(F.when(stop, 1).otherwise(0)).over(s.before()), F.lit(0))
+def split_ids(s: Series, stop: Column, ahead: bool = False) -> Column:
+    """Number of the batch that ends with a row where ``stop`` holds, from 0.
+
+    ahead: the batch ends before that row, which begins the next one; a key's first
+    row begins its first batch, whether ``stop`` holds or not.
+    """
+    hit = F.when(stop, 1).otherwise(0)
+    if ahead:
+        return F.sum(hit).over(s.upto()) - F.first(hit).over(s.upto())
+    return F.coalesce(F.sum(hit).over(s.before()), F.lit(0))
 
 
 def until(df: DataFrame, s: Series, stop: Column) -> DataFrame:

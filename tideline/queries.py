@@ -17,7 +17,7 @@ from tideline.functions import dates, scalar, vectors
 from tideline.operators import blocks, factors, fold, rolling, signals, temporal, triggers
 from tideline.plans.pipeline import Pipeline, compile_rows, plot_frame, signatures, signatures_frame
 from tideline.series import Series
-from tideline.sources import bars, gaps, generators, tables
+from tideline.sources import bars, gaps, generators, stored, tables
 from tideline.streaming import ordered, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -444,6 +444,21 @@ def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
     return bars.read_bars(spark, path, None, str(low), str(high)).select("symbol", day(), "open", "close")
 
 
+def bars_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """All days of all symbols by two reads, of which the second fetches what the first did not."""
+    path, b = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", as_bars(spark, sf)
+    ends = b.agg(F.date_add(F.min("date"), 3).alias("start"), F.date_add(F.min("date"), F.floor(F.datediff(F.max("date"), F.min("date")) / 2).cast("int")).alias("end"), F.min("date").alias("first"), F.max("date").alias("last"))
+    low, mid, first, last = ends.first()
+    for i, (start, end) in enumerate([(low, mid), (first, last)]):
+        wanted = b.select("symbol", F.lit(start).alias("start"), F.lit(end).alias("end")).distinct()
+        fetch = lambda ranges, i=i: b.join(ranges, (b["symbol"] == ranges["symbol"]) & b["date"].between(ranges["start"], ranges["end"])).select(b["symbol"], "date", "open", "close", F.lit(i).alias("read"))
+        out = stored.cached_bars(spark, path, wanted, fetch)
+    return out.where("close is not null").select("symbol", day(), "open", "close", "read")
+
+
+add("bars_cached", bars_cached, f"WITH {BARS}, e AS (SELECT min(date) AS a, min(date) + ((max(date) - min(date)) // 2)::INTEGER AS m FROM d) SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, close, CASE WHEN date BETWEEN a + 3 AND m THEN 0 ELSE 1 END AS read FROM d, e")
+
+
 add("bars_store_range", stored_bars, f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, close FROM d WHERE date BETWEEN (SELECT min(date) + 3 FROM d) AND (SELECT max(date) - 3 FROM d)")
 
 
@@ -518,6 +533,7 @@ add("not_missing_gate", lambda spark, sf: triggers.not_missing(events(spark, sf)
 add("sign_change_gate", lambda spark, sf: triggers.sign_change(events(spark, sf), EVENTS, "u").select("event_id"), f"WITH {EV} SELECT event_id FROM ev QUALIFY sign(lag(u) OVER ({_O})) * sign(u) < 0")
 add("batch_ids", lambda spark, sf: events(spark, sf).select("event_id", triggers.batch_ids(EVENTS, 8).alias("batch")), f"WITH {EV} SELECT event_id, (row_number() OVER o - 1) // 8 AS batch FROM ev {WINDOWS}")
 add("batch_until", lambda spark, sf: events(spark, sf).select("event_id", triggers.split_ids(EVENTS, F.col("event_type") == "error").alias("batch")), f"WITH {EV} SELECT event_id, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER pv, 0)::BIGINT AS batch FROM ev {WINDOWS}")
+add("batch_until_next", lambda spark, sf: events(spark, sf).select("event_id", triggers.split_ids(EVENTS, F.col("event_type") == "error", ahead=True).alias("batch")), f"WITH {EV}, n AS (SELECT *, row_number() OVER o AS k FROM ev {WINDOWS}) SELECT event_id, (sum(CASE WHEN event_type = 'error' AND k > 1 THEN 1 ELSE 0 END) OVER ({_O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS batch FROM n")
 add("step_until", lambda spark, sf: triggers.until(events(spark, sf), EVENTS, F.col("value") > 100).select("event_id"), f"WITH {EV}, f AS (SELECT *, min(CASE WHEN value > 100 THEN ts END) OVER (PARTITION BY user_id) AS f FROM ev) SELECT event_id FROM f WHERE f IS NULL OR ts <= f")
 add("first_steps", lambda spark, sf: triggers.first_steps(events(spark, sf), EVENTS, 5).select("event_id"), f"WITH {EV} SELECT event_id FROM ev QUALIFY row_number() OVER ({_O}) <= 5")
 
@@ -633,6 +649,21 @@ _old, _new = (lambda spark, sf: orders(spark, sf).where("o_orderkey % 3 <> 0").s
 add("table_insert_ignore", lambda spark, sf: tables.insert_ignore(_old(spark, sf), _new(spark, sf), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice ELSE -o_totalprice END AS o_totalprice FROM orders")
 add("table_insert_replace", lambda spark, sf: tables.insert_replace(_old(spark, sf), _new(spark, sf), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders")
 add("table_delete", lambda spark, sf: tables.delete(orders(spark, sf), "o_orderstatus = 'F'").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_orderstatus IS NULL")
+def stored_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders on storage: inserted, widened by the status of those that are filled, and deleted by customers that owe, of one region."""
+    t = stored.Stored(spark, f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", ["o_orderkey"])
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    t.create("o_orderkey long, o_custkey long")
+    t.insert(rows.drop("o_orderstatus"))
+    t.insert(rows.where("o_orderstatus = 'F'"), replace=True)
+    t.insert(rows.drop("o_orderstatus"))  # known orders stay as they are
+    others = {"c": (spark.read.parquet(f"{sf}/customer.parquet"), "c.c_custkey = t.o_custkey"), "n": (spark.read.parquet(f"{sf}/nation.parquet"), "n.n_nationkey = c.c_nationkey")}
+    t.delete("c.c_acctbal < 0 and n.n_regionkey = 1", others)
+    return t.read()
+
+
+add("table_stored", stored_table, """SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus END AS o_orderstatus FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0 AND n_regionkey = 1)""")
 add("table_with_id", lambda spark, sf: tables.with_id(orders(spark, sf).select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "id"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS id FROM orders")
 add("date_ordinal", lambda spark, sf: orders(spark, sf).select("o_orderkey", dates.to_ordinal(F.col("day")).cast("long").alias("n"), F.date_format(dates.from_ordinal(dates.to_ordinal(F.col("day"))), "yyyy-MM-dd").alias("d")), "SELECT o_orderkey, date_diff('day', DATE '0001-01-01', o_orderdate::DATE) + 1 AS n, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
 add("date_parse", lambda spark, sf: orders(spark, sf).select("o_orderkey", F.date_format(dates.parse_date(F.element_at(F.array(*[F.date_format("day", p) for p in ("yyyy", "yyyyMMdd", "yyyy-MM", "yyyy-MM-dd", "dd/MM")]), (F.col("o_orderkey") % 5 + 1).cast("int"))), "yyyy-MM-dd").alias("d")), "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-01-01') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders")

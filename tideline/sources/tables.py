@@ -14,14 +14,17 @@ from tideline.folders import shared_dir
 def with_id(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     """Adds a number from 1, gapless, in the given order; rows equal in it stand side by side.
 
-    Rows are dealt by ranges of the order and written, which fixes partitions and
-    places in them; one row for each partition shifts these.
+    Rows are dealt by ranges of the order, those equal in it by a hash of the row and
+    a number of their own, and written, which fixes partitions and places in them;
+    one row for each partition shifts these.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]).alias("row"))
-    by = [F.col(f"row.`{c}`") for c in order]
-    rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+    plain = [F.col(f"row.`{f.name}`") for f in rows.schema["row"].dataType if "map<" not in f.dataType.simpleString()]
+    rows = rows.withColumns({"tie": F.xxhash64(*plain), "at": F.monotonically_increasing_id()})
+    by = [*(F.col(f"row.`{c}`") for c in order), F.col("tie"), F.col("at")]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).select("row", F.monotonically_increasing_id().alias("place")).write.parquet(path)
     dealt = spark.read.parquet(path).withColumn("part", F.shiftright("place", 33))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
