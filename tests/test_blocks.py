@@ -59,3 +59,26 @@ def test_rows_are_even(hot):
     parts = blocks.over_blocks(hot, S, 2, lambda d, s: d.withColumn("n", F.count(F.lit(1)).over(s.last(1))).withColumn("p", F.col("_block")), 16)
     assert max(r["count"] for r in parts.groupBy("p").count().collect()) < 150
     assert blocks.over_blocks(hot.where("false"), S, 2, lambda d, s: d, 4).count() == 0
+
+
+def test_affine_blocks(spark):
+    """EW mean and rms of a hot series by composed maps, with blocks that have no value at all."""
+    data = [(k, t, None if (t // 40) % 3 == 1 or t % 7 == 0 else float(t % 23 - 11)) for k, n in ((1, 900), (2, 3), (3, 150), (None, 60)) for t in range(n)]
+    df = spark.createDataFrame(data, "key long, t long, v double").repartition(5)
+    s = Series.of("key", "t")
+    recs = [fold.mean_ew("m", "v", span=500), fold.rms_ew("q", "v", span=90, b=2.0)]
+    want = {(r["key"], r["t"]): (r["m"], r["q"]) for r in fold.fold(df, s, recs).collect()}
+    means, roots = (f(df, s, "r", "v", 40, span=n, **more) for f, n, more in ((blocks.mean_ew, 500, {}), (blocks.rms_ew, 90, {"b": 2.0})))
+    for i, got in enumerate((means, roots)):
+        got = {(r["key"], r["t"]): r["r"] for r in got.collect()}
+        assert got.keys() == want.keys()
+        assert all((a := want[k][i]) is None and got[k] is None or abs(a - got[k]) < 1e-9 for k in want)
+
+
+def test_lookback_over_many_small_blocks(spark):
+    """A lookback over more rows than a block has: from each block only what those after it leave open."""
+    df = spark.range(400).select(F.lit(1).alias("key"), F.col("id").alias("t"), F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("v")).repartition(3)
+    s = Series.of("key", "t")
+    last = lambda d, b: d.withColumn("x", F.sum("v").over(b.last(61))).withColumn("n", F.count(F.lit(1)).over(b.last(61)))
+    want = sorted(map(tuple, last(df, s).collect()))
+    assert sorted(map(tuple, blocks.over_blocks(df, s, 60, last, 50).collect())) == want

@@ -160,3 +160,16 @@ def test_sources_of_tables(spark, frame):
     days = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-01-08"), (2, "2024-02-01"), (3, None)], "k int, d string")
     assert sorted((r["k"], str(r["date"])) for r in generators.calendar_of(days, "d", 3, ["k"]).collect()) == [(1, "2024-01-01"), (1, "2024-01-04"), (1, "2024-01-07"), (2, "2024-02-01")]
     assert sorted(map(tuple, generators.every(frame.select("key").distinct(), 2, 0.5, 1.0).collect())) == [(k, i, 1.0 + i / 2) for k in range(4) for i in range(2)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_shared_stream(spark, monkeypatch, parts):
+    """numpy's own numbers, bit by bit, however rows are dealt and wherever a state was noted."""
+    monkeypatch.setattr(generators, "STATE_EVERY", 64)
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("t"), "id").repartition(parts)
+    for normal in (True, False):
+        rng = np.random.default_rng(11)
+        want = rng.normal(1.0, 2.0, (1000, 3)) if normal else rng.random((1000, 3))
+        got = sorted(generators.shared_stream(df, ["t"], 11, ["a", "b", "c"], normal, 1.0, 2.0).select("t", "a", "b", "c").collect())
+        assert [tuple(r)[1:] for r in got] == [tuple(x) for x in want.tolist()]
+    assert generators.shared_stream(df.limit(0), ["t"], 11, ["a"]).count() == 0

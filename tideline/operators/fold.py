@@ -261,6 +261,34 @@ def mean_ew(name: str, v: str, span: float | None = None, alpha: float | None =
     return Recurrence(name, (v,), step, scan=scan)
 
 
+def mean_ew_from(name: str, v: str, a: float, start: float) -> Recurrence:
+    """mean_ew() that is ``start`` before a series' first value; missing until there is one."""
+
+    def step(p, x):
+        p = p if x is None else (1.0 - a) * (start if p is None else p) + a * x
+        return p, p
+
+    def scan(new, p, x):
+        out = running(new, ~np.isnan(x), 1.0 - a, a * x, (1.0 - a) * start + a * x, p)
+        return _end(out[-1]), out
+
+    return Recurrence(name, (v,), step, scan=scan)
+
+
+def count_of(name: str, v: str) -> Recurrence:
+    """How many values there were; missing until there is one."""
+
+    def step(n, x):
+        n = n if x is None else (n or 0.0) + 1.0
+        return n, n
+
+    def scan(new, n, x):
+        out = running(new, ~np.isnan(x), 1.0, np.ones(len(x)), np.ones(len(x)), n)
+        return _end(out[-1]), out
+
+    return Recurrence(name, (v,), step, scan=scan)
+
+
 def std_ew(name: str, v: str, mu: str, span: float | None = None, alpha: float | None = None) -> Recurrence:
     """Deviation from ``mu``. First event: v - mu, signed; without a state: v; else the recurrence."""
     a = alpha_of(span, alpha)

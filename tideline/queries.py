@@ -196,9 +196,8 @@ SELECT user_id, event_id, CASE WHEN v IS NOT NULL THEN round((q.f - q.s) / nulli
 
 
 def ew_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """ew_mean without a task for each user: stretches that look back as far as weights can be told from zero."""
-    df = events(spark, sf).select("user_id", "ts", "event_id", "v")
-    out = blocks.over_blocks(df, EVENTS, fold.memory(span=4), lambda d, s: fold.fold(d, s, [fold.mean_ew("mu", "v", span=4)]), 16, V().isNotNull())
+    """ew_mean without a task for each user: blocks' maps are composed, and no weight is cut off."""
+    out = blocks.mean_ew(events(spark, sf).select("user_id", "ts", "event_id", "v"), EVENTS, "mu", "v", 16, span=4)
     return out.select("user_id", "event_id", r6(F.col("mu")).alias("r"))
 
 
@@ -517,6 +516,7 @@ add(
 _HALF = [_PATH.format(f"0.5 + {normal_sql(11, k)}") for k in range(4)]
 add("gaussian_walks", gaussian_walks, f"SELECT event_id, {', '.join([*(f'round({_PATH.format(normal_sql(7, k))}, 6) + 0.0 AS v{k}' for k in range(3)), *(f'round({x}, 6) + 0.0 AS m{k}' for k, x in enumerate(_HALF))])} FROM events")
 _STEP = _PATH.format(f"1.0 + 0.1 * ({normal_sql(5)})")
+add("gaussian_shared", lambda spark, sf: generators.shared_stream(events(spark, sf).select("event_id", "ts"), ["ts", "event_id"], 7, ["a", "b"]).select("event_id", "a", "b"))
 add("loop_rand", lambda spark, sf: generators.walk(events(spark, sf), _USER, _ORDER, generators.gaussian(5, "event_id", mean=1.0, std=0.1), "t").select("event_id", r6(F.col("t")).alias("t")), f"SELECT event_id, round({_STEP}, 6) + 0.0 AS t FROM events")
 
 # -- gates and batches --------------------------------------------------------------

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from pickle import dumps, loads
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.folders import shared_dir
+from tideline.sources.tables import with_id
+
 
 def times(spark: SparkSession, keys: int, n: int, step: float = 1.0, start: float = 0.0) -> DataFrame:
     """(key, i, t): n events for each of some keys, ``step`` apart."""
@@ -76,3 +83,66 @@ def calendar_of(df: DataFrame, date: str, days: int = 1, keys: Sequence[str] = (
     """Dates from a table's first to its last, every ``days``; of each key its own."""
     ends = df.groupBy(*keys).agg(F.min(F.col(date).cast("date")).alias("_a"), F.max(F.col(date).cast("date")).alias("_b")).where("_a is not null")
     return ends.select(*keys, F.explode(F.sequence("_a", "_b", F.make_interval(days=F.lit(days)))).alias("date"))
+
+
+#: Draws between two states that are noted of a stream of normal numbers.
+STATE_EVERY = 1 << 16
+
+
+def shared_stream(df: DataFrame, order: Sequence[str], seed: int, names: Sequence[str], normal: bool = True, mean: float = 0.0, std: float = 1.0) -> DataFrame:
+    """``df`` with a column for each of ``names``, drawn from numpy's ``default_rng(seed)`` as one stream.
+
+    Rows draw in the given order, the names of a row one after the other, so the
+    numbers are those of ``default_rng(seed).normal(mean, std, (rows, names))``, or
+    of ``random`` where not ``normal``, bit by bit, however the rows are dealt; rows
+    equal in the order are told apart as by with_id(). Uniform numbers take one step
+    each, so a task jumps to its own. Normal ones take one or more: one task runs
+    through the stream alone (some 10 ns a draw) and notes its state now and then,
+    and others go on from there.
+    """
+    spark, m = df.sparkSession, len(names)
+    rows = with_id(df, order, "_id")
+    if normal:
+        n = rows.select(F.count(F.lit(1)).alias("n"))
+
+        def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for total in b.column(0).to_pylist():
+                    rng = np.random.default_rng(seed)
+                    for block in range(-(-total * m // STATE_EVERY)):
+                        yield pa.RecordBatch.from_pydict({"_block": [block], "_state": [dumps(rng.bit_generator.state)]})
+                        rng.standard_normal(STATE_EVERY)
+
+        path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+        n.mapInArrow(states, "_block long, _state binary").write.parquet(path)
+        noted = spark.read.schema("_block long, _state binary").parquet(path)
+        block = F.floor((F.col("_id") - 1) * m / STATE_EVERY).cast("long")
+        # one row of some 200 bytes for each STATE_EVERY draws
+        rows = rows.withColumn("_block", block).join(noted, "_block")
+    kept = df.columns
+    at = rows.columns.index("_id")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, reached = None, -1
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(at).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(ids) != 1) + 1).tolist(), len(ids)]
+            got = np.empty((len(ids), m))
+            for lo, hi in zip(edges, edges[1:]):
+                first = (int(ids[lo]) - 1) * m
+                if rng is None or first != reached:
+                    rng = np.random.default_rng(seed)
+                    if normal:
+                        rng.bit_generator.state = loads(b.column("_state")[lo].as_py())
+                        rng.standard_normal(first % STATE_EVERY)
+                    else:
+                        rng.bit_generator.advance(first)
+                k = (hi - lo) * m
+                got[lo:hi] = (rng.normal(mean, std, k) if normal else rng.random(k)).reshape(-1, m)
+                reached = first + k
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(got[:, i]) for i in range(m))], [*kept, *names])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{x}` double" for x in names)])
+    return rows.sortWithinPartitions("_id").mapInArrow(draw, schema)
