@@ -54,12 +54,13 @@ def same(df, names, want):
     assert all(close(a, b) for k in want for a, b in zip(want[k], got[k]))
 
 
-RECURRENCES = [fold.mean_ew("mu", "v", span=4), fold.std_ew("sd", "v", "mu", span=3), fold.rms_ew("rms", "v", span=3, b=2.0), fold.xo_mean_ew_rms_ew("xo", "v", 2, 5, 3), fold.xo_mean_ew_rms_ew("xp", "v", 2, 5, 3, "pct"), fold.max_ew("mx", "v", "mu", span=3)]
+RECURRENCES = [fold.mean_ew("mu", "v", span=4), fold.std_ew("sd", "v", "mu", span=3), fold.rms_ew("rms", "v", span=3, b=2.0), fold.xo_mean_ew_rms_ew("xo", "v", 2, 5, 3), fold.xo_mean_ew_rms_ew("xp", "v", 2, 5, 3, "pct"), fold.max_ew("mx", "v", "mu", span=3), fold.min_ew("mn", "v", span=3), fold.quantile_ew("qt", "v", 0.3, span=3)]
 
 
-@pytest.mark.parametrize("batch", [3, 10_000])
-def test_batches_at_once(spark, frame, batch):
-    """Scans give what steps give, wherever a batch ends; a loop over a scan's output too."""
+@pytest.mark.parametrize("batch,few", [(3, 8), (10_000, 8), (3, 0), (10_000, 0)])
+def test_batches_at_once(spark, frame, monkeypatch, batch, few):
+    """Scans give what steps give, wherever a batch ends and whether series go side by side or not."""
+    monkeypatch.setattr(fold, "ABREAST", few)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, batch)

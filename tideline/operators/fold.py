@@ -209,6 +209,49 @@ def first_ok(new: np.ndarray, ok: np.ndarray, held: bool) -> np.ndarray:
     return out
 
 
+#: Series of a batch that are stepped through side by side, at least; fewer are stepped through row by row.
+ABREAST = 8
+
+
+def abreast(new: np.ndarray, held: tuple | None, width: int, move: Callable, xs: Sequence[np.ndarray]) -> tuple[tuple | None, np.ndarray]:
+    """What recurrences without a closed form give: all series of a batch move together, each by its next row.
+
+    move(state, *values) -> (state, outputs) over arrays of one place for each series
+    (state: of ``width`` arrays, NaN where there is none). A batch takes as many moves
+    as its longest series has rows.
+    """
+    starts = np.flatnonzero(new)
+    if not new[0]:
+        starts = np.concatenate([[0], starts])
+    lengths = np.diff(np.append(starts, len(new)))
+    longest_first = np.argsort(-lengths, kind="stable")
+    at, sizes = starts[longest_first], lengths[longest_first]
+    state = np.full((width, len(starts)), np.nan)
+    if not new[0] and held is not None:
+        state[:, np.flatnonzero(longest_first == 0)[0]] = held
+    out = np.empty(len(new))
+    for k in range(int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -k))  # series that have more than k rows
+        rows = at[:n] + k
+        state[:, :n], out[rows] = move(state[:, :n], *(x[rows] for x in xs))
+    end = state[:, np.flatnonzero(longest_first == len(starts) - 1)[0]]
+    return None if np.isnan(end[0]) else tuple(end.tolist()), out
+
+
+def _many(new: np.ndarray) -> bool:
+    """Whether series are many and short enough to go side by side."""
+    starts = np.append(np.flatnonzero(new), len(new))
+    return len(starts) > ABREAST and int(np.diff(starts, prepend=0).max()) * ABREAST <= len(new)
+
+
+def _one_by_one(new: np.ndarray, state: object, step: Step, xs: Sequence[np.ndarray]) -> tuple[object, np.ndarray]:
+    out = np.empty(len(new))
+    for i, (start, *values) in enumerate(zip(new.tolist(), *(x.tolist() for x in xs))):
+        state, got = step(None if start else state, *(None if v != v else v for v in values))
+        out[i] = np.nan if got is None else got
+    return state, out
+
+
 def _end(x: float) -> float | None:
     return None if np.isnan(x) else float(x)
 
@@ -332,14 +375,26 @@ def rms_ew(name: str, v: str, span: float | None = None, alpha: float | None = N
     return Recurrence(name, (v,), step, scan=scan)
 
 
-def _extreme_ew(name: str, v: str, mu: str | None, a: float, beyond: Callable[[float, float], bool]) -> Recurrence:
+def _extreme_ew(name: str, v: str, mu: str | None, a: float, beyond: Callable) -> Recurrence:
     def step(p, x, m=None):
         if x is None:
             return p, None
         p = x if p is None or beyond(x, p) else (1.0 - a) * p + (a * m if m is not None else 0.0)
         return p, p
 
-    return Recurrence(name, (v,) if mu is None else (v, mu), step)
+    def move(state, x, m=None):
+        p, ok = state[0], ~np.isnan(x)
+        decayed = (1.0 - a) * p + (0.0 if m is None else a * np.where(np.isnan(m), 0.0, m))
+        p = np.where(ok, np.where(np.isnan(p) | beyond(x, p), x, decayed), p)
+        return p[None], np.where(ok, p, np.nan)
+
+    def scan(new, p, *xs):
+        if not _many(new):
+            return _one_by_one(new, p, step, xs)
+        end, out = abreast(new, None if p is None else (p,), 1, move, xs)
+        return None if end is None else end[0], out
+
+    return Recurrence(name, (v,) if mu is None else (v, mu), step, scan=scan)
 
 
 def max_ew(name: str, v: str, mu: str | None = None, span: float | None = None, alpha: float | None = None) -> Recurrence:
@@ -365,7 +420,18 @@ def quantile_ew(name: str, v: str, q: float, span: float | None = None, alpha: f
         p += a * scale * (q if x > p else q - 1.0 if x < p else 0.0)
         return (p, scale), p
 
-    return Recurrence(name, (v,), step)
+    def move(state, x):
+        (p, scale), ok = state, ~np.isnan(x)
+        fresh = ok & np.isnan(p)
+        wider = (1.0 - a) * scale + a * np.abs(x - p)
+        moved = p + a * wider * np.where(x > p, q, np.where(x < p, q - 1.0, 0.0))
+        p, scale = np.where(fresh, x, np.where(ok, moved, p)), np.where(fresh, np.where(x == 0, 1.0, np.abs(x)), np.where(ok, wider, scale))
+        return np.stack([p, scale]), p
+
+    def scan(new, state, x):
+        return abreast(new, state, 2, move, (x,)) if _many(new) else _one_by_one(new, state, step, (x,))
+
+    return Recurrence(name, (v,), step, scan=scan)
 
 
 def xo_mean_ew_rms_ew(name: str, v: str, span_f: float, span_s: float, span_v: float, rx: str = "abs") -> Recurrence:
