@@ -20,3 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/tideline-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what was written to the folder in this application; for the end of a job, when results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -417,7 +417,14 @@ def day(c: str = "date") -> Column:
 
 
 add("daily_bars", lambda spark, sf: user_bars(spark, sf).select("symbol", day(), "open", "high", "low", "close", "n"), f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, high, low, close, n FROM d")
-add("calendar_reindex", lambda spark, sf: bars.on_calendar(as_bars(spark, sf), "2024-01-05", "2024-02-03").select("symbol", day(), "close"), f"""WITH {BARS}, s AS (SELECT symbol, unnest(generate_series(DATE '2024-01-05', DATE '2024-02-03', INTERVAL 1 DAY))::DATE AS date FROM (SELECT DISTINCT symbol FROM d WHERE true))
+def calendar_reindex(spark: SparkSession, sf: str) -> DataFrame:
+    """Every symbol on every day from the first bar to the last."""
+    b = as_bars(spark, sf)
+    start, end = b.agg(F.min("date"), F.max("date")).first()
+    return bars.on_calendar(b, str(start), str(end)).select("symbol", day(), "close")
+
+
+add("calendar_reindex", calendar_reindex, f"""WITH {BARS}, r AS (SELECT min(date) AS a, max(date) AS b FROM d), s AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM (SELECT DISTINCT symbol FROM d), r)
 SELECT s.symbol, strftime(s.date, '%Y-%m-%d') AS date, close FROM s LEFT JOIN d ON s.symbol = d.symbol AND s.date = d.date""")
 
 
@@ -802,15 +809,14 @@ def flagship_decomp(spark: SparkSession, sf: str) -> DataFrame:
 add("flagship_decomp", flagship_decomp)
 
 
-def drained(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+def drained(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a stream over the events' files has written when all of them are read."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     stream = stream.withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value")))
     # a batch that is written again replaces itself
-    place = (lambda i: f"{at}/out") if mode == "complete" else (lambda i: f"{at}/out/batch={i}")
-    stateful.run_available(make(stream), lambda df, i: df.write.mode("overwrite").parquet(place(i)), f"{at}/state", mode)
+    stateful.run_available(make(stream), lambda df, i: df.write.mode("overwrite").parquet(f"{at}/out/batch={i}"), f"{at}/state")
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
@@ -827,7 +833,7 @@ def arriving(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame
     first, last = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     third = (last - first + ordered.micros("3 hours")) // 3 + 1
     comes = F.floor((F.unix_micros("ts") - first + F.col("event_id") % 4 * ordered.micros("1 hour")) / third)
-    after = df.limit(1).select(*[F.timestamp_micros(F.lit(last + ordered.micros("1 day"))).alias(c) if c == "ts" else F.lit("error").alias(c) if c == "event_type" else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
+    after = df.limit(1).select(*[F.timestamp_micros(F.lit(last + ordered.micros("3 days"))).alias(c) if c == "ts" else F.lit("error").alias(c) if c == "event_type" else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
     for part in [*(df.where(comes == i) for i in range(3)), after]:
         part.write.mode("append").parquet(f"{at}/in")
         stream = make(spark.readStream.schema(df.schema).parquet(f"{at}/in"))
@@ -861,14 +867,14 @@ def utc(c: str, pattern: str) -> Column:
 
 
 def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily windows of every user."""
-    out = drained(spark, sf, lambda d: stateful.bars_stream(at_utc(d), ["user_id"], "ts", "value", "1 day", "1 day"), "complete")
+    """Daily windows of every user, each once it can not change any more."""
+    out = arriving(spark, sf, lambda d: stateful.bars_stream(d, ["user_id"], "ts", "value", "1 day", LATE))
     return out.select("user_id", utc("start", "yyyy-MM-dd").alias("date"), r6(F.col("high")).alias("high"), r6(F.col("low")).alias("low"), r6(F.col("total")).alias("total"), "n")
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Stretches of every user's events without a pause of 12 hours."""
-    out = drained(spark, sf, lambda d: stateful.sessions_stream(at_utc(d), ["user_id"], "ts", "12 hours", "1 day"), "complete")
+    """Stretches of every user's events without a pause of 12 hours, each once it is over."""
+    out = arriving(spark, sf, lambda d: stateful.sessions_stream(d, ["user_id"], "ts", "12 hours", LATE))
     return out.select("user_id", utc("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 

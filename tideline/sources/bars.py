@@ -68,8 +68,12 @@ def identify(bars: DataFrame, **given: str | None) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str, by: Sequence[str] = ("symbol",)) -> None:
-    """Parquet by symbol, or by other parts of the identifier, so that reading one opens its folder alone."""
-    bars.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Parquet by symbol, or by other parts of the identifier, so that reading one opens its folder alone.
+
+    Rows are dealt by ranges of identifier and day: a task writes few folders, and a
+    long one is written by several tasks.
+    """
+    bars.repartitionByRange(*by, "date").write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def read_bars(
