@@ -168,3 +168,25 @@ def test_split_ahead(spark):
     got = {(r["k"], r["t"]): (r["a"], r["b"]) for r in df.withColumns({"a": triggers.split_ids(s, F.col("stop")), "b": triggers.split_ids(s, F.col("stop"), ahead=True)}).collect()}
     assert [got[1, t] for t in range(5)] == [(0, 0), (1, 0), (1, 1), (2, 2), (3, 2)]
     assert [got[2, t][1] for t in range(5)] == [0, 0, 0, 0, 1] and {got[3, t] for t in range(5)} == {(0, 0)}
+
+
+def test_written_archives(spark, tmp_path):
+    data = [(s, dt.date(2024, 1, d), 1.5, None, float(d)) for s in ("A1", "B1", "C2") for d in (3, 1, 2)]
+    df = spark.createDataFrame(data, "symbol string, date date, open double, high double, low double")
+    archives.write_archives(df.withColumn("a", F.substring("symbol", -1, 1)), str(tmp_path / "z"), "a", ["open", "high", "low"])
+    assert sorted(p.name for p in (tmp_path / "z").iterdir()) == ["1.zip", "2.zip"]
+    got = archives.read_archives(spark, str(tmp_path / "z"), symbols=["B1", "C2"])
+    assert rows(got.select("symbol", "date", "open", "high", "low")) == sorted((x for x in data if x[0] != "A1"), key=repr)
+
+
+def test_folder_and_files(spark, tmp_path, monkeypatch):
+    from tideline.sources import bars
+
+    monkeypatch.setenv("TIDELINE_BARS", "/some/where")
+    assert bars.bars_dir() == "/some/where" and bars.bars_dir("/else") == "/else"
+    monkeypatch.delenv("TIDELINE_BARS")
+    with pytest.raises(ValueError):
+        bars.bars_dir()
+    (tmp_path / "a.txt").write_text("x")
+    assert [r["length"] for r in bars.modified_since(spark, str(tmp_path), "2020-01-01T00:00:00").collect()] == [1]
+    assert bars.modified_since(spark, str(tmp_path), "2100-01-01T00:00:00").count() == 0

@@ -17,7 +17,7 @@ from tideline.functions import dates, scalar, vectors
 from tideline.operators import blocks, factors, fold, rolling, signals, temporal, triggers
 from tideline.plans.pipeline import Pipeline, compile_rows, plot_frame, signatures, signatures_frame
 from tideline.series import Series
-from tideline.sources import bars, gaps, generators, stored, tables
+from tideline.sources import archives, bars, gaps, generators, stored, tables
 from tideline.streaming import ordered, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,6 +304,17 @@ add("asof_align", align, f"""WITH {SIDES}, j AS (SELECT c.user_id, event_id, c.t
 SELECT event_id, round(CASE WHEN before IS NULL OR found > before THEN v END, 6) + 0.0 AS r FROM j""")
 
 
+def align_date(spark: SparkSession, sf: str) -> DataFrame:
+    """The day of the newest error since the click before; half of them are missing."""
+    df = events(spark, sf).withColumn("d", F.when(F.col("event_id") % 2 == 0, F.to_date("ts")))
+    days = df.where("event_type = 'error'").select("user_id", "ts", "d")
+    return temporal.align(clicks(df), days, PLAIN, "d", "r").select("event_id", F.date_format("r", "yyyy-MM-dd").alias("r"))
+
+
+add("asof_align_date", align_date, f"""WITH {SIDES}, f AS (SELECT user_id, ts, CASE WHEN error_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') END AS d FROM e), j AS (SELECT event_id, f.ts AS found, d, lag(c.ts) OVER (PARTITION BY c.user_id ORDER BY c.ts) AS before FROM c ASOF LEFT JOIN f ON c.user_id = f.user_id AND c.ts >= f.ts)
+SELECT event_id, CASE WHEN before IS NULL OR found > before THEN d END AS r FROM j""")
+
+
 def driven(spark: SparkSession, sf: str) -> DataFrame:
     df = events(spark, sf)
     views = df.where("event_type = 'view'").select("user_id", "ts", U().alias("seen"))
@@ -441,6 +452,17 @@ for _f in ("open", "high", "low", "close", "volume"):
 add("daily_open_interest", lambda spark, sf: bars.daily_field(*bar_days(spark, sf), "open_interest").select("symbol", day(), "v"), f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, NULL::DOUBLE AS v FROM d")
 
 
+def zipped_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """All bars by way of zip archives, one for each last digit of the symbol with a member for each symbol, read from the second day on."""
+    path, b = f"{shared_dir(spark)}/zips-{uuid.uuid4().hex}", as_bars(spark, sf)
+    archives.write_archives(b.withColumn("archive", F.substring("symbol", -1, 1)), path, "archive")
+    second = b.agg(F.date_add(F.min("date"), 1)).first()[0]
+    return archives.read_archives(spark, path, start=str(second)).select("symbol", day(), "open", "high", "low", "close", "volume")
+
+
+add("bars_archives", zipped_bars, f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, high, low, close, n::DOUBLE AS volume FROM d WHERE date > (SELECT min(date) FROM d)")
+
+
 def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
     """All symbols but for the first and the last three days."""
     path = f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
@@ -671,6 +693,11 @@ def stored_table(spark: SparkSession, sf: str) -> DataFrame:
 
 add("table_stored", stored_table, """SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus END AS o_orderstatus FROM orders
 WHERE o_custkey NOT IN (SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0 AND n_regionkey = 1)""")
+add(
+    "table_concat",
+    lambda spark, sf: tables.merge_columns(clicks(events(spark, sf)).select("event_id", "value"), errors(events(spark, sf)).select(F.col("error_id").alias("event_id"), "v")),
+    f"WITH {EV} SELECT event_id, value, NULL::DOUBLE AS v FROM ev WHERE event_type = 'click' UNION ALL SELECT event_id, NULL, v FROM ev WHERE event_type = 'error'",
+)
 add("table_with_id", lambda spark, sf: tables.with_id(orders(spark, sf).select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "id"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS id FROM orders")
 add("date_ordinal", lambda spark, sf: orders(spark, sf).select("o_orderkey", dates.to_ordinal(F.col("day")).cast("long").alias("n"), F.date_format(dates.from_ordinal(dates.to_ordinal(F.col("day"))), "yyyy-MM-dd").alias("d")), "SELECT o_orderkey, date_diff('day', DATE '0001-01-01', o_orderdate::DATE) + 1 AS n, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
 add("date_parse", lambda spark, sf: orders(spark, sf).select("o_orderkey", F.date_format(dates.parse_date(F.element_at(F.array(*[F.date_format("day", p) for p in ("yyyy", "yyyyMMdd", "yyyy-MM", "yyyy-MM-dd", "dd/MM")]), (F.col("o_orderkey") % 5 + 1).cast("int"))), "yyyy-MM-dd").alias("d")), "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-01-01') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders")

@@ -6,7 +6,7 @@ import csv
 import io
 import os
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -136,3 +136,39 @@ def read_archives(spark: SparkSession, path: str, pattern: str = "", one: bool =
     spark.dataSource.register(BarArchives)
     given = {"pattern": pattern, "one": str(one).lower(), "dateFormat": date_format, "symbols": ",".join(symbols) if symbols is not None else None, "start": start, "end": end, "pushed": spark.conf.get("spark.sql.python.filterPushdown.enabled")}
     return spark.read.format("bar_archives").options(**{k: v for k, v in given.items() if v is not None}).load(path)
+
+
+def write_archives(bars: DataFrame, path: str, archive: str, fields: Sequence[str] = FIELDS) -> None:
+    """Headerless members, one for each symbol, in one zip archive for each value of the column ``archive``.
+
+    An archive is one task's work and is written symbol by symbol; a task that runs
+    again writes the same file.
+    """
+    names = [archive, "symbol", "date", *fields]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = _opened(path)
+        system.create_dir(folder, recursive=True)
+        now = opened = out = member = None
+        n = 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:2] != now:
+                    if member is not None:
+                        member.close()
+                    if now is None or row[0] != now[0]:
+                        if opened is not None:
+                            out.close()
+                            opened.close()
+                        opened = system.open_output_stream(f"{folder}/{row[0]}.zip")
+                        out = zipfile.ZipFile(opened, "w", zipfile.ZIP_DEFLATED)
+                        n += 1
+                    now, member = row[:2], out.open(f"{row[1]}.txt", "w")
+                member.write((",".join("" if x is None else str(x) for x in row[2:]) + "\n").encode())
+        for x in (member, out, opened):
+            if x is not None:
+                x.close()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows = bars.select(*names).repartition(archive).sortWithinPartitions(archive, "symbol", "date")
+    rows.mapInArrow(write, "n long").agg({"n": "sum"}).collect()

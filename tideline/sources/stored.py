@@ -80,7 +80,7 @@ class Stored:
         df.write.parquet(f"{self.path}/{name}")
         return name
 
-    def create(self, schema: str, columns_only: bool = True) -> int:
+    def create(self, schema: str) -> int:
         """Make the table if it is not there, and add those columns that it lacks; the version."""
         base = self.version()
         wanted = self.spark.createDataFrame([], schema)
