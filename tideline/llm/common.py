@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,6 +93,17 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator
             yield b.slice(at, rows)
 
 
+def kept_in_worker(name: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once, however many tasks it runs; what ``make`` gives has a bounded size.
+
+    This package's functions come to a worker with each task, so they have no module there that could hold it.
+    """
+    home = sys.modules.setdefault("tideline_kept", ModuleType("tideline_kept")).__dict__
+    if name not in home:
+        home[name] = make()
+    return home[name]
+
+
 def utf8(column: str | Column) -> Column:
     """The UTF-8 bytes of a text column; null stays null."""
     return (F.col(column) if isinstance(column, str) else column).cast("binary")

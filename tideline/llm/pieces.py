@@ -12,7 +12,7 @@ import re
 import struct
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import chain, groupby
 from operator import add, itemgetter
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import sliced, utf8
+from tideline.llm.common import kept_in_worker, sliced, utf8
 
 SPACE = "▁"
-#: Stretches of text whose ids a task remembers, and how long they may be: some 100 MB.
+#: Stretches of text whose ids a worker remembers, and how long they may be: some 100 MB.
 MEMO, MEMO_LENGTH = 1 << 18, 64
 #: Symbols whose agenda is a list.
 FEW = 24
@@ -278,12 +278,13 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "
     null; other columns are not read. An empty table gives an empty result.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    known = read_model(model)
+    known, name = read_model(model), _name(model)
     raw = _contents(model) if check else None
     fields = [id_column, "ids", *([decoded] if decoded else []), *(["agrees"] if check else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(known)
+        pieces = kept_in_worker(name, lambda: Pieces(known))
+        library = kept_in_worker(f"{name}-library", lambda: _library(raw)) if check else None
         for b in sliced(batches):
             texts = [(x or b"").decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             ids = [pieces.encode(t) for t in texts]
@@ -293,26 +294,28 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "
             if decoded:
                 cols.append(pa.array(read, pa.string()))
             if check:
-                cols.append(pa.array(agreeing(raw, texts, ids, read), pa.bool_()))
+                cols.append(pa.array(agreeing(library, texts, ids, read), pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, fields)
 
     schema = f"`{id_column}` {kind}, ids array<int>{f', `{decoded}` string' if decoded else ''}{', agrees boolean' if check else ''}"
     return docs.select(F.col(f"`{id_column}`"), utf8(F.col(f"`{text}`")).alias("_b")).mapInArrow(run, schema)
 
 
-@lru_cache(1)
 def _library(raw: bytes):
     import sentencepiece
 
     return sentencepiece.SentencePieceProcessor(model_proto=raw)
 
 
-def agreeing(raw: bytes, texts: list[str], ids: list[list[int]], decoded: list[str]) -> list[bool]:
+def agreeing(library, texts: list[str], ids: list[list[int]], decoded: list[str]) -> list[bool]:
     """Whether the library gives these ids, and reads them as these texts."""
-    library = _library(raw)
     return [a == b and c == d for a, b, c, d in zip(ids, library.encode(texts, num_threads=1), decoded, library.decode(ids))]
 
 
+def _name(path: str) -> str:
+    return f"pieces-{sha256(_contents(path)).hexdigest()}"
+
+
 def _contents(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -323,13 +326,13 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "text")
 
     Control ids have no text; null ids have none. Ids that the model does not have are an error.
     """
-    known = read_model(model)
+    known, kept = read_model(model), _name(model)
     rest = [c for c in encoded.columns if c != name]
     schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in rest), f"`{name}` string"])
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(known)
+        pieces = kept_in_worker(kept, lambda: Pieces(known))
         for b in sliced(batches):
             col = b.column(at)
             values, edges = col.flatten().to_numpy(zero_copy_only=False), col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
@@ -341,9 +344,9 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "text")
 
 
 def op11_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Digests of every document's ids and of the text they are read back as."""
+    """Digests of every document's ids and of the text they are read back as; agrees: the library gives the same."""
     import public_tokenizers as p
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return encode(docs, p.path("piece_bpe_32k.model"), decoded="read").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("read", 256).alias("decoded_sha256"))
+    return encode(docs, p.path("piece_bpe_32k.model"), decoded="read", check=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("read", 256).alias("decoded_sha256"), "agrees")
