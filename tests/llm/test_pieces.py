@@ -85,13 +85,16 @@ def test_memo_is_bounded(ours):
 
 
 def test_rows(spark, odd, clashing, none, library, sorted_rows):
-    rows = pieces.encode(odd, MODEL, decoded="read", check=True)
+    rows = pieces.encode(odd, MODEL, decoded="read", check="both")
     got = rows.collect()
     assert all(r["agrees"] for r in got)
     texts = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
     assert sorted(((r["doc_id"], r["ids"], r["read"]) for r in got), key=repr) == sorted(((k, ids, library.decode(ids)) for k, t in texts for ids in [library.encode(t)]), key=repr)
     assert sorted_rows(pieces.decode(rows.drop("read", "agrees"), MODEL)) == sorted_rows(rows.select("doc_id", "ids", "read"))
     assert sorted_rows(pieces.encode(clashing, MODEL)) == sorted_rows(pieces.encode(odd, MODEL))
+    assert all(r["agrees"] for r in pieces.encode(odd, MODEL, check="ids").collect())
+    assert pieces.agreeing(library, ["a b", "a b"], [library.encode("a b"), [5]], None) == [True, False]
+    assert pieces.agreeing(library, ["a b"], [library.encode("a b")], ["a c"]) == [False]
     assert pieces.decode(pieces.encode(none, MODEL), MODEL).collect() == []
     some = spark.createDataFrame([([15043, 2787],), (None,), ([],)], "ids array<int>")
     assert sorted_rows(pieces.decode(some, MODEL), "text") == sorted([(library.decode([15043, 2787]),), (None,), ("",)], key=repr)
