@@ -1,5 +1,6 @@
 """Recurrences over batches at once and in loops, lookups of vectors and matrices, walks, aggregates of one's own, Gaussian processes."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -174,3 +175,33 @@ def test_shared_stream(spark, monkeypatch, parts):
         got = sorted(generators.shared_stream(df, ["t"], 11, ["a", "b", "c"], normal, 1.0, 2.0).select("t", "a", "b", "c").collect())
         assert [tuple(r)[1:] for r in got] == [tuple(x) for x in want.tolist()]
     assert generators.shared_stream(df.limit(0), ["t"], 11, ["a"]).count() == 0
+
+
+def test_scans_have_the_bits_of_steps():
+    """Rounded results may not hang on where a batch ends: scan() gives step()'s doubles, not just numbers close to them."""
+    r = random.Random(8)
+    new = np.array([i % 137 == 0 for i in range(1500)])
+    x = np.array([np.nan if r.random() < 0.2 else round(r.uniform(0, 500), 2) for _ in new])
+    m = np.array([r.gauss(200, 50) for _ in new])
+    for rec in (fold.mean_ew("a", "v", span=12), fold.std_ew("a", "v", "m", span=6), fold.rms_ew("a", "v", span=6, b=2.0), fold.xo_mean_ew_rms_ew("a", "v", 4, 12, 6), fold.xo_mean_ew_rms_ew("a", "v", 4, 12, 6, "pct")):
+        xs = (x, m)[: len(rec.inputs)]
+        state, want = None, []
+        for start, *row in zip(new.tolist(), *(c.tolist() for c in xs)):
+            state, y = rec.step(None if start else state, *(None if c != c else c for c in row))
+            want.append(tuple(y.values()) if isinstance(y, dict) else (y,))
+        for size in (7, 400, 1500):
+            state, got = None, []
+            for i in range(0, len(new), size):
+                state, y = rec.scan(new[i : i + size], state, *(c[i : i + size] for c in xs))
+                got += [tuple(None if z != z else z for z in row) for row in zip(*(c.tolist() for c in (y.values() if isinstance(y, dict) else (y,))))]
+            assert got == want
+
+
+def test_crossover_of_a_first_zero(spark, tmp_path):
+    """A distance in units of no volatility is missing, as in the query's SQL."""
+    from tideline import queries
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, at, 1, "click", 0.0), (1, at + dt.timedelta(hours=1), 2, "click", 3.0), (2, at, 3, "click", 5.0)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.xo is None for r in queries.QUERIES["xo_crossover"](spark, str(tmp_path)).orderBy("event_id").collect()] == [True, False, False]

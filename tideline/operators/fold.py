@@ -162,12 +162,13 @@ def _arrow(kind: str) -> pa.DataType:
     return {"double": pa.float64(), "float": pa.float32(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "date": pa.date32()}[kind]
 
 
-def running(new: np.ndarray, ok: np.ndarray, keep: float, add: np.ndarray, first: np.ndarray, p0: float | None) -> np.ndarray:
+def running(new: np.ndarray, ok: np.ndarray, keep: float, add: np.ndarray, first: np.ndarray, p0: float | None, root: bool = False) -> np.ndarray:
     """p = keep * p + add at every row where ok holds, p = first at a series' first such row; other rows carry p.
 
-    p0: p of the series that goes on from the batch before. The rows' affine maps are
-    composed by doubling, so no row waits for the one before it. NaN until a series
-    has a p.
+    root: p = sqrt(keep * p * p + add) instead. p0: p of the series that goes on from
+    the batch before. Each value is taken from the one before it, as step() does: to
+    the last bit it depends neither on where batches end nor on a batch's other rows.
+    NaN until a series has a p.
     """
     n = len(new)
     series = np.cumsum(new)
@@ -175,22 +176,19 @@ def running(new: np.ndarray, ok: np.ndarray, keep: float, add: np.ndarray, first
     mine = series[at]
     fresh = np.ones(len(at), bool)
     fresh[1:] = mine[1:] != mine[:-1]
-    a, b = np.where(fresh, 0.0, keep), np.where(fresh, first[at], add[at])
     if len(at) and mine[0] == 0 and p0 is not None:
-        b[0] = keep * p0 + add[at[0]]
-    longest = int(np.bincount(mine).max()) if len(at) else 0
-    d = 1
-    while d < longest:
-        b[d:] = b[d:] + a[d:] * b[:-d]
-        a[d:] = a[d:] * a[:-d]
-        d *= 2
+        fresh[0] = False
+    p, got = p0, []
+    for starts, a, x in zip(fresh.tolist(), add[at].tolist(), first[at].tolist()):
+        p = x if starts else sqrt(keep * p * p + a) if root else keep * p + a
+        got.append(p)
     out = np.full(n, np.nan if p0 is None else p0)
     out[series > 0] = np.nan
     newest = np.maximum.accumulate(np.where(ok, np.arange(n), -1)) if n else np.zeros(0, int)
     starts = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else newest
     there = (newest >= 0) & (newest >= starts)
     full = np.empty(n)
-    full[at] = b
+    full[at] = got
     out[there] = full[newest[there]]
     return out
 
@@ -340,7 +338,7 @@ def std_ew(name: str, v: str, mu: str, span: float | None = None, alpha: float |
         first, p = state is None, None if state is None else state[0]
         if x is None or m is None:
             return (p,), None
-        out = x - m if first else x if p is None else sqrt((1.0 - a) * p * p + a * (x - m) * (x - m))
+        out = x - m if first else x if p is None else sqrt((1.0 - a) * p * p + a * ((x - m) * (x - m)))
         return (out,), out
 
     def scan(new, state, x, m):
@@ -348,8 +346,7 @@ def std_ew(name: str, v: str, mu: str, span: float | None = None, alpha: float |
         starts = new.copy()
         starts[0] |= state is None
         first = np.where(starts, x - m, x)
-        q = running(new, ok, 1.0 - a, a * (x - m) ** 2, first * first, None if p is None else p * p)
-        out = np.where(ok, np.where(first_ok(new, ok, p is not None), first, np.sqrt(q)), np.nan)
+        out = np.where(ok, running(new, ok, 1.0 - a, a * ((x - m) * (x - m)), first, p, root=True), np.nan)
         tail = out[np.flatnonzero(new)[-1] if new.any() else 0 :]
         tail = tail[~np.isnan(tail)]
         return (float(tail[-1]) if len(tail) else None if new.any() else p,), out
@@ -454,7 +451,7 @@ def xo_mean_ew_rms_ew(name: str, v: str, span_f: float, span_s: float, span_v: f
         f, sl = (1.0 - af) * f + af * x, (1.0 - as_) * sl + as_ * x
         change = x - p if rx == "abs" else x / p - 1.0 if p else None
         if change is not None:
-            vol = sqrt((1.0 - av) * vol * vol + av * change * change)
+            vol = sqrt((1.0 - av) * vol * vol + av * (change * change))
         return (x, f, sl, vol), {"xo": (f - sl) / vol if vol else None, "fast": f, "slow": sl, "vol": vol}
 
     def scan(new, state, x):
@@ -464,7 +461,7 @@ def xo_mean_ew_rms_ew(name: str, v: str, span_f: float, span_s: float, span_v: f
         held = running(new, ok, 0.0, x, x, x0)  # the newest value
         p = np.concatenate([[np.nan if x0 is None else x0], held[:-1]])
         change = x - p if rx == "abs" else np.divide(x, p, out=np.full(len(x), np.nan), where=p != 0) - 1.0
-        vol = np.sqrt(running(new, fresh | (ok & ~np.isnan(change)), 1.0 - av, av * change * change, x * x, None if v0 is None else v0 * v0))
+        vol = running(new, fresh | (ok & ~np.isnan(change)), 1.0 - av, av * (change * change), np.abs(x), v0, root=True)
         xo = np.where(fresh, 0.0, np.divide(fast - slow, vol, out=np.full(len(x), np.nan), where=vol != 0))
         end = tuple(_end(y[-1]) for y in (held, fast, slow, vol))
         return None if end[0] is None else end, {"xo": np.where(ok, xo, np.nan), "fast": fast, "slow": slow, "vol": vol}
