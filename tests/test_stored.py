@@ -179,6 +179,21 @@ def test_written_archives(spark, tmp_path):
     assert rows(got.select("symbol", "date", "open", "high", "low")) == sorted((x for x in data if x[0] != "A1"), key=repr)
 
 
+def test_partitions_do_not_grow_with_members(spark, tmp_path):
+    """Thousands of small members, in one archive and in an archive each, take about as many tasks as there are cores."""
+    (tmp_path / "z").mkdir()
+    with zipfile.ZipFile(tmp_path / "z" / "all.zip", "w") as z:
+        for i in range(2000):
+            z.writestr(f"S{i}.txt", f"2024-01-02,{i},2,0.5,1.5\n")
+    for i in range(50):
+        with zipfile.ZipFile(tmp_path / "z" / f"one{i}.zip", "w") as z:
+            z.writestr(f"T{i}.txt", "2024-01-03,1,2,0.5,1.5\n")
+    got = archives.read_archives(spark, str(tmp_path / "z"))
+    assert spark.sparkContext.defaultParallelism <= got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    assert sorted((r["symbol"], r["open"]) for r in got.collect()) == sorted([(f"S{i}", float(i)) for i in range(2000)] + [(f"T{i}", 1.0) for i in range(50)])
+    assert archives.read_archives(spark, str(tmp_path / "z"), start="2024-01-03").count() == 50
+
+
 def test_folder_and_files(spark, tmp_path, monkeypatch):
     from tideline.sources import bars
 

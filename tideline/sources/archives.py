@@ -1,4 +1,4 @@
-"""Daily bars in zip archives as a Spark data source: a partition for each member, read line by line."""
+"""Daily bars in zip archives as a Spark data source: members are dealt to partitions by their sizes and read line by line."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -19,6 +21,8 @@ from tideline.sources.bars import FIELDS, SCHEMA
 
 #: Rows that are handed on at a time.
 ROWS = 8_192
+#: Unpacked bytes that a partition has at most, unless one member has more, and those that opening a member counts for.
+PARTITION_BYTES, MEMBER_BYTES = 64 << 20, 64 << 10
 _TYPES = pa.schema([("symbol", pa.string()), ("date", pa.date32()), *((f, pa.float64()) for f in FIELDS)])
 
 
@@ -32,9 +36,10 @@ def _symbol(member: str) -> str:
 
 
 @dataclass
-class Member(InputPartition):
-    archive: str
-    name: str
+class Members(InputPartition):
+    """(archive, member) pairs, those of an archive side by side."""
+
+    names: list[tuple[str, str]]
 
 
 class ArchiveReader(DataSourceReader):
@@ -43,43 +48,64 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.pattern, self.one = options["path"], options.get("pattern", ""), options.get("one", "false").lower() == "true"
         self.format = options.get("dateformat", "%Y-%m-%d")
+        self.cores = int(options.get("cores", "8"))
         self.symbols: set[str] | None = set(options["symbols"].split(",")) if options.get("symbols") else None
         self.start = date.fromisoformat(options["start"]) if options.get("start") else None
         self.end = date.fromisoformat(options["end"]) if options.get("end") else None
 
-    def partitions(self) -> list[Member]:
-        """Members whose names hold the pattern and whose symbols are wanted; only the archives' directories are read."""
+    def partitions(self) -> list[Members]:
+        """Members whose names hold the pattern and whose symbols are wanted; only the archives' directories are read.
+
+        As Spark does with files, as many partitions as there are cores are filled, of
+        more bytes than one holds there are more: partitions grow with the bytes, not
+        with the number of members.
+        """
         system, path = _opened(self.path)
         found = system.get_file_info(path)
         files = [found] if found.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
-        out = []
+        sizes: dict[tuple[str, str], int] = {}
         for f in sorted((f.path for f in files if f.is_file and f.path.endswith(".zip"))):
             with system.open_input_file(f) as raw, zipfile.ZipFile(raw) as z:
-                members = [m for m in z.namelist() if self.pattern in m and not m.endswith("/")]
+                members = [(m.filename, m.file_size) for m in z.infolist() if self.pattern in m.filename and not m.is_dir()]
             if self.one and len(members) != 1:
                 raise ValueError(f"{f}: {len(members)} members hold {self.pattern!r}, not one")
-            out += [Member(f, m) for m in members if self.symbols is None or _symbol(m) in self.symbols]
+            sizes |= {(f, m): n + MEMBER_BYTES for m, n in members if self.symbols is None or _symbol(m) in self.symbols}
+        most = min(PARTITION_BYTES, max(MEMBER_BYTES, sum(sizes.values()) // self.cores))
+        out, room = [], 0
+        for name, n in sizes.items():
+            if not out or n > room:
+                out.append(Members([]))
+                room = most
+            out[-1].names.append(name)
+            room -= n
         return out
 
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no member is wanted
             return
         system, _ = _opened(self.path)
-        symbol, rows = _symbol(partition.name), []
-        with system.open_input_file(partition.archive) as raw, zipfile.ZipFile(raw) as z, z.open(partition.name) as member:
-            for line in csv.reader(io.TextIOWrapper(member, "utf-8", newline="")):
-                if not line:
-                    continue
-                day = datetime.strptime(line[0].strip(), self.format).date()
-                if (self.start is None or day >= self.start) and (self.end is None or day <= self.end):
-                    numbers = [float(x) if x.strip() else None for x in line[1 : 1 + len(FIELDS)]]
-                    rows.append((symbol, day, *numbers, *[None] * (len(FIELDS) - len(numbers))))
-                if len(rows) == ROWS:
-                    yield self._batch(rows)
-                    rows = []
+        rows = []
+        for archive, names in groupby(partition.names, itemgetter(0)):
+            with system.open_input_file(archive) as raw, zipfile.ZipFile(raw) as z:
+                for _, name in names:
+                    with z.open(name) as member:
+                        for row in self._rows(_symbol(name), member):
+                            rows.append(row)
+                            if len(rows) == ROWS:
+                                yield self._batch(rows)
+                                rows = []
         if rows:
             yield self._batch(rows)
 
+    def _rows(self, symbol: str, member: io.BufferedIOBase) -> Iterator[tuple]:
+        for line in csv.reader(io.TextIOWrapper(member, "utf-8", newline="")):
+            if not line:
+                continue
+            day = datetime.strptime(line[0].strip(), self.format).date()
+            if (self.start is None or day >= self.start) and (self.end is None or day <= self.end):
+                numbers = [float(x) if x.strip() else None for x in line[1 : 1 + len(FIELDS)]]
+                yield symbol, day, *numbers, *[None] * (len(FIELDS) - len(numbers))
+
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TYPES)], schema=_TYPES)
@@ -111,7 +137,7 @@ class PushedReader(ArchiveReader):
 
 
 class BarArchives(DataSource):
-    """``spark.read.format("bar_archives")``; options: path, pattern, one, dateFormat, symbols, start, end, and pushed (true: conditions are taken)."""
+    """``spark.read.format("bar_archives")``; options: path, pattern, one, dateFormat, symbols, start, end, cores (partitions are at least so many, if members are), and pushed (true: conditions are taken)."""
 
     @classmethod
     def name(cls) -> str:
@@ -128,13 +154,13 @@ def read_archives(spark: SparkSession, path: str, pattern: str = "", one: bool =
     """(symbol, date, fields) of the headerless delimited members of zip archives; symbol is the member's name.
 
     path: an archive or a folder of them, on a file system that Arrow reads (local,
-    s3, gs, hdfs). Each member is a partition of its own and is streamed; archives are
-    never read whole. Only members of ``symbols`` are opened. With
+    s3, gs, hdfs). Members are dealt to partitions by their sizes and are streamed; archives
+    are never read whole. Only members of ``symbols`` are opened. With
     spark.sql.python.filterPushdown.enabled conditions in where() count likewise.
     one: each archive must have exactly one member that holds ``pattern``.
     """
     spark.dataSource.register(BarArchives)
-    given = {"pattern": pattern, "one": str(one).lower(), "dateFormat": date_format, "symbols": ",".join(symbols) if symbols is not None else None, "start": start, "end": end, "pushed": spark.conf.get("spark.sql.python.filterPushdown.enabled")}
+    given = {"pattern": pattern, "one": str(one).lower(), "dateFormat": date_format, "symbols": ",".join(symbols) if symbols is not None else None, "start": start, "end": end, "cores": str(spark.sparkContext.defaultParallelism), "pushed": spark.conf.get("spark.sql.python.filterPushdown.enabled")}
     return spark.read.format("bar_archives").options(**{k: v for k, v in given.items() if v is not None}).load(path)
 
 
