@@ -179,6 +179,32 @@ def test_written_archives(spark, tmp_path):
     assert rows(got.select("symbol", "date", "open", "high", "low")) == sorted((x for x in data if x[0] != "A1"), key=repr)
 
 
+def test_many_identifiers_share_folders(spark, tmp_path, monkeypatch):
+    """Parts of few values keep a folder each, many symbols share buckets; all come back, and one opens its bucket alone."""
+    from tideline.sources import bars
+
+    monkeypatch.setattr(bars, "MOST_FOLDERS", 50)
+    monkeypatch.setattr(bars, "BUCKETS", 8)
+    n = 400
+    data = spark.range(n * 3).select((F.col("id") % n).cast("string").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / n).cast("int")).alias("date"), *[F.col("id").cast("double").alias(f) for f in bars.FIELDS])
+    data = data.withColumn("symbol", F.when(F.col("symbol") != "7", F.col("symbol")))
+    both = bars.identify(data, fx="EUR").unionByName(bars.identify(data, fx="EUR", adjust="back"))
+    path, by = str(tmp_path / "both"), ("adjust", "symbol")
+    bars.write_bars(both, path, by)
+    assert len([p for p in (tmp_path / "both").rglob("*=*") if p.is_dir()]) == 2 + 2 * 8
+    got = bars.read_bars(spark, path, by=by)
+    assert rows(got) == rows(both.select(got.columns))
+    assert bars.read_bars(spark, path, by=by, where={"adjust": "back", "symbol": None}).count() == 3
+    some = bars.read_bars(spark, path, ["3", "400", "5"], "2024-01-02", by=by, where={"adjust": None})
+    assert sorted((r["symbol"], r["adjust"], r["close"]) for r in some.collect()) == [("3", None, 403.0), ("3", None, 803.0), ("5", None, 405.0), ("5", None, 805.0)]
+    bars.write_bars(data, str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").glob("*=*"))) == 8
+    one = bars.read_bars(spark, str(tmp_path / "one"), ["11"])
+    assert sorted(r["close"] for r in one.collect()) == [11.0, 411.0, 811.0]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(symbol,11)" in plan
+
+
 def test_partitions_do_not_grow_with_members(spark, tmp_path):
     """Thousands of small members, in one archive and in an archive each, take about as many tasks as there are cores."""
     (tmp_path / "z").mkdir()

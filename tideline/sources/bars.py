@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import math
 import os
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.temporal import reindex
@@ -67,13 +69,56 @@ def identify(bars: DataFrame, **given: str | None) -> DataFrame:
     return bars.withColumns({c: F.lit(given.get(c)).cast("string") for c in IDENTIFIER if c in given or c not in bars.columns})
 
 
+#: Folders of a store, at most about; identifiers beyond that share folders, so many for each value of the other parts.
+MOST_FOLDERS, BUCKETS = 1_000, 64
+_BUCKET = "bucket"
+
+
+def _bucket(parts: Sequence[Column]) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+
+
+def _folders(bars: DataFrame, by: Sequence[str]) -> list[str]:
+    """Those parts that have a folder for each value: all, or as many as leave room for buckets of the others."""
+    counts = bars.agg(*[F.approx_count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in by]).first().asDict()
+    if math.prod(counts.values()) <= MOST_FOLDERS:
+        return list(by)
+    kept, n = [], BUCKETS
+    for c in sorted(by, key=counts.__getitem__):
+        n *= counts[c]
+        if n > MOST_FOLDERS:
+            break
+        kept.append(c)
+    return [c for c in by if c in kept]
+
+
 def write_bars(bars: DataFrame, path: str, by: Sequence[str] = ("symbol",)) -> None:
     """Parquet by symbol, or by other parts of the identifier, so that reading one opens its folder alone.
 
-    Rows are dealt by ranges of identifier and day: a task writes few folders, and a
-    long one is written by several tasks.
+    Where these have more values than MOST_FOLDERS, files and folders would cost more
+    than what is in them: parts of few values keep their folders, the others share
+    BUCKETS of them by hash, sorted, so reading one opens its bucket and in it
+    the row groups that can hold it. Rows are dealt by ranges of folder, identifier and
+    day: a task writes few folders, and a long one is written by several tasks.
     """
-    bars.repartitionByRange(*by, "date").write.mode("overwrite").partitionBy(*by).parquet(path)
+    folders = _folders(bars, by)
+    rest = [c for c in by if c not in folders]
+    if rest:
+        bars, folders = bars.withColumn(_BUCKET, _bucket([F.col(c) for c in rest])), [*folders, _BUCKET]
+    order = [*folders, *rest, "date"]
+    bars.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*folders).parquet(path)
+
+
+def _levels(spark: SparkSession, path: str) -> list[str]:
+    """The columns that a store's folders stand for."""
+    at, out = spark._jvm.org.apache.hadoop.fs.Path(path), []
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    while at is not None:
+        found = [f.getPath() for f in system.listStatus(at) if f.isDirectory() and "=" in f.getPath().getName()]
+        at = found[0] if found else None
+        if at is not None:
+            out.append(at.getName().split("=")[0])
+    return out
 
 
 def read_bars(
@@ -86,11 +131,17 @@ def read_bars(
     """
     whole = tuple(by) != ("symbol",) or where is not None
     kept = [c for c in IDENTIFIER if whole or c == "symbol"]
-    df = spark.read.schema(", ".join([SCHEMA, *(f"{c} string" for c in kept)])).parquet(path)
+    levels = _levels(spark, path)
+    df = spark.read.schema(", ".join([SCHEMA, *(f"{c} string" for c in kept), *([f"{_BUCKET} int"] if _BUCKET in levels else [])])).parquet(path)
+    wanted = {c: [v] for c, v in (where or {}).items()}
     if symbols is not None:
         df = df.where(F.col("symbol").isin(*symbols))
+        wanted.setdefault("symbol", list(symbols))
     for c, v in (where or {}).items():
         df = df.where(F.col(c).eqNullSafe(F.lit(v)))
+    rest = [c for c in by if c not in levels]
+    if _BUCKET in levels and all(c in wanted for c in rest):
+        df = df.where(F.col(_BUCKET).isin(*[_bucket([F.lit(v).cast("string") for v in values]) for values in product(*(wanted[c] for c in rest))]))
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
