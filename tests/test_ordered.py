@@ -103,3 +103,39 @@ def test_session_keeps_its_state_store(spark, tmp_path):
     rows = rows_of(10, 4)
     fed(spark, tmp_path, rows, lambda d: ordered.last_n_in_order(d, S, "v", 2, "20 minutes"), "conf", 1)
     assert spark.conf.get(name) == before
+
+
+def test_many_keys_take_few_parts():
+    """A shard's rows of a thousand keys are written in sorted parts of many rows, whatever their keys, and merged back in order."""
+
+    class Map(dict):
+        updateValue, getValue, removeKey, containsKey = dict.__setitem__, dict.__getitem__, dict.pop, dict.__contains__
+
+    class Value:
+        now = None
+        exists = lambda self: self.now is not None
+        get = lambda self: self.now
+        update = lambda self, x: setattr(self, "now", x)
+
+    class Handle:
+        getMapState = lambda self, *_: Map()
+        getValueState = lambda self, *_: Value()
+        registerTimer = deleteTimer = lambda self, _: None
+
+    class Mark:
+        getCurrentWatermarkInMs = lambda self: 3_000
+
+    p = ordered._Fold(["key", "id", "_t"], ["key"], ["_t", "id"], ["key", "id", "_t", "n"], None, None)
+    p.recurrences, p.loops, p.part_rows, p.run_rows = [fold.Recurrence("n", (), lambda n: ((n or 0) + 1,) * 2, "int")], False, 100, 1500
+    p.init(Handle())
+    r = random.Random(6)
+    rows = [(i % 1000, i, r.randrange(6_000_000)) for i in range(4000)]
+    list(p.handleInputRows((0,), iter(rows), None))
+    assert len(p.parts) == 40
+    got = [tuple(x) for x in p.handleExpiredTimer((0,), Mark(), None)]
+    seen, want = {}, []
+    for k, i, t in sorted((x for x in rows if x[2] <= 3_000_000), key=lambda x: (x[2], x[1])):
+        seen[k] = seen.get(k, 0) + 1
+        want.append((k, i, t, seen[k]))
+    assert got == want
+    assert sum(len(ordered.loads(v[0])) for v in p.parts.values()) == len(rows) - len(want)

@@ -1,9 +1,11 @@
 """Operators on live streams in the order of event time: rows wait until the watermark says that none can come before them.
 
-A key's waiting rows are kept by stretches of time, in parts that are written once,
-and a timer wakes the key when the watermark reaches the first of them. Then its
-rows are taken stretch by stretch, so memory holds one stretch of one key, however
-many rows a micro-batch or the key itself has. State is kept by RocksDB.
+Keys are dealt to shards, each of which is one group of the stateful operator, so a
+micro-batch costs by its rows, not by a timer and a buffer for each key. A shard's
+waiting rows are kept in sorted runs, cut into parts that are written once, and a
+timer wakes the shard when the watermark reaches the first of them. Then the runs are
+merged, so memory holds a part of each run, and what is held of those keys of the
+shard that have a row. State is kept by RocksDB.
 
 Rows later than the delay are dropped by Spark; rows without a time are left out.
 A stream's last rows wait for later ones: a heartbeat, a row of any key whose time
@@ -12,9 +14,10 @@ lies beyond the delay, lets them go.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
-from itertools import groupby, islice
-from operator import itemgetter
+from heapq import heappop, heappush, heapreplace
+from itertools import islice
 from pickle import dumps, loads
 
 from pyspark.sql import DataFrame, Row
@@ -24,9 +27,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tideline.operators.fold import Recurrence, passes
 from tideline.series import Series
 
-#: Rows of one part of a key's buffer.
-PART_ROWS = 5_000
-_TIME, _SIDE = "_t", "_side"
+#: Groups that keys are dealt to; a stream keeps this number for good.
+SHARDS = 512
+#: Rows of one part of a shard's buffer, and parts of one sorted run.
+PART_ROWS, RUN_PARTS = 500, 100
+_TIME, _SIDE, _SHARD = "_t", "_side", "_shard"
 
 
 def micros(duration: str) -> int:
@@ -38,48 +43,40 @@ def micros(duration: str) -> int:
 class InOrder(StatefulProcessor):
     """Hands a key's rows on in order of (time, side, tiebreak); see take().
 
-    columns: of the input, among them _TIME in microseconds. width: a stretch of
-    time. forget: a row that comes so long after the one before it finds a new key,
-    and what is held of keys that are silent for so long is cleared.
+    columns: of the input, among them _TIME in microseconds, which comes first in
+    the order. width: the time that a part spans at most. forget: a row that comes so
+    long after the one before it finds a new key, and what is held of keys that are
+    silent for so long is cleared, an eighth of it later at most.
     """
 
-    def __init__(self, columns: Sequence[str], order: Sequence[str], out: Sequence[str], width: int, forget: int | None):
-        self.columns, self.order, self.out, self.width, self.forget = list(columns), list(order), list(out), width, forget
+    def __init__(self, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], out: Sequence[str], width: int | None, forget: int | None):
+        self.columns, self.keys, self.order, self.out, self.width, self.forget = list(columns), list(keys), list(order), list(out), width, forget
+        self.part_rows, self.run_rows = PART_ROWS, PART_ROWS * RUN_PARTS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "stretch long, part long", "rows binary")
-        self.marks = handle.getValueState("marks", "next_part long, timer long, newest long")
+        self.parts = handle.getMapState("parts", "first long, part long", "rows binary")
+        self.held = handle.getMapState("held", "key string", "newest long, state binary")
+        self.marks = handle.getValueState("marks", "next_part long, timer long, sweep long")
         self.at = self.columns.index(_TIME)
-        self.places = [self.columns.index(c) for c in self.order]
+        self.key_at = [self.columns.index(c) for c in self.keys]
+        self.places = [self.columns.index(c) for c in self.order if c != _TIME]
         self.pick = [i for i, c in enumerate(self.columns) if c in self.out]
         self.row = Row(*self.out)
         self.open()
 
     def open(self) -> None:
-        """Make the state variables."""
+        """Find the places of columns."""
 
-    def load(self) -> None:
-        """Read a key's state."""
-
-    def fresh(self) -> None:
-        """Set what was read to that of a new key."""
-
-    def save(self) -> None:
-        """Write it back."""
-
-    def drop(self) -> None:
-        """Clear it."""
-
-    def take(self, row: tuple) -> tuple | None:
-        """What to add to a row that has come to its turn; None: the row goes no further."""
+    def take(self, state: object, row: tuple) -> tuple[object, tuple | None]:
+        """A key's new state (None at first; never changed in place), and what to add to a row that has come to its turn; None: the row goes no further."""
         raise NotImplementedError
 
     def _rank(self, row: tuple) -> tuple:
-        return tuple((row[i] is not None, row[i]) for i in self.places)
+        return row[self.at], *[(row[i] is not None, row[i]) for i in self.places]
 
     def _wake(self, timer: int, at: int | None) -> int:
-        """Move a key's timer from ``timer`` to ``at`` milliseconds; -1 is none."""
+        """Move the shard's timer from ``timer`` to ``at`` milliseconds; -1 is none."""
         if timer >= 0:
             self.handle.deleteTimer(timer)
         if at is None:
@@ -87,137 +84,146 @@ class InOrder(StatefulProcessor):
         self.handle.registerTimer(at)
         return at
 
+    def _store(self, rows: list[tuple], part: int) -> int:
+        """Write sorted rows in parts; the next part's number."""
+        start = 0
+        while start < len(rows):
+            end = start + self.part_rows
+            if self.width is not None:
+                end = min(end, bisect_right(rows, rows[start][self.at] + self.width, start, key=lambda r: r[self.at]))
+            self.parts.updateValue((rows[start][self.at], part), (dumps(rows[start:end]),))
+            start, part = end, part + 1
+        return part
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        part, timer, newest = self.marks.get() if self.marks.exists() else (0, -1, None)
+        part, timer, sweep = self.marks.get() if self.marks.exists() else (0, -1, None)
         first = None
         rows = iter(rows)
-        while chunk := [tuple(r) for r in islice(rows, PART_ROWS)]:
-            stretches: dict[int, list[tuple]] = {}
-            for r in chunk:
-                stretches.setdefault(r[self.at] // self.width, []).append(r)
-            for stretch, some in stretches.items():
-                self.parts.updateValue((stretch, part), (dumps(some),))
-                part += 1
-            low = min(r[self.at] for r in chunk)
-            first = low if first is None else min(first, low)
+        while run := sorted((tuple(r) for r in islice(rows, self.run_rows)), key=self._rank):
+            part = self._store(run, part)
+            first = run[0][self.at] if first is None else min(first, run[0][self.at])
         due = -(-first // 1000)
         if timer < 0 or due < timer:
             timer = self._wake(timer, due)
-        self.marks.update((part, timer, newest))
+        self.marks.update((part, timer, sweep))
         return iter(())
 
+    def _merged(self, due: list[tuple], limit: int, rest: list[tuple]) -> Iterator[tuple]:
+        """Rows of parts up to ``limit`` in order; later ones are put into ``rest``."""
+        heap: list[tuple] = []
+        at = 0
+        while True:
+            while at < len(due) and (not heap or due[at][0] <= heap[0][0][0]):
+                rows = loads(self.parts.getValue(due[at])[0])
+                self.parts.removeKey(due[at])
+                heappush(heap, (self._rank(rows[0]), at, 0, rows))
+                at += 1
+            if not heap or heap[0][0][0] > limit:
+                break
+            _, n, i, rows = heap[0]
+            if i + 1 < len(rows):
+                heapreplace(heap, (self._rank(rows[i + 1]), n, i + 1, rows))
+            else:
+                heappop(heap)
+            yield rows[i]
+        rest += sorted((r for _, _, i, rows in heap for r in rows[i:]), key=self._rank)
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        part, _, newest = self.marks.get()
+        part, _, sweep = self.marks.get()
         keys = sorted(tuple(k) for k in self.parts.keys())
-        due = [k for k in keys if k[0] * self.width <= limit]
-        later = keys[len(due)][0] * self.width if len(due) < len(keys) else None
-        if due:
-            self.load()
-        for stretch, group in groupby(due, itemgetter(0)):
-            group = list(group)
-            rows = [r for k in group for r in loads(self.parts.getValue(k)[0])]
-            rows.sort(key=self._rank)
-            n = sum(r[self.at] <= limit for r in rows)  # time comes first in the order
-            for r in rows[:n]:
-                if self.forget is not None and newest is not None and r[self.at] - newest > self.forget:
-                    self.fresh()
-                newest = r[self.at]
-                if (more := self.take(r)) is not None:
-                    yield self.row(*[r[i] for i in self.pick], *more)
-            if n < len(rows):
-                later = rows[n][self.at]
-                if n == 0 and len(group) == 1:
-                    continue
-            for k in group:
-                self.parts.removeKey(k)
-            for start in range(n, len(rows), PART_ROWS):
-                self.parts.updateValue((stretch, part), (dumps(rows[start : start + PART_ROWS]),))
-                part += 1
-        if due:
-            self.save()
-        if later is None and self.forget is not None:
-            if newest + self.forget < limit:
-                self.drop()
+        due = [k for k in keys if k[0] <= limit]
+        later = [k[0] for k in keys[len(due) : len(due) + 1]]
+        rest: list[tuple] = []
+        now: dict[tuple, tuple] = {}
+        before: dict[tuple, object] = {}
+        for r in self._merged(due, limit, rest):
+            k = tuple(r[i] + 0.0 if isinstance(r[i], float) else r[i] for i in self.key_at)
+            if k not in now:
+                found = self.held.getValue((repr(k),)) if self.held.containsKey((repr(k),)) else None
+                before[k] = None if found is None else loads(found[1])
+                now[k] = (None if found is None else found[0], before[k])
+            newest, state = now[k]
+            if self.forget is not None and newest is not None and r[self.at] - newest > self.forget:
+                state = None
+            state, more = self.take(state, r)
+            now[k] = (r[self.at], state)
+            if more is not None:
+                yield self.row(*[r[i] for i in self.pick], *more)
+        for k, (newest, state) in now.items():
+            if state is None and before[k] is not None:
+                self.held.removeKey((repr(k),))
+            elif state is not None and (state is not before[k] or self.forget is not None):
+                self.held.updateValue((repr(k),), (newest, dumps(state)))
+        if rest:
+            part = self._store(rest, part)
+            later.append(rest[0][self.at])
+        if self.forget is not None:
+            sweep = self._swept(limit, sweep, [newest for newest, state in now.values() if state is not None])
+            if sweep is not None:
+                later.append(sweep)
+            elif not later:
                 self.marks.clear()
                 return
-            later = newest + self.forget + 1000
-        self.marks.update((part, self._wake(-1, None if later is None else -(-later // 1000)), newest))
+        self.marks.update((part, self._wake(-1, -(-min(later) // 1000) if later else None), sweep))
+
+    def _swept(self, limit: int, sweep: int | None, newest: list[int]) -> int | None:
+        """Clear silent keys if it is time to; when it will be again, None if no key is held."""
+        if sweep is None:
+            if not newest:
+                return None
+            sweep = min(newest) + self.forget + 1000
+        if limit < sweep:
+            return sweep
+        held = [(k[0], v[0]) for k, v in self.held.iterator()]
+        kept = [t for _, t in held if t + self.forget >= limit]
+        for k, t in held:
+            if t + self.forget < limit:
+                self.held.removeKey((k,))
+        return max(min(kept) + self.forget + 1000, limit + self.forget // 8 + 1000) if kept else None
 
 
 class _Fold(InOrder):
-    """One state variable for each recurrence, and one for the row before where they feed on each other."""
+    """A key's state: that of each recurrence, and the row before where they feed on each other."""
 
     recurrences: Sequence[Recurrence]
     loops: bool
 
     def open(self) -> None:
-        self.held = [self.handle.getValueState(f"state{i}", "held binary") for i in range(len(self.recurrences) + self.loops)]
         self.inputs = [[self.columns.index(c) if c in self.columns else c for c in r.inputs] for r in self.recurrences]
 
-    def load(self) -> None:
-        self.states = [loads(h.get()[0]) if h.exists() else None for h in self.held]
-        self.old = list(self.states)
-
-    def fresh(self) -> None:
-        self.states = [None] * len(self.held)
-
-    def save(self) -> None:
-        for h, now, old in zip(self.held, self.states, self.old):
-            if now is not old:
-                h.update((dumps(now),))
-
-    def drop(self) -> None:
-        for h in self.held:
-            h.clear()
-
-    def take(self, row: tuple) -> tuple:
-        made: dict[str, object] = dict(self.states[-1] or {}) if self.loops else {}  # at first the row before
+    def take(self, state: list | None, row: tuple) -> tuple[list, tuple]:
+        states = list(state) if state is not None else [None] * (len(self.recurrences) + self.loops)
+        made: dict[str, object] = dict(states[-1] or {}) if self.loops else {}  # at first the row before
         for i, r in enumerate(self.recurrences):
-            self.states[i], made[r.name] = r.step(self.states[i], *[row[c] if isinstance(c, int) else made.get(c) for c in self.inputs[i]])
+            states[i], made[r.name] = r.step(states[i], *[row[c] if isinstance(c, int) else made.get(c) for c in self.inputs[i]])
         if self.loops:
-            self.states[-1] = made
-        return tuple(Row(**x) if isinstance(x, dict) else x for x in made.values())
+            states[-1] = made
+        return states, tuple(Row(**x) if isinstance(x, dict) else x for x in made.values())
 
 
 class _AsOf(InOrder):
-    """The newest right values, in one state variable of their types."""
+    """A key's state: the newest right values and their time."""
 
     values: Sequence[str]
-    kind: str
     skip_missing: bool
 
     def open(self) -> None:
-        self.last = self.handle.getValueState("last", self.kind)
         self.side = self.columns.index(_SIDE)
         self.from_ = [self.columns.index(v) for v in self.values]
 
-    def load(self) -> None:
-        self.now = tuple(self.last.get()) if self.last.exists() else None
-        self.old = self.now
-
-    def fresh(self) -> None:
-        self.now = None
-
-    def save(self) -> None:
-        if self.now is not self.old:
-            self.last.update(self.now) if self.now else self.last.clear()
-
-    def drop(self) -> None:
-        self.last.clear()
-
-    def take(self, row: tuple) -> tuple | None:
+    def take(self, state: tuple | None, row: tuple) -> tuple[tuple | None, tuple | None]:
         if row[self.side]:
-            return self.now or (None,) * (len(self.values) + 1)
+            return state, state or (None,) * (len(self.values) + 1)
         new = (*[row[i] for i in self.from_], row[self.at])
-        if self.skip_missing and self.now:
-            new = tuple(o if n is None else n for n, o in zip(new, self.now))
-        self.now = new
-        return None
+        if self.skip_missing and state:
+            new = tuple(o if n is None else n for n, o in zip(new, state))
+        return new, None
 
 
 def _run(stream: DataFrame, s: Series, processor: InOrder, schema: str) -> DataFrame:
-    return stream.groupBy(*s.keys).transformWithState(processor, schema, "append", "eventTime")
+    dealt = stream.withColumn(_SHARD, F.pmod(F.xxhash64(*s.keys), F.lit(SHARDS)).cast("int"))
+    return dealt.groupBy(_SHARD).transformWithState(processor, schema, "append", "eventTime")
 
 
 def _fields(df: DataFrame, columns: Sequence[str], prefix: str = "") -> list[str]:
@@ -228,20 +234,16 @@ def _timed(stream: DataFrame, s: Series, delay: str) -> DataFrame:
     return stream.where(F.col(s.time).isNotNull()).withColumn(_TIME, F.unix_micros(s.time)).withWatermark(s.time, delay)
 
 
-def _width(delay: str, stretch: str | None) -> int:
-    return micros(stretch) if stretch else max(micros(delay) // 8, 1_000_000)
-
-
 def fold_in_order(stream: DataFrame, s: Series, recurrences: Sequence[Recurrence], delay: str, forget: str | None = None, stretch: str | None = None) -> DataFrame:
     """``stream`` with one column for each recurrence, equal to fold() on the same rows, in whatever order they come within ``delay``.
 
     The series' time is a timestamp. forget: keys without a row for so long (in
-    event time) are forgotten. stretch: how much of a key's time is held in memory
-    at once (by default an eighth of the delay).
+    event time) are forgotten. stretch: how much time a part of the rows that wait
+    spans at most; by default only its number of rows is bounded.
     """
     timed = _timed(stream, s, delay)
     kept = [c for c in stream.columns if c != s.time]
-    p = _Fold(timed.columns, [_TIME, *s.tie], [*kept, _TIME, *(r.name for r in recurrences)], _width(delay, stretch), forget and micros(forget))
+    p = _Fold(timed.columns, s.keys, [_TIME, *s.tie], [*kept, _TIME, *(r.name for r in recurrences)], stretch and micros(stretch), forget and micros(forget))
     p.recurrences, place = list(recurrences), {r.name: i for i, r in enumerate(recurrences)}
     passes(recurrences, stream.columns)
     p.loops = any(place.get(c, -1) >= i for i, r in enumerate(recurrences) for c in r.inputs)
@@ -276,9 +278,9 @@ def asof_in_order(left: DataFrame, right: DataFrame, s: Series, values: Sequence
     timed = _timed(sides[0].unionByName(sides[1]), s, delay)
     kept = [*s.keys, *rest, _TIME]
     found = [*(f"_v{i}" for i in range(len(values))), "_vat"]
-    p = _AsOf(timed.columns, [_TIME, _SIDE, *(f"_tie{i}" for i in range(len(ties)))], [*kept, *found], _width(delay, stretch), forget and micros(forget))
+    p = _AsOf(timed.columns, s.keys, [_TIME, _SIDE, *(f"_tie{i}" for i in range(len(ties)))], [*kept, *found], stretch and micros(stretch), forget and micros(forget))
     kinds = [f"_v{i} {right.schema[v].dataType.simpleString()}" for i, v in enumerate(values)]
-    p.values, p.kind, p.skip_missing = list(clash.values()), ", ".join([*kinds, "_vat long"]), skip_missing
+    p.values, p.skip_missing = list(clash.values()), skip_missing
     # columns stand in the order of the input
     placed = [c for c in timed.columns if c in kept]
     p.out = [*placed, *found]
