@@ -4,8 +4,7 @@ Keys are dealt to shards, each of which is one group of the stateful operator, s
 micro-batch costs by its rows, not by a timer and a buffer for each key. A shard's
 waiting rows are kept in sorted runs, cut into parts that are written once, and a
 timer wakes the shard when the watermark reaches the first of them. Then the runs are
-merged, so memory holds a part of each run, and what is held of those keys of the
-shard that have a row. State is kept by RocksDB.
+merged, so memory holds a part of each run, and what is held of the shard's keys. State is kept by RocksDB.
 
 Rows later than the delay are dropped by Spark; rows without a time are left out.
 A stream's last rows wait for later ones: a heartbeat, a row of any key whose time
@@ -19,6 +18,7 @@ from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush, heapreplace
 from itertools import islice
 from pickle import dumps, loads
+from zlib import crc32
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ from tideline.series import Series
 SHARDS = 512
 #: Rows of one part of a shard's buffer, and parts of one sorted run.
 PART_ROWS, RUN_PARTS = 500, 100
+#: Records that a shard's states are held in: one is read and written as a whole.
+PAGES = 32
 _TIME, _SIDE, _SHARD = "_t", "_side", "_shard"
 
 
@@ -56,7 +58,7 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getMapState("parts", "first long, part long", "rows binary")
-        self.held = handle.getMapState("held", "key string", "newest long, state binary")
+        self.held = handle.getMapState("held", "page int", "states binary")
         self.marks = handle.getValueState("marks", "next_part long, timer long, sweep long")
         self.at = self.columns.index(_TIME)
         self.key_at = [self.columns.index(c) for c in self.keys]
@@ -135,31 +137,31 @@ class InOrder(StatefulProcessor):
         due = [k for k in keys if k[0] <= limit]
         later = [k[0] for k in keys[len(due) : len(due) + 1]]
         rest: list[tuple] = []
-        now: dict[tuple, tuple] = {}
-        before: dict[tuple, object] = {}
+        pages: dict[int, dict[tuple, tuple]] = {}  # (newest, state) by key
+        place: dict[tuple, dict[tuple, tuple]] = {}
         for r in self._merged(due, limit, rest):
             k = tuple(r[i] + 0.0 if isinstance(r[i], float) else r[i] for i in self.key_at)
-            if k not in now:
-                found = self.held.getValue((repr(k),)) if self.held.containsKey((repr(k),)) else None
-                before[k] = None if found is None else loads(found[1])
-                now[k] = (None if found is None else found[0], before[k])
-            newest, state = now[k]
+            page = place.get(k)
+            if page is None:
+                n = crc32(repr(k).encode()) % PAGES
+                if n not in pages:
+                    pages[n] = loads(self.held.getValue((n,))[0]) if self.held.containsKey((n,)) else {}
+                page = place[k] = pages[n]
+            newest, state = page.get(k, (None, None))
             if self.forget is not None and newest is not None and r[self.at] - newest > self.forget:
                 state = None
             state, more = self.take(state, r)
-            now[k] = (r[self.at], state)
+            page[k] = (r[self.at], state)
             if more is not None:
                 yield self.row(*[r[i] for i in self.pick], *more)
-        for k, (newest, state) in now.items():
-            if state is None and before[k] is not None:
-                self.held.removeKey((repr(k),))
-            elif state is not None and (state is not before[k] or self.forget is not None):
-                self.held.updateValue((repr(k),), (newest, dumps(state)))
+        newest = [page[k][0] for k, page in place.items()]
+        for n, page in pages.items():
+            self.held.updateValue((n,), (dumps({k: x for k, x in page.items() if x[1] is not None}),))
         if rest:
             part = self._store(rest, part)
             later.append(rest[0][self.at])
         if self.forget is not None:
-            sweep = self._swept(limit, sweep, [newest for newest, state in now.values() if state is not None])
+            sweep = self._swept(limit, sweep, newest)
             if sweep is not None:
                 later.append(sweep)
             elif not later:
@@ -175,11 +177,15 @@ class InOrder(StatefulProcessor):
             sweep = min(newest) + self.forget + 1000
         if limit < sweep:
             return sweep
-        held = [(k[0], v[0]) for k, v in self.held.iterator()]
-        kept = [t for _, t in held if t + self.forget >= limit]
-        for k, t in held:
-            if t + self.forget < limit:
-                self.held.removeKey((k,))
+        kept = []
+        for n in [k[0] for k in self.held.keys()]:
+            page = loads(self.held.getValue((n,))[0])
+            left = {k: x for k, x in page.items() if x[0] + self.forget >= limit}
+            kept += [x[0] for x in left.values()]
+            if not left:
+                self.held.removeKey((n,))
+            elif len(left) < len(page):
+                self.held.updateValue((n,), (dumps(left),))
         return max(min(kept) + self.forget + 1000, limit + self.forget // 8 + 1000) if kept else None
 
 
