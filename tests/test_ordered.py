@@ -105,6 +105,24 @@ def test_session_keeps_its_state_store(spark, tmp_path):
     assert spark.conf.get(name) == before
 
 
+def test_state_has_no_more_partitions_than_cores_use(spark, tmp_path, monkeypatch):
+    """A session of many shuffle partitions keeps them; a stream's state has a few for each core."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(stateful, "PER_CORE", 1, raising=False)
+    monkeypatch.setattr(stateful, "LEAST_PARTITIONS", 3, raising=False)
+    spark.conf.set(name, "64")
+    try:
+        rows = rows_of(10, 5)
+        got = fed(spark, tmp_path, rows, lambda d: ordered.last_n_in_order(d, S, "v", 2, "20 minutes"), "few", 1)
+        assert spark.conf.get(name) == "64"
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == len(rows)
+    stores = [p for p in (tmp_path / "state-few" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) == max(3, spark.sparkContext.defaultParallelism)
+
+
 def test_many_keys_take_few_parts():
     """A shard's rows of a thousand keys are written in sorted parts of many rows, whatever their keys, and merged back in order."""
 

@@ -19,6 +19,9 @@ from tideline.operators.fold import Recurrence, passes
 from tideline.series import Series
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State partitions for each core, and at least: every micro-batch opens, commits and hands to a Python worker each of them, with rows or without.
+PER_CORE, LEAST_PARTITIONS = 2, 16
+
 
 def _by_key(stream: DataFrame, s: Series, added: str, idle_ms: int | None, work: Callable[[pd.DataFrame, object], object]) -> DataFrame:
     """``stream`` with what ``work(frame, held)`` adds to each key's new rows in order; it returns what to hold.
@@ -117,12 +120,19 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     """Drain what is there, batch by batch, into ``sink(batch, id)``, then stop.
 
     State is kept by RocksDB, on local disk and in the checkpoint, so it need not fit in memory.
+    It has as many partitions as the session's shuffles, but no more than the cores can use;
+    a checkpoint that is there keeps its own number.
     """
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
-    conf.set(name, ROCKSDB)  # a query takes the settings of its start along
+    spark = stream.sparkSession
+    conf, shuffles = spark.conf, "spark.sql.shuffle.partitions"
+    most = max(LEAST_PARTITIONS, PER_CORE * spark.sparkContext.defaultParallelism)
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, shuffles: str(min(most, int(conf.get(shuffles))))}
+    before = {name: conf.get(name) for name in own}
+    for name, value in own.items():  # a query takes the settings of its start along
+        conf.set(name, value)
     try:
         query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            conf.set(name, value)
     query.awaitTermination()
