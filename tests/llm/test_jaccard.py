@@ -108,3 +108,38 @@ def test_stage_finds_edited_copies(spark):
     rows = [(1, " ".join(words), "en", "s", 1), (2, copy, "en", "s", 1), (3, edited(words, 12, r), "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_prefixes_of_many_texts(spark, monkeypatch):
+    """Passages of ten texts each come last in the order, however many texts there are, so no prefix has them."""
+    most = {}
+
+    def watched(*args, prefixes=jaccard.prefixes):
+        out = prefixes(*args)
+        most[0] = out.groupBy("h").count().agg({"count": "max"}).first()[0]
+        return out
+
+    monkeypatch.setattr(jaccard, "prefixes", watched)
+    text = "concat_ws(' ', transform(sequence(1, 40), x -> concat('w', id, '_', x)), transform(sequence(1, 14), x -> concat('p', id % 2400, '_', x)))"
+    assert jaccard.similar_components(spark.range(24_000).selectExpr("id AS doc_id", f"{text} AS text")).where("doc_id = component_id").count() == 24_000
+    assert most[0] < 8
+
+
+def test_order_levels(spark, monkeypatch):
+    """Levels by the number of texts, from several hash ranges; of more shingles than are told apart, the most frequent."""
+    monkeypatch.setattr(jaccard, "COUNTED", 500)
+    texts = spark.range(64).selectExpr("id", "CAST(concat_ws(' ', transform(sequence(0, 80), x -> IF(id % (1 + x div 20) = 0, concat('c', x), concat('o', id, '_', x)))) AS BINARY) AS b").repartition(3)
+    n = {}
+    for r in texts.collect():
+        for h in jaccard.shingles(bytes(r.b))[1].view(np.uint64).tolist():
+            n[h] = n.get(h, 0) + 1
+    want = {(h >> 32, int(1 + 8 * np.log2(k / 8))) for h, k in n.items() if k >= 8}
+    for power in (0, 4):
+        frequent = jaccard.frequent_shingles(texts, 5, power).cache()
+        assert {tuple(r) for r in frequent.collect()} == want and len({k for _, k in want}) > 2
+    levels = jaccard.order_levels(frequent)
+    bits = len(levels).bit_length() - 1
+    assert all(levels[top >> 32 - bits] >= k for top, k in want) and np.count_nonzero(levels) <= len(want)
+    monkeypatch.setattr(jaccard, "MOST_FREQUENT", 20)
+    assert set(jaccard.order_levels(frequent).tolist()) == {0, max(k for _, k in want)}
+    assert jaccard.order_levels(frequent.limit(0)).tolist() == [0]

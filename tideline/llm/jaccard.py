@@ -4,9 +4,11 @@ SimHash over the same shingles comes first: the tries of simhash link fingerprin
 within a few bits, and the shingle sets of each link are compared. That settles
 copies and light edits at a few bits each. Sets of similarity 0.8 can lie further
 apart than any budget that a trie can prune by, so what is not linked yet goes
-through a prefix filter: all shingles are put in one order, those that a sample
-finds frequent last; two sets of similarity t or more share one of the first
-n - ceil(t n) + 1 shingles of each, so no pair is missed, whatever the order. Each
+through a prefix filter: all shingles are put in one order, those of many
+texts last; two sets of similarity t or more share one of the first
+n - ceil(t n) + 1 shingles of each, so no pair is missed, whatever the order. Texts
+are counted for every shingle: in a sample of a fixed size, a shingle that has to be
+found frequent is in the more texts the more there are, and pairs grow with the square. Each
 group's members are first compared with one of them, in a few rounds with others; what
 is linked needs no more comparisons, so a group of k near copies costs about k a round. Every pair that is
 left and could be similar by its sizes, its places and its parity bits is compared.
@@ -23,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import connected_components, discard, join_counted, join_written, least_rows, materialise, numbered, row_count, small_batches, utf8
+from tideline.llm.common import connected_components, discard, join_counted, join_written, least_rows, materialise, numbered, small_batches, utf8
 from tideline.llm.simhash import MAX_BITS, majority, near_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Texts in the sample that frequent shingles are taken from, about, and the most of these.
-SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 100_000
+#: Texts that have a frequent shingle, at least, levels for each doubling of their number, and about the most frequent shingles that are told apart.
+FREQUENT, LEVELS, MOST_FREQUENT = 8, 8, 1 << 23
+#: Bits of the table of levels, at most: eight places for each of the most frequent shingles, a byte each.
+ORDER_BITS = 26
+#: Shingles that a task holds when it counts them.
+COUNTED = 1 << 20
 #: Shingles that a task holds before it hands them on.
 BATCH = 1 << 18
 #: Rounds that compare a group's members with one of them.
@@ -92,23 +98,64 @@ def marks(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("row", "key", utf8("text").alias("b")).mapInArrow(run, f"row long, key {kind}, id long, fp long, n int, odd binary")
 
 
-def frequent_shingles(sample: DataFrame, width: int) -> np.ndarray:
-    """Shingles of FREQUENT texts or more of a sample (id, b), rarest first. They only set the order."""
+def frequent_shingles(texts: DataFrame, width: int, power: int) -> DataFrame:
+    """top (upper 32 bits of the hash) and level (from 1, by the number of texts) of the shingles of FREQUENT texts or more of (id, b).
+
+    Shingles are dealt by the first ``power`` bits, and told apart by these and 32 more. They only set the order.
+    """
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        v, k = np.unique(np.concatenate(found).view(np.uint64) >> np.uint64(32 - power), return_counts=True)
+        ends = np.searchsorted(v, np.arange(1, (1 << power) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+        low, once = v.astype(np.uint32), k == 1
+        got = [(p, low[a:b][once[a:b]].tobytes(), low[a:b][~once[a:b]].tobytes(), k[a:b][~once[a:b]].astype(np.uint32).tobytes()) for p, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), [pa.int32(), *[pa.binary()] * 3], strict=True)], ["part", "once", "more", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for b in batches:
             for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), width)[1], pa.int64())], ["h"])
-
-    counts = sample.select("b").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= FREQUENT)
-    top = counts.orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).collect()
-    return np.array([r.h for r in reversed(top)], np.int64)
-
-
-def prefixes(texts: DataFrame, frequent: np.ndarray, similarity: float, width: int) -> DataFrame:
+                s = shingles(x.as_py(), width)[1]
+                found.append(s)
+                held += len(s)
+                if held > COUNTED:
+                    yield packed(found)
+                    found, held = [], 0
+        if held:
+            yield packed(found)
+
+    def often(part: pa.Table) -> pa.Table:
+        once, more, k = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint32) for c in ("once", "more", "k"))
+        v, at = np.unique(np.concatenate([once, more]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([np.ones(len(once)), k]), minlength=len(v))
+        v, n = v[n >= FREQUENT].astype(np.int64), n[n >= FREQUENT]
+        top = (part["part"][0].as_py() << 32 | v) >> power
+        return pa.table({"top": top, "level": np.minimum(1 + LEVELS * np.log2(n / FREQUENT), 255).astype(np.int32)})
+
+    parts = texts.select("b").mapInArrow(run, "part int, once binary, more binary, k binary")
+    return parts.groupBy("part").applyInArrow(often, "top long, level int")
+
+
+def order_levels(frequent: DataFrame) -> np.ndarray:
+    """The levels of a written table of frequent shingles by the first bits of the hash, 0 where there is none; bounded, whatever the table.
+
+    Shingles that share a place have its highest level. Beyond MOST_FREQUENT, the lowest levels are left out.
+    """
+    least, held = 256, 0
+    for r in frequent.groupBy("level").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("level")).collect():
+        if held and held + r.k > MOST_FREQUENT:
+            break
+        least, held = r.level, held + r.k
+    bits = min(ORDER_BITS, (8 * held).bit_length())
+    got = frequent.where(F.col("level") >= least).select(F.shiftright("top", 32 - bits).cast("int").alias("at"), F.col("level").cast("short").alias("level")).toArrow()
+    levels = np.zeros(1 << bits, np.uint8)
+    np.maximum.at(levels, got["at"].to_numpy(), got["level"].to_numpy().astype(np.uint8))
+    return levels
+
+
+def prefixes(texts: DataFrame, levels: np.ndarray, similarity: float, width: int) -> DataFrame:
     """h, id, n (shingles of the text) and at (place in the order) for the shingles that similar texts must share one of."""
-    by_hash = np.argsort(frequent)
-    in_order = frequent[by_hash]
+    unused = np.uint64(65 - len(levels).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,10 +165,8 @@ def prefixes(texts: DataFrame, frequent: np.ndarray, similarity: float, width: i
                 if not len(s):
                     continue
                 first = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
-                if len(in_order):
-                    where = np.minimum(np.searchsorted(in_order, s), len(in_order) - 1)
-                    rank = np.where(in_order[where] == s, by_hash[where] + 1, 0)
-                    s = s[np.argsort(rank, kind="stable")]
+                if len(levels) > 1:
+                    s = s[np.argsort(levels[s.view(np.uint64) >> unused], kind="stable")]
                 found.append(s[:first])
                 ids.append(np.full(first, i, np.int64))
                 sizes.append(np.full(first, len(s), np.int32))
@@ -202,15 +247,14 @@ def similar_links(texts: Texts, similarity: float, width: int, budget: int) -> D
     labels = connected_components(links)
     discard(links)
     ids = texts.classes.select("id", "row")
-    n = row_count(texts.classes)
-    sample = materialise(ids.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0), "sample")
-    frequent = frequent_shingles(texts.of(sample), width)
-    every = materialise(prefixes(texts.of(ids), frequent, similarity, width), "prefixes")
+    n = texts.classes.agg(F.sum("n").alias("n")).first().n or 0
+    frequent = materialise(frequent_shingles(texts.of(ids), width, min(16, (n // COUNTED).bit_length())), "frequent")
+    every = materialise(prefixes(texts.of(ids), order_levels(frequent), similarity, width), "prefixes")
     often = materialise(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "often")
     some = materialise(every.join(often.hint("merge"), "h", "left_semi"), "prefixes")
     many = materialise(some.groupBy("id").agg(F.count(F.lit(1)).alias("many")), "many")
     shared = materialise(join_written(some, many, ["id"]), "prefixes")
-    discard(sample, every, often, some, many)
+    discard(frequent, every, often, some, many)
     for r in range(STAR_ROUNDS + 1):
         marked = join_written(shared.drop("label"), labels.withColumnRenamed("node", "id"), ["id"], "left")
         marked = materialise(marked.withColumn("label", F.coalesce("label", "id")), "prefixes")
